@@ -62,3 +62,170 @@ SELECT CAST(g AS DOUBLE) AS max_gap_hours, CAST(d AS DOUBLE) AS max_distance_km,
        count(*) FILTER (WHERE pt IS NULL OR gap_ms > g * 3600000 OR (km IS NOT NULL AND km > d)) AS trips
 FROM steps, settings GROUP BY g, d"""
 ORACLES["photo_steps"] = f"WITH {_steps('owner')} SELECT image_id, gap_ms, round(km, 6) AS km FROM steps"
+
+# --- decisions ---------------------------------------------------------------
+
+ACTIONS = """
+actions AS (
+  SELECT event_id AS seq, user_id // 10 AS grp, user_id,
+         CASE WHEN event_type = 'error' AND event_id % 1000 = 0 THEN 'reset'
+              WHEN event_type = 'error' THEN 'keep_all' WHEN event_type = 'click' THEN 'toggle'
+              WHEN event_type = 'view' THEN 'keep' WHEN event_type = 'purchase' THEN 'mark'
+              WHEN event_type = 'signup' THEN 'assign_keeper' END AS action
+  FROM events),
+live AS (SELECT * FROM actions WHERE seq > (SELECT coalesce(max(seq), -1) FROM actions WHERE action = 'reset')),
+per_image AS (
+  SELECT seq, action, user_id AS image_id FROM live WHERE action IN ('toggle', 'keep', 'mark')
+  UNION ALL
+  SELECT seq, action, unnest(generate_series(grp * 10, grp * 10 + 9)) AS image_id FROM live WHERE action = 'keep_all'),
+dated AS (
+  SELECT *, max(CASE WHEN action <> 'toggle' THEN seq END) OVER (PARTITION BY image_id) AS set_seq FROM per_image),
+folded AS (
+  SELECT image_id, max(seq) AS updated_at,
+         max(CASE WHEN seq = set_seq THEN action END) AS base,
+         count(*) FILTER (WHERE action = 'toggle' AND (set_seq IS NULL OR seq > set_seq)) AS k
+  FROM dated GROUP BY image_id),
+decisions AS (
+  SELECT image_id, updated_at,
+         CASE WHEN k % 2 = 0 AND base = 'mark' THEN 'EXPLICIT_DELETE'
+              WHEN k % 2 = 0 THEN 'EXPLICIT_KEEP'
+              WHEN base = 'mark' THEN 'EXPLICIT_KEEP' ELSE 'EXPLICIT_DELETE' END AS decision
+  FROM folded),
+keepers AS (SELECT grp AS group_id, arg_max(user_id, seq) AS keeper_id FROM live WHERE action = 'assign_keeper' GROUP BY grp),
+members AS (
+  SELECT g AS group_id, unnest(generate_series(g * 10, g * 10 + 9)) AS image_id, g * 10 AS recommended_id
+  FROM (SELECT DISTINCT user_id // 10 AS g FROM events)),
+keeper_of AS (
+  SELECT m.image_id, arg_max(coalesce(k.keeper_id, m.recommended_id), m.group_id) AS keeper_id
+  FROM members m LEFT JOIN keepers k USING (group_id) GROUP BY m.image_id),
+verdict AS (
+  SELECT m.image_id, d.decision, m.image_id % 4 = 0 AS quality, m.image_id % 9 = 0 AS junk,
+         k.keeper_id IS NOT NULL AND k.keeper_id <> m.image_id AS loser
+  FROM members m LEFT JOIN decisions d USING (image_id) LEFT JOIN keeper_of k USING (image_id))"""
+
+
+def _resolved(default: str) -> str:
+    return f"CASE WHEN decision = 'EXPLICIT_DELETE' THEN true WHEN decision = 'EXPLICIT_KEEP' THEN false ELSE {default} END"
+
+
+ORACLES["user_decisions"] = f"WITH {ACTIONS} SELECT image_id, decision, updated_at FROM decisions"
+ORACLES["group_keepers"] = f"WITH {ACTIONS} SELECT group_id, keeper_id FROM keepers"
+ORACLES["saved_decisions"] = f"""WITH {ACTIONS}
+SELECT CASE decision WHEN 'EXPLICIT_KEEP' THEN 'explicit_kept' ELSE 'explicit_deleted' END AS kind,
+       CAST(image_id AS VARCHAR) AS value FROM decisions
+UNION ALL SELECT 'keeper', group_id || ':' || keeper_id FROM keepers"""
+ORACLES["keeper_map"] = f"WITH {ACTIONS} SELECT image_id, keeper_id FROM keeper_of"
+ORACLES["marked_by_step"] = f"WITH {ACTIONS} " + " UNION ALL ".join(
+    f"SELECT image_id, {_resolved(column)} AS marked, '{step}' AS step FROM verdict"
+    for step, column in [("quality", "quality"), ("junk", "junk"), ("similar", "loser"), ("none", "false")]
+)
+ORACLES["marked_similar"] = f"WITH {ACTIONS} SELECT count(*) FILTER (WHERE {_resolved('loser')}) AS marked_count FROM verdict"
+_ANY = _resolved("quality OR junk OR loser")
+ORACLES["final_keep"] = f"WITH {ACTIONS} SELECT image_id, {_ANY} AS deleted FROM verdict"
+ORACLES["keep_summary"] = f"""WITH {ACTIONS}
+SELECT count(*) FILTER (WHERE NOT {_ANY}) AS keep_count,
+       CAST(coalesce(sum(image_id * 1000 + 7) FILTER (WHERE NOT {_ANY}), 0) AS BIGINT) AS keep_bytes,
+       count(*) FILTER (WHERE {_ANY}) AS left_behind FROM verdict"""
+
+# --- commit --------------------------------------------------------------------
+
+MANIFEST = """
+library AS (
+  SELECT 'y' || year(o_orderdate) || '/' || o_orderkey || '.jpg' AS id, CAST(floor(o_totalprice) AS BIGINT) AS size_bytes,
+         o_orderkey AS k FROM orders),
+kept AS (SELECT id FROM library WHERE k % 2 = 0 UNION ALL SELECT 'missing/' || k FROM library WHERE k % 101 = 0),
+there AS (SELECT id, size_bytes + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS there_bytes FROM library WHERE k % 3 = 0),
+planned AS (
+  SELECT kept.id, '/out/' || kept.id AS target, size_bytes,
+         CASE WHEN size_bytes IS NULL THEN 'unknown' WHEN there_bytes IS NULL THEN 'copy'
+              WHEN there_bytes = size_bytes THEN 'present' ELSE 'conflict' END AS status
+  FROM kept LEFT JOIN library USING (id) LEFT JOIN there USING (id)),
+manifest AS (
+  SELECT *, CASE status WHEN 'conflict' THEN id || ': name conflict' WHEN 'unknown' THEN id || ': unknown image id' END AS error
+  FROM planned)"""
+ORACLES["commit_manifest"] = f"WITH {MANIFEST} SELECT * FROM manifest"
+ORACLES["commit_progress"] = f"""WITH {MANIFEST}
+SELECT id, row_number() OVER w AS done, count(*) OVER () AS total,
+       CAST(sum(size_bytes) OVER w AS BIGINT) AS done_bytes, CAST(sum(size_bytes) OVER () AS BIGINT) AS total_bytes
+FROM manifest WHERE status IN ('copy', 'present') WINDOW w AS (ORDER BY id ROWS UNBOUNDED PRECEDING)"""
+ORACLES["commit_summary"] = f"""WITH {MANIFEST}
+SELECT count(*) FILTER (WHERE status IN ('copy', 'present')) AS copied, count(*) FILTER (WHERE status = 'conflict') AS skipped,
+       count(error) AS errors FROM manifest"""
+ORACLES["commit_errors"] = f"WITH {MANIFEST} SELECT error FROM manifest WHERE error IS NOT NULL"
+
+# --- scan --------------------------------------------------------------------------
+
+FILES = r"""
+listing AS (
+  SELECT '/lib/' || CASE WHEN p_partkey % 50 = 0 THEN '.cache/' ELSE '' END || 'd' || ((p_partkey // 8) % 10) || '/img_'
+           || CASE WHEN p_partkey % 8 = 5 THEN p_partkey - 5 ELSE p_partkey END
+           || (['.jpg', '.JPEG', '.png', '.webp', '.txt', '.xmp', '', '.gif'])[p_partkey % 8 + 1] AS path,
+         CAST(round(p_retailprice * 100) AS BIGINT) AS length,
+         CAST(CASE WHEN p_partkey % 2 = 1 THEN 75 ELSE 100 END * p_size AS INTEGER) AS width,
+         CAST(CASE WHEN p_partkey % 2 = 1 THEN 100 ELSE 75 END * p_size AS INTEGER) AS raw_height
+  FROM part),
+parts AS (
+  SELECT *, CASE WHEN length % 13 = 0 THEN -1 ELSE raw_height END AS height,
+         regexp_extract(path, '[^/]*$', 0) AS file_name,
+         regexp_extract(regexp_extract(path, '[^/]*$', 0), '.(\.[^.]*)$', 1) AS extension,
+         regexp_replace(path, '/[^/]*$', '') AS folder
+  FROM listing),
+named AS (
+  SELECT *, substr(file_name, 1, length(file_name) - length(extension)) AS stem,
+         lower(extension) IN ('.jpg', '.jpeg', '.png', '.webp', '.gif') AND NOT contains(path, '.cache') AS is_image
+  FROM parts),
+images AS (
+  SELECT substr(path, 6) AS id, path AS absolute_path, file_name, width AS original_width, height AS original_height,
+         length AS size_bytes, '/lib/.cache/res-768/' || stem || '_' || length || '.jpg' AS working_image_path
+  FROM named WHERE is_image AND height > 0)"""
+ORACLES["sidecars"] = f"""WITH {FILES}
+SELECT s.path FROM named s WHERE lower(s.extension) IN ('.xmp', '.aae')
+  AND EXISTS (SELECT 1 FROM named k WHERE k.folder = s.folder AND k.stem = s.stem
+              AND lower(k.extension) IN ('.jpg', '.jpeg') AND NOT contains(k.path, '.cache'))"""
+ORACLES["image_filter"] = f"WITH {FILES} SELECT path FROM named WHERE is_image"
+ORACLES["path_parts"] = f"WITH {FILES} SELECT path, file_name, stem, extension, folder FROM named"
+ORACLES["image_meta"] = f"WITH {FILES} SELECT * FROM images"
+ORACLES["images_with_capture"] = f"""WITH {FILES}, {PHOTOS}
+SELECT i.id, p.taken_unix_ms, round(p.latitude, 6) AS latitude, round(p.longitude, 6) AS longitude
+FROM images i LEFT JOIN photos p ON i.id = 'd' || ((p.image_id // 8) % 10) || '/img_' || p.image_id || '.jpg'"""
+ORACLES["scan_errors"] = f"""WITH {FILES}
+SELECT substr(path, 6) || ': File corrupt or encoding format unsupported.' AS error FROM named WHERE is_image AND height <= 0"""
+ORACLES["scan_summary"] = f"""WITH {FILES}
+SELECT count(*) AS files_seen, count(*) FILTER (WHERE is_image) AS images_found,
+       count(*) FILTER (WHERE NOT is_image) AS skipped_files, count(*) FILTER (WHERE is_image AND height > 0) AS images,
+       count(*) FILTER (WHERE is_image AND height <= 0) AS errors FROM named"""
+ORACLES["working_geometry"] = f"""WITH {FILES},
+scaled AS (SELECT *, CASE WHEN greatest(original_width, original_height) > 768
+  THEN CAST(768 AS DOUBLE) / greatest(original_width, original_height) ELSE CAST(1 AS DOUBLE) END AS scale FROM images)
+SELECT id, original_width, original_height, CAST(trunc(original_width * scale) AS INTEGER) AS width,
+       CAST(trunc(original_height * scale) AS INTEGER) AS height FROM scaled"""
+ORACLES["working_name_collisions"] = f"""WITH {FILES}
+SELECT stem || '_' || (length % 2) || '.jpg' AS name, count(*) AS files FROM named GROUP BY name HAVING count(*) > 1"""
+ORACLES["pending_images"] = f"WITH {FILES} SELECT id FROM images WHERE size_bytes % 3 <> 0"
+ORACLES["insert_new"] = f"""WITH {FILES},
+batch AS (SELECT id, absolute_path, size_bytes AS seq FROM images UNION ALL
+          SELECT id, '/copy' || absolute_path, 200000 - size_bytes FROM images)
+SELECT id, arg_min(absolute_path, seq) AS absolute_path, min(seq) AS seq FROM batch
+WHERE id NOT IN (SELECT id FROM images WHERE size_bytes % 3 = 0) GROUP BY id"""
+ORACLES["stored_paths"] = f"""WITH {FILES}
+SELECT 'working' AS kind, working_image_path AS path FROM images WHERE size_bytes % 5 <> 0
+UNION ALL SELECT 'original', absolute_path FROM images"""
+VERDICTS = """
+verdicts AS (
+  SELECT CAST(floor(CAST(event_id AS DOUBLE) / 2 * CASE WHEN event_id % 50 = 0 THEN 1 ELSE 2 END) AS BIGINT) AS image_id,
+         CASE WHEN event_id % 40 = 0 THEN 2 ELSE CAST(event_id % 2 AS INTEGER) END AS is_junk,
+         CASE WHEN event_id % 30 <> 0 THEN value END AS confidence FROM events),
+people AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 70 <> 0)"""
+ORACLES["constraint_audit"] = f"""WITH {VERDICTS},
+bad AS (
+  SELECT 'confidence is null' AS rule, image_id FROM verdicts WHERE confidence IS NULL
+  UNION ALL SELECT 'is_junk out of domain', image_id FROM verdicts WHERE is_junk NOT IN (0, 1)
+  UNION ALL SELECT 'image_id repeated', image_id FROM verdicts GROUP BY image_id HAVING count(*) > 1
+  UNION ALL SELECT 'image_id has no parent', image_id FROM verdicts WHERE image_id NOT IN (SELECT id FROM people))
+SELECT 'junk_flags' AS table_name, rule, CAST(image_id AS VARCHAR) AS row_key FROM bad"""
+ORACLES["cascade_delete"] = f"WITH {VERDICTS} SELECT image_id, is_junk FROM verdicts WHERE image_id IN (SELECT id FROM people)"
+ORACLES["session_state"] = """
+SELECT event_type || '.' || user_id AS key, arg_max(props, event_id) AS value FROM events GROUP BY key"""
+ORACLES["image_index"] = """
+SELECT user_id AS id, min(event_id) AS first_seen, arg_max(event_type, event_id) AS event_type,
+       arg_max(props, event_id) AS props FROM events GROUP BY user_id"""

@@ -68,3 +68,258 @@ def trip_sweep(spark, sf_dir):
 @query
 def photo_steps(spark, sf_dir):
     return _rounded(trips.with_steps(fixtures.photos(spark, sf_dir), ["owner"]).select("image_id", "gap_ms", "km"), "km")
+
+
+# --- decisions -------------------------------------------------------------
+
+from shoebox.operators import commit, decisions  # noqa: E402
+
+
+def _library(spark: SparkSession, sf_dir: str):
+    """Images that are members of a group, with decisions, flags and keepers."""
+    log = fixtures.actions(spark, sf_dir)
+    members = fixtures.groups(spark, sf_dir)
+    standing = decisions.fold(log)
+    keepers = decisions.keeper_map(members, decisions.fold_keepers(log))
+    quality, junk = fixtures.flagged(spark, sf_dir)
+    return members, standing, keepers, quality, junk
+
+
+@query
+def user_decisions(spark, sf_dir):
+    return decisions.fold(fixtures.actions(spark, sf_dir))
+
+
+@query
+def group_keepers(spark, sf_dir):
+    return decisions.fold_keepers(fixtures.actions(spark, sf_dir))
+
+
+@query
+def saved_decisions(spark, sf_dir):
+    log = fixtures.actions(spark, sf_dir)
+    return decisions.saved_decisions(decisions.fold(log), decisions.fold_keepers(log))
+
+
+@query
+def keeper_map(spark, sf_dir):
+    log = fixtures.actions(spark, sf_dir)
+    return decisions.keeper_map(fixtures.groups(spark, sf_dir), decisions.fold_keepers(log))
+
+
+@query
+def marked_by_step(spark, sf_dir):
+    members, standing, keepers, quality, junk = _library(spark, sf_dir)
+    images = members.select("image_id")
+    steps = {"quality": {"flagged": quality}, "junk": {"flagged": junk}, "similar": {"keepers": keepers}, None: {}}
+    parts = [
+        decisions.marked_for_deletion(images, standing, step, **extra).withColumn("step", F.lit(step or "none"))
+        for step, extra in steps.items()
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query
+def marked_similar(spark, sf_dir):
+    members, standing, keepers, _, _ = _library(spark, sf_dir)
+    return decisions.similar_marked_count(members, standing, keepers)
+
+
+@query
+def final_keep(spark, sf_dir):
+    members, standing, keepers, quality, junk = _library(spark, sf_dir)
+    return decisions.final_decisions(members.select("image_id"), standing, quality, junk, keepers)
+
+
+@query
+def keep_summary(spark, sf_dir):
+    members, standing, keepers, quality, junk = _library(spark, sf_dir)
+    images = members.select("image_id", (F.col("image_id") * 1000 + 7).alias("size_bytes"))
+    return decisions.keep_summary(decisions.final_decisions(images, standing, quality, junk, keepers))
+
+
+# --- commit ------------------------------------------------------------------
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commit.manifest(
+        fixtures.keep_ids(spark, sf_dir), fixtures.library_images(spark, sf_dir), fixtures.destination(spark, sf_dir), "/out"
+    )
+
+
+@query
+def commit_manifest(spark, sf_dir):
+    return _manifest(spark, sf_dir)
+
+
+@query
+def commit_progress(spark, sf_dir):
+    return commit.progress(_manifest(spark, sf_dir))
+
+
+@query
+def commit_summary(spark, sf_dir):
+    return commit.summary(_manifest(spark, sf_dir))
+
+
+@query
+def commit_errors(spark, sf_dir):
+    return commit.errors(_manifest(spark, sf_dir))
+
+
+# --- scan ----------------------------------------------------------------------
+
+from shoebox.functions import paths  # noqa: E402
+from shoebox.sources import files, tables  # noqa: E402
+
+# The listing holds gif files, which the shipped scanner does not accept.
+FORMATS = [*paths.BASIC_EXTENSIONS, ".gif"]
+
+
+def _image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files of the listing; every 13th size stands for a file that cannot be decoded."""
+    listing = fixtures.files(spark, sf_dir).filter(paths.is_image(F.col("path"), FORMATS))
+    return listing.withColumn("height", F.when(F.col("length") % 13 == 0, -1).otherwise(F.col("height")))
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.image_rows(_image_files(spark, sf_dir), fixtures.LIBRARY_ROOT)
+
+
+@query
+def sidecars(spark, sf_dir):
+    listing = fixtures.files(spark, sf_dir)
+    kept = listing.filter(paths.is_image(F.col("path"), [".jpg", ".jpeg"]))
+    return commit.sidecars(listing, kept).select("path")
+
+
+@query
+def image_filter(spark, sf_dir):
+    return fixtures.files(spark, sf_dir).filter(paths.is_image(F.col("path"), FORMATS)).select("path")
+
+
+@query
+def path_parts(spark, sf_dir):
+    path = F.col("path")
+    return fixtures.files(spark, sf_dir).select(
+        "path",
+        paths.file_name(path).alias("file_name"),
+        paths.stem(path).alias("stem"),
+        paths.extension(path).alias("extension"),
+        paths.folder(path).alias("folder"),
+    )
+
+
+@query
+def image_meta(spark, sf_dir):
+    return _images(spark, sf_dir)
+
+
+@query
+def images_with_capture(spark, sf_dir):
+    taken = fixtures.photos(spark, sf_dir).select(
+        F.concat(
+            F.lit("d"), (F.floor(F.col("image_id") / 8) % 10).cast("string"), F.lit("/img_"), F.col("image_id").cast("string"), F.lit(".jpg")
+        ).alias("id"),
+        "taken_unix_ms",
+        "latitude",
+        "longitude",
+    )
+    out = files.with_capture(_images(spark, sf_dir), taken)
+    return _rounded(out.select("id", "taken_unix_ms", "latitude", "longitude"), "latitude", "longitude")
+
+
+@query
+def scan_errors(spark, sf_dir):
+    return files.scan_errors(_image_files(spark, sf_dir), fixtures.LIBRARY_ROOT)
+
+
+@query
+def scan_summary(spark, sf_dir):
+    listing = fixtures.files(spark, sf_dir)
+    decoded = listing.withColumn("height", F.when(F.col("length") % 13 == 0, -1).otherwise(F.col("height")))
+    return files.scan_report(decoded, FORMATS)
+
+
+@query
+def working_geometry(spark, sf_dir):
+    return files.working_sizes(_images(spark, sf_dir))
+
+
+@query
+def working_name_collisions(spark, sf_dir):
+    # Sizes of this listing repeat, so stems alone decide.
+    return files.working_name_collisions(fixtures.files(spark, sf_dir).withColumn("length", F.col("length") % 2))
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _images(spark, sf_dir).filter(F.col("size_bytes") % 3 == 0)
+
+
+@query
+def pending_images(spark, sf_dir):
+    return files.pending(_images(spark, sf_dir), _known(spark, sf_dir)).select("id")
+
+
+@query
+def insert_new(spark, sf_dir):
+    rows = _images(spark, sf_dir).select("id", "absolute_path", F.col("size_bytes").alias("seq"))
+    again = rows.withColumns({"absolute_path": F.concat(F.lit("/copy"), "absolute_path"), "seq": 200_000 - F.col("seq")})
+    return tables.new_rows(_known(spark, sf_dir), rows.unionByName(again))
+
+
+@query
+def stored_paths(spark, sf_dir):
+    stored = _images(spark, sf_dir).withColumn(
+        "working_image_path", F.when(F.col("size_bytes") % 5 != 0, F.col("working_image_path"))
+    )
+    working = tables.working_paths(stored).select(F.lit("working").alias("kind"), F.col("working_image_path").alias("path"))
+    return working.unionByName(
+        tables.original_paths(stored).select(F.lit("original").alias("kind"), F.col("absolute_path").alias("path"))
+    )
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored junk verdicts, some of them broken on purpose."""
+    eid = F.col("event_id")
+    return fixtures.table(spark, sf_dir, "events").select(
+        F.floor(eid / 2 * F.when(eid % 50 == 0, 1).otherwise(2)).cast("long").alias("image_id"),
+        F.when(eid % 40 == 0, 2).otherwise((eid % 2).cast("int")).alias("is_junk"),
+        F.when(eid % 30 != 0, F.col("value")).alias("confidence"),
+    )
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).filter(F.col("id") % 70 != 0)
+
+
+@query
+def constraint_audit(spark, sf_dir):
+    rules = tables.Rules("junk_flags", "image_id", ["confidence"], {"is_junk": [0, 1]}, ("image_id", "id"))
+    return tables.violations(_verdicts(spark, sf_dir), rules, _people(spark, sf_dir))
+
+
+@query
+def cascade_delete(spark, sf_dir):
+    return tables.cascade(_verdicts(spark, sf_dir), _people(spark, sf_dir)).select("image_id", "is_junk")
+
+
+@query
+def session_state(spark, sf_dir):
+    log = fixtures.table(spark, sf_dir, "events").select(
+        F.concat_ws(".", "event_type", F.col("user_id").cast("string")).alias("key"),
+        F.col("props").alias("value"),
+        F.col("event_id").alias("updated_at"),
+    )
+    return tables.latest_state(log)
+
+
+@query
+def image_index(spark, sf_dir):
+    events = fixtures.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "event_type", "props"
+    )
+    return tables.image_index(events)
