@@ -229,3 +229,201 @@ SELECT event_type || '.' || user_id AS key, arg_max(props, event_id) AS value FR
 ORACLES["image_index"] = """
 SELECT user_id AS id, min(event_id) AS first_seen, arg_max(event_type, event_id) AS event_type,
        arg_max(props, event_id) AS props FROM events GROUP BY user_id"""
+
+# --- quality -----------------------------------------------------------------------
+
+PIXELS = """
+cells AS (
+  SELECT vec_id AS image_id, CAST(u.pos AS BIGINT) - 1 AS pos, CAST(embedding[u.pos] AS DOUBLE) AS e
+  FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS pos) u),
+pixels AS (
+  SELECT image_id, pos, pos // 8 AS r, pos % 8 AS c,
+         CAST(greatest(0, least(255, floor(CAST(128 AS DOUBLE)
+           + CAST(255 AS DOUBLE) * (CASE WHEN image_id % 5 = 4 THEN CAST(0.02 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END) * e
+           + CASE image_id % 4 WHEN 1 THEN CAST(-150 AS DOUBLE) WHEN 2 THEN CAST(150 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END))) AS INTEGER) AS v
+  FROM cells)"""
+
+
+def _metrics(low: int = 15, high: int = 240, passing: str = "0.70", cells: int = 2, readable: str = "true") -> str:
+    return PIXELS + f""",
+weighted AS (
+  SELECT *, CASE WHEN v <= {low} THEN pow(({low}.0 - v) / {low}, 2) ELSE 0 END AS s,
+         CASE WHEN v >= {high} THEN pow((v - {high}.0) / (255 - {high}), 2) ELSE 0 END AS h,
+         CASE WHEN r < 6 AND c < 6 THEN (r // 2) * 3 + c // 2 END AS cell,
+         coalesce(lag(v) OVER down, lead(v) OVER down) + coalesce(lead(v) OVER down, lag(v) OVER down)
+           + coalesce(lag(v) OVER across, lead(v) OVER across) + coalesce(lead(v) OVER across, lag(v) OVER across)
+           - 4 * v AS lap
+  FROM pixels WHERE {readable}
+  WINDOW down AS (PARTITION BY image_id, c ORDER BY r), across AS (PARTITION BY image_id, r ORDER BY c)),
+per_cell AS (SELECT image_id, cell, avg(s) AS under, avg(h) AS over FROM weighted WHERE cell IS NOT NULL GROUP BY image_id, cell),
+good AS (SELECT image_id, count(*) FILTER (WHERE under < {passing} AND over < {passing}) AS good_cells FROM per_cell GROUP BY image_id),
+measured AS (
+  SELECT image_id, true AS valid, (sum(lap * lap) - CAST(sum(lap) AS DOUBLE) * sum(lap) / count(*)) / count(*) AS sharpness, avg(s) AS raw_under, avg(h) AS over
+  FROM weighted GROUP BY image_id),
+metrics AS (
+  SELECT m.*, g.good_cells, CASE WHEN g.good_cells >= {cells} THEN 0 ELSE raw_under END AS under
+  FROM measured m JOIN good g USING (image_id))"""
+
+
+def _judged(blur: int = 100, **limits) -> str:
+    return _metrics(**limits) + f""",
+everything AS (
+  SELECT e.vec_id AS image_id, coalesce(valid, false) AS valid, coalesce(sharpness, 0) AS sharpness, raw_under, under, over,
+         coalesce(good_cells, 0) AS good_cells
+  FROM embeddings e LEFT JOIN metrics m ON e.vec_id = m.image_id),
+judged AS (
+  SELECT *, concat_ws(',', CASE WHEN valid AND sharpness < {blur} THEN 'BLURRY' END,
+                      CASE WHEN valid AND under > 0.3 THEN 'UNDER_EXPOSED' END,
+                      CASE WHEN valid AND over > 0.3 THEN 'OVER_EXPOSED' END,
+                      CASE WHEN NOT valid THEN 'UNREADABLE' END) AS reasons,
+         CASE WHEN valid THEN greatest(0, least(1, 0.5 + 0.5 * (over - under))) END AS exposure_score
+  FROM everything)"""
+
+
+_SEEN = "image_id % 31 <> 30"
+ORACLES["luminance"] = f"""WITH {PIXELS}
+SELECT p.image_id, p.pos, CAST((p.v * 299 + g.v * 587 + b.v * 114 + 500) // 1000 AS INTEGER) AS v
+FROM pixels p JOIN pixels g ON g.image_id = p.image_id AND g.pos = (p.pos + 21) % 64
+              JOIN pixels b ON b.image_id = p.image_id AND b.pos = (p.pos + 42) % 64"""
+ORACLES["level_histogram"] = f"WITH {PIXELS} SELECT image_id, v, count(*) AS n FROM pixels GROUP BY image_id, v"
+ORACLES["cell_clipping"] = f"""WITH {_metrics()}
+SELECT image_id, CAST(cell AS INTEGER) AS cell, round(under, 6) AS under, round(over, 6) AS over FROM per_cell"""
+ORACLES["quality_metrics"] = f"""WITH {_judged(readable=_SEEN)}
+SELECT image_id, valid, sharpness, round(raw_under, 6) AS raw_under, round(under, 6) AS under,
+       round(over, 6) AS over, CAST(good_cells AS INTEGER) AS good_cells FROM judged"""
+ORACLES["quality_flags"] = f"""WITH {_judged(readable=_SEEN)}
+SELECT image_id, reasons, sharpness, round(exposure_score, 9) AS exposure_score
+FROM judged WHERE reasons <> ''"""
+ORACLES["quality_reason_labels"] = f"""WITH {_judged(readable=_SEEN)}
+SELECT image_id, replace(replace(replace(reasons, 'BLURRY', 'Blurry'), 'UNDER_EXPOSED', 'Underexposed'),
+                         'OVER_EXPOSED', 'Overexposed') AS labels
+FROM judged WHERE reasons <> '' AND valid"""
+ORACLES["quality_summary"] = f"WITH {_judged(readable=_SEEN)} SELECT count(*) FILTER (WHERE reasons <> '') AS flagged, count(*) AS total FROM judged"
+ORACLES["low_quality_images"] = f"WITH {_judged(readable=_SEEN)} SELECT image_id FROM judged WHERE reasons <> '' ORDER BY image_id"
+ORACLES["quality_strict_limits"] = f"""WITH {_judged(blur=5000, low=40, high=200, passing='0.5', cells=4)}
+SELECT image_id, CAST(good_cells AS INTEGER) AS good_cells, reasons FROM judged"""
+ORACLES["luma_contrast"] = f"""WITH {PIXELS},
+counts AS (SELECT image_id, v, count(*) / 64.0 AS p FROM pixels GROUP BY image_id, v)
+SELECT image_id, round(abs(sum(p * ln(p)) / ln(256)), 9) AS contrast FROM counts GROUP BY image_id"""
+
+# --- junk -------------------------------------------------------------------------------
+
+JUNK = PIXELS + """,
+blocks AS (SELECT image_id, r // 2 AS br, c // 2 AS bc, min(v) = max(v) AS flat FROM pixels GROUP BY ALL),
+flat AS (SELECT image_id, avg(CASE WHEN flat THEN 1 ELSE 0 END) AS flat_ratio FROM blocks GROUP BY image_id),
+few AS (SELECT image_id, count(DISTINCT v) / 64.0 AS unique_ratio FROM pixels GROUP BY image_id),
+steps AS (
+  SELECT image_id, r, c, abs(lead(v) OVER (PARTITION BY image_id, c ORDER BY r) - v) >= 32 AS below,
+         abs(lead(v) OVER (PARTITION BY image_id, r ORDER BY c) - v) >= 32 AS beside FROM pixels),
+lines AS (
+  SELECT image_id, 'h' AS kind, r AS line, avg(CASE WHEN below THEN 1 ELSE 0 END) >= 0.75 AS straight FROM steps WHERE r < 7 GROUP BY ALL
+  UNION ALL
+  SELECT image_id, 'v', c, avg(CASE WHEN beside THEN 1 ELSE 0 END) >= 0.75 FROM steps WHERE c < 7 GROUP BY ALL),
+edges AS (SELECT image_id, avg(CASE WHEN straight THEN 1 ELSE 0 END) AS straight_ratio FROM lines GROUP BY image_id),
+features AS (SELECT * FROM few JOIN flat USING (image_id) JOIN edges USING (image_id)),
+votes AS (
+  SELECT *, CASE WHEN flat_ratio >= 0.25 THEN 1 ELSE 0 END + CASE WHEN unique_ratio <= 0.5 THEN 1 ELSE 0 END
+            + CASE WHEN straight_ratio >= 0.2 THEN 1 ELSE 0 END AS n
+  FROM features WHERE image_id % 6 <> 0)"""
+ORACLES["junk_features"] = f"""WITH {JUNK}
+SELECT image_id, round(flat_ratio, 6) AS flat_ratio, round(CAST(unique_ratio AS DOUBLE), 6) AS unique_ratio,
+       round(straight_ratio, 6) AS straight_ratio FROM features"""
+ORACLES["junk_flags"] = f"""WITH {JUNK}
+SELECT image_id, CASE WHEN straight_ratio >= 0.2 THEN 'screenshot' ELSE 'non-photograph' END AS reason,
+       round(n / CAST(3 AS DOUBLE), 6) AS confidence FROM votes WHERE n >= 2"""
+ORACLES["junk_summary"] = f"WITH {JUNK} SELECT count(*) FILTER (WHERE n >= 2) AS flagged, count(*) AS total FROM votes"
+ORACLES["junk_by_model"] = f"""WITH {PIXELS}, means AS (SELECT image_id, avg(v) AS m FROM pixels GROUP BY image_id)
+SELECT image_id, CASE WHEN m < 40 THEN 1 ELSE 0 END AS is_junk, CASE WHEN m < 40 THEN 'scan' END AS reason,
+       round(1 - m / 255, 6) AS confidence FROM means"""
+
+# --- features ----------------------------------------------------------------------------
+
+SHRUNK = PIXELS + """,
+overlap AS (
+  SELECT image_id, r AS ty, t AS tx, v, least((c + 1) * 9, (t + 1) * 8) - greatest(c * 9, t * 8) AS part
+  FROM pixels, (SELECT unnest(generate_series(0, 8)) AS t)),
+shrunk AS (
+  SELECT image_id, CAST(ty AS INTEGER) AS ty, CAST(tx AS INTEGER) AS tx,
+         CAST((2 * sum(v * part) + 8) // 16 AS INTEGER) AS level
+  FROM overlap WHERE part > 0 GROUP BY image_id, ty, tx),
+compared AS (
+  SELECT image_id, ty * 8 + tx AS bit, level > lead(level) OVER (PARTITION BY image_id, ty ORDER BY tx) AS brighter, tx FROM shrunk)"""
+ORACLES["shrunken_levels"] = f"WITH {SHRUNK} SELECT image_id, ty, tx, level FROM shrunk"
+ORACLES["dhash"] = f"""WITH {SHRUNK}
+SELECT image_id, CAST(coalesce(sum(1::BIGINT << (bit % 32)) FILTER (WHERE brighter AND bit < 32), 0) AS BIGINT) AS low_bits,
+       CAST(coalesce(sum(1::BIGINT << (bit % 32)) FILTER (WHERE brighter AND bit >= 32), 0) AS BIGINT) AS high_bits
+FROM compared WHERE tx < 8 GROUP BY image_id"""
+COLOURS = PIXELS + """,
+rgb AS (
+  SELECT p.image_id, p.v AS r, g.v AS g, b.v AS b,
+         greatest(p.v, g.v, b.v) AS hi, greatest(p.v, g.v, b.v) - least(p.v, g.v, b.v) AS d
+  FROM pixels p JOIN pixels g ON g.image_id = p.image_id AND g.pos = (p.pos + 21) % 64
+                JOIN pixels b ON b.image_id = p.image_id AND b.pos = (p.pos + 42) % 64),
+hs AS (
+  SELECT image_id,
+         CASE WHEN d = 0 THEN 0 ELSE
+           (CAST(CASE WHEN hi = r THEN floor((60.0 * (g - b) + d) / (2 * d))
+                      WHEN hi = g THEN floor((60.0 * (b - r) + d) / (2 * d)) + 60
+                      ELSE floor((60.0 * (r - g) + d) / (2 * d)) + 120 END AS INTEGER) + 180) % 180 END AS hue,
+         CASE WHEN hi = 0 THEN 0 ELSE (510 * d + hi) // (2 * hi) END AS sat
+  FROM rgb),
+bins AS (
+  SELECT image_id, CAST(hue * 50 // 180 AS INTEGER) AS h_bin, CAST(sat * 60 // 256 AS INTEGER) AS s_bin, count(*) AS n
+  FROM hs GROUP BY ALL)"""
+ORACLES["colour_bins"] = f"WITH {COLOURS} SELECT image_id, h_bin, s_bin, n FROM bins"
+ORACLES["colour_histogram"] = f"""WITH {COLOURS}
+SELECT image_id, h_bin * 60 + s_bin AS bin, round(CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY image_id), 6) AS level FROM bins"""
+
+# --- similar groups -----------------------------------------------------------------------
+
+BURSTS = """
+xs AS (
+  SELECT vec_id * 3 + k AS image_id, pos,
+         CAST(embedding[pos + 1] AS DOUBLE) + (CASE WHEN vec_id % 3 = 0 THEN CAST(0.04 AS DOUBLE) ELSE CAST(0.002 AS DOUBLE) END)
+           * k * ((pos * 7 + k * 13) % 5 - 2) AS x
+  FROM embeddings, (SELECT unnest(generate_series(0, 2)) AS k), (SELECT unnest(generate_series(0, 63)) AS pos)),
+bits AS (SELECT image_id, pos, x > lead(x) OVER (PARTITION BY image_id ORDER BY pos) AS up FROM xs),
+hashes AS (SELECT image_id, CAST(coalesce(sum(1::BIGINT << pos) FILTER (WHERE up), 0) AS BIGINT) AS h FROM bits WHERE pos < 63 GROUP BY image_id),
+close AS (
+  SELECT a.image_id AS a, b.image_id AS b, bit_count(xor(a.h, b.h)) AS hamming
+  FROM hashes a JOIN hashes b ON a.image_id < b.image_id WHERE bit_count(xor(a.h, b.h)) <= 16),
+scored AS (
+  SELECT c.a, c.b, c.hamming, 1 - least(1, greatest(-1, corr(xa.x, xb.x))) AS hist
+  FROM close c JOIN xs xa ON xa.image_id = c.a JOIN xs xb ON xb.image_id = c.b AND xb.pos = xa.pos GROUP BY ALL),
+near AS (SELECT a, b, hamming, hist, 0.4 * hist + 0.6 * hamming / 64 AS distance FROM scored WHERE 0.4 * hist + 0.6 * hamming / 64 <= 0.15),
+seats AS (
+  SELECT image_id, row_number() OVER (ORDER BY image_id) AS seat,
+         coalesce((SELECT list(a) FROM near WHERE b = image_id), []) AS earlier FROM hashes),
+walk(seat, leaders) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT s.seat, CASE WHEN list_has_any(w.leaders, s.earlier) THEN w.leaders ELSE list_append(w.leaders, s.image_id) END
+  FROM walk w JOIN seats s ON s.seat = w.seat + 1),
+chosen AS (SELECT unnest(leaders) AS leader FROM walk WHERE seat = (SELECT max(seat) FROM walk)),
+assigned AS (
+  SELECT image_id, coalesce((SELECT min(a) FROM near JOIN chosen ON a = leader WHERE b = image_id), image_id) AS leader_id FROM hashes),
+sizes AS (SELECT leader_id, count(*) AS size, row_number() OVER (ORDER BY leader_id) - 1 AS raw_group_idx FROM assigned GROUP BY leader_id),
+grouped AS (SELECT *, row_number() OVER (ORDER BY leader_id) AS group_id FROM sizes WHERE size >= 2),
+rated AS (
+  SELECT h.image_id, 100.0 + e.vec_id % 50 - 3 * ((h.image_id % 3 + e.label) % 3) AS sharpness, (h.image_id % 3 * 2 + 1) / CAST(7 AS DOUBLE) AS contrast,
+         CASE WHEN e.vec_id % 4 = 0 THEN h.image_id % 3 / CAST(4 AS DOUBLE) END AS face
+  FROM hashes h JOIN embeddings e ON e.vec_id = h.image_id // 3),
+scores AS (
+  SELECT g.group_id, image_id, (0.6 * sharpness / max(sharpness) OVER (PARTITION BY g.group_id) + 0.4 * contrast
+           + CASE WHEN face IS NULL THEN 0 ELSE 0.5 * face END) / CASE WHEN face IS NULL THEN CAST(1 AS DOUBLE) ELSE CAST(1.5 AS DOUBLE) END AS score
+  FROM assigned JOIN grouped g USING (leader_id) JOIN rated USING (image_id)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY round(score, 12) DESC, image_id) AS rank FROM scores)"""
+_GREEDY = f"WITH RECURSIVE {BURSTS}"
+ORACLES["similar_leaders"] = f"{_GREEDY} SELECT image_id, leader_id FROM assigned"
+ORACLES["leader_distances"] = f"""{_GREEDY}
+SELECT g.image_id, leader_id, CAST(coalesce(hamming, 0) AS INTEGER) AS hamming, round(coalesce(hist, 0), 6) AS hist_distance,
+       round(coalesce(distance, 0), 6) AS distance
+FROM assigned g LEFT JOIN near ON a = leader_id AND b = image_id"""
+ORACLES["similar_groups"] = f"{_GREEDY} SELECT group_id, raw_group_idx, leader_id, size FROM grouped"
+ORACLES["group_members_ranked"] = f"{_GREEDY} SELECT group_id, rank, image_id, round(score, 6) AS score, rank = 1 AS is_keeper FROM ranked"
+ORACLES["recommended_keepers"] = f"{_GREEDY} SELECT group_id, image_id AS recommended_id FROM ranked WHERE rank = 1"
+ORACLES["group_member_arrays"] = f"""{_GREEDY}
+SELECT group_id, CAST(0 AS BIGINT) AS chunk_no, string_agg(CAST(image_id AS VARCHAR), ',' ORDER BY rank) AS image_ids,
+       string_agg(printf('%.6f', score), ',' ORDER BY rank) AS member_scores FROM ranked GROUP BY group_id"""
+ORACLES["similar_summary"] = f"{_GREEDY} SELECT count(*) AS groups, CAST(sum(size) AS BIGINT) AS total_images FROM grouped"

@@ -23,8 +23,8 @@ def _owner_trips(spark: SparkSession, sf_dir: str, limits=trips.TripThresholds()
     return trips.assign_trips(fixtures.photos(spark, sf_dir), limits, by=["owner"])
 
 
-def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
 
 
 @query
@@ -323,3 +323,212 @@ def image_index(spark, sf_dir):
         F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "event_type", "props"
     )
     return tables.image_index(events)
+
+
+# --- quality -----------------------------------------------------------------
+
+from shoebox.operators import features, junk, quality, similar  # noqa: E402
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles judged; every 31st is unreadable."""
+    tiles = fixtures.tiles(spark, sf_dir)
+    tiles = tiles.withColumn("gray", F.when(F.col("image_id") % 31 != 30, F.col("gray")))
+    return quality.verdicts(quality.metrics(tiles))
+
+
+def _labels(reasons):
+    return F.array_join(reasons, ",")
+
+
+@query
+def luminance(spark, sf_dir):
+    rows = quality.gray_images(fixtures.colour_tiles(spark, sf_dir))
+    return rows.select("image_id", F.posexplode("gray").alias("pos", "v"))
+
+
+@query
+def level_histogram(spark, sf_dir):
+    return quality.levels(fixtures.tiles(spark, sf_dir))
+
+
+@query
+def cell_clipping(spark, sf_dir):
+    return _rounded(quality.cell_clipping(fixtures.tiles(spark, sf_dir)), "under", "over")
+
+
+@query
+def quality_metrics(spark, sf_dir):
+    judged = _judged(spark, sf_dir).drop("reasons", "low_quality", "exposure_score")
+    return _rounded(judged, "raw_under", "under", "over")
+
+
+@query
+def quality_flags(spark, sf_dir):
+    out = _rounded(quality.flags(_judged(spark, sf_dir)), "exposure_score", digits=9)
+    return out.withColumn("reasons", _labels(F.col("reasons")))
+
+
+@query
+def quality_reason_labels(spark, sf_dir):
+    readable = quality.flags(_judged(spark, sf_dir)).filter(~F.array_contains("reasons", quality.UNREADABLE))
+    return readable.select("image_id", _labels(quality.reason_labels(F.col("reasons"))).alias("labels"))
+
+
+@query
+def quality_summary(spark, sf_dir):
+    return quality.summary(_judged(spark, sf_dir))
+
+
+@query
+def low_quality_images(spark, sf_dir):
+    return quality.low_quality(_judged(spark, sf_dir))
+
+
+STRICT = quality.QualityThresholds(blur_threshold=5000.0, low_bin_index=40, high_bin_index=200, cell_passing_score=0.5, min_passing_cells=4)
+
+
+@query
+def quality_strict_limits(spark, sf_dir):
+    judged = quality.verdicts(quality.metrics(fixtures.tiles(spark, sf_dir), STRICT), STRICT)
+    return judged.select("image_id", "good_cells", _labels(F.col("reasons")).alias("reasons"))
+
+
+@query
+def luma_contrast(spark, sf_dir):
+    return _rounded(quality.contrast(fixtures.tiles(spark, sf_dir)), "contrast", digits=9)
+
+
+# --- junk ----------------------------------------------------------------------
+
+
+@query
+def junk_features(spark, sf_dir):
+    out = junk.features(fixtures.tiles(spark, sf_dir))
+    return _rounded(out, "flat_ratio", "unique_ratio", "straight_ratio")
+
+
+def _junk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts for the images that have none yet; every 6th was judged before."""
+    tiles = fixtures.tiles(spark, sf_dir)
+    before = tiles.filter(F.col("image_id") % 6 == 0).select("image_id")
+    return junk.classify(junk.features(junk.unjudged(tiles, before)))
+
+
+@query
+def junk_flags(spark, sf_dir):
+    return _rounded(junk.flags(_junk(spark, sf_dir)), "confidence")
+
+
+@query
+def junk_summary(spark, sf_dir):
+    return junk.summary(_junk(spark, sf_dir))
+
+
+def _dark_model(batch):
+    """Stand-in for a user's model: very dark tiles are no photos."""
+    import pandas as pd
+
+    mean = batch["gray"].map(lambda g: float(sum(g)) / len(g))
+    return pd.DataFrame(
+        {"is_junk": (mean < 40).astype(int), "reason": mean.map(lambda m: "scan" if m < 40 else None), "confidence": 1 - mean / 255}
+    )
+
+
+@query
+def junk_by_model(spark, sf_dir):
+    return _rounded(junk.classify_with(fixtures.tiles(spark, sf_dir), _dark_model), "confidence")
+
+
+# --- features and similar groups -----------------------------------------------------
+
+
+@query
+def shrunken_levels(spark, sf_dir):
+    return features.shrink(fixtures.tiles(spark, sf_dir))
+
+
+@query
+def dhash(spark, sf_dir):
+    low = F.col("dhash").bitwiseAND(F.lit(0xFFFFFFFF))
+    out = features.dhash(fixtures.tiles(spark, sf_dir))
+    return out.select("image_id", low.alias("low_bits"), F.shiftrightunsigned("dhash", 32).alias("high_bits"))
+
+
+@query
+def colour_bins(spark, sf_dir):
+    return features.colour_counts(fixtures.colour_tiles(spark, sf_dir))
+
+
+@query
+def colour_histogram(spark, sf_dir):
+    hist = features.colour_histogram(fixtures.colour_tiles(spark, sf_dir))
+    bins = hist.select("image_id", F.posexplode("histogram").alias("bin", "level")).filter(F.col("level") != 0)
+    return _rounded(bins, "level")
+
+
+def _assigned(spark: SparkSession, sf_dir: str, radius: float = similar.DEFAULT_RADIUS) -> DataFrame:
+    return similar.assign_leaders(fixtures.bursts(spark, sf_dir), radius)
+
+
+@query
+def similar_leaders(spark, sf_dir):
+    return _assigned(spark, sf_dir)
+
+
+@query
+def leader_distances(spark, sf_dir):
+    out = similar.leader_distances(_assigned(spark, sf_dir), fixtures.bursts(spark, sf_dir))
+    return _rounded(out, "hist_distance", "distance")
+
+
+def _scored(spark: SparkSession, sf_dir: str):
+    """Groups of the bursts; each copy k of a vector is scored as its tile, with a made-up sharpness loss."""
+    assigned = _assigned(spark, sf_dir)
+    found = similar.groups(assigned)
+    tile, k = F.floor(F.col("image_id") / 3), F.col("image_id") % 3
+    vec = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    rated = (
+        fixtures.bursts(spark, sf_dir)
+        .select("image_id", tile.alias("vec_id"), k.alias("k"))
+        .join(vec, "vec_id")
+        .select(
+            "image_id",
+            (100.0 + F.col("vec_id") % 50 - 3 * ((F.col("k") + F.col("label")) % 3)).alias("sharpness"),
+            ((F.col("k") * 2 + 1) / 7.0).alias("contrast"),
+            F.when(F.col("vec_id") % 4 == 0, F.col("k") / 4.0).alias("face_score"),
+        )
+    )
+    return found, similar.best_first(similar.score(similar.members(assigned, found), rated))
+
+
+@query
+def similar_groups(spark, sf_dir):
+    return similar.groups(_assigned(spark, sf_dir))
+
+
+@query
+def group_members_ranked(spark, sf_dir):
+    return _rounded(_scored(spark, sf_dir)[1], "score")
+
+
+@query
+def recommended_keepers(spark, sf_dir):
+    return similar.keepers(_scored(spark, sf_dir)[1])
+
+
+@query
+def group_member_arrays(spark, sf_dir):
+    packed = similar.member_arrays(_scored(spark, sf_dir)[1])
+    scores = F.transform("member_scores", lambda s: F.format_number(s, 6))
+    return packed.select(
+        "group_id",
+        "chunk_no",
+        F.array_join(F.col("image_ids").cast("array<string>"), ",").alias("image_ids"),
+        F.array_join(scores, ",").alias("member_scores"),
+    )
+
+
+@query
+def similar_summary(spark, sf_dir):
+    return similar.summary(similar.groups(_assigned(spark, sf_dir)))
