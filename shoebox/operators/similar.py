@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from shoebox.operators import features as ft
 from shoebox.operators.ordering import pack, running_sum, segment
-from shoebox.operators.skew import MIN_HOT_ROWS, spread_join
+from shoebox.operators.skew import spread_join
 from shoebox.session import cut
 
 DEFAULT_RADIUS = 0.15
@@ -134,22 +134,22 @@ def hash_candidates(earlier: DataFrame, later: DataFrame, bands: Bands, large: b
     ).select("a", "b")
 
 
-def _attach(pairs: DataFrame, features: DataFrame, side: str, other: str, spread: bool) -> DataFrame:
-    right = features.select(
+def _side(features: DataFrame, side: str) -> DataFrame:
+    return features.select(
         F.col("rank").alias(side),
         F.col("dhash").alias(f"h_{side}"),
         F.col("histogram").alias(f"x_{side}"),
         F.col("moments").alias(f"m_{side}"),
     )
-    return spread_join(pairs, right, [side], [other], "inner") if spread else pairs.join(right, side)
 
 
-def with_distance(pairs: DataFrame, features: DataFrame, spread: bool = False) -> DataFrame:
-    """``a, b, hamming, hist_distance, distance`` of ranked pairs.
+def with_distance(pairs: DataFrame, features: DataFrame, rows: int | None = None) -> DataFrame:
+    """``a, b, hamming, hist_distance, distance`` of pairs of images.
 
-    With ``spread``, pairs of an ``a`` that occurs very often are split over tasks.
+    An ``a`` that occurs very often is split over tasks; ``rows`` is the number of pairs, where known.
     """
-    both = _attach(_attach(pairs, features, "b", "a", False), features, "a", "b", spread)
+    second = pairs.join(_side(features, "b"), "b")
+    both = spread_join(second, _side(features, "a"), ["a"], ["b"], "inner", rows=rows)
     corr = ft.correlation(F.col("x_a"), F.col("x_b"), F.col("m_a"), F.col("m_b"))
     scored = both.select("a", "b", ft.hamming(F.col("h_a"), F.col("h_b")).alias("hamming"), corr.alias("corr"))
     return scored.select(
@@ -165,8 +165,7 @@ def _edges(
     earlier: DataFrame, later: DataFrame, features: DataFrame, bands: Bands, radius: float, large: bool
 ) -> DataFrame:
     pairs = cut(hash_candidates(earlier, later, bands, large), "candidates")
-    spread = large and pairs.count() > MIN_HOT_ROWS
-    near = with_distance(pairs, features, spread).filter(F.col("distance") <= radius)
+    near = with_distance(pairs, features, rows=pairs.count()).filter(F.col("distance") <= radius)
     return cut(near.select("a", "b"), "edges")
 
 
@@ -191,22 +190,34 @@ def non_leaders(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("rank")).limit(0) if covered is None else covered
 
 
-def _ranked(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _ranked(features: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     """Distinct features in id order, and the copies that stand behind each.
 
-    Returns ``rank, rep_id, dhash, histogram, moments`` and ``image_id, rep_id``.
+    Returns ``rank, rep_id, dhash, histogram, moments``, then ``image_id, rep_id``,
+    and the number of rows of both.
     """
     signature = F.sha2(F.col("histogram").cast("string"), 256)
-    valid = features.filter("valid").withColumn("signature", signature)
+    valid = cut(
+        features.filter("valid").select(
+            "image_id", "dhash", "histogram", signature.alias("signature"), ft.moments(F.col("histogram")).alias("moments")
+        ),
+        "valid",
+    )
+    images = valid.count()
     keys = valid.select("image_id", "dhash", "signature")
     reps = keys.groupBy("dhash", "signature").agg(F.min("image_id").alias("rep_id"))
-    reps = cut(reps, "reps")
-    copies = spread_join(keys, reps, ["dhash", "signature"], ["image_id"], "inner").select("image_id", "rep_id")
-    ranks = running_sum(reps.select("rep_id", F.lit(1).cast("long").alias("one")), ["rep_id"], {"rank": "one"})
-    table = valid.select(F.col("image_id").alias("rep_id"), "dhash", "histogram").join(
+    one = F.lit(1).cast("long").alias("one")
+    ranks = cut(running_sum(reps.withColumn("one", one), ["rep_id"], {"rank": "one"}), "ranks")
+    distinct = ranks.count()
+    if distinct == images:
+        copies = valid.select("image_id", F.col("image_id").alias("rep_id"))
+    else:
+        same = spread_join(keys, ranks, ["dhash", "signature"], ["image_id"], "inner", rows=images)
+        copies = same.select("image_id", "rep_id")
+    table = valid.select(F.col("image_id").alias("rep_id"), "dhash", "histogram", "moments").join(
         ranks.select("rep_id", "rank"), "rep_id"
     )
-    return cut(table.withColumn("moments", ft.moments(F.col("histogram"))), "features"), copies
+    return cut(table, "features"), copies, distinct, images
 
 
 def _prefix_end(open_rows: DataFrame, left: int, wanted: int, smallest: int, bands: Bands, budget: int) -> int:
@@ -235,9 +246,8 @@ def assign_leaders(
 
     ``features`` has ``image_id, dhash, histogram, valid``; invalid images take no part.
     """
-    table, copies = _ranked(features)
+    table, copies, total, images = _ranked(features)
     narrow = table.select("rank", "dhash")
-    total = table.count()
     bands = plan_bands(radius, total)
     open_rows, left = narrow, total
     settled: list[DataFrame] = []
@@ -267,18 +277,23 @@ def assign_leaders(
     every = settled[0]
     for part in settled[1:]:
         every = every.unionByName(part)
-    named = spread_join(every, ids.select(F.col("rank").alias("leader"), F.col("rep_id").alias("leader_id")), ["leader"], ["rank"], "inner")
+    leader_ids = ids.select(F.col("rank").alias("leader"), F.col("rep_id").alias("leader_id"))
+    named = spread_join(every, leader_ids, ["leader"], ["rank"], "inner", rows=total)
     by_rep = named.join(ids, "rank").select("rep_id", "leader_id")
-    return spread_join(copies, by_rep, ["rep_id"], ["image_id"], "inner").select("image_id", "leader_id")
+    if images > total:
+        by_rep = spread_join(copies, by_rep, ["rep_id"], ["image_id"], "inner", rows=images)
+    else:
+        by_rep = by_rep.withColumnRenamed("rep_id", "image_id")
+    return cut(by_rep.select("image_id", "leader_id"), "assigned")
 
 
-def leader_distances(assigned: DataFrame, features: DataFrame) -> DataFrame:
+def leader_distances(assigned: DataFrame, features: DataFrame, rows: int | None = None) -> DataFrame:
     """Hash, colour and joint distance of every image to its leader."""
     ranked = features.select(
         F.col("image_id").alias("rank"), "dhash", "histogram", ft.moments(F.col("histogram")).alias("moments")
     )
     pairs = assigned.select(F.col("leader_id").alias("a"), F.col("image_id").alias("b"))
-    out = with_distance(pairs, ranked, spread=True)
+    out = with_distance(pairs, ranked, rows)
     return out.withColumnsRenamed({"a": "leader_id", "b": "image_id"})
 
 
@@ -297,11 +312,10 @@ def groups(assigned: DataFrame) -> DataFrame:
     )
 
 
-def members(assigned: DataFrame, found: DataFrame) -> DataFrame:
+def members(assigned: DataFrame, found: DataFrame, rows: int | None = None) -> DataFrame:
     """``group_id, image_id`` of all group members."""
-    return spread_join(assigned, found.select("leader_id", "group_id"), ["leader_id"], ["image_id"], "inner").select(
-        "group_id", "image_id"
-    )
+    numbers = found.select("leader_id", "group_id")
+    return spread_join(assigned, numbers, ["leader_id"], ["image_id"], "inner", rows=rows).select("group_id", "image_id")
 
 
 @dataclass(frozen=True)
@@ -313,7 +327,9 @@ class ScoreWeights:
     face: float = 0.5
 
 
-def score(group_members: DataFrame, quality: DataFrame, weights: ScoreWeights = ScoreWeights()) -> DataFrame:
+def score(
+    group_members: DataFrame, quality: DataFrame, weights: ScoreWeights = ScoreWeights(), rows: int | None = None
+) -> DataFrame:
     """Add ``score`` to members.
 
     ``quality`` has ``image_id, sharpness, contrast`` and optionally ``face_score``. Sharpness
@@ -322,9 +338,9 @@ def score(group_members: DataFrame, quality: DataFrame, weights: ScoreWeights =
     """
     if "face_score" not in quality.columns:
         quality = quality.withColumn("face_score", F.lit(None).cast("double"))
-    rows = group_members.join(quality.select("image_id", "sharpness", "contrast", "face_score"), "image_id")
-    top = rows.groupBy("group_id").agg(F.max("sharpness").alias("top"))
-    rows = spread_join(rows, top, ["group_id"], ["image_id"], "inner")
+    rated = group_members.join(quality.select("image_id", "sharpness", "contrast", "face_score"), "image_id")
+    top = rated.groupBy("group_id").agg(F.max("sharpness").alias("top"))
+    rated = spread_join(rated, top, ["group_id"], ["image_id"], "inner", rows=rows)
     relative = F.when(F.col("top") > 0, F.col("sharpness") / F.col("top")).otherwise(0.0)
     face = F.when(F.col("face_score").isNotNull(), weights.face).otherwise(0.0)
     sum_of = (
@@ -332,7 +348,7 @@ def score(group_members: DataFrame, quality: DataFrame, weights: ScoreWeights =
         + weights.contrast * F.col("contrast")
         + face * F.coalesce(F.col("face_score"), F.lit(0.0))
     )
-    return rows.select(
+    return rated.select(
         "group_id", "image_id", (sum_of / (weights.sharpness + weights.contrast + face)).alias("score")
     )
 

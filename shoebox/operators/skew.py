@@ -22,13 +22,23 @@ def hot_keys(df: DataFrame, on: list[str], min_rows: int = MIN_HOT_ROWS) -> Data
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], how: str = "left", min_rows: int = MIN_HOT_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    spread_by: list[str],
+    how: str = "left",
+    rows: int | None = None,
+    min_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
     """Join a large ``left`` to ``right`` (few rows per key), splitting hot keys of ``left``.
 
     Rows of a hot key are spread by a hash of ``spread_by``; the matching right
     rows are repeated once per piece. At most 2 * MAX_HOT_KEYS pieces exist.
+    Where the size of ``left`` is known, ``rows`` saves the search for hot keys in a
+    table too small to have any.
     """
+    if rows is not None and rows <= min_rows:
+        return left.join(right, on, how)
     hot = hot_keys(left, on, min_rows)
     piece = F.pmod(F.xxhash64(*spread_by), F.col("_pieces")).cast("int")
     salted_left = left.join(F.broadcast(hot), on, "left").withColumn(

@@ -478,7 +478,8 @@ def similar_leaders(spark, sf_dir):
 
 @query
 def leader_distances(spark, sf_dir):
-    out = similar.leader_distances(_assigned(spark, sf_dir), fixtures.bursts(spark, sf_dir))
+    assigned = _assigned(spark, sf_dir)
+    out = similar.leader_distances(assigned, fixtures.bursts(spark, sf_dir), assigned.count())
     return _rounded(out, "hist_distance", "distance")
 
 
@@ -499,7 +500,8 @@ def _scored(spark: SparkSession, sf_dir: str):
             F.when(F.col("vec_id") % 4 == 0, F.col("k") / 4.0).alias("face_score"),
         )
     )
-    return found, similar.best_first(similar.score(similar.members(assigned, found), rated))
+    rows = assigned.count()
+    return found, similar.best_first(similar.score(similar.members(assigned, found, rows), rated, rows=rows))
 
 
 @query
