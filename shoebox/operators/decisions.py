@@ -60,12 +60,13 @@ def summarise(rows: DataFrame, span: Column) -> DataFrame:
 
 
 def combine(spans: DataFrame) -> DataFrame:
-    """Per image: compose its span summaries in order into the standing decision."""
+    """Per image: compose its span summaries in log order into the standing decision."""
     per_image = Window.partitionBy("image_id")
-    dated = spans.withColumn("_from", F.max(F.when(F.col("base").isNotNull(), F.col("span"))).over(per_image))
+    set_at = F.when(F.col("base").isNotNull(), F.col("updated_at"))
+    dated = spans.withColumn("_from", F.max(set_at).over(per_image))
     live = dated.groupBy("image_id").agg(
-        F.max_by("base", F.when(F.col("base").isNotNull(), F.col("span"))).alias("base"),
-        F.sum(F.when(F.col("_from").isNull() | (F.col("span") >= F.col("_from")), F.col("toggles"))).alias("toggles"),
+        F.max_by("base", set_at).alias("base"),
+        F.sum(F.when(F.col("_from").isNull() | (F.col("updated_at") >= F.col("_from")), F.col("toggles"))).alias("toggles"),
         F.max("updated_at").alias("updated_at"),
     )
     return live.select("image_id", decision(F.col("base"), F.col("toggles")).alias("decision"), "updated_at")

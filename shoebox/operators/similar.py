@@ -71,20 +71,19 @@ def plan_bands(radius: float, rows: int) -> Bands:
     for count in range(1, min(max_bits + 1, 32) + 1):
         widths = _split(ft.HASH_BITS, count)
         shares = [s - 1 for s in _split(max_bits + 1, count)]
-        if any(w > 24 or _ball(w, s) > 20_000 for w, s in zip(widths, shares)):
+        if any(_ball(w, s) > 20_000 for w, s in zip(widths, shares)):
             continue
         work = sum(_ball(w, s) * (PROBE_COST + rows / 2**w) for w, s in zip(widths, shares))
         if best is None or work < best[0]:
             best = (work, widths, shares)
-    if best is None:
-        raise ValueError(f"radius {radius} is too wide for a search by hash")
     _, widths, shares = best
     offsets = [sum(widths[:i]) for i in range(len(widths))]
     return Bands(max_bits, tuple(offsets), tuple(widths), tuple(shares))
 
 
 def _band_value(dhash: Column, offset: int, width: int) -> Column:
-    return F.shiftrightunsigned(dhash, offset).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    mask = (1 << width) - 1 if width < ft.HASH_BITS else -1
+    return F.shiftrightunsigned(dhash, offset).bitwiseAND(F.lit(mask).cast("long"))
 
 
 def _masks(width: int, radius: int) -> list[int]:

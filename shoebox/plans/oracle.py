@@ -427,3 +427,25 @@ ORACLES["group_member_arrays"] = f"""{_GREEDY}
 SELECT group_id, CAST(0 AS BIGINT) AS chunk_no, string_agg(CAST(image_id AS VARCHAR), ',' ORDER BY rank) AS image_ids,
        string_agg(printf('%.6f', score), ',' ORDER BY rank) AS member_scores FROM ranked GROUP BY group_id"""
 ORACLES["similar_summary"] = f"{_GREEDY} SELECT count(*) AS groups, CAST(sum(size) AS BIGINT) AS total_images FROM grouped"
+
+# --- streams ---------------------------------------------------------------------------------
+
+ORACLES["stream_decisions"] = ORACLES["user_decisions"]
+ORACLES["stream_keepers"] = ORACLES["group_keepers"]
+ORACLES["stream_index"] = ORACLES["image_index"]
+ORACLES["stream_split"] = """
+SELECT 'progress' AS kind, event_id AS seq, event_id || '|' || user_id AS payload FROM events WHERE event_type = 'view'
+UNION ALL SELECT 'row', event_id, user_id || '|' || props FROM events WHERE event_type IN ('click', 'purchase')
+UNION ALL SELECT 'complete', event_id, user_id || '|' || event_id FROM events WHERE event_type = 'signup'"""
+ORACLES["stream_without_repeats"] = "SELECT DISTINCT user_id % 40 AS id FROM events"
+# A session is closed once its last photo is more than the gap before the watermark.
+ORACLES["stream_trips"] = f"""WITH {_assigned('owner', 12, 300)},
+sessions AS (
+  SELECT *, sum(CASE WHEN pt IS NULL OR gap_ms > 12 * 3600000 THEN 1 ELSE 0 END)
+              OVER (PARTITION BY owner ORDER BY taken_unix_ms, image_id ROWS UNBOUNDED PRECEDING) AS session_no FROM assigned),
+closed AS (
+  SELECT owner, session_no FROM sessions GROUP BY owner, session_no
+  HAVING max(taken_unix_ms) + 12 * 3600000 <= (SELECT max(taken_unix_ms) FROM photos) - 3600000)
+SELECT owner, min(taken_unix_ms) AS start_unix_ms, max(taken_unix_ms) AS end_unix_ms, count(*) AS photos,
+       round(avg(latitude), 6) AS centroid_lat, round(avg(longitude), 6) AS centroid_lon
+FROM sessions JOIN closed USING (owner, session_no) GROUP BY owner, trip_id"""

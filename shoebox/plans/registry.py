@@ -534,3 +534,95 @@ def group_member_arrays(spark, sf_dir):
 @query
 def similar_summary(spark, sf_dir):
     return similar.summary(similar.groups(_assigned(spark, sf_dir)))
+
+
+# --- streams ---------------------------------------------------------------------------
+
+from pyspark.sql import types as T  # noqa: E402
+
+from shoebox.session import scratch_path  # noqa: E402
+from shoebox.streaming import decisions as stream_fold  # noqa: E402
+from shoebox.streaming import events as feed  # noqa: E402
+from shoebox.streaming import ingest, sinks  # noqa: E402
+from shoebox.streaming import trips as stream_trip  # noqa: E402
+
+
+def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.replay(spark, sf_dir, "events.parquet")
+
+
+@query
+def stream_decisions(spark, sf_dir):
+    work = scratch_path(spark, "decisions")
+    sinks.finish(stream_fold.follow(fixtures.actions_from(_replay(spark, sf_dir)), f"{work}/out", f"{work}/progress"))
+    return stream_fold.standing(spark, f"{work}/out", T.LongType())
+
+
+@query
+def stream_keepers(spark, sf_dir):
+    work = scratch_path(spark, "keepers")
+    sinks.finish(stream_fold.follow(fixtures.actions_from(_replay(spark, sf_dir)), f"{work}/out", f"{work}/progress"))
+    return stream_fold.keepers(spark, f"{work}/out", T.LongType())
+
+
+@query
+def stream_index(spark, sf_dir):
+    work = scratch_path(spark, "index")
+    rows = _replay(spark, sf_dir).select(
+        F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "event_type", "props"
+    )
+    sinks.finish(feed.index(rows, f"{work}/out", f"{work}/progress"))
+    kept = T.StructType.fromDDL("id long, first_seen long, event_type string, props string, last_seen long")
+    return feed.current_index(spark, f"{work}/out", kept)
+
+
+@query
+def stream_split(spark, sf_dir):
+    work = scratch_path(spark, "split")
+    kind = (
+        F.when(F.col("event_type") == "view", "progress")
+        .when(F.col("event_type").isin("click", "purchase"), "row")
+        .when(F.col("event_type") == "signup", "complete")
+    )
+    tagged = _replay(spark, sf_dir).select(
+        F.col("event_id").alias("seq"),
+        kind.alias("kind"),
+        F.struct(F.col("event_id").alias("done"), F.col("user_id").alias("total")).alias("progress"),
+        F.struct(F.col("user_id").alias("id"), F.col("props").alias("payload")).alias("row"),
+        F.struct(F.col("user_id").alias("flagged"), F.col("event_id").alias("total")).alias("complete"),
+    )
+    sinks.finish(feed.split(tagged, f"{work}/out", f"{work}/progress"))
+    parts = {
+        "progress": ("seq long, done long, total long", ["done", "total"]),
+        "row": ("seq long, id long, payload string", ["id", "payload"]),
+        "complete": ("seq long, flagged long, total long", ["flagged", "total"]),
+    }
+    out = None
+    for name, (ddl, columns) in parts.items():
+        rows = sinks.stored(spark, f"{work}/out/{name}", T.StructType.fromDDL(ddl))
+        part = rows.select(F.lit(name).alias("kind"), "seq", F.concat_ws("|", *columns).alias("payload"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def stream_without_repeats(spark, sf_dir):
+    work = scratch_path(spark, "repeats")
+    seen = _replay(spark, sf_dir).select(
+        (F.col("user_id") % 40).alias("id"), F.timestamp_millis(fixtures.epoch_ms(F.col("ts"))).alias("seen_at")
+    )
+    sinks.finish(sinks.append(ingest.without_repeats(seen, ["id"], "seen_at", "400 days"), f"{work}/out", f"{work}/progress"))
+    return spark.read.schema("id long, seen_at timestamp").parquet(f"{work}/out").select("id")
+
+
+@query
+def stream_trips(spark, sf_dir):
+    work = scratch_path(spark, "trips")
+    schema = fixtures.photos(spark, sf_dir).schema
+    photos = fixtures.photos_from(_replay(spark, sf_dir))
+    sinks.finish(stream_trip.store_photos(photos, f"{work}/photos", f"{work}/stored"))
+    limits = trips.TripThresholds(max_gap_hours=12, max_distance_km=300)
+    found = stream_trip.follow(photos, f"{work}/photos", schema, f"{work}/trips", f"{work}/progress", limits, "1 hour")
+    sinks.finish(found)
+    rows = sinks.stored(spark, f"{work}/trips", stream_trip.TRIPS).drop("batch_id")
+    return _rounded(rows, "centroid_lat", "centroid_lon")
