@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import paths
 
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
 
 def watch_folder(
     spark: SparkSession,
@@ -16,7 +18,7 @@ def watch_folder(
     files_per_batch: int | None = None,
 ) -> DataFrame:
     """Image files as they appear below ``folder``: path, length, modified. Contents are not read."""
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     found = reader.load(folder).select(
