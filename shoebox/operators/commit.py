@@ -48,11 +48,11 @@ def sidecars(files: DataFrame, kept: DataFrame, extensions: list[str] | None = N
     return side.select("*", *key).join(kept.select(*key), ["folder", "stem"], "left_semi").drop("folder", "stem")
 
 
-def progress(planned: DataFrame, blocks: int | None = None) -> DataFrame:
+def progress(planned: DataFrame, blocks: int | None = None, rows: int | None = None) -> DataFrame:
     """Running files and bytes done, in id order, next to the totals."""
     work = planned.filter(F.col("status").isin("copy", "present")).select("id", "size_bytes", F.lit(1).cast("long").alias("one"))
     total = work.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"))
-    done = running_sum(work, ["id"], {"done": "one", "done_bytes": "size_bytes"}, blocks)
+    done = running_sum(work, ["id"], {"done": "one", "done_bytes": "size_bytes"}, blocks, rows)
     return done.select(
         "id",
         "done",

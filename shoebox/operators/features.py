@@ -53,27 +53,24 @@ def shrink(images: DataFrame) -> DataFrame:
     )
 
 
-def dhash_bits(level_at) -> Column:
-    """64-bit hash; bit ``row*8 + col`` is set where a cell is brighter than its right neighbour."""
-    out = F.lit(0).cast("long")
-    for row in range(HASH_ROWS):
-        for col in range(HASH_COLS - 1):
-            bit = row * (HASH_COLS - 1) + col
-            mask = 1 << bit if bit < 63 else -(1 << 63)
-            out = out.bitwiseOR(F.when(level_at(row, col) > level_at(row, col + 1), F.lit(mask)).otherwise(F.lit(0)))
-    return out
+def dhash_bits(levels: Column) -> Column:
+    """64-bit hash of 9x8 levels; bit ``row*8 + col`` is set where a cell is brighter than its right neighbour."""
+    steps = HASH_COLS - 1
+
+    def add(bits: Column, bit: Column) -> Column:
+        left = (bit + F.floor(bit / steps)).cast("int")
+        brighter = F.get(levels, left) > F.get(levels, left + 1)
+        return bits.bitwiseOR(F.when(brighter, F.call_function("shiftleft", F.lit(1).cast("long"), bit)).otherwise(0))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(HASH_ROWS * steps - 1)), F.lit(0).cast("long"), add)
 
 
 def dhash(images: DataFrame) -> DataFrame:
     """``image_id, dhash`` of gray images."""
-    cell = F.col("ty") * HASH_COLS + F.col("tx")
     # 72 entries per image.
-    small = shrink(images).groupBy("image_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(cell, F.col("level")))).alias("levels")
-    )
-    bit_rows = small.select("image_id", F.transform(
-        F.sequence(F.lit(0), F.lit(HASH_ROWS * HASH_COLS - 1)), lambda i: F.element_at("levels", i)).alias("flat"))
-    return bit_rows.select("image_id", dhash_bits(lambda r, c: F.col("flat")[r * HASH_COLS + c]).alias("dhash"))
+    cells = F.array_sort(F.collect_list(F.struct("ty", "tx", "level")))
+    small = shrink(images).groupBy("image_id").agg(cells["level"].alias("levels"))
+    return small.select("image_id", dhash_bits(F.col("levels")).alias("dhash"))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -106,24 +103,32 @@ def colour_counts(colour: DataFrame) -> DataFrame:
     return binned.groupBy("image_id", "h_bin", "s_bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+def scaled_histogram(entries: Column) -> Column:
+    """All bins scaled to [0, 1] from ``(bin, n)`` entries in bin order; missing bins count 0."""
+    counts = entries["n"]
+    least = F.when(F.size(entries) < BINS, F.lit(0)).otherwise(F.array_min(counts))
+    span = F.array_max(counts) - least
+
+    def empty(bins: Column) -> Column:
+        return F.array_repeat(F.lit(0.0), bins)
+
+    def with_gap(entry: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(entries, i - 1)["bin"], F.lit(-1))
+        return F.concat(
+            empty(entry["bin"] - before - 1), F.array(F.coalesce(F.try_divide(entry["n"] - least, span), F.lit(0.0)))
+        )
+
+    tail = F.lit(BINS - 1) - F.element_at(entries, -1)["bin"]
+    return F.concat(F.flatten(F.transform(entries, with_gap)), empty(tail))
+
+
 def colour_histogram(colour: DataFrame) -> DataFrame:
-    """``image_id, histogram``: all bins scaled to [0, 1] by the smallest and largest count."""
+    """``image_id, histogram``: all bins scaled by the smallest and largest count."""
     bin_no = F.col("h_bin") * SATURATION_BINS + F.col("s_bin")
     # At most BINS entries per image.
-    rows = colour_counts(colour).groupBy("image_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(bin_no, F.col("n")))).alias("counts"),
-        F.min("n").alias("least"),
-        F.max("n").alias("most"),
-    )
-    floor = F.when(F.size("counts") < BINS, F.lit(0)).otherwise(F.col("least"))
-    scaled = F.transform(
-        F.sequence(F.lit(0), F.lit(BINS - 1)),
-        lambda i: F.coalesce(
-            F.try_divide(F.coalesce(F.element_at("counts", i), F.lit(0)) - F.col("floor"), F.col("most") - F.col("floor")),
-            F.lit(0.0),
-        ),
-    )
-    return rows.withColumn("floor", floor).select("image_id", scaled.alias("histogram"))
+    entries = F.array_sort(F.collect_list(F.struct(bin_no.alias("bin"), "n")))
+    rows = colour_counts(colour).groupBy("image_id").agg(entries.alias("entries"))
+    return rows.select("image_id", scaled_histogram(F.col("entries")).alias("histogram"))
 
 
 def features(colour: DataFrame, gray: DataFrame) -> DataFrame:

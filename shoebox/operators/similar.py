@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from shoebox.operators import features as ft
 from shoebox.operators.ordering import pack, running_sum, segment
 from shoebox.operators.skew import spread_join
-from shoebox.session import cut
+from shoebox.session import cut, default_blocks
 
 DEFAULT_RADIUS = 0.15
 FIRST_PREFIX = 8192
 PREFIX_GROWTH = 8
 PAIR_BUDGET = 50_000_000
-PROBE_COST = 5  # one probe row costs about as much as this many hash comparisons
+PROBE_COST = 25  # one probe row costs about as much as this many hash comparisons
 
 
 @dataclass(frozen=True)
@@ -114,14 +114,22 @@ def probe_rows(df: DataFrame, bands: Bands) -> DataFrame:
 
 
 def hash_candidates(earlier: DataFrame, later: DataFrame, bands: Bands, large: bool = False) -> DataFrame:
-    """Pairs ``a < b`` (ranks) within ``max_bits``; each pair once. Inputs carry ``rank, dhash``."""
-    probe = probe_rows(earlier, bands).select(F.col("rank").alias("a"), F.col("dhash").alias("ha"), "band", "value")
+    """Pairs ``a < b`` (ranks) within ``max_bits``; each pair once. Inputs carry ``rank, dhash``.
+
+    One image makes many probe rows, which size estimates do not see: the sort-merge
+    hint keeps them from being broadcast, and the rows are spread before they are multiplied.
+    """
+    n = default_blocks(earlier.sparkSession)
+    probe = probe_rows(earlier.repartition(n, "rank"), bands).select(
+        F.col("rank").alias("a"), F.col("dhash").alias("ha"), "band", "value"
+    )
     index = index_rows(later, bands).select(F.col("rank").alias("b"), F.col("dhash").alias("hb"), "band", "value")
     if large:
         # Many images may share a band value: split those buckets.
-        pairs = spread_join(index, probe, ["band", "value"], ["b"], "inner")
+        pairs = spread_join(index, probe, ["band", "value"], ["b"], "inner", hint="merge")
     else:
-        pairs = index.join(probe, ["band", "value"])
+        probe = probe.repartition(n, "band", "value").hint("merge")
+        pairs = index.repartition(n, "band", "value").join(probe, ["band", "value"])
     diff = F.col("ha").bitwiseXOR(F.col("hb"))
     # A pair may meet in several bands; it counts in the first one that covers it.
     first = F.lit(None)
@@ -164,7 +172,8 @@ def _edges(
     earlier: DataFrame, later: DataFrame, features: DataFrame, bands: Bands, radius: float, large: bool
 ) -> DataFrame:
     pairs = cut(hash_candidates(earlier, later, bands, large), "candidates")
-    near = with_distance(pairs, features, rows=pairs.count()).filter(F.col("distance") <= radius)
+    spread = pairs.repartition(default_blocks(pairs.sparkSession), "b")
+    near = with_distance(spread, features, rows=pairs.count()).filter(F.col("distance") <= radius)
     return cut(near.select("a", "b"), "edges")
 
 
@@ -178,14 +187,17 @@ def non_leaders(edges: DataFrame) -> DataFrame:
     open_edges = edges
     while not open_edges.isEmpty():
         leads = open_edges.select("a").distinct().join(open_edges.select(F.col("b").alias("a")), "a", "left_anti")
-        newly = cut(open_edges.join(leads, "a", "left_semi").select(F.col("b").alias("rank")).distinct(), "covered")
-        covered = newly if covered is None else covered.unionByName(newly)
-        open_edges = cut(
+        newly = open_edges.join(leads, "a", "left_semi").select("b").distinct()
+        still = (
             open_edges.join(leads, "a", "left_anti")
-            .join(newly.select(F.col("rank").alias("a")), "a", "left_anti")
-            .join(newly.select(F.col("rank").alias("b")), "b", "left_anti"),
-            "open",
+            .join(newly.select(F.col("b").alias("a")), "a", "left_anti")
+            .join(newly, "b", "left_anti")
         )
+        # Covered images (without an ``a``) and the pairs still open, settled in one write.
+        step = cut(still.unionByName(newly.withColumn("a", F.lit(None).cast("long"))), "round")
+        done = step.filter(F.col("a").isNull()).select(F.col("b").alias("rank"))
+        covered = done if covered is None else covered.unionByName(done)
+        open_edges = step.filter(F.col("a").isNotNull())
     return edges.select(F.col("b").alias("rank")).limit(0) if covered is None else covered
 
 
@@ -206,7 +218,7 @@ def _ranked(features: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     keys = valid.select("image_id", "dhash", "signature")
     reps = keys.groupBy("dhash", "signature").agg(F.min("image_id").alias("rep_id"))
     one = F.lit(1).cast("long").alias("one")
-    ranks = cut(running_sum(reps.withColumn("one", one), ["rep_id"], {"rank": "one"}), "ranks")
+    ranks = running_sum(reps.withColumn("one", one), ["rep_id"], {"rank": "one"}, rows=images)
     distinct = ranks.count()
     if distinct == images:
         copies = valid.select("image_id", F.col("image_id").alias("rep_id"))
@@ -296,7 +308,7 @@ def leader_distances(assigned: DataFrame, features: DataFrame, rows: int | None
     return out.withColumnsRenamed({"a": "leader_id", "b": "image_id"})
 
 
-def groups(assigned: DataFrame) -> DataFrame:
+def groups(assigned: DataFrame, rows: int | None = None) -> DataFrame:
     """Groups of at least two images: ``group_id, raw_group_idx, leader_id, size``.
 
     ``group_id`` counts such groups in leader order from 1; ``raw_group_idx``
@@ -305,7 +317,7 @@ def groups(assigned: DataFrame) -> DataFrame:
     sizes = assigned.groupBy("leader_id").agg(F.count(F.lit(1)).alias("size")).withColumns(
         {"one": F.lit(1).cast("long"), "big": (F.col("size") >= 2).cast("long")}
     )
-    numbered = running_sum(sizes, ["leader_id"], {"seen": "one", "group_id": "big"})
+    numbered = running_sum(sizes, ["leader_id"], {"seen": "one", "group_id": "big"}, rows=rows)
     return numbered.filter("size >= 2").select(
         "group_id", (F.col("seen") - 1).alias("raw_group_idx"), "leader_id", "size"
     )
@@ -352,11 +364,10 @@ def score(
     )
 
 
-def best_first(scored: DataFrame, blocks: int | None = None) -> DataFrame:
+def best_first(scored: DataFrame, blocks: int | None = None, rows: int | None = None) -> DataFrame:
     """``group_id, rank, image_id, score, is_keeper``; ties go to the earlier image."""
-    ordered = segment(
-        scored.withColumn("_worse", -F.col("score")), ["group_id", "_worse", "image_id"], ["group_id"], blocks=blocks
-    )
+    by_worst = scored.withColumn("_worse", -F.col("score"))
+    ordered = segment(by_worst, ["group_id", "_worse", "image_id"], ["group_id"], blocks=blocks, rows=rows)
     return ordered.select(
         "group_id", F.col("pos").alias("rank"), "image_id", "score", (F.col("pos") == 1).alias("is_keeper")
     )

@@ -29,13 +29,14 @@ def spread_join(
     how: str = "left",
     rows: int | None = None,
     min_rows: int = MIN_HOT_ROWS,
+    hint: str | None = None,
 ) -> DataFrame:
     """Join a large ``left`` to ``right`` (few rows per key), splitting hot keys of ``left``.
 
     Rows of a hot key are spread by a hash of ``spread_by``; the matching right
     rows are repeated once per piece. At most 2 * MAX_HOT_KEYS pieces exist.
     Where the size of ``left`` is known, ``rows`` saves the search for hot keys in a
-    table too small to have any.
+    table too small to have any. ``hint`` names the join strategy.
     """
     if rows is not None and rows <= min_rows:
         return left.join(right, on, how)
@@ -46,4 +47,6 @@ def spread_join(
     )
     salts = F.when(F.col("_pieces").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_pieces") - 1))
     salted_right = right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(salts)).drop("_pieces")
+    if hint:
+        salted_right = salted_right.hint(hint)
     return salted_left.drop("_pieces").join(salted_right, [*on, "_salt"], how).drop("_salt")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions.geo import haversine_km
-from shoebox.operators.ordering import pack, segment
+from shoebox.operators.ordering import pack, previous, segment
 
 HOUR_MS = 3_600_000
 
@@ -79,6 +79,7 @@ def assign_trips(
         carried=["taken_unix_ms", "latitude", "longitude"],
         inner_break=lambda prev, cur: splits(_gap(prev, cur), _km(prev, cur), limits),
         blocks=blocks,
+        rows=None if blocks else rows.count(),
     )
     return out.withColumnRenamed("inner_no", "trip_id").drop("outer_no", "row_no")
 
@@ -141,10 +142,9 @@ def sweep(
 
 def with_steps(photos: DataFrame, outer: list[str], blocks: int | None = None) -> DataFrame:
     """Timed photos with the gap and distance to the previous photo of the same owner."""
-    from shoebox.operators.ordering import previous
-
     rows = usable(photos)
     keys = [*outer, "taken_unix_ms", "image_id"]
-    out = previous(rows, keys, outer, ["taken_unix_ms", "latitude", "longitude"], blocks)
+    count = None if blocks else rows.count()
+    out = previous(rows, keys, outer, ["taken_unix_ms", "latitude", "longitude"], blocks, count)
     prev, cur = F.col("_prev"), F.struct("taken_unix_ms", "latitude", "longitude")
     return out.select(*rows.columns, _gap(prev, cur).alias("gap_ms"), _km(prev, cur).alias("km"))

@@ -70,9 +70,11 @@ def analyze(
     """Quality and similar passes: ``judged``, ``flags``, ``groups`` and ranked ``members``."""
     judged = cut(quality.verdicts(pictures.metrics(sums, limits), limits), "judged")
     assigned = similar.assign_leaders(pictures.feature_rows(sums), radius)
-    found = cut(similar.groups(assigned), "groups")
+    rows = assigned.count()
+    found = cut(similar.groups(assigned, rows), "groups")
     rated = judged.select("image_id", "sharpness").join(pictures.contrast(sums), "image_id")
-    ranked = similar.best_first(similar.score(similar.members(assigned, found), rated, weights))
+    scored = similar.score(similar.members(assigned, found, rows), rated, weights, rows)
+    ranked = similar.best_first(scored, rows=rows)
     return {"judged": judged, "flags": quality.flags(judged), "groups": found, "members": ranked}
 
 

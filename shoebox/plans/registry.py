@@ -53,7 +53,8 @@ def trip_summary(spark, sf_dir):
 @query
 def trips_one_library(spark, sf_dir):
     limits = trips.TripThresholds(max_gap_hours=1, max_distance_km=1000)
-    members = trips.assign_trips(fixtures.photos(spark, sf_dir), limits)
+    # Split into blocks even where the table is small.
+    members = trips.assign_trips(fixtures.photos(spark, sf_dir), limits, blocks=16)
     return _rounded(trips.trip_table(members), "centroid_lat", "centroid_lon")
 
 
@@ -157,7 +158,7 @@ def commit_manifest(spark, sf_dir):
 
 @query
 def commit_progress(spark, sf_dir):
-    return commit.progress(_manifest(spark, sf_dir))
+    return commit.progress(_manifest(spark, sf_dir), rows=fixtures.keep_ids(spark, sf_dir).count())
 
 
 @query
@@ -486,7 +487,8 @@ def leader_distances(spark, sf_dir):
 def _scored(spark: SparkSession, sf_dir: str):
     """Groups of the bursts; each copy k of a vector is scored as its tile, with a made-up sharpness loss."""
     assigned = _assigned(spark, sf_dir)
-    found = similar.groups(assigned)
+    rows = assigned.count()
+    found = similar.groups(assigned, rows)
     tile, k = F.floor(F.col("image_id") / 3), F.col("image_id") % 3
     vec = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", "label")
     rated = (
@@ -500,13 +502,14 @@ def _scored(spark: SparkSession, sf_dir: str):
             F.when(F.col("vec_id") % 4 == 0, F.col("k") / 4.0).alias("face_score"),
         )
     )
-    rows = assigned.count()
-    return found, similar.best_first(similar.score(similar.members(assigned, found, rows), rated, rows=rows))
+    scored = similar.score(similar.members(assigned, found, rows), rated, rows=rows)
+    return found, similar.best_first(scored, rows=rows)
 
 
 @query
 def similar_groups(spark, sf_dir):
-    return similar.groups(_assigned(spark, sf_dir))
+    assigned = _assigned(spark, sf_dir)
+    return similar.groups(assigned, assigned.count())
 
 
 @query
@@ -533,7 +536,8 @@ def group_member_arrays(spark, sf_dir):
 
 @query
 def similar_summary(spark, sf_dir):
-    return similar.summary(similar.groups(_assigned(spark, sf_dir)))
+    assigned = _assigned(spark, sf_dir)
+    return similar.summary(similar.groups(assigned, assigned.count()))
 
 
 # --- streams ---------------------------------------------------------------------------

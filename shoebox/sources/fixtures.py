@@ -84,13 +84,11 @@ def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors.select(
         (vec * 3 + F.col("k")).alias("image_id"), F.transform("embedding", shifted).alias("histogram")
     )
-    bits = F.transform(
-        F.slice("histogram", 1, 63),
-        lambda x, i: F.when(
-            x > F.get("histogram", i + 1), F.expr("shiftleft(1L, cast(0 as int))") * F.pow(F.lit(2.0), i).cast("long")
-        ).otherwise(F.lit(0).cast("long")),
-    )
-    dhash = F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+    def add(bits: Column, i: Column) -> Column:
+        up = F.get("histogram", i) > F.get("histogram", i + 1)
+        return bits.bitwiseOR(F.when(up, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0))
+
+    dhash = F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), add)
     return rows.select("image_id", dhash.alias("dhash"), "histogram", F.lit(True).alias("valid"))
 
 

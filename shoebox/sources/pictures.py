@@ -113,27 +113,14 @@ def contrast(sums: DataFrame) -> DataFrame:
 
 def feature_rows(sums: DataFrame) -> DataFrame:
     """Feature rows ``image_id, dhash, histogram, valid``; unreadable pictures are not valid."""
-    bits = features.dhash_bits(lambda r, c: F.col("shrunk")[r * features.HASH_COLS + c])
-    least = F.when(F.size("bins") < features.BINS, F.lit(0)).otherwise(F.array_min("counts"))
-    prepared = sums.withColumns(
-        {
-            "_by_bin": F.map_from_arrays("bins", "counts"),
-            "_least": least,
-            "_span": F.array_max("counts") - least,
-            "_hash": bits,
-        }
-    )
-    histogram = F.transform(
-        F.sequence(F.lit(0), F.lit(features.BINS - 1)),
-        lambda i: F.coalesce(
-            F.try_divide(F.coalesce(F.element_at("_by_bin", i), F.lit(0)) - F.col("_least"), F.col("_span")), F.lit(0.0)
-        ),
+    entries = F.transform(
+        F.arrays_zip("bins", "counts"), lambda e: F.struct(e["bins"].alias("bin"), e["counts"].alias("n"))
     )
     valid = F.col("shrunk").isNotNull()
-    return prepared.select(
+    return sums.withColumn("entries", entries).select(
         "image_id",
-        F.when(valid, F.col("_hash")).alias("dhash"),
-        F.when(valid, histogram).alias("histogram"),
+        F.when(valid, features.dhash_bits(F.col("shrunk"))).alias("dhash"),
+        F.when(valid, features.scaled_histogram(F.col("entries"))).alias("histogram"),
         valid.alias("valid"),
     )
 

@@ -89,7 +89,7 @@ def test_bands_cover_every_pair(radius, rows):
 
 def test_groups_scores_and_keepers(spark):
     assigned = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, 4), (5, 4), (6, 4)], "image_id long, leader_id long")
-    found = similar.groups(assigned)
+    found = similar.groups(assigned, 6)
     assert sorted(map(tuple, found.collect())) == [(1, 1, 2, 2), (2, 2, 4, 3)]
     quality = spark.createDataFrame(
         [(2, 50.0, 0.5, None), (3, 100.0, 0.5, None), (4, 10.0, 0.5, 1.0), (5, 10.0, 0.5, None), (6, 0.0, 0.5, None)],
