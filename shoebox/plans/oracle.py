@@ -63,6 +63,21 @@ SELECT CAST(g AS DOUBLE) AS max_gap_hours, CAST(d AS DOUBLE) AS max_distance_km,
 FROM steps, settings GROUP BY g, d"""
 ORACLES["photo_steps"] = f"WITH {_steps('owner')} SELECT image_id, gap_ms, round(km, 6) AS km FROM steps"
 
+ORACLES["density_clusters"] = f"""WITH RECURSIVE {PHOTOS},
+pts AS (SELECT * FROM photos WHERE taken_unix_ms IS NOT NULL AND latitude IS NOT NULL),
+near AS (
+  SELECT a.image_id AS a, b.image_id AS b
+  FROM pts a JOIN pts b ON b.taken_unix_ms BETWEEN a.taken_unix_ms - 10800000 AND a.taken_unix_ms + 10800000
+  WHERE 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.latitude - a.latitude) / 2), 2)
+    + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2)))) <= 50),
+cores AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 4),
+links AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM cores) AND b IN (SELECT id FROM cores)),
+reach(a, b) AS (SELECT id, id FROM cores UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+named AS (SELECT a AS id, min(b) AS cluster_id FROM reach GROUP BY a),
+border AS (SELECT near.a AS id, min(cluster_id) AS cluster_id FROM near JOIN named ON named.id = near.b GROUP BY near.a)
+SELECT image_id, coalesce(named.cluster_id, border.cluster_id) AS cluster_id, named.id IS NOT NULL AS is_core
+FROM pts LEFT JOIN named ON named.id = image_id LEFT JOIN border ON border.id = image_id"""
+
 # --- decisions ---------------------------------------------------------------
 
 ACTIONS = """

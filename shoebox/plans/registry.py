@@ -71,6 +71,14 @@ def photo_steps(spark, sf_dir):
     return _rounded(trips.with_steps(fixtures.photos(spark, sf_dir), ["owner"]).select("image_id", "gap_ms", "km"), "km")
 
 
+from shoebox.operators import dbscan  # noqa: E402
+
+
+@query
+def density_clusters(spark, sf_dir):
+    return dbscan.cluster(fixtures.photos(spark, sf_dir), dbscan.Density(3 * trips.HOUR_MS, 50.0, 4))
+
+
 # --- decisions -------------------------------------------------------------
 
 from shoebox.operators import commit, decisions  # noqa: E402
