@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions.geo import EARTH_RADIUS_KM
 from shoebox.operators.skew import spread_join
-from shoebox.session import cut
+from shoebox.session import cut, default_blocks
 
 AXES = ["x", "y", "z"]
 CELL = ["ct", "cx", "cy", "cz"]
@@ -72,11 +71,12 @@ def near_cells(cells: DataFrame, occupied: DataFrame, limits: Density) -> DataFr
 
     Only cells that meet the earth's surface are probed.
     """
-    steps = [F.struct(*[F.lit(v).alias(c) for c, v in zip(CELL, step)]) for step in product(range(-1, 2), *[range(-2, 3)] * 3)]
     side, r2 = limits.side, EARTH_RADIUS_KM**2
-    probed = cells.select(*CELL, F.explode(F.array(*steps)).alias("s")).select(
-        *CELL, *[(F.col(c) + F.col("s")[c]).alias(f"n_{c}") for c in CELL]
-    )
+    probed = cells.select(*CELL).repartition(default_blocks(cells.sparkSession))
+    # One step either way in time, two along each axis: 375 cells.
+    for c, reach in zip(CELL, (1, 2, 2, 2)):
+        steps = F.sequence(F.col(c) - reach, F.col(c) + reach)
+        probed = probed.select("*", F.explode(steps).alias(f"n_{c}"))
     low, high = F.lit(0.0), F.lit(0.0)
     for a in AXES:
         lo, hi = F.col(f"n_c{a}") * side, (F.col(f"n_c{a}") + 1) * side
@@ -100,16 +100,19 @@ def _probes(points: DataFrame, pairs: DataFrame) -> DataFrame:
     return named.join(pairs, CELL).select("p_id", "p_t", "p_x", "p_y", "p_z", *[F.col(f"n_{c}").alias(c) for c in CELL])
 
 
-def cores(points: DataFrame, limits: Density) -> DataFrame:
-    """``points`` with ``is_core``. Only photos of sparse cells are compared with others."""
+def cores(points: DataFrame, limits: Density, rows: int | None = None) -> DataFrame:
+    """``points`` with ``is_core``. Only photos of sparse cells are compared with others.
+
+    ``rows`` is an upper bound of the number of points, where known.
+    """
     counts = points.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
     counts = cut(counts, "cells")
     sparse = counts.filter(F.col("n") < limits.min_points)
     pairs = cut(near_cells(sparse, counts, limits), "near")
     few = points.join(sparse.select(*CELL), CELL, "left_semi")
-    met = spread_join(points, _probes(few, pairs), CELL, ["image_id"], "inner").filter(_is_near(limits))
+    met = spread_join(points, _probes(few, pairs), CELL, ["image_id"], "inner", rows=rows).filter(_is_near(limits))
     enough = met.groupBy("p_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limits.min_points)
-    dense = spread_join(points, counts, CELL, ["image_id"], "inner")
+    dense = spread_join(points, counts, CELL, ["image_id"], "inner", rows=rows)
     return (
         dense.join(enough.select(F.col("p_id").alias("image_id"), F.lit(True).alias("met")), "image_id", "left")
         .withColumn("is_core", (F.col("n") >= limits.min_points) | F.col("met").isNotNull())
@@ -186,6 +189,15 @@ def touching_cells(core_points: DataFrame, limits: Density, deepest: int = 40) -
     raise ValueError(f"cells still undecided at {deepest} halvings of the grid")
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Every node has at most one link down, and then none up to it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    seen = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return seen.filter((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("up") == 1))).isEmpty()
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, label`` with the least node of each connected component.
 
@@ -193,20 +205,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     even on long chains.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while True:
+    while not _all_stars(edges):
+        rows = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = spread_join(both, least, ["u"], ["v"], "inner").filter(F.col("v") > F.col("u"))
+        large = spread_join(both, least, ["u"], ["v"], "inner", rows=rows).filter(F.col("v") > F.col("u"))
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = spread_join(large, lowest, ["u"], ["v"], "inner")
+        small = spread_join(large, lowest, ["u"], ["v"], "inner", rows=rows)
         linked = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             small.select("u", F.col("m").alias("v"))
         )
-        after = cut(linked.filter(F.col("u") != F.col("v")).distinct(), "star")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            break
-        edges = after
+        edges = cut(linked.filter(F.col("u") != F.col("v")).distinct(), "star")
     labels = edges.groupBy("u").agg(F.min("v").alias("label"))
     return nodes.join(labels.withColumnRenamed("u", "node"), "node", "left").select(
         "node", F.coalesce("label", "node").alias("label")
@@ -218,19 +228,20 @@ def cluster(photos: DataFrame, limits: Density) -> DataFrame:
 
     A cluster is named by the least id of its cores; noise has none.
     """
-    points = cut(cores(place_points(photos, limits), limits), "points")
+    rows = photos.count()
+    points = cut(cores(place_points(photos, limits), limits, rows), "points")
     core_points = points.filter("is_core")
     cell = F.struct(*CELL).alias("node")
     nodes = core_points.select(cell).distinct()
     labels = components(nodes, touching_cells(core_points, limits))
     by_cell = labels.select("node.*", "label")
-    labelled = spread_join(core_points, by_cell, CELL, ["image_id"], "inner")
+    labelled = spread_join(core_points, by_cell, CELL, ["image_id"], "inner", rows=rows)
     names = labelled.groupBy("label").agg(F.min("image_id").alias("cluster_id"))
     named_cells = cut(by_cell.join(names, "label").select(*CELL, "cluster_id"), "named")
-    members = spread_join(core_points, named_cells, CELL, ["image_id"], "inner")
+    members = spread_join(core_points, named_cells, CELL, ["image_id"], "inner", rows=rows)
     rest = points.filter(~F.col("is_core"))
     pairs = near_cells(rest.select(*CELL).distinct(), named_cells, limits)
-    met = spread_join(members, _probes(rest, pairs), CELL, ["image_id"], "inner").filter(_is_near(limits))
+    met = spread_join(members, _probes(rest, pairs), CELL, ["image_id"], "inner", rows=rows).filter(_is_near(limits))
     border = met.groupBy(F.col("p_id").alias("image_id")).agg(F.min("cluster_id").alias("cluster_id"))
     return members.select("image_id", "cluster_id", "is_core").unionByName(
         rest.select("image_id", "is_core").join(border, "image_id", "left").select("image_id", "cluster_id", "is_core")
