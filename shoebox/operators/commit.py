@@ -49,7 +49,7 @@ def sidecars(files: DataFrame, kept: DataFrame, extensions: list[str] | None = N
 
 
 def progress(planned: DataFrame, blocks: int | None = None, rows: int | None = None) -> DataFrame:
-    """Running files and bytes done, in id order, next to the totals."""
+    """Running files and bytes done, in id order, next to the totals and the share of bytes done."""
     work = planned.filter(F.col("status").isin("copy", "present")).select("id", "size_bytes", F.lit(1).cast("long").alias("one"))
     total = work.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"))
     done = running_sum(work, ["id"], {"done": "one", "done_bytes": "size_bytes"}, blocks, rows)
@@ -59,7 +59,7 @@ def progress(planned: DataFrame, blocks: int | None = None, rows: int | None = N
         total.select("total").scalar().alias("total"),
         "done_bytes",
         total.select("total_bytes").scalar().alias("total_bytes"),
-    )
+    ).withColumn("fraction", F.try_divide("done_bytes", "total_bytes"))
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -6,11 +6,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.operators.quality import pixels
-
 
 @dataclass(frozen=True)
 class JunkRules:
@@ -32,41 +30,38 @@ def features(images: DataFrame, rules: JunkRules = JunkRules()) -> DataFrame:
     - straight_ratio: rows and columns that are one long edge, among all borders
     """
     readable = images.filter(F.col("gray").isNotNull() & (F.size("gray") > 0))
-    w, h, b = F.col("width"), F.col("height"), rules.block
-
-    blocks = (
-        pixels(readable)
-        .groupBy("image_id", F.floor(F.col("row") / b).alias("br"), F.floor(F.col("col") / b).alias("bc"))
-        .agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .groupBy("image_id")
-        .agg(F.avg((F.col("lo") == F.col("hi")).cast("double")).alias("flat_ratio"))
-    )
-    unique = readable.select(
-        "image_id", (F.size(F.array_distinct("gray")).cast("double") / F.size("gray")).alias("unique_ratio")
-    )
+    w, h, side = F.col("width"), F.col("height"), rules.block
 
-    def step(i, offset, inside):
+    def edge(i: Column, offset: Column, inside: Column) -> Column:
         jump = F.abs(F.get("gray", i) - F.get("gray", (i + offset).cast("int"))) >= rules.edge_step
         return F.when(inside, jump.cast("int"))
 
-    def borders(v, i):
+    def parts(v: Column, i: Column) -> Column:
+        """A pixel as part of its block, of the border below its row and of the border right of its column."""
         row, col = F.floor(i / w).cast("int"), (i % w).cast("int")
+        block = F.floor(row / side) * w + F.floor(col / side)
+
+        def part(kind: str, line: Column, level: Column, hit: Column) -> Column:
+            return F.struct(
+                F.lit(kind).alias("kind"), line.cast("long").alias("line"), level.alias("v"), hit.alias("edge")
+            )
+
+        none = F.lit(None).cast("int")
         return F.array(
-            F.struct(F.lit("h").alias("kind"), row.alias("line"), step(i, w, row < h - 1).alias("edge")),
-            F.struct(F.lit("v").alias("kind"), col.alias("line"), step(i, F.lit(1), col < w - 1).alias("edge")),
+            part("block", block, v, none),
+            part("row", row, none, edge(i, w, row < h - 1)),
+            part("column", col, none, edge(i, F.lit(1), col < w - 1)),
         )
 
-    lines = (
-        readable.select("image_id", F.inline(F.flatten(F.transform("gray", borders))))
-        .filter(F.col("edge").isNotNull())
-        .groupBy("image_id", "kind", "line")
-        .agg((F.avg("edge") >= rules.straight_share).cast("double").alias("straight"))
+    unique = F.size(F.array_distinct("gray")).cast("double") / F.size("gray")
+    spread = readable.select("image_id", unique.alias("unique_ratio"), F.inline(F.flatten(F.transform("gray", parts))))
+    # One row per block and line, summed before the shuffle; then one row per image.
+    lines = spread.groupBy("image_id", "unique_ratio", "kind", "line").agg(
+        (F.min("v") == F.max("v")).cast("double").alias("flat"),
+        (F.avg("edge") >= rules.straight_share).cast("double").alias("straight"),
     )
-    straight = lines.groupBy("image_id").agg(F.avg("straight").alias("straight_ratio"))
-    return (
-        unique.join(blocks, "image_id")
-        .join(straight, "image_id", "left")
-        .withColumn("straight_ratio", F.coalesce("straight_ratio", F.lit(0.0)))
+    return lines.groupBy("image_id", "unique_ratio").agg(
+        F.avg("flat").alias("flat_ratio"), F.coalesce(F.avg("straight"), F.lit(0.0)).alias("straight_ratio")
     )
 
 

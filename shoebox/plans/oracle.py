@@ -161,7 +161,8 @@ manifest AS (
 ORACLES["commit_manifest"] = f"WITH {MANIFEST} SELECT * FROM manifest"
 ORACLES["commit_progress"] = f"""WITH {MANIFEST}
 SELECT id, row_number() OVER w AS done, count(*) OVER () AS total,
-       CAST(sum(size_bytes) OVER w AS BIGINT) AS done_bytes, CAST(sum(size_bytes) OVER () AS BIGINT) AS total_bytes
+       CAST(sum(size_bytes) OVER w AS BIGINT) AS done_bytes, CAST(sum(size_bytes) OVER () AS BIGINT) AS total_bytes,
+       round(CAST(sum(size_bytes) OVER w AS DOUBLE) / CAST(sum(size_bytes) OVER () AS DOUBLE), 6) AS fraction
 FROM manifest WHERE status IN ('copy', 'present') WINDOW w AS (ORDER BY id ROWS UNBOUNDED PRECEDING)"""
 ORACLES["commit_summary"] = f"""WITH {MANIFEST}
 SELECT count(*) FILTER (WHERE status IN ('copy', 'present')) AS copied, count(*) FILTER (WHERE status = 'conflict') AS skipped,

@@ -166,7 +166,8 @@ def commit_manifest(spark, sf_dir):
 
 @query
 def commit_progress(spark, sf_dir):
-    return commit.progress(_manifest(spark, sf_dir), rows=fixtures.keep_ids(spark, sf_dir).count())
+    done = commit.progress(_manifest(spark, sf_dir), rows=fixtures.keep_ids(spark, sf_dir).count())
+    return _rounded(done, "fraction")
 
 
 @query

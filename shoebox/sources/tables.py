@@ -18,8 +18,11 @@ def first_per_id(batch: DataFrame, order: str = "seq", key: str = "id") -> DataF
 
 
 def new_rows(existing: DataFrame, batch: DataFrame, order: str = "seq", key: str = "id") -> DataFrame:
-    """Rows an insert-or-ignore would add: unknown ids, the first row of each."""
-    return first_per_id(batch.join(existing.select(key), key, "left_anti"), order, key)
+    """Rows an insert-or-ignore would add: unknown ids, the first row of each.
+
+    Repeats collapse before the join, so no id is hot there.
+    """
+    return first_per_id(batch, order, key).join(existing.select(key), key, "left_anti")
 
 
 def insert_images(spark: SparkSession, table_path: str, batch: DataFrame, schema: T.StructType, order: str = "seq") -> None:
