@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import paths
 from shoebox.operators.ordering import running_sum
+from shoebox.session import default_blocks
 
 # Fixed value: error text for an existing destination file of another size.
 NAME_CONFLICT = "name conflict"
@@ -101,8 +102,17 @@ def _copy_one(source: str, target: str, attempt: str) -> tuple[str, str | None]:
         return "failed", str(failure).splitlines()[0] if str(failure) else type(failure).__name__
 
 
+BYTES_PER_TASK = 1 << 30
+
+
 def copy_files(planned: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Copy every ``status = 'copy'`` row (``id, source, target``); one result row per planned file."""
+    """Copy every ``status = 'copy'`` row (``id, source, target, size_bytes``); one result row per planned file.
+
+    A manifest row is small but its file is not, so the number of tasks follows from the bytes to copy.
+    """
+    if tasks is None:
+        total = planned.filter(F.col("status") == "copy").agg(F.sum("size_bytes")).first()[0] or 0
+        tasks = max(default_blocks(planned.sparkSession), -(-total // BYTES_PER_TASK))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -124,6 +134,5 @@ def copy_files(planned: DataFrame, tasks: int | None = None) -> DataFrame:
                 }
             )
 
-    rows = planned.select("id", "source", "target", "status", "error")
-    rows = rows.repartition(tasks, "id") if tasks else rows.repartition("id")
+    rows = planned.select("id", "source", "target", "status", "error").repartition(tasks, "id")
     return rows.mapInPandas(run, "id string, status string, error string")

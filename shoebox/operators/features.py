@@ -103,23 +103,25 @@ def colour_counts(colour: DataFrame) -> DataFrame:
     return binned.groupBy("image_id", "h_bin", "s_bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def scaled_histogram(entries: Column) -> Column:
-    """All bins scaled to [0, 1] from ``(bin, n)`` entries in bin order; missing bins count 0."""
-    counts = entries["n"]
-    least = F.when(F.size(entries) < BINS, F.lit(0)).otherwise(F.array_min(counts))
-    span = F.array_max(counts) - least
+def scaled_histogram(bins: Column, counts: Column, least: Column, most: Column) -> Column:
+    """All bins scaled to [0, 1] by the smallest and largest count; missing bins count 0.
+
+    ``bins`` (ascending) and ``counts`` are parallel arrays of the non-empty bins, ``least`` and
+    ``most`` the extremes of ``counts``. All should be plain columns.
+    """
+    floor = F.when(F.size(bins) < BINS, F.lit(0)).otherwise(least)
 
     def empty(bins: Column) -> Column:
-        return F.array_repeat(F.lit(0.0), bins)
+        return F.array_repeat(F.lit(0.0), bins.cast("int"))
 
-    def with_gap(entry: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(entries, i - 1)["bin"], F.lit(-1))
+    def with_gap(n: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(bins, i - 1), F.lit(-1))
         return F.concat(
-            empty(entry["bin"] - before - 1), F.array(F.coalesce(F.try_divide(entry["n"] - least, span), F.lit(0.0)))
+            empty(F.get(bins, i) - before - 1), F.array(F.coalesce(F.try_divide(n - floor, most - floor), F.lit(0.0)))
         )
 
-    tail = F.lit(BINS - 1) - F.element_at(entries, -1)["bin"]
-    return F.concat(F.flatten(F.transform(entries, with_gap)), empty(tail))
+    tail = F.lit(BINS - 1) - F.element_at(bins, -1)
+    return F.concat(F.flatten(F.transform(counts, with_gap)), empty(tail))
 
 
 def colour_histogram(colour: DataFrame) -> DataFrame:
@@ -127,8 +129,11 @@ def colour_histogram(colour: DataFrame) -> DataFrame:
     bin_no = F.col("h_bin") * SATURATION_BINS + F.col("s_bin")
     # At most BINS entries per image.
     entries = F.array_sort(F.collect_list(F.struct(bin_no.alias("bin"), "n")))
-    rows = colour_counts(colour).groupBy("image_id").agg(entries.alias("entries"))
-    return rows.select("image_id", scaled_histogram(F.col("entries")).alias("histogram"))
+    rows = colour_counts(colour).groupBy("image_id").agg(
+        entries["bin"].alias("bins"), entries["n"].alias("counts"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    histogram = scaled_histogram(F.col("bins"), F.col("counts"), F.col("least"), F.col("most"))
+    return rows.select("image_id", histogram.alias("histogram"))
 
 
 def features(colour: DataFrame, gray: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from shoebox.operators import commit, decisions, junk, quality, similar, trips
 from shoebox.session import cut
 from shoebox.sources import files, pictures, tables
 
-# Decoded pictures are large; a batch handed to Python holds this many.
-PICTURES_PER_BATCH = 16
+# A decoded 12-megapixel picture takes 36 MB; a batch handed to Python holds this many.
+PICTURES_PER_BATCH = 4
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -78,6 +78,27 @@ def analyze(
     return {"judged": judged, "flags": quality.flags(judged), "groups": found, "members": ranked}
 
 
+RESULTS = {
+    "quality_flags": schemas.QUALITY_FLAGS,
+    "similar_groups": schemas.GROUP_MEMBERS,
+    "trips": schemas.TRIPS,
+    "user_decisions": schemas.USER_DECISIONS,
+    "user_group_keepers": schemas.USER_GROUP_KEEPERS,
+    "session_state": schemas.SESSION_STATE,
+}
+
+
+def save_results(base: str, **results: DataFrame) -> None:
+    """Store pass results and user choices by table name, to resume a session from."""
+    for name, rows in results.items():
+        tables.save(rows, f"{base}/{name}", RESULTS[name])
+
+
+def load_results(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """Everything stored so far; a pass that has not run yet gives an empty table."""
+    return {name: tables.read_table(spark, f"{base}/{name}", schema) for name, schema in RESULTS.items()}
+
+
 def resolve(
     images: DataFrame, log: DataFrame, quality_flags: DataFrame, junk_flags: DataFrame, members: DataFrame
 ) -> DataFrame:

@@ -66,12 +66,3 @@ TRIPS = T.StructType(
         _field("centroid_lon", D),
     ]
 )
-EVENT = T.StructType(
-    [
-        _field("seq", L, True),
-        _field("kind", S),
-        _field("progress", T.StructType([_field("done", L), _field("total", L), _field("current", S)])),
-        _field("row", T.StructType([_field("id", S), _field("payload", S)])),
-        _field("complete", T.StructType([_field("flagged", L), _field("total", L)])),
-    ]
-)

@@ -18,7 +18,7 @@ from shoebox.operators import features, quality
 
 SUMS = (
     "image_id string, height int, width int, laplacian array<bigint>, levels array<bigint>, "
-    "shrunk array<int>, bins array<int>, counts array<bigint>"
+    "shrunk array<int>, bins array<int>, counts array<bigint>, least bigint, most bigint"
 )
 
 
@@ -34,7 +34,7 @@ def picture_sums(pictures: DataFrame, root: str) -> DataFrame:
     def one(row) -> tuple:
         bgr = _pixels(row)
         if bgr is None:
-            return (row.image_id, row.height, row.width, None, None, None, None, None)
+            return (row.image_id, row.height, row.width, *[None] * 7)
         gray = kernels.gray_of(bgr)
         bins, counts = kernels.colour_bins(bgr)
         return (
@@ -46,6 +46,8 @@ def picture_sums(pictures: DataFrame, root: str) -> DataFrame:
             kernels.shrunken(gray).astype(np.int32),
             bins.astype(np.int32),
             counts,
+            int(counts.min()),
+            int(counts.max()),
         )
 
     names = [part.split()[0] for part in SUMS.split(", ")]
@@ -113,14 +115,12 @@ def contrast(sums: DataFrame) -> DataFrame:
 
 def feature_rows(sums: DataFrame) -> DataFrame:
     """Feature rows ``image_id, dhash, histogram, valid``; unreadable pictures are not valid."""
-    entries = F.transform(
-        F.arrays_zip("bins", "counts"), lambda e: F.struct(e["bins"].alias("bin"), e["counts"].alias("n"))
-    )
+    histogram = features.scaled_histogram(F.col("bins"), F.col("counts"), F.col("least"), F.col("most"))
     valid = F.col("shrunk").isNotNull()
-    return sums.withColumn("entries", entries).select(
+    return sums.select(
         "image_id",
         F.when(valid, features.dhash_bits(F.col("shrunk"))).alias("dhash"),
-        F.when(valid, features.scaled_histogram(F.col("entries"))).alias("histogram"),
+        F.when(valid, histogram).alias("histogram"),
         valid.alias("valid"),
     )
 

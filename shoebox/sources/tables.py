@@ -47,6 +47,12 @@ def read_table(spark: SparkSession, table_path: str, schema: T.StructType) -> Da
     return spark.read.schema(schema).parquet(table_path)
 
 
+def save(df: DataFrame, table_path: str, schema: T.StructType) -> None:
+    """Replace a stored table. The rows are settled first, so ``df`` may read the table itself."""
+    settled = cut(df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), "save")
+    settled.write.mode("overwrite").parquet(table_path)
+
+
 def open_library(
     spark: SparkSession, table_path: str, batch: DataFrame, schema: T.StructType, force_fresh: bool = False
 ) -> DataFrame:

@@ -107,6 +107,16 @@ def test_unreadable_picture_is_low_quality_and_not_grouped(spark, sums):
     assert sorted(pair) == [(1, "a/one.png", True), (2, "a/two.png", False)]
 
 
+def test_results_are_stored_and_resumed(spark, tmp_path):
+    standing = spark.createDataFrame([("a", "EXPLICIT_KEEP", 4)], "image_id string, decision string, updated_at long")
+    passes.save_results(str(tmp_path), user_decisions=standing)
+    again = standing.unionByName(passes.load_results(spark, str(tmp_path))["user_decisions"]).limit(1)
+    passes.save_results(str(tmp_path), user_decisions=again)
+    stored = passes.load_results(spark, str(tmp_path))
+    assert [tuple(r) for r in stored["user_decisions"].collect()] == [("a", "EXPLICIT_KEEP", 4)]
+    assert stored["trips"].columns == schemas.TRIPS.names and stored["trips"].isEmpty()
+
+
 def test_commit_copies_once_and_reports_conflicts(spark, library, sums, tmp_path):
     images = passes.scan(spark, library, sums, str(tmp_path / "images"))["images"]
     analysis = passes.analyze(sums)
@@ -135,8 +145,8 @@ def test_commit_copies_once_and_reports_conflicts(spark, library, sums, tmp_path
 
 def test_copy_failure_is_a_row(spark, tmp_path):
     planned = spark.createDataFrame(
-        [("gone.jpg", "/nowhere/gone.jpg", str(tmp_path / "gone.jpg"), "copy", None)],
-        "id string, source string, target string, status string, error string",
+        [("gone.jpg", "/nowhere/gone.jpg", str(tmp_path / "gone.jpg"), 5, "copy", None)],
+        "id string, source string, target string, size_bytes long, status string, error string",
     )
     row = commit.copy_files(planned).first()
     assert row.status == "failed" and row.error.startswith("gone.jpg: ")
