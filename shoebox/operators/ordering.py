@@ -124,7 +124,7 @@ def segment(
             F.max(F.when(F.col("_ob") == 1, F.col("_i"))).over(upto).alias("_outer_start"),
             F.max(F.when(F.col("_ib") == 1, F.col("_rn"))).over(upto).alias("_inner_start"),
         )
-        .drop("_prev", "_ob", "_ib")
+        .drop("_here", "_prev", "_ob", "_ib")
     )
     if whole:
         return local.select(
@@ -138,8 +138,8 @@ def segment(
 
     # One row per block.
     edge = local.groupBy(BLOCK).agg(
-        F.min_by("_here", "_rn").alias("_first"),
-        F.max_by("_here", "_rn").alias("_last"),
+        F.min_by(here, "_rn").alias("_first"),
+        F.max_by(here, "_rn").alias("_last"),
         F.max("_rn").alias("_rows"),
         F.max("_o").alias("_outers"),
         F.max("_i").alias("_inners"),

@@ -273,7 +273,7 @@ def assign_leaders(
         settled.append(leaders.select("rank", F.col("rank").alias("leader")))
         joined = edges.join(leaders.select(F.col("rank").alias("a")), "a", "left_semi")
         settled.append(joined.groupBy(F.col("b").alias("rank")).agg(F.min("a").alias("leader")))
-        if whole:
+        if whole or end >= total:
             break
         rest = open_rows.filter(F.col("rank") > end)
         near = _edges(leaders, rest, table, bands, radius, large=True)
