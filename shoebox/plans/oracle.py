@@ -217,12 +217,12 @@ SELECT id, original_width, original_height, CAST(trunc(original_width * scale) A
        CAST(trunc(original_height * scale) AS INTEGER) AS height FROM scaled"""
 ORACLES["working_name_collisions"] = f"""WITH {FILES}
 SELECT stem || '_' || (length % 2) || '.jpg' AS name, count(*) AS files FROM named GROUP BY name HAVING count(*) > 1"""
-ORACLES["pending_images"] = f"WITH {FILES} SELECT id FROM images WHERE size_bytes % 3 <> 0"
+ORACLES["pending_images"] = f"WITH {FILES} SELECT id FROM images WHERE id NOT LIKE '%.png'"
 ORACLES["insert_new"] = f"""WITH {FILES},
 batch AS (SELECT id, absolute_path, size_bytes AS seq FROM images UNION ALL
           SELECT id, '/copy' || absolute_path, 200000 - size_bytes FROM images)
 SELECT id, arg_min(absolute_path, seq) AS absolute_path, min(seq) AS seq FROM batch
-WHERE id NOT IN (SELECT id FROM images WHERE size_bytes % 3 = 0) GROUP BY id"""
+WHERE id NOT IN (SELECT id FROM images WHERE id LIKE '%.png') GROUP BY id"""
 ORACLES["stored_paths"] = f"""WITH {FILES}
 SELECT 'working' AS kind, working_image_path AS path FROM images WHERE size_bytes % 5 <> 0
 UNION ALL SELECT 'original', absolute_path FROM images"""
@@ -231,15 +231,15 @@ verdicts AS (
   SELECT CAST(floor(CAST(event_id AS DOUBLE) / 2 * CASE WHEN event_id % 50 = 0 THEN 1 ELSE 2 END) AS BIGINT) AS image_id,
          CASE WHEN event_id % 40 = 0 THEN 2 ELSE CAST(event_id % 2 AS INTEGER) END AS is_junk,
          CASE WHEN event_id % 30 <> 0 THEN value END AS confidence FROM events),
-people AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 70 <> 0)"""
+survivors AS (SELECT p_partkey AS id FROM part)"""
 ORACLES["constraint_audit"] = f"""WITH {VERDICTS},
 bad AS (
   SELECT 'confidence is null' AS rule, image_id FROM verdicts WHERE confidence IS NULL
   UNION ALL SELECT 'is_junk out of domain', image_id FROM verdicts WHERE is_junk NOT IN (0, 1)
   UNION ALL SELECT 'image_id repeated', image_id FROM verdicts GROUP BY image_id HAVING count(*) > 1
-  UNION ALL SELECT 'image_id has no parent', image_id FROM verdicts WHERE image_id NOT IN (SELECT id FROM people))
+  UNION ALL SELECT 'image_id has no parent', image_id FROM verdicts WHERE image_id NOT IN (SELECT id FROM survivors))
 SELECT 'junk_flags' AS table_name, rule, CAST(image_id AS VARCHAR) AS row_key FROM bad"""
-ORACLES["cascade_delete"] = f"WITH {VERDICTS} SELECT image_id, is_junk FROM verdicts WHERE image_id IN (SELECT id FROM people)"
+ORACLES["cascade_delete"] = f"WITH {VERDICTS} SELECT image_id, is_junk FROM verdicts WHERE image_id IN (SELECT id FROM survivors)"
 ORACLES["session_state"] = """
 SELECT event_type || '.' || user_id AS key, arg_max(props, event_id) AS value FROM events GROUP BY key"""
 ORACLES["image_index"] = """
@@ -340,7 +340,7 @@ features AS (SELECT * FROM few JOIN flat USING (image_id) JOIN edges USING (imag
 votes AS (
   SELECT *, CASE WHEN flat_ratio >= 0.25 THEN 1 ELSE 0 END + CASE WHEN unique_ratio <= 0.5 THEN 1 ELSE 0 END
             + CASE WHEN straight_ratio >= 0.2 THEN 1 ELSE 0 END AS n
-  FROM features WHERE image_id % 6 <> 0)"""
+  FROM features)"""
 ORACLES["junk_features"] = f"""WITH {JUNK}
 SELECT image_id, round(flat_ratio, 6) AS flat_ratio, round(CAST(unique_ratio AS DOUBLE), 6) AS unique_ratio,
        round(straight_ratio, 6) AS straight_ratio FROM features"""
@@ -348,6 +348,11 @@ ORACLES["junk_flags"] = f"""WITH {JUNK}
 SELECT image_id, CASE WHEN straight_ratio >= 0.2 THEN 'screenshot' ELSE 'non-photograph' END AS reason,
        round(n / CAST(3 AS DOUBLE), 6) AS confidence FROM votes WHERE n >= 2"""
 ORACLES["junk_summary"] = f"WITH {JUNK} SELECT count(*) FILTER (WHERE n >= 2) AS flagged, count(*) AS total FROM votes"
+ORACLES["junk_unjudged"] = f"""WITH {JUNK}
+SELECT image_id, CASE WHEN n >= 2 THEN 1 ELSE 0 END AS is_junk,
+       CASE WHEN n < 2 THEN NULL WHEN straight_ratio >= 0.2 THEN 'screenshot' ELSE 'non-photograph' END AS reason,
+       round(CASE WHEN n >= 2 THEN n ELSE 3 - n END / CAST(3 AS DOUBLE), 6) AS confidence
+FROM votes WHERE image_id NOT IN (SELECT doc_id FROM labels)"""
 ORACLES["junk_by_model"] = f"""WITH {PIXELS}, means AS (SELECT image_id, avg(v) AS m FROM pixels GROUP BY image_id)
 SELECT image_id, CASE WHEN m < 40 THEN 1 ELSE 0 END AS is_junk, CASE WHEN m < 40 THEN 'scan' END AS reason,
        round(1 - m / 255, 6) AS confidence FROM means"""

@@ -266,7 +266,8 @@ def working_name_collisions(spark, sf_dir):
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _images(spark, sf_dir).filter(F.col("size_bytes") % 3 == 0)
+    """An earlier scan that took png files only."""
+    return files.image_rows(_image_files(spark, sf_dir).filter(paths.is_image(F.col("path"), [".png"])), fixtures.LIBRARY_ROOT)
 
 
 @query
@@ -302,19 +303,20 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).filter(F.col("id") % 70 != 0)
+def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images that are left: one per part."""
+    return fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
 
 
 @query
 def constraint_audit(spark, sf_dir):
     rules = tables.Rules("junk_flags", "image_id", ["confidence"], {"is_junk": [0, 1]}, ("image_id", "id"))
-    return tables.violations(_verdicts(spark, sf_dir), rules, _people(spark, sf_dir))
+    return tables.violations(_verdicts(spark, sf_dir), rules, _survivors(spark, sf_dir))
 
 
 @query
 def cascade_delete(spark, sf_dir):
-    return tables.cascade(_verdicts(spark, sf_dir), _people(spark, sf_dir)).select("image_id", "is_junk")
+    return tables.cascade(_verdicts(spark, sf_dir), _survivors(spark, sf_dir)).select("image_id", "is_junk")
 
 
 @query
@@ -419,10 +421,7 @@ def junk_features(spark, sf_dir):
 
 
 def _junk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts for the images that have none yet; every 6th was judged before."""
-    tiles = fixtures.tiles(spark, sf_dir)
-    before = tiles.filter(F.col("image_id") % 6 == 0).select("image_id")
-    return junk.classify(junk.features(junk.unjudged(tiles, before)))
+    return junk.classify(junk.features(fixtures.tiles(spark, sf_dir)))
 
 
 @query
@@ -435,6 +434,13 @@ def junk_summary(spark, sf_dir):
     return junk.summary(_junk(spark, sf_dir))
 
 
+@query
+def junk_unjudged(spark, sf_dir):
+    """The label table stands for verdicts stored before."""
+    stored = fixtures.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("image_id"))
+    return _rounded(junk.classify(junk.features(junk.unjudged(fixtures.tiles(spark, sf_dir), stored))), "confidence")
+
+
 def _dark_model(batch):
     """Stand-in for a user's model: very dark tiles are no photos."""
     import pandas as pd
