@@ -23,10 +23,12 @@ import math
 from dataclasses import dataclass
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.operators import features as ft
+from shoebox.operators.graph import components
 from shoebox.operators.ordering import pack, running_sum, segment
 from shoebox.operators.skew import spread_join
 from shoebox.session import cut, default_blocks
@@ -177,15 +179,22 @@ def _edges(
     return cut(near.select("a", "b"), "edges")
 
 
-def non_leaders(edges: DataFrame) -> DataFrame:
+def non_leaders(edges: DataFrame, rounds: int = 6, component_edges: int = 500_000) -> DataFrame:
     """Ranks of images that are not leaders, given all pairs within the radius.
 
-    Each round, an image without an earlier open neighbour leads and its
-    neighbours are covered; their own pairs then no longer count.
+    Each round, an image without an earlier open neighbour leads and its neighbours are covered;
+    their own pairs then no longer count. That settles all but long chains, as in a
+    slow pan, where each image resembles only the next. After ``rounds`` rounds, connected
+    components of at most ``component_edges`` pairs are walked in order, one group each; larger
+    ones go on in rounds.
     """
-    covered = None
-    open_edges = edges
+    covered = edges.select(F.col("b").alias("rank")).limit(0)
+    open_edges, passed = edges, 0
     while not open_edges.isEmpty():
+        if passed == rounds:
+            done, open_edges = _walk_components(open_edges, component_edges)
+            covered, passed = covered.unionByName(done), 0
+            continue
         leads = open_edges.select("a").distinct().join(open_edges.select(F.col("b").alias("a")), "a", "left_anti")
         newly = open_edges.join(leads, "a", "left_semi").select("b").distinct()
         still = (
@@ -195,10 +204,31 @@ def non_leaders(edges: DataFrame) -> DataFrame:
         )
         # Covered images (without an ``a``) and the pairs still open, settled in one write.
         step = cut(still.unionByName(newly.withColumn("a", F.lit(None).cast("long"))), "round")
-        done = step.filter(F.col("a").isNull()).select(F.col("b").alias("rank"))
-        covered = done if covered is None else covered.unionByName(done)
-        open_edges = step.filter(F.col("a").isNotNull())
-    return edges.select(F.col("b").alias("rank")).limit(0) if covered is None else covered
+        covered = covered.unionByName(step.filter(F.col("a").isNull()).select(F.col("b").alias("rank")))
+        open_edges, passed = step.filter(F.col("a").isNotNull()), passed + 1
+    return covered
+
+
+def _walk_components(edges: DataFrame, component_edges: int) -> tuple[DataFrame, DataFrame]:
+    """Non-leaders of the small connected components, and the pairs of the large ones."""
+    rows = edges.count()
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    labels = components(nodes, edges).withColumnRenamed("node", "a")
+    labelled = cut(spread_join(edges, labels, ["a"], ["b"], "inner", rows=rows), "labelled")
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sized = spread_join(labelled, sizes, ["label"], ["a", "b"], "inner", rows=rows)
+
+    def walk(pairs: pd.DataFrame) -> pd.DataFrame:
+        after = pairs.groupby("a")["b"].agg(list)
+        done: set[int] = set()
+        for rank, neighbours in after.items():
+            if rank not in done:
+                done.update(neighbours)
+        return pd.DataFrame({"rank": sorted(done)}, dtype="int64")
+
+    small = sized.filter(F.col("n") <= component_edges).select("label", "a", "b")
+    done = cut(small.groupBy("label").applyInPandas(walk, "rank long"), "walked")
+    return done, sized.filter(F.col("n") > component_edges).select("a", "b")
 
 
 def _ranked(features: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:

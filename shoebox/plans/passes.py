@@ -17,15 +17,23 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def measure(
-    spark: SparkSession, folder: str, extensions: list[str] | None = None, cache_marker: str = ".cache"
+    spark: SparkSession,
+    folder: str,
+    extensions: list[str] | None = None,
+    cache_marker: str = ".cache",
+    working: DataFrame | None = None,
 ) -> DataFrame:
     """Sizes and pixel sums of every picture below ``folder``.
 
-    Pictures are decoded once; the stored sums serve the scan and all later passes.
+    Pictures are decoded once; the stored sums serve the scan and all later passes. With
+    ``working`` (rows of ``pictures.working_images``) the scaled pictures are measured instead.
     """
-    decoded = files.read_pixels(spark, folder, extensions).filter(
-        paths.is_image(F.col("path"), extensions, cache_marker)
-    )
+    if working is not None:
+        decoded = working.withColumnRenamed("id", "path")
+    else:
+        decoded = files.read_pixels(spark, folder, extensions).filter(
+            paths.is_image(F.col("path"), extensions, cache_marker)
+        )
     before = spark.conf.get(BATCH_SETTING)
     spark.conf.set(BATCH_SETTING, str(PICTURES_PER_BATCH))
     try:

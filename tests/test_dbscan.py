@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from shoebox.operators import dbscan
+from shoebox.operators import dbscan, graph
 
 HOUR = 3_600_000
 SCHEMA = "image_id long, taken_unix_ms long, latitude double, longitude double"
@@ -64,5 +64,5 @@ def test_clusters_equal_all_pairs(spark, seed, hours, km, least):
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in [*range(61), 100, 101, 200]], "node long")
-    got = {r.node: r.label for r in dbscan.components(nodes, edges).collect()}
+    got = {r.node: r.label for r in graph.components(nodes, edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 200: 200}

@@ -159,6 +159,9 @@ def test_working_images(spark, library):
     assert (small["c/dot.png"].width, small["c/thin.png"].height) == (1, 10)
     flat = small["b/flat.png"]
     assert (flat.width, flat.height) == (9, 8) and set(flat.data) == {200}
+    sums = passes.measure(spark, library, working=pictures.working_images(decoded, library))
+    full = {r.image_id: r.sharpness for r in pictures.metrics(passes.measure(spark, library, [".png"])).collect()}
+    assert {r.image_id: r.sharpness for r in pictures.metrics(sums).collect() if r.image_id in full} == full
     wanted = files.pending(decoded.select(F.lit("a/one.png").alias("id")), spark.createDataFrame([("a/one.png",)], "id string"))
     assert wanted.isEmpty()
 

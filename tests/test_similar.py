@@ -74,6 +74,21 @@ def test_chain_of_neighbours(spark):
     assert {r.image_id: r.leader_id for r in got.collect()} == {i: i - i % 2 for i in range(16)}
 
 
+@pytest.mark.parametrize("rounds,component_edges", [(1, 10**6), (1, 30)])
+def test_long_chains_are_walked_by_component(spark, rounds, component_edges):
+    rng = random.Random(7)
+    # One chain of 40, many short ones, and a star.
+    pairs = [(i, i + 1) for i in range(40)] + [(100 + 3 * i + j, 101 + 3 * i + j) for i in range(20) for j in range(2) if rng.random() < 0.8]
+    pairs += [(200, 201 + i) for i in range(10)]
+    want: set[int] = set()
+    for a, b in sorted(pairs):
+        if a not in want:
+            want.add(b)
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = [r.rank for r in similar.non_leaders(edges, rounds, component_edges).collect()]
+    assert sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize("radius", [0.0, 0.05, 0.15, 0.3])
 @pytest.mark.parametrize("rows", [100, 10**6, 10**9])
 def test_bands_cover_every_pair(radius, rows):
