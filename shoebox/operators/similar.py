@@ -11,6 +11,9 @@ How this stays whole and bounded on a cluster:
   allows at most H differing hash bits; splitting the bits into bands, at least one band
   differs in no more bits than its share of H, so probing the band values within that
   share finds every candidate.
+- Many unrelated images differ in few hash bits. Each row therefore carries a short sketch of its
+  histogram that bounds the colour distance from below, so most candidates fall
+  inside the join and whole histograms only travel for the rest.
 - The images are worked off in growing prefixes of the order. Pairs are only formed inside a
   prefix; its leaders then absorb everything later that lies within the radius.
   A huge group of near copies is thus reduced by its first member and never paired up. The
@@ -40,6 +43,13 @@ PAIR_BUDGET = 50_000_000
 PROBE_COST = 25  # one probe row costs about as much as this many hash comparisons
 
 
+SKETCH_BINS = 12
+SKETCH_SAMPLE = 5_000  # images that decide which bins make the sketch; any choice is correct
+# Two histograms above this spread never count as constant in the correlation.
+FLAT = 1.5e-8
+SLACK = 1e-5  # sketches are single precision
+
+
 @dataclass(frozen=True)
 class Bands:
     """Cover of all pairs within ``max_bits`` differing hash bits.
@@ -98,7 +108,7 @@ def index_rows(df: DataFrame, bands: Bands) -> DataFrame:
         F.struct(F.lit(i).alias("band"), _band_value(F.col("dhash"), o, w).alias("value"))
         for i, (o, w) in enumerate(zip(bands.offsets, bands.widths))
     ]
-    return df.select("rank", "dhash", F.inline(F.array(*own)))
+    return df.select("rank", "dhash", "sketch", F.inline(F.array(*own)))
 
 
 def probe_rows(df: DataFrame, bands: Bands) -> DataFrame:
@@ -112,20 +122,68 @@ def probe_rows(df: DataFrame, bands: Bands) -> DataFrame:
         )
 
     parts = [probed(i, o, w, s) for i, (o, w, s) in enumerate(zip(bands.offsets, bands.widths, bands.shares))]
-    return df.select("rank", "dhash", F.inline(F.concat(*parts)))
+    return df.select("rank", "dhash", "sketch", F.inline(F.concat(*parts)))
+
+
+def _unit(histogram: Column, moments: Column) -> Column:
+    """Histogram shifted to mean zero and scaled to length one; products are correlations."""
+    mean = moments["s"] / moments["n"]
+    length = F.sqrt(moments["ss"] - moments["s"] * mean)
+    return F.transform(histogram, lambda x: (x - mean) / length)
+
+
+def _varied(moments: Column) -> Column:
+    return moments["n"] * moments["ss"] - moments["s"] * moments["s"] >= FLAT
+
+
+def sketch_bins(features: DataFrame, images: int) -> list[int]:
+    """The bins that vary most, from a sample; any spread of bins where there is little to compare."""
+    if images <= FIRST_PREFIX:
+        first = features.select(F.size("histogram")).first()
+        size = first[0] if first else 0
+        return list(range(0, size, max(1, size // SKETCH_BINS)))[:SKETCH_BINS]
+    some = features.filter(_varied(F.col("moments"))).filter(
+        F.pmod(F.xxhash64("image_id"), F.lit(max(1, images // SKETCH_SAMPLE))) == 0
+    )
+    bins = some.select(F.posexplode(_unit(F.col("histogram"), F.col("moments"))).alias("bin", "x"))
+    spread = bins.groupBy("bin").agg(F.var_pop("x").alias("v"))
+    return sorted(r.bin for r in spread.orderBy(F.desc("v"), "bin").limit(SKETCH_BINS).collect())
 
 
-def hash_candidates(earlier: DataFrame, later: DataFrame, bands: Bands, large: bool = False) -> DataFrame:
-    """Pairs ``a < b`` (ranks) within ``max_bits``; each pair once. Inputs carry ``rank, dhash``.
+def sketch(histogram: Column, moments: Column, bins: list[int]) -> Column:
+    """The unit histogram at ``bins`` and the length of its remainder; null for a constant one.
+
+    Half the squared difference of two sketches never exceeds the colour distance: the
+    remainders are at least as far apart as their lengths differ.
+    """
+    mean = moments["s"] / moments["n"]
+    length = F.sqrt(moments["ss"] - moments["s"] * mean)
+    parts = [(F.get(histogram, F.lit(b)) - mean) / length for b in bins]
+    rest = F.sqrt(F.greatest(F.lit(0.0), 1 - sum((x * x for x in parts), F.lit(0.0))))
+    columns = [x.cast("float").alias(f"f{i}") for i, x in enumerate([*parts, rest])]
+    return F.when(_varied(moments), F.struct(*columns))
+
+
+def _colour_bound(a: Column, b: Column, size: int) -> Column:
+    square = sum(((a[f"f{i}"] - b[f"f{i}"]) * (a[f"f{i}"] - b[f"f{i}"]) for i in range(size)), F.lit(0.0))
+    return F.coalesce(square / 2, F.lit(0.0))
+
+
+def hash_candidates(
+    earlier: DataFrame, later: DataFrame, bands: Bands, radius: float, large: bool = False
+) -> DataFrame:
+    """Pairs ``a < b`` (ranks) that may lie within ``radius``; each once. Inputs carry ``rank, dhash, sketch``.
 
     One image makes many probe rows, which size estimates do not see: the sort-merge
     hint keeps them from being broadcast, and the rows are spread before they are multiplied.
     """
     n = default_blocks(earlier.sparkSession)
     probe = probe_rows(earlier.repartition(n, "rank"), bands).select(
-        F.col("rank").alias("a"), F.col("dhash").alias("ha"), "band", "value"
+        F.col("rank").alias("a"), F.col("dhash").alias("ha"), F.col("sketch").alias("sa"), "band", "value"
+    )
+    index = index_rows(later, bands).select(
+        F.col("rank").alias("b"), F.col("dhash").alias("hb"), F.col("sketch").alias("sb"), "band", "value"
     )
-    index = index_rows(later, bands).select(F.col("rank").alias("b"), F.col("dhash").alias("hb"), "band", "value")
     if large:
         # Many images may share a band value: split those buckets.
         pairs = spread_join(index, probe, ["band", "value"], ["b"], "inner", hint="merge")
@@ -138,8 +196,14 @@ def hash_candidates(earlier: DataFrame, later: DataFrame, bands: Bands, large: b
     for i in reversed(range(len(bands.widths))):
         hit = F.bit_count(_band_value(diff, bands.offsets[i], bands.widths[i])) <= bands.shares[i]
         first = F.when(hit, i).otherwise(first)
+    size = len(earlier.schema["sketch"].dataType.fields)
+    colour = _colour_bound(F.col("sa"), F.col("sb"), size)
+    least = ft.COLOUR_WEIGHT * colour + ft.HASH_WEIGHT * (F.bit_count(diff) / ft.HASH_BITS)
     return pairs.filter(
-        (F.col("a") < F.col("b")) & (F.bit_count(diff) <= bands.max_bits) & (F.col("band") == first)
+        (F.col("a") < F.col("b"))
+        & (F.bit_count(diff) <= bands.max_bits)
+        & (least <= radius + SLACK)
+        & (F.col("band") == first)
     ).select("a", "b")
 
 
@@ -173,7 +237,7 @@ def with_distance(pairs: DataFrame, features: DataFrame, rows: int | None = None
 def _edges(
     earlier: DataFrame, later: DataFrame, features: DataFrame, bands: Bands, radius: float, large: bool
 ) -> DataFrame:
-    pairs = cut(hash_candidates(earlier, later, bands, large), "candidates")
+    pairs = cut(hash_candidates(earlier, later, bands, radius, large), "candidates")
     spread = pairs.repartition(default_blocks(pairs.sparkSession), "b")
     near = with_distance(spread, features, rows=pairs.count()).filter(F.col("distance") <= radius)
     return cut(near.select("a", "b"), "edges")
@@ -234,7 +298,7 @@ def _walk_components(edges: DataFrame, component_edges: int) -> tuple[DataFrame,
 def _ranked(features: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     """Distinct features in id order, and the copies that stand behind each.
 
-    Returns ``rank, rep_id, dhash, histogram, moments``, then ``image_id, rep_id``,
+    Returns ``rank, rep_id, dhash, sketch, histogram, moments``, then ``image_id, rep_id``,
     and the number of rows of both.
     """
     signature = F.sha2(F.col("histogram").cast("string"), 256)
@@ -258,10 +322,14 @@ def _ranked(features: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     table = valid.select(F.col("image_id").alias("rep_id"), "dhash", "histogram", "moments").join(
         ranks.select("rep_id", "rank"), "rep_id"
     )
+    bins = sketch_bins(valid, images)
+    table = table.withColumn("sketch", sketch(F.col("histogram"), F.col("moments"), bins))
     return cut(table, "features"), copies, distinct, images
 
 
-def _prefix_end(open_rows: DataFrame, left: int, wanted: int, smallest: int, bands: Bands, budget: int) -> int:
+def _prefix_end(
+    open_rows: DataFrame, left: int, wanted: int, smallest: int, bands: Bands, radius: float, budget: int
+) -> int:
     """Last rank of the next prefix: about ``wanted`` open images, fewer if they would form too many pairs."""
     size = wanted
     while True:
@@ -271,7 +339,7 @@ def _prefix_end(open_rows: DataFrame, left: int, wanted: int, smallest: int, ban
         batch = open_rows.filter(F.col("rank") <= ahead)
         every = max(1, size // 256)
         probes = batch.filter(F.pmod(F.xxhash64("rank"), F.lit(every)) == 0)
-        found = hash_candidates(probes, batch, bands, large=True).count()
+        found = hash_candidates(probes, batch, bands, radius, large=True).count()
         if found * every <= budget:
             return ahead
         size = max(smallest, size // PREFIX_GROWTH)
@@ -288,14 +356,14 @@ def assign_leaders(
     ``features`` has ``image_id, dhash, histogram, valid``; invalid images take no part.
     """
     table, copies, total, images = _ranked(features)
-    narrow = table.select("rank", "dhash")
+    narrow = table.select("rank", "dhash", "sketch")
     bands = plan_bands(radius, total)
     open_rows, left = narrow, total
     settled: list[DataFrame] = []
     wanted = first_prefix
     while left > 0:
         whole = left <= first_prefix
-        end = None if whole else _prefix_end(open_rows, left, min(wanted, left), first_prefix, bands, pair_budget)
+        end = None if whole else _prefix_end(open_rows, left, min(wanted, left), first_prefix, bands, radius, pair_budget)
         batch = open_rows if whole else open_rows.filter(F.col("rank") <= end)
         edges = _edges(batch, batch, table, bands, radius, large=not whole)
         covered = non_leaders(edges)

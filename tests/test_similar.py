@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from shoebox.operators import features as ft
 from shoebox.operators import similar
 
 SCHEMA = "image_id long, dhash long, histogram array<double>, valid boolean"
@@ -66,6 +68,19 @@ def test_constant_histograms_and_empty_input(spark):
     assert similar.assign_leaders(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_sketch_never_exceeds_the_colour_distance(spark):
+    rows = [r for r in _features(5, n=60) if r[3]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    moments = ft.moments(F.col("histogram"))
+    for bins in ([0, 2, 4], [5], []):
+        named = df.select("image_id", "histogram", similar.sketch(F.col("histogram"), moments, bins).alias("s"))
+        other = named.select(F.col("image_id").alias("other"), F.col("histogram").alias("y"), F.col("s").alias("t"))
+        corr = ft.correlation(F.col("histogram"), F.col("y"), moments, ft.moments(F.col("y")))
+        bound = similar._colour_bound(F.col("s"), F.col("t"), len(bins) + 1)
+        pairs = named.join(other, F.col("image_id") < F.col("other"))
+        assert pairs.filter(bound > ft.histogram_distance(corr) + similar.SLACK).isEmpty()
+
+
 def test_chain_of_neighbours(spark):
     # Each image is close to the next only: every other one leads, along the whole chain.
     rows = [(i, _signed(((1 << 64) - 1) >> (64 - 4 * i) if i else 0), [0.0, 1.0, 0.0], True) for i in range(16)]
