@@ -43,7 +43,7 @@ PAIR_BUDGET = 50_000_000
 PROBE_COST = 25  # one probe row costs about as much as this many hash comparisons
 
 
-SKETCH_BINS = 12
+SKETCH_BINS = 6
 SKETCH_SAMPLE = 5_000  # images that decide which bins make the sketch; any choice is correct
 # Two histograms above this spread never count as constant in the correlation.
 FLAT = 1.5e-8
