@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import bpe, crf, decontam, forest
+from shoebox.llm import bpe, crf, decontam, forest, licences, quotes, sketch, template, trietokens, urlrules
 from shoebox.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,33 @@ def op8_crf_language(spark, sf_dir):
 @query
 def op7_prefix_decontamination(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_quote_threads(spark, sf_dir):
+    return quotes.reply_order(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op2_scaled_sketch(spark, sf_dir):
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_url_rules(spark, sf_dir):
+    return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_trie_tokens(spark, sf_dir):
+    return trietokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_licence_scan(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_site_templates(spark, sf_dir):
+    return template.extract(table(spark, sf_dir, "pages"))
