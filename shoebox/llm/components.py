@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.session import cut
 
 
+def spanning_forest(links: Iterable[tuple[int, int]]) -> dict[int, int]:
+    """Root of every node that some link joins to a lesser one, for as many links as one task holds."""
+    above: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while top in above:
+            top = above[top]
+        while x != top:
+            above[x], x = top, above[x]
+        return top
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(above)}
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for both ends of the links ``a, b``; the root is the least node that can be reached.
 

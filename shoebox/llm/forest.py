@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoebox.llm.components import components
+from shoebox.llm.components import components, spanning_forest
 from shoebox.llm.tables import free_name
 from shoebox.llm.words import mixed, pieces, raw_text, shingle_hashes, word_hashes
 from shoebox.session import cut
@@ -174,9 +174,9 @@ def bucket_links(classes: DataFrame, depths: list[int], spec: Forest) -> DataFra
                     found.append((names[i + 1 :][same >= TIE * low.shape[1]], names[i]))
                     free[i] = False
                     free[i + 1 :] &= same < LEAN * low.shape[1]
-            a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-            b = np.repeat([f[1] for f in found], [len(f[0]) for f in found]).astype(np.int64) if found else a
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            # Members tied to several leaders join these; only a spanning forest leaves the task.
+            root = spanning_forest((int(a), int(leader)) for members, leader in found for a in members)
+            yield pa.RecordBatch.from_arrays([pa.array(root.keys(), pa.int64()), pa.array(root.values(), pa.int64())], names=["a", "b"])
 
     rows = classes.select("node", "sig").mapInArrow(label, "bucket long, node long, low binary")
     placed = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
@@ -213,8 +213,8 @@ def shared_counts(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
 def _compare(nodes: np.ndarray, sides: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], similarity: float):
     """Links of each member of a tile: with other texts, with their copies, and the least node reached."""
     sizes = np.array([len(s) for s in sets], np.float64)
-    shared = shared_counts(sets)
-    linked = shared * (1 + similarity) >= similarity * (sizes[:, None] + sizes[None, :]) - 1e-6
+    shared = shared_counts(sets).astype(np.float64)
+    linked = shared * (1 + similarity) >= similarity * (sizes[:, None] + sizes[None, :]) - 1e-9
     if sides[0] != sides[-1]:
         linked &= sides[:, None] != sides[None, :]
     np.fill_diagonal(linked, False)
