@@ -134,9 +134,13 @@ def posteriors(score: np.ndarray, bounds: np.ndarray, transition: np.ndarray) ->
         return v / v.max(axis=tuple(range(1, v.ndim)), keepdims=True)
 
     product = np.broadcast_to(np.eye(labels), (blocks, labels, labels)).copy()
+    # No move leads to a text's first word.
+    opening = np.zeros((blocks, BLOCK), bool)
+    opening[first_block[:-1][per_text > 0], 0] = True
     for t in range(BLOCK):
         on = live[:, t]
-        product[on] = scaled((product[on] @ step) * local[on, t, None, :])
+        moved = np.where(opening[on, t, None, None], product[on], product[on] @ step)
+        product[on] = scaled(moved * local[on, t, None, :])
     before = np.ones((blocks, labels))
     after = np.ones((blocks, labels))
     for k in range(1, int(per_text.max())):
@@ -147,7 +151,7 @@ def posteriors(score: np.ndarray, bounds: np.ndarray, transition: np.ndarray) ->
     forward = np.empty((blocks, BLOCK, labels))
     v = before
     for t in range(BLOCK):
-        v = scaled((v @ step) * local[:, t])
+        v = scaled(np.where(opening[:, t, None], v, v @ step) * local[:, t])
         forward[:, t] = v
     # Columns past a block's last word repeat it; the backward walk starts at the last word.
     result = np.empty((blocks, BLOCK, labels))

@@ -93,7 +93,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int = 5) -> tup
     counts = np.diff(bounds)
     left = np.repeat(bounds[1:], counts) - np.arange(len(words))
     total = np.zeros(len(words), np.uint64)
-    for j in range(width):
+    for j in range(min(width, len(words))):
         factor = np.uint64(pow(_STEP, j + 2, 1 << 64) | 1)
         shifted = np.zeros_like(words)
         shifted[: len(words) - j] = words[j:]
