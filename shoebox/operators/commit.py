@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from shoebox.functions import paths
 from shoebox.operators.ordering import running_sum
 from shoebox.session import default_blocks
+from shoebox.sources import storage
 
 # Fixed value: error text for an existing destination file of another size.
 NAME_CONFLICT = "name conflict"
@@ -24,10 +26,13 @@ def manifest(keep_ids: DataFrame, images: DataFrame, listing: DataFrame, destina
     there) or unknown. ``images`` and ``listing`` carry ``id, size_bytes``.
     """
     there = listing.select("id", F.col("size_bytes").alias("there_bytes"))
-    rows = keep_ids.select("id").distinct().join(images.select("id", "size_bytes"), "id", "left").join(there, "id", "left")
+    known = images.select("id", "size_bytes", F.lit(True).alias("known"))
+    there = there.withColumn("found", F.lit(True))
+    rows = keep_ids.select("id").distinct().join(known, "id", "left").join(there, "id", "left")
+    # An image of unknown size is copied, but never taken for what is there already.
     status = (
-        F.when(F.col("size_bytes").isNull(), "unknown")
-        .when(F.col("there_bytes").isNull(), "copy")
+        F.when(F.col("known").isNull(), "unknown")
+        .when(F.col("found").isNull(), "copy")
         .when(F.col("there_bytes") == F.col("size_bytes"), "present")
         .otherwise("conflict")
     )
@@ -49,11 +54,11 @@ def sidecars(files: DataFrame, kept: DataFrame, extensions: list[str] | None = N
     return side.select("*", *key).join(kept.select(*key), ["folder", "stem"], "left_semi").drop("folder", "stem")
 
 
-def progress(planned: DataFrame, blocks: int | None = None, rows: int | None = None) -> DataFrame:
+def progress(planned: DataFrame, blocks: int | None = None) -> DataFrame:
     """Running files and bytes done, in id order, next to the totals and the share of bytes done."""
     work = planned.filter(F.col("status").isin("copy", "present")).select("id", "size_bytes", F.lit(1).cast("long").alias("one"))
     total = work.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"))
-    done = running_sum(work, ["id"], {"done": "one", "done_bytes": "size_bytes"}, blocks, rows)
+    done = running_sum(work, ["id"], {"done": "one", "done_bytes": "size_bytes"}, blocks)
     return done.select(
         "id",
         "done",
@@ -79,12 +84,10 @@ def errors(results: DataFrame) -> DataFrame:
 def _copy_one(source: str, target: str, attempt: str) -> tuple[str, str | None]:
     from pyarrow import fs
 
-    def open_fs(uri: str):
-        return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
-
+    part = None
     try:
-        src_fs, src = open_fs(source)
-        dst_fs, dst = open_fs(target)
+        src_fs, src = storage.open_place(source)
+        dst_fs, dst = storage.open_place(target)
         size = src_fs.get_file_info(src).size
         there = dst_fs.get_file_info(dst)
         if there.type != fs.FileType.NotFound:
@@ -99,6 +102,9 @@ def _copy_one(source: str, target: str, attempt: str) -> tuple[str, str | None]:
         dst_fs.move(part, dst)
         return "copied", None
     except Exception as failure:  # noqa: BLE001 - a failed file is a row, not an abort
+        if part is not None:
+            with contextlib.suppress(OSError):
+                dst_fs.delete_file(part)
         return "failed", str(failure).splitlines()[0] if str(failure) else type(failure).__name__
 
 

@@ -101,19 +101,16 @@ def _probes(points: DataFrame, pairs: DataFrame) -> DataFrame:
     return named.join(pairs, CELL).select("p_id", "p_t", "p_x", "p_y", "p_z", *[F.col(f"n_{c}").alias(c) for c in CELL])
 
 
-def cores(points: DataFrame, limits: Density, rows: int | None = None) -> DataFrame:
-    """``points`` with ``is_core``. Only photos of sparse cells are compared with others.
-
-    ``rows`` is an upper bound of the number of points, where known.
-    """
+def cores(points: DataFrame, limits: Density) -> DataFrame:
+    """``points`` with ``is_core``. Only photos of sparse cells are compared with others."""
     counts = points.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
     counts = cut(counts, "cells")
     sparse = counts.filter(F.col("n") < limits.min_points)
     pairs = cut(near_cells(sparse, counts, limits), "near")
     few = points.join(sparse.select(*CELL), CELL, "left_semi")
-    met = spread_join(points, _probes(few, pairs), CELL, ["image_id"], "inner", rows=rows).filter(_is_near(limits))
+    met = spread_join(points, _probes(few, pairs), CELL, ["image_id"], "inner").filter(_is_near(limits))
     enough = met.groupBy("p_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limits.min_points)
-    dense = spread_join(points, counts, CELL, ["image_id"], "inner", rows=rows)
+    dense = spread_join(points, counts, CELL, ["image_id"], "inner")
     return (
         dense.join(enough.select(F.col("p_id").alias("image_id"), F.lit(True).alias("met")), "image_id", "left")
         .withColumn("is_core", (F.col("n") >= limits.min_points) | F.col("met").isNotNull())
@@ -165,7 +162,8 @@ def touching_cells(core_points: DataFrame, limits: Density, deepest: int = 40) -
     open_pairs = cut(open_pairs.select("*", F.col("a").alias("a_sub"), F.col("b").alias("b_sub")), "open")
     touching: DataFrame | None = None
     for level in range(deepest):
-        boxes = _boxes(core_points, limits, level)
+        undecided = open_pairs.select("a.*").union(open_pairs.select("b.*")).distinct()
+        boxes = _boxes(core_points.join(undecided, CELL, "left_semi"), limits, level)
 
         def side(name: str, boxes: DataFrame = boxes) -> DataFrame:
             return boxes.select(
@@ -187,7 +185,13 @@ def touching_cells(core_points: DataFrame, limits: Density, deepest: int = 40) -
         open_pairs = tested.filter(F.col("hit").isNull()).drop("hit").join(found, ["a", "b"], "left_anti")
         if open_pairs.isEmpty():
             return touching
-    raise ValueError(f"cells still undecided at {deepest} halvings of the grid")
+    # What is open now lies on the limit to within rounding: the few points left are compared as they are.
+    sub = F.struct(*[c.alias(f"s{i}") for i, c in enumerate(_cells(limits, deepest - 1))])
+    placed = core_points.select(F.struct(*CELL).alias("cell"), sub.alias("sub"), "t", *AXES)
+    first = placed.select(F.col("cell").alias("a"), F.col("sub").alias("a_sub"), *[F.col(c).alias(f"p_{c}") for c in ["t", *AXES]])
+    second = placed.withColumnsRenamed({"cell": "b", "sub": "b_sub"})
+    exact = open_pairs.join(first, ["a", "a_sub"]).join(second, ["b", "b_sub"]).filter(_is_near(limits))
+    return touching.unionByName(exact.select("a", "b").distinct())
 
 
 def cluster(photos: DataFrame, limits: Density) -> DataFrame:
@@ -195,20 +199,19 @@ def cluster(photos: DataFrame, limits: Density) -> DataFrame:
 
     A cluster is named by the least id of its cores; noise has none.
     """
-    rows = photos.count()
-    points = cut(cores(place_points(photos, limits), limits, rows), "points")
+    points = cut(cores(place_points(photos, limits), limits), "points")
     core_points = points.filter("is_core")
     cell = F.struct(*CELL).alias("node")
     nodes = core_points.select(cell).distinct()
     labels = components(nodes, touching_cells(core_points, limits))
     by_cell = labels.select("node.*", "label")
-    labelled = spread_join(core_points, by_cell, CELL, ["image_id"], "inner", rows=rows)
+    labelled = spread_join(core_points, by_cell, CELL, ["image_id"], "inner")
     names = labelled.groupBy("label").agg(F.min("image_id").alias("cluster_id"))
     named_cells = cut(by_cell.join(names, "label").select(*CELL, "cluster_id"), "named")
-    members = spread_join(core_points, named_cells, CELL, ["image_id"], "inner", rows=rows)
+    members = spread_join(core_points, named_cells, CELL, ["image_id"], "inner")
     rest = points.filter(~F.col("is_core"))
     pairs = near_cells(rest.select(*CELL).distinct(), named_cells, limits)
-    met = spread_join(members, _probes(rest, pairs), CELL, ["image_id"], "inner", rows=rows).filter(_is_near(limits))
+    met = spread_join(members, _probes(rest, pairs), CELL, ["image_id"], "inner").filter(_is_near(limits))
     border = met.groupBy(F.col("p_id").alias("image_id")).agg(F.min("cluster_id").alias("cluster_id"))
     return members.select("image_id", "cluster_id", "is_core").unionByName(
         rest.select("image_id", "is_core").join(border, "image_id", "left").select("image_id", "cluster_id", "is_core")

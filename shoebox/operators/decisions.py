@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.operators.skew import spread_join
+from shoebox.session import cut
 
 # Stored decision names.
 EXPLICIT_KEEP = "EXPLICIT_KEEP"
@@ -80,16 +81,21 @@ def decision(base: Column, toggles: Column) -> Column:
     return F.when(toggles == 0, base).when(base == EXPLICIT_DELETE, from_deleted).otherwise(from_other)
 
 
-def fold(actions: DataFrame, span: int = SPAN) -> DataFrame:
-    """Standing decision per image: ``image_id, decision, updated_at``."""
-    rows = image_actions(after_reset(actions))
+def settled_log(actions: DataFrame) -> DataFrame:
+    """The log after its last reset as a table: the reset is looked up once for all that read it."""
+    return cut(after_reset(actions), "log")
+
+
+def fold(live: DataFrame, span: int = SPAN) -> DataFrame:
+    """Standing decision per image of a log after its last reset: ``image_id, decision, updated_at``."""
+    rows = image_actions(live)
     return combine(summarise(rows, F.floor(F.col("seq") / span)))
 
 
-def fold_keepers(actions: DataFrame) -> DataFrame:
-    """Keeper the user chose per group; the last choice wins."""
+def fold_keepers(live: DataFrame) -> DataFrame:
+    """Keeper the user chose per group in a log after its last reset; the last choice wins."""
     return (
-        after_reset(actions)
+        live
         .filter(F.col("action") == "assign_keeper")
         .groupBy("group_id")
         .agg(F.max_by("keeper_id", "seq").alias("keeper_id"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.operators.skew import spread_join
 from shoebox.session import cut
 
 
@@ -26,13 +25,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while not _all_stars(edges):
-        rows = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = spread_join(both, least, ["u"], ["v"], "inner", rows=rows).filter(F.col("v") > F.col("u"))
+        large = both.join(least, "u").filter(F.col("v") > F.col("u"))
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = spread_join(large, lowest, ["u"], ["v"], "inner", rows=rows)
+        small = large.join(lowest, "u")
         linked = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             small.select("u", F.col("m").alias("v"))
         )

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoebox import schemas
+from shoebox.sources import tables
+
 
 @dataclass(frozen=True)
 class JunkRules:
@@ -118,7 +121,7 @@ def store(verdicts: DataFrame, table_path: str) -> None:
     rows = verdicts.withColumn("image_id", F.col("image_id").cast("string")).withColumn(
         "processed_at", F.unix_timestamp()
     )
-    rows.write.mode("append").parquet(table_path)
+    tables.append(rows, table_path, schemas.JUNK_FLAGS)
 
 
 def flags(verdicts: DataFrame) -> DataFrame:

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from shoebox.session import cut, default_blocks
 
 BLOCK = "_block"
-# A table known to have no more rows than this is ordered in one piece.
-SMALL_ROWS = 200_000
 Break = Callable[[Column, Column], Column]
 
 
@@ -34,26 +32,16 @@ def _in_block(keys: list[str]):
     return Window.partitionBy(BLOCK).orderBy(*keys)
 
 
-def _one_piece(rows: int | None, blocks: int | None) -> bool:
-    return blocks is None and rows is not None and rows <= SMALL_ROWS
-
-
 def _blocks_before():
     # One row per block, so this unpartitioned window is bounded by the block count.
     return Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], sums: dict[str, str], blocks: int | None = None, rows: int | None = None
+    df: DataFrame, keys: list[str], sums: dict[str, str], blocks: int | None = None
 ) -> DataFrame:
-    """Running totals in ``keys`` order; ``sums`` maps output name to input column.
-
-    ``rows`` is an upper bound of the number of rows, where known.
-    """
+    """Running totals in ``keys`` order; ``sums`` maps output name to input column."""
     kept = [c for c in df.columns if c not in sums]
-    if _one_piece(rows, blocks):
-        whole = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select(*kept, *[F.sum(F.col(src)).over(whole).alias(out) for out, src in sums.items()])
     w = _in_block(keys).rowsBetween(Window.unboundedPreceding, 0)
     placed = place(df, keys, blocks)
     local = cut(placed.select("*", *[F.sum(F.col(src)).over(w).alias(out) for out, src in sums.items()]), "running")
@@ -73,7 +61,6 @@ def segment(
     carried: list[str] | None = None,
     inner_break: Break | None = None,
     blocks: int | None = None,
-    rows: int | None = None,
 ) -> DataFrame:
     """Number nested runs of rows in ``keys`` order.
 
@@ -85,8 +72,6 @@ def segment(
     - ``outer_no``   number of the outer run
     - ``inner_no``   number of the inner run inside its outer run
     - ``pos``        position inside the inner run
-
-    ``rows`` is an upper bound of the number of rows, where known.
     """
     names = list(dict.fromkeys(outer + (carried or [])))
     here = F.struct(*names)
@@ -107,11 +92,9 @@ def segment(
         return F.coalesce(cond, F.lit(False)).cast("long")
 
     # The first row of a block has no local predecessor; its flags are settled below.
-    whole = _one_piece(rows, blocks)
-    inside = F.lit(True) if whole else F.col("_prev").isNotNull()
-    placed = df.withColumn(BLOCK, F.lit(0)) if whole else place(df, keys, blocks)
+    inside = F.col("_prev").isNotNull()
     local = (
-        placed.select("*", here.alias("_here"))
+        place(df, keys, blocks).select("*", here.alias("_here"))
         .select("*", F.lag("_here").over(w).alias("_prev"), F.row_number().over(w).cast("long").alias("_rn"))
         .select(
             "*",
@@ -126,14 +109,6 @@ def segment(
         )
         .drop("_here", "_prev", "_ob", "_ib")
     )
-    if whole:
-        return local.select(
-            *df.columns,
-            F.col("_rn").alias("row_no"),
-            F.col("_o").alias("outer_no"),
-            (F.col("_i") - F.col("_outer_start") + 1).alias("inner_no"),
-            (F.col("_rn") - F.col("_inner_start") + 1).alias("pos"),
-        )
     local = cut(local, "segment")
 
     # One row per block.
@@ -206,14 +181,10 @@ def previous(
     outer: list[str],
     carried: list[str],
     blocks: int | None = None,
-    rows: int | None = None,
 ) -> DataFrame:
     """Add ``_prev``: the ``carried`` struct of the preceding row with equal ``outer``, else null."""
     names = list(dict.fromkeys(outer + carried))
     w = _in_block(keys)
-    if _one_piece(rows, blocks):
-        whole = Window.partitionBy(*outer).orderBy(*keys)
-        return df.select("*", F.lag(F.struct(*names)).over(whole).alias("_prev"))
     local = cut(
         place(df, keys, blocks)
         .withColumn("_here", F.struct(*names))

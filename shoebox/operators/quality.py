@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 # Verdict reasons in reporting order with their labels.
 REASONS = {"BLURRY": "Blurry", "UNDER_EXPOSED": "Underexposed", "OVER_EXPOSED": "Overexposed"}
 UNREADABLE = "UNREADABLE"
+UNREADABLE_LABEL = "Unreadable"
 GRID = 3
 
 
@@ -186,11 +187,11 @@ def summary(judged: DataFrame) -> DataFrame:
 
 def reason_labels(reasons: Column) -> Column:
     """Display labels; an unknown reason is an error."""
-    pairs = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
+    pairs = F.create_map(*[F.lit(x) for pair in (REASONS | {UNREADABLE: UNREADABLE_LABEL}).items() for x in pair])
 
     def label(reason: Column) -> Column:
         known = F.element_at(pairs, reason)
-        return F.when(known.isNull(), F.raise_error(F.concat(F.lit("unrecognized quality reason: "), reason))).otherwise(known)
+        return F.when(known.isNull(), F.raise_error(F.concat(F.lit("no label for this reason: "), reason))).otherwise(known)
 
     return F.transform(reasons, label)
 

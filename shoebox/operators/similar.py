@@ -37,12 +37,13 @@ from shoebox.operators.skew import spread_join
 from shoebox.session import cut, default_blocks
 
 DEFAULT_RADIUS = 0.15
-FIRST_PREFIX = 8192
+# The first prefix is this part of the library, each later one as many times the one before.
 PREFIX_GROWTH = 8
-PAIR_BUDGET = 50_000_000
+PAIRS_PER_BLOCK = 1_000_000  # that one task of a join may form
 PROBE_COST = 25  # one probe row costs about as much as this many hash comparisons
 
 
+SCORE_DIGITS = 12
 SKETCH_BINS = 6
 SKETCH_SAMPLE = 5_000  # images that decide which bins make the sketch; any choice is correct
 # Two histograms above this spread never count as constant in the correlation.
@@ -137,11 +138,7 @@ def _varied(moments: Column) -> Column:
 
 
 def sketch_bins(features: DataFrame, images: int) -> list[int]:
-    """The bins that vary most, from a sample; any spread of bins where there is little to compare."""
-    if images <= FIRST_PREFIX:
-        first = features.select(F.size("histogram")).first()
-        size = first[0] if first else 0
-        return list(range(0, size, max(1, size // SKETCH_BINS)))[:SKETCH_BINS]
+    """The bins that vary most, from a sample."""
     some = features.filter(_varied(F.col("moments"))).filter(
         F.pmod(F.xxhash64("image_id"), F.lit(max(1, images // SKETCH_SAMPLE))) == 0
     )
@@ -170,7 +167,7 @@ def _colour_bound(a: Column, b: Column, size: int) -> Column:
 
 
 def hash_candidates(
-    earlier: DataFrame, later: DataFrame, bands: Bands, radius: float, large: bool = False
+    earlier: DataFrame, later: DataFrame, bands: Bands, radius: float
 ) -> DataFrame:
     """Pairs ``a < b`` (ranks) that may lie within ``radius``; each once. Inputs carry ``rank, dhash, sketch``.
 
@@ -184,12 +181,8 @@ def hash_candidates(
     index = index_rows(later, bands).select(
         F.col("rank").alias("b"), F.col("dhash").alias("hb"), F.col("sketch").alias("sb"), "band", "value"
     )
-    if large:
-        # Many images may share a band value: split those buckets.
-        pairs = spread_join(index, probe, ["band", "value"], ["b"], "inner", hint="merge")
-    else:
-        probe = probe.repartition(n, "band", "value").hint("merge")
-        pairs = index.repartition(n, "band", "value").join(probe, ["band", "value"])
+    # Many images may share a band value: split those buckets.
+    pairs = spread_join(index, probe, ["band", "value"], ["b"], "inner", hint="merge")
     diff = F.col("ha").bitwiseXOR(F.col("hb"))
     # A pair may meet in several bands; it counts in the first one that covers it.
     first = F.lit(None)
@@ -216,13 +209,13 @@ def _side(features: DataFrame, side: str) -> DataFrame:
     )
 
 
-def with_distance(pairs: DataFrame, features: DataFrame, rows: int | None = None) -> DataFrame:
+def with_distance(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """``a, b, hamming, hist_distance, distance`` of pairs of images.
 
-    An ``a`` that occurs very often is split over tasks; ``rows`` is the number of pairs, where known.
+    An image that occurs very often on either side is split over tasks.
     """
-    second = pairs.join(_side(features, "b"), "b")
-    both = spread_join(second, _side(features, "a"), ["a"], ["b"], "inner", rows=rows)
+    second = spread_join(pairs, _side(features, "b"), ["b"], ["a"], "inner")
+    both = spread_join(second, _side(features, "a"), ["a"], ["b"], "inner")
     corr = ft.correlation(F.col("x_a"), F.col("x_b"), F.col("m_a"), F.col("m_b"))
     scored = both.select("a", "b", ft.hamming(F.col("h_a"), F.col("h_b")).alias("hamming"), corr.alias("corr"))
     return scored.select(
@@ -235,11 +228,10 @@ def with_distance(pairs: DataFrame, features: DataFrame, rows: int | None = None
 
 
 def _edges(
-    earlier: DataFrame, later: DataFrame, features: DataFrame, bands: Bands, radius: float, large: bool
+    earlier: DataFrame, later: DataFrame, features: DataFrame, bands: Bands, radius: float
 ) -> DataFrame:
-    pairs = cut(hash_candidates(earlier, later, bands, radius, large), "candidates")
-    spread = pairs.repartition(default_blocks(pairs.sparkSession), "b")
-    near = with_distance(spread, features, rows=pairs.count()).filter(F.col("distance") <= radius)
+    pairs = cut(hash_candidates(earlier, later, bands, radius), "candidates")
+    near = with_distance(pairs, features).filter(F.col("distance") <= radius)
     return cut(near.select("a", "b"), "edges")
 
 
@@ -275,12 +267,11 @@ def non_leaders(edges: DataFrame, rounds: int = 6, component_edges: int = 500_00
 
 def _walk_components(edges: DataFrame, component_edges: int) -> tuple[DataFrame, DataFrame]:
     """Non-leaders of the small connected components, and the pairs of the large ones."""
-    rows = edges.count()
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels = components(nodes, edges).withColumnRenamed("node", "a")
-    labelled = cut(spread_join(edges, labels, ["a"], ["b"], "inner", rows=rows), "labelled")
+    labelled = cut(spread_join(edges, labels, ["a"], ["b"], "inner"), "labelled")
     sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    sized = spread_join(labelled, sizes, ["label"], ["a", "b"], "inner", rows=rows)
+    sized = spread_join(labelled, sizes, ["label"], ["a", "b"], "inner")
 
     def walk(pairs: pd.DataFrame) -> pd.DataFrame:
         after = pairs.groupby("a")["b"].agg(list)
@@ -312,12 +303,12 @@ def _ranked(features: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     keys = valid.select("image_id", "dhash", "signature")
     reps = keys.groupBy("dhash", "signature").agg(F.min("image_id").alias("rep_id"))
     one = F.lit(1).cast("long").alias("one")
-    ranks = running_sum(reps.withColumn("one", one), ["rep_id"], {"rank": "one"}, rows=images)
+    ranks = running_sum(reps.withColumn("one", one), ["rep_id"], {"rank": "one"})
     distinct = ranks.count()
     if distinct == images:
         copies = valid.select("image_id", F.col("image_id").alias("rep_id"))
     else:
-        same = spread_join(keys, ranks, ["dhash", "signature"], ["image_id"], "inner", rows=images)
+        same = spread_join(keys, ranks, ["dhash", "signature"], ["image_id"], "inner")
         copies = same.select("image_id", "rep_id")
     table = valid.select(F.col("image_id").alias("rep_id"), "dhash", "histogram", "moments").join(
         ranks.select("rep_id", "rank"), "rep_id"
@@ -328,53 +319,54 @@ def _ranked(features: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
 
 
 def _prefix_end(
-    open_rows: DataFrame, left: int, wanted: int, smallest: int, bands: Bands, radius: float, budget: int
+    open_rows: DataFrame, left: int, wanted: int, bands: Bands, radius: float, budget: int
 ) -> int:
-    """Last rank of the next prefix: about ``wanted`` open images, fewer if they would form too many pairs."""
+    """Last rank of the next prefix: about ``wanted`` open images, fewer while they would form too many pairs."""
     size = wanted
     while True:
         ahead = open_rows.agg(F.percentile_approx("rank", min(1.0, size / left), 100_000)).first()[0]
-        if size <= smallest:
+        if size <= 1:
             return ahead
         batch = open_rows.filter(F.col("rank") <= ahead)
         every = max(1, size // 256)
         probes = batch.filter(F.pmod(F.xxhash64("rank"), F.lit(every)) == 0)
-        found = hash_candidates(probes, batch, bands, radius, large=True).count()
+        found = hash_candidates(probes, batch, bands, radius).count()
         if found * every <= budget:
             return ahead
-        size = max(smallest, size // PREFIX_GROWTH)
+        size = max(1, size // PREFIX_GROWTH)
 
 
 def assign_leaders(
     features: DataFrame,
     radius: float = DEFAULT_RADIUS,
-    first_prefix: int = FIRST_PREFIX,
-    pair_budget: int = PAIR_BUDGET,
+    first_prefix: int | None = None,
+    pair_budget: int | None = None,
 ) -> DataFrame:
     """``image_id, leader_id`` for every valid image; a leader is its own.
 
-    ``features`` has ``image_id, dhash, histogram, valid``; invalid images take no part.
+    ``features`` has ``image_id, dhash, histogram, valid``; invalid images take no part. Prefixes begin
+    with ``first_prefix`` images; a prefix is made smaller until it forms at most ``pair_budget`` pairs.
     """
     table, copies, total, images = _ranked(features)
     narrow = table.select("rank", "dhash", "sketch")
     bands = plan_bands(radius, total)
     open_rows, left = narrow, total
     settled: list[DataFrame] = []
-    wanted = first_prefix
+    wanted = first_prefix or math.ceil(total / PREFIX_GROWTH)
+    budget = pair_budget or PAIRS_PER_BLOCK * default_blocks(features.sparkSession)
     while left > 0:
-        whole = left <= first_prefix
-        end = None if whole else _prefix_end(open_rows, left, min(wanted, left), first_prefix, bands, radius, pair_budget)
-        batch = open_rows if whole else open_rows.filter(F.col("rank") <= end)
-        edges = _edges(batch, batch, table, bands, radius, large=not whole)
+        end = _prefix_end(open_rows, left, min(wanted, left), bands, radius, budget)
+        batch = open_rows.filter(F.col("rank") <= end)
+        edges = _edges(batch, batch, table, bands, radius)
         covered = non_leaders(edges)
         leaders = cut(batch.join(covered, "rank", "left_anti"), "leaders")
         settled.append(leaders.select("rank", F.col("rank").alias("leader")))
         joined = edges.join(leaders.select(F.col("rank").alias("a")), "a", "left_semi")
         settled.append(joined.groupBy(F.col("b").alias("rank")).agg(F.min("a").alias("leader")))
-        if whole or end >= total:
+        if end >= total:
             break
         rest = open_rows.filter(F.col("rank") > end)
-        near = _edges(leaders, rest, table, bands, radius, large=True)
+        near = _edges(leaders, rest, table, bands, radius)
         absorbed = near.groupBy(F.col("b").alias("rank")).agg(F.min("a").alias("leader"))
         settled.append(absorbed)
         open_rows = cut(rest.join(absorbed, "rank", "left_anti"), "open")
@@ -387,26 +379,26 @@ def assign_leaders(
     for part in settled[1:]:
         every = every.unionByName(part)
     leader_ids = ids.select(F.col("rank").alias("leader"), F.col("rep_id").alias("leader_id"))
-    named = spread_join(every, leader_ids, ["leader"], ["rank"], "inner", rows=total)
+    named = spread_join(every, leader_ids, ["leader"], ["rank"], "inner")
     by_rep = named.join(ids, "rank").select("rep_id", "leader_id")
     if images > total:
-        by_rep = spread_join(copies, by_rep, ["rep_id"], ["image_id"], "inner", rows=images)
+        by_rep = spread_join(copies, by_rep, ["rep_id"], ["image_id"], "inner")
     else:
         by_rep = by_rep.withColumnRenamed("rep_id", "image_id")
     return cut(by_rep.select("image_id", "leader_id"), "assigned")
 
 
-def leader_distances(assigned: DataFrame, features: DataFrame, rows: int | None = None) -> DataFrame:
+def leader_distances(assigned: DataFrame, features: DataFrame) -> DataFrame:
     """Hash, colour and joint distance of every image to its leader."""
     ranked = features.select(
         F.col("image_id").alias("rank"), "dhash", "histogram", ft.moments(F.col("histogram")).alias("moments")
     )
     pairs = assigned.select(F.col("leader_id").alias("a"), F.col("image_id").alias("b"))
-    out = with_distance(pairs, ranked, rows)
+    out = with_distance(pairs, ranked)
     return out.withColumnsRenamed({"a": "leader_id", "b": "image_id"})
 
 
-def groups(assigned: DataFrame, rows: int | None = None) -> DataFrame:
+def groups(assigned: DataFrame) -> DataFrame:
     """Groups of at least two images: ``group_id, raw_group_idx, leader_id, size``.
 
     ``group_id`` counts such groups in leader order from 1; ``raw_group_idx``
@@ -415,16 +407,16 @@ def groups(assigned: DataFrame, rows: int | None = None) -> DataFrame:
     sizes = assigned.groupBy("leader_id").agg(F.count(F.lit(1)).alias("size")).withColumns(
         {"one": F.lit(1).cast("long"), "big": (F.col("size") >= 2).cast("long")}
     )
-    numbered = running_sum(sizes, ["leader_id"], {"seen": "one", "group_id": "big"}, rows=rows)
+    numbered = running_sum(sizes, ["leader_id"], {"seen": "one", "group_id": "big"})
     return numbered.filter("size >= 2").select(
         "group_id", (F.col("seen") - 1).alias("raw_group_idx"), "leader_id", "size"
     )
 
 
-def members(assigned: DataFrame, found: DataFrame, rows: int | None = None) -> DataFrame:
+def members(assigned: DataFrame, found: DataFrame) -> DataFrame:
     """``group_id, image_id`` of all group members."""
     numbers = found.select("leader_id", "group_id")
-    return spread_join(assigned, numbers, ["leader_id"], ["image_id"], "inner", rows=rows).select("group_id", "image_id")
+    return spread_join(assigned, numbers, ["leader_id"], ["image_id"], "inner").select("group_id", "image_id")
 
 
 @dataclass(frozen=True)
@@ -437,19 +429,20 @@ class ScoreWeights:
 
 
 def score(
-    group_members: DataFrame, quality: DataFrame, weights: ScoreWeights = ScoreWeights(), rows: int | None = None
+    group_members: DataFrame, quality: DataFrame, weights: ScoreWeights = ScoreWeights()
 ) -> DataFrame:
     """Add ``score`` to members.
 
     ``quality`` has ``image_id, sharpness, contrast`` and optionally ``face_score``. Sharpness
     counts relative to the sharpest of the group; weights are rescaled to
-    sum to 1 over the parts that are known.
+    sum to 1 over the parts that are known. A member without metrics has no score.
     """
     if "face_score" not in quality.columns:
         quality = quality.withColumn("face_score", F.lit(None).cast("double"))
-    rated = group_members.join(quality.select("image_id", "sharpness", "contrast", "face_score"), "image_id")
+    rated = group_members.join(quality.select("image_id", "sharpness", "contrast", "face_score"), "image_id", "left")
     top = rated.groupBy("group_id").agg(F.max("sharpness").alias("top"))
-    rated = spread_join(rated, top, ["group_id"], ["image_id"], "inner", rows=rows)
+    rated = spread_join(rated, top, ["group_id"], ["image_id"], "inner")
+    known = F.col("sharpness").isNotNull() & F.col("contrast").isNotNull()
     relative = F.when(F.col("top") > 0, F.col("sharpness") / F.col("top")).otherwise(0.0)
     face = F.when(F.col("face_score").isNotNull(), weights.face).otherwise(0.0)
     sum_of = (
@@ -458,14 +451,17 @@ def score(
         + face * F.coalesce(F.col("face_score"), F.lit(0.0))
     )
     return rated.select(
-        "group_id", "image_id", (sum_of / (weights.sharpness + weights.contrast + face)).alias("score")
+        "group_id", "image_id", F.when(known, sum_of / (weights.sharpness + weights.contrast + face)).alias("score")
     )
 
 
-def best_first(scored: DataFrame, blocks: int | None = None, rows: int | None = None) -> DataFrame:
-    """``group_id, rank, image_id, score, is_keeper``; ties go to the earlier image."""
-    by_worst = scored.withColumn("_worse", -F.col("score"))
-    ordered = segment(by_worst, ["group_id", "_worse", "image_id"], ["group_id"], blocks=blocks, rows=rows)
+def best_first(scored: DataFrame, blocks: int | None = None) -> DataFrame:
+    """``group_id, rank, image_id, score, is_keeper``.
+
+    Scores equal to SCORE_DIGITS digits tie and go to the earlier image; members without score come last.
+    """
+    by_worst = scored.withColumn("_worse", F.coalesce(-F.round("score", SCORE_DIGITS), F.lit(float("inf"))))
+    ordered = segment(by_worst, ["group_id", "_worse", "image_id"], ["group_id"], blocks=blocks)
     return ordered.select(
         "group_id", F.col("pos").alias("rank"), "image_id", "score", (F.col("pos") == 1).alias("is_keeper")
     )

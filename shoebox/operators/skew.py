@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/MAX_HOT_KEYS of the rows (and enough rows to
-# matter), so there are never more than MAX_HOT_KEYS hot keys and their list is safe to broadcast.
+# A key is hot when it holds more than 1/MAX_HOT_KEYS of the rows, so there are never more
+# than MAX_HOT_KEYS hot keys and their list is safe to broadcast.
 MAX_HOT_KEYS = 1000
-MIN_HOT_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, on: list[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def hot_keys(df: DataFrame, on: list[str], share: int = MAX_HOT_KEYS) -> DataFrame:
     """Hot keys with the number of pieces (``_pieces``) to split each into."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    limit = F.greatest(F.lit(min_rows), F.ceil(total.select("_total").scalar() / MAX_HOT_KEYS))
+    # The total is the sum of the same counts, whose exchange Spark reuses: one pass over ``df``.
+    limit = F.ceil(counts.agg(F.sum("_n").alias("_total")).select("_total").scalar() / share)
     return counts.withColumn("_limit", limit).filter(F.col("_n") > F.col("_limit")).select(
         *on, F.ceil(F.col("_n") / F.col("_limit")).cast("int").alias("_pieces")
     )
@@ -27,20 +26,17 @@ def spread_join(
     on: list[str],
     spread_by: list[str],
     how: str = "left",
-    rows: int | None = None,
-    min_rows: int = MIN_HOT_ROWS,
+    share: int = MAX_HOT_KEYS,
     hint: str | None = None,
 ) -> DataFrame:
     """Join a large ``left`` to ``right`` (few rows per key), splitting hot keys of ``left``.
 
     Rows of a hot key are spread by a hash of ``spread_by``; the matching right
-    rows are repeated once per piece. At most 2 * MAX_HOT_KEYS pieces exist.
-    Where the size of ``left`` is known, ``rows`` saves the search for hot keys in a
-    table too small to have any. ``hint`` names the join strategy.
+    rows are repeated once per piece. At most ``2 * share`` pieces exist.
+    ``left`` is read for the counts and for the join: settle it first where it is costly.
+    ``hint`` names the join strategy.
     """
-    if rows is not None and rows <= min_rows:
-        return left.join(right, on, how)
-    hot = hot_keys(left, on, min_rows)
+    hot = hot_keys(left, on, share)
     piece = F.pmod(F.xxhash64(*spread_by), F.col("_pieces")).cast("int")
     salted_left = left.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.when(F.col("_pieces").isNull(), 0).otherwise(piece)

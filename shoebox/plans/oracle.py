@@ -298,9 +298,8 @@ judged AS (
 
 _SEEN = "image_id % 31 <> 30"
 ORACLES["luminance"] = f"""WITH {PIXELS}
-SELECT p.image_id, p.pos, CAST((p.v * 299 + g.v * 587 + b.v * 114 + 500) // 1000 AS INTEGER) AS v
-FROM pixels p JOIN pixels g ON g.image_id = p.image_id AND g.pos = (p.pos + 21) % 64
-              JOIN pixels b ON b.image_id = p.image_id AND b.pos = (p.pos + 42) % 64"""
+SELECT image_id, pos, CAST((vs[pos + 1] * 299 + vs[(pos + 21) % 64 + 1] * 587 + vs[(pos + 42) % 64 + 1] * 114 + 500) // 1000 AS INTEGER) AS v
+FROM (SELECT image_id, list(v ORDER BY pos) AS vs FROM pixels GROUP BY image_id), (SELECT unnest(generate_series(0, 63)) AS pos)"""
 ORACLES["level_histogram"] = f"WITH {PIXELS} SELECT image_id, v, count(*) AS n FROM pixels GROUP BY image_id, v"
 ORACLES["cell_clipping"] = f"""WITH {_metrics()}
 SELECT image_id, CAST(cell AS INTEGER) AS cell, round(under, 6) AS under, round(over, 6) AS over FROM per_cell"""
@@ -311,9 +310,9 @@ ORACLES["quality_flags"] = f"""WITH {_judged(readable=_SEEN)}
 SELECT image_id, reasons, sharpness, round(exposure_score, 9) AS exposure_score
 FROM judged WHERE reasons <> ''"""
 ORACLES["quality_reason_labels"] = f"""WITH {_judged(readable=_SEEN)}
-SELECT image_id, replace(replace(replace(reasons, 'BLURRY', 'Blurry'), 'UNDER_EXPOSED', 'Underexposed'),
-                         'OVER_EXPOSED', 'Overexposed') AS labels
-FROM judged WHERE reasons <> '' AND valid"""
+SELECT image_id, replace(replace(replace(replace(reasons, 'BLURRY', 'Blurry'), 'UNDER_EXPOSED', 'Underexposed'),
+                         'OVER_EXPOSED', 'Overexposed'), 'UNREADABLE', 'Unreadable') AS labels
+FROM judged WHERE reasons <> ''"""
 ORACLES["quality_summary"] = f"WITH {_judged(readable=_SEEN)} SELECT count(*) FILTER (WHERE reasons <> '') AS flagged, count(*) AS total FROM judged"
 ORACLES["low_quality_images"] = f"WITH {_judged(readable=_SEEN)} SELECT image_id FROM judged WHERE reasons <> '' ORDER BY image_id"
 ORACLES["quality_strict_limits"] = f"""WITH {_judged(blur=5000, low=40, high=200, passing='0.5', cells=4)}

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from shoebox import schemas
 from shoebox.functions import paths
 from shoebox.operators import commit, decisions, junk, quality, similar, trips
+from shoebox.operators.skew import spread_join
 from shoebox.session import cut
-from shoebox.sources import files, pictures, tables
+from shoebox.sources import files, pictures, storage, tables
 
 # A decoded 12-megapixel picture takes 36 MB; a batch handed to Python holds this many.
 PICTURES_PER_BATCH = 4
@@ -22,6 +23,7 @@ def measure(
     extensions: list[str] | None = None,
     cache_marker: str = ".cache",
     working: DataFrame | None = None,
+    recursive: bool = True,
 ) -> DataFrame:
     """Sizes and pixel sums of every picture below ``folder``.
 
@@ -31,7 +33,7 @@ def measure(
     if working is not None:
         decoded = working.withColumnRenamed("id", "path")
     else:
-        decoded = files.read_pixels(spark, folder, extensions).filter(
+        decoded = files.read_pixels(spark, folder, extensions, recursive, cache_marker).filter(
             paths.is_image(F.col("path"), extensions, cache_marker)
         )
     before = spark.conf.get(BATCH_SETTING)
@@ -51,9 +53,10 @@ def scan(
     extensions: list[str] | None = None,
     cache_marker: str = ".cache",
     force_fresh: bool = False,
+    recursive: bool = True,
 ) -> dict[str, DataFrame]:
     """Index a folder. Returns ``images`` (stored), ``errors``, ``report`` and ``state``."""
-    listing = files.list_files(spark, folder)
+    listing = files.list_files(spark, folder, recursive)
     keyed = listing.withColumn("image_id", paths.relative_id(F.col("path"), folder))
     known = cut(keyed.join(sums.select("image_id", "width", "height"), "image_id", "left"), "listing")
     image_files = known.filter(paths.is_image(F.col("path"), extensions, cache_marker))
@@ -78,11 +81,10 @@ def analyze(
     """Quality and similar passes: ``judged``, ``flags``, ``groups`` and ranked ``members``."""
     judged = cut(quality.verdicts(pictures.metrics(sums, limits), limits), "judged")
     assigned = similar.assign_leaders(pictures.feature_rows(sums), radius)
-    rows = assigned.count()
-    found = cut(similar.groups(assigned, rows), "groups")
+    found = cut(similar.groups(assigned), "groups")
     rated = judged.select("image_id", "sharpness").join(pictures.contrast(sums), "image_id")
-    scored = similar.score(similar.members(assigned, found, rows), rated, weights, rows)
-    ranked = similar.best_first(scored, rows=rows)
+    scored = similar.score(similar.members(assigned, found), rated, weights)
+    ranked = similar.best_first(scored)
     return {"judged": judged, "flags": quality.flags(judged), "groups": found, "members": ranked}
 
 
@@ -114,10 +116,12 @@ def resolve(
 
     ``members`` are ranked group members; ``log`` is the action log.
     """
-    with_best = members.join(similar.keepers(members), "group_id")
-    keepers = decisions.keeper_map(with_best, decisions.fold_keepers(log))
+    live = decisions.settled_log(log)
+    # A group may hold a third of the library.
+    with_best = spread_join(members, similar.keepers(members), ["group_id"], ["image_id"], "inner")
+    keepers = decisions.keeper_map(with_best, decisions.fold_keepers(live))
     rows = images.select(F.col("id").alias("image_id"), "size_bytes")
-    return decisions.final_decisions(rows, decisions.fold(log), quality_flags, junk_flags, keepers)
+    return decisions.final_decisions(rows, decisions.fold(live), quality_flags, junk_flags, keepers)
 
 
 def copy_kept(spark: SparkSession, resolved: DataFrame, images: DataFrame, folder: str, destination: str) -> DataFrame:
@@ -136,10 +140,8 @@ def copy_kept(spark: SparkSession, resolved: DataFrame, images: DataFrame, folde
 
 def destination_listing(spark: SparkSession, destination: str) -> DataFrame:
     """``id, size_bytes`` of the destination, which is created when missing."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(destination)
-    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(hadoop):
-        system.mkdirs(hadoop)
+    if not storage.exists(spark, destination):
+        storage.make_folder(spark, destination)
         return spark.createDataFrame([], "id string, size_bytes long")
     return files.list_files(spark, destination).select(
         paths.relative_id(F.col("path"), destination).alias("id"), F.col("length").alias("size_bytes")

@@ -88,6 +88,7 @@ def _library(spark: SparkSession, sf_dir: str):
     """Images that are members of a group, with decisions, flags and keepers."""
     log = fixtures.actions(spark, sf_dir)
     members = fixtures.groups(spark, sf_dir)
+    log = decisions.settled_log(log)
     standing = decisions.fold(log)
     keepers = decisions.keeper_map(members, decisions.fold_keepers(log))
     quality, junk = fixtures.flagged(spark, sf_dir)
@@ -96,23 +97,23 @@ def _library(spark: SparkSession, sf_dir: str):
 
 @query
 def user_decisions(spark, sf_dir):
-    return decisions.fold(fixtures.actions(spark, sf_dir))
+    return decisions.fold(decisions.after_reset(fixtures.actions(spark, sf_dir)))
 
 
 @query
 def group_keepers(spark, sf_dir):
-    return decisions.fold_keepers(fixtures.actions(spark, sf_dir))
+    return decisions.fold_keepers(decisions.after_reset(fixtures.actions(spark, sf_dir)))
 
 
 @query
 def saved_decisions(spark, sf_dir):
-    log = fixtures.actions(spark, sf_dir)
+    log = decisions.settled_log(fixtures.actions(spark, sf_dir))
     return decisions.saved_decisions(decisions.fold(log), decisions.fold_keepers(log))
 
 
 @query
 def keeper_map(spark, sf_dir):
-    log = fixtures.actions(spark, sf_dir)
+    log = decisions.after_reset(fixtures.actions(spark, sf_dir))
     return decisions.keeper_map(fixtures.groups(spark, sf_dir), decisions.fold_keepers(log))
 
 
@@ -166,7 +167,7 @@ def commit_manifest(spark, sf_dir):
 
 @query
 def commit_progress(spark, sf_dir):
-    done = commit.progress(_manifest(spark, sf_dir), rows=fixtures.keep_ids(spark, sf_dir).count())
+    done = commit.progress(_manifest(spark, sf_dir))
     return _rounded(done, "fraction")
 
 
@@ -383,8 +384,7 @@ def quality_flags(spark, sf_dir):
 
 @query
 def quality_reason_labels(spark, sf_dir):
-    readable = quality.flags(_judged(spark, sf_dir)).filter(~F.array_contains("reasons", quality.UNREADABLE))
-    return readable.select("image_id", _labels(quality.reason_labels(F.col("reasons"))).alias("labels"))
+    return quality.flags(_judged(spark, sf_dir)).select("image_id", _labels(quality.reason_labels(F.col("reasons"))).alias("labels"))
 
 
 @query
@@ -495,15 +495,14 @@ def similar_leaders(spark, sf_dir):
 @query
 def leader_distances(spark, sf_dir):
     assigned = _assigned(spark, sf_dir)
-    out = similar.leader_distances(assigned, fixtures.bursts(spark, sf_dir), assigned.count())
+    out = similar.leader_distances(assigned, fixtures.bursts(spark, sf_dir))
     return _rounded(out, "hist_distance", "distance")
 
 
 def _scored(spark: SparkSession, sf_dir: str):
     """Groups of the bursts; each copy k of a vector is scored as its tile, with a made-up sharpness loss."""
     assigned = _assigned(spark, sf_dir)
-    rows = assigned.count()
-    found = similar.groups(assigned, rows)
+    found = similar.groups(assigned)
     tile, k = F.floor(F.col("image_id") / 3), F.col("image_id") % 3
     vec = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", "label")
     rated = (
@@ -517,14 +516,14 @@ def _scored(spark: SparkSession, sf_dir: str):
             F.when(F.col("vec_id") % 4 == 0, F.col("k") / 4.0).alias("face_score"),
         )
     )
-    scored = similar.score(similar.members(assigned, found, rows), rated, rows=rows)
-    return found, similar.best_first(scored, rows=rows)
+    scored = similar.score(similar.members(assigned, found), rated)
+    return found, similar.best_first(scored)
 
 
 @query
 def similar_groups(spark, sf_dir):
     assigned = _assigned(spark, sf_dir)
-    return similar.groups(assigned, assigned.count())
+    return similar.groups(assigned)
 
 
 @query
@@ -552,7 +551,7 @@ def group_member_arrays(spark, sf_dir):
 @query
 def similar_summary(spark, sf_dir):
     assigned = _assigned(spark, sf_dir)
-    return similar.summary(similar.groups(assigned, assigned.count()))
+    return similar.summary(similar.groups(assigned))
 
 
 # --- streams ---------------------------------------------------------------------------

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoebox.session import cut
+from shoebox.sources import storage
 
 
 def first_per_id(batch: DataFrame, order: str = "seq", key: str = "id") -> DataFrame:
@@ -26,31 +27,50 @@ def new_rows(existing: DataFrame, batch: DataFrame, order: str = "seq", key: str
 
 
 def insert_images(spark: SparkSession, table_path: str, batch: DataFrame, schema: T.StructType, order: str = "seq") -> None:
-    """Append unknown images, stamped with the scan time in seconds.
-
-    The new rows are settled in a shared table first and appended by one job, so
-    a failed write adds nothing that a repeat would not find again.
-    """
-    existing = read_table(spark, table_path, schema)
-    stamped = new_rows(existing, batch, order).withColumn("scanned_at", F.unix_timestamp())
+    """Add unknown images, stamped with the scan time in seconds; all of them or none."""
+    stamped = new_rows(read_table(spark, table_path, schema), batch, order).withColumn("scanned_at", F.unix_timestamp())
     missing = [f for f in schema.fields if f.name not in stamped.columns]
-    stamped = stamped.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else stamped
-    settled = cut(stamped.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), "insert")
-    settled.write.mode("append").parquet(table_path)
+    append(stamped.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else stamped, table_path, schema)
+
+
+# A stored table is a folder of numbered parts: ``full-n`` replaces all parts before it, ``more-n`` adds to them. A part
+# counts from the moment that Spark's commit marks it as complete, so a failed writer changes nothing, and of two
+# writers of one number the second fails.
+_PART = re.compile(r"(full|more)-(\d+)$")
+
+
+def _parts(spark: SparkSession, table_path: str) -> tuple[list[str], int]:
+    """Complete parts that make up the table, and the next free number."""
+    found = sorted((int(m[2]), m[0]) for m in map(_PART.match, storage.names(spark, table_path)) if m)
+    live: list[str] = []
+    for _, name in found:
+        if storage.exists(spark, f"{table_path}/{name}/_SUCCESS"):
+            live = [name] if name.startswith("full") else [*live, name]
+    return live, found[-1][0] + 1 if found else 0
 
 
 def read_table(spark: SparkSession, table_path: str, schema: T.StructType) -> DataFrame:
     """A stored table, or an empty one where none was written yet."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    live, _ = _parts(spark, table_path)
+    if not live:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(table_path)
+    return spark.read.schema(schema).parquet(*[f"{table_path}/{name}" for name in live])
+
+
+def _write(df: DataFrame, table_path: str, schema: T.StructType, kind: str) -> None:
+    _, number = _parts(df.sparkSession, table_path)
+    rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    rows.write.mode("errorifexists").parquet(f"{table_path}/{kind}-{number:09d}")
 
 
 def save(df: DataFrame, table_path: str, schema: T.StructType) -> None:
-    """Replace a stored table. The rows are settled first, so ``df`` may read the table itself."""
-    settled = cut(df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), "save")
-    settled.write.mode("overwrite").parquet(table_path)
+    """Replace a stored table; ``df`` may read the table itself. Parts of the old one may be deleted by hand later."""
+    _write(df, table_path, schema, "full")
+
+
+def append(df: DataFrame, table_path: str, schema: T.StructType) -> None:
+    """Add rows to a stored table."""
+    _write(df, table_path, schema, "more")
 
 
 def open_library(
@@ -63,8 +83,12 @@ def open_library(
     known = read_table(spark, table_path, schema)
     resumed = not force_fresh and not known.isEmpty()
     if force_fresh:
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(table_path)
-    insert_images(spark, table_path, batch, schema)
+        # The new rows replace the old table in one step.
+        fresh = first_per_id(batch).withColumn("scanned_at", F.unix_timestamp())
+        missing = [f for f in schema.fields if f.name not in fresh.columns]
+        save(fresh.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else fresh, table_path, schema)
+    else:
+        insert_images(spark, table_path, batch, schema)
     stored = read_table(spark, table_path, schema)
     return stored.agg(F.lit(resumed).alias("resumed_session"), F.count(F.lit(1)).alias("images"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from shoebox.sources import storage
+
 
 def replay(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stored table as a stream; ``name`` may be a glob."""
@@ -50,7 +52,6 @@ def finish(query: StreamingQuery) -> None:
 def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows of all batches written with ``write_batch``, with their ``batch_id``."""
     with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not storage.exists(spark, path):
         return spark.createDataFrame([], with_batch)
     return spark.read.schema(with_batch).parquet(path)

@@ -45,14 +45,14 @@ def test_fold(spark, seed, span, resets):
     rows = _log(seed, resets=resets)
     log = spark.createDataFrame(rows, LOG).repartition(4)
     want, keepers = _apply(rows)
-    got = {r.image_id: (r.decision, r.updated_at) for r in decisions.fold(log, span).collect()}
+    got = {r.image_id: (r.decision, r.updated_at) for r in decisions.fold(decisions.settled_log(log), span).collect()}
     assert got == want
-    assert {r.group_id: r.keeper_id for r in decisions.fold_keepers(log).collect()} == keepers
+    assert {r.group_id: r.keeper_id for r in decisions.fold_keepers(decisions.after_reset(log)).collect()} == keepers
 
 
 def test_toggle_on_undecided_deletes_and_reset_forgets(spark):
     rows = [(1, "mark", [5], None, None), (2, "reset", None, None, None), (3, "toggle", [5], None, None), (4, "toggle", [6], None, None), (5, "toggle", [6], None, None)]
-    got = decisions.fold(spark.createDataFrame(rows, LOG)).collect()
+    got = decisions.fold(decisions.after_reset(spark.createDataFrame(rows, LOG))).collect()
     assert {r.image_id: r.decision for r in got} == {5: "EXPLICIT_DELETE", 6: "EXPLICIT_KEEP"}
 
 

@@ -118,9 +118,9 @@ def test_spread_join_equals_join(spark):
     right = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).filter("k != 11")
     for how in ("left", "inner"):
         want = left.join(right, "k", how)
-        got = skew.spread_join(left, right, ["k"], ["id"], how, min_rows=100)
+        got = skew.spread_join(left, right, ["k"], ["id"], how, share=10)
         assert sorted(map(tuple, got.select("k", "id", "v").collect()), key=repr) == sorted(
             map(tuple, want.select("k", "id", "v").collect()), key=repr
         )
-    pieces = {r.k: r._pieces for r in skew.hot_keys(left, ["k"], 100).collect()}
+    pieces = {r.k: r._pieces for r in skew.hot_keys(left, ["k"], 20).collect()}
     assert set(pieces) == {7} and pieces[7] > 5

@@ -48,7 +48,7 @@ def test_limits_are_strict(spark):
 def test_unknown_reason_is_an_error(spark):
     rows = spark.createDataFrame([(["BLURRY", "OVER_EXPOSED"],)], "r array<string>")
     assert rows.select(quality.reason_labels(F.col("r"))).first()[0] == ["Blurry", "Overexposed"]
-    with pytest.raises(PySparkException, match="unrecognized quality reason: NOISY"):
+    with pytest.raises(PySparkException, match="no label for this reason: NOISY"):
         spark.createDataFrame([(["NOISY"],)], "r array<string>").select(quality.reason_labels(F.col("r"))).collect()
 
 
