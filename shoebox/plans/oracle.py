@@ -469,3 +469,4 @@ closed AS (
 SELECT owner, min(taken_unix_ms) AS start_unix_ms, max(taken_unix_ms) AS end_unix_ms, count(*) AS photos,
        round(avg(latitude), 6) AS centroid_lat, round(avg(longitude), 6) AS centroid_lon
 FROM sessions JOIN closed USING (owner, session_no) GROUP BY owner, trip_id"""
+ORACLES["stream_trips_closed"] = f"WITH {_assigned('owner', 12, 300)} SELECT owner, {_TRIP_COLUMNS} FROM assigned GROUP BY owner, trip_id"

@@ -633,8 +633,8 @@ def stream_without_repeats(spark, sf_dir):
     return spark.read.schema("id long, seen_at timestamp").parquet(f"{work}/out").select("id")
 
 
-@query
-def stream_trips(spark, sf_dir):
+def _followed_trips(spark: SparkSession, sf_dir: str):
+    """A finished trip stream: photo table, photo schema, trip table and limits."""
     work = scratch_path(spark, "trips")
     schema = fixtures.photos(spark, sf_dir).schema
     photos = fixtures.photos_from(_replay(spark, sf_dir))
@@ -642,5 +642,17 @@ def stream_trips(spark, sf_dir):
     limits = trips.TripThresholds(max_gap_hours=12, max_distance_km=300)
     found = stream_trip.follow(photos, f"{work}/photos", schema, f"{work}/trips", f"{work}/progress", limits, "1 hour")
     sinks.finish(found)
-    rows = sinks.stored(spark, f"{work}/trips", stream_trip.TRIPS).drop("batch_id")
+    return f"{work}/photos", schema, f"{work}/trips", limits
+
+
+@query
+def stream_trips(spark, sf_dir):
+    _, _, path, _ = _followed_trips(spark, sf_dir)
+    rows = sinks.stored(spark, path, stream_trip.TRIPS).drop("batch_id")
     return _rounded(rows, "centroid_lat", "centroid_lon")
+
+
+@query
+def stream_trips_closed(spark, sf_dir):
+    photos, schema, path, limits = _followed_trips(spark, sf_dir)
+    return _rounded(stream_trip.close(spark, photos, schema, path, limits), "centroid_lat", "centroid_lon")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shoebox.operators.skew import spread_join
 from shoebox.operators.trips import TripThresholds, assign_trips, trip_table, usable
-from shoebox.streaming.sinks import append, for_each, write_batch
+from shoebox.streaming.sinks import append, for_each, stored, write_batch
 
 TRIPS = T.StructType(
     [
@@ -59,9 +59,13 @@ def follow(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if batch.isEmpty():
+            return
         # All photos of an owner between its first and last closed session are in closed sessions.
         stretch = batch.groupBy("owner").agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
-        rows = spark.read.schema(photo_schema).parquet(photo_table)
+        # Two numbers a batch, so that the scan skips files and row groups outside its time.
+        low, high = stretch.agg(F.min("first_ms"), F.max("last_ms")).first()
+        rows = spark.read.schema(photo_schema).parquet(photo_table).filter(F.col("taken_unix_ms").between(low, high))
         inside = spread_join(rows, stretch, ["owner"], ["image_id"], "inner").filter(
             F.col("taken_unix_ms").between(F.col("first_ms"), F.col("last_ms"))
         )
@@ -69,3 +73,16 @@ def follow(
         write_batch(found.select(*TRIPS.names), path, batch_id)
 
     return for_each(closed_sessions(photos, limits, delay), checkpoint, handle)
+
+
+def close(spark: SparkSession, photo_table: str, photo_schema: T.StructType, path: str, limits: TripThresholds = TripThresholds()) -> DataFrame:
+    """All trips once the stream has ended: the stored ones, and those of the photos after an owner's last stored trip.
+
+    A stored trip ends a time session, so none of the later photos belongs to it.
+    """
+    done = stored(spark, path, TRIPS).drop("batch_id")
+    ended = done.groupBy("owner").agg(F.max("end_unix_ms").alias("ended"))
+    rows = spark.read.schema(photo_schema).parquet(photo_table)
+    left = spread_join(rows, ended, ["owner"], ["image_id"]).filter(F.col("ended").isNull() | (F.col("taken_unix_ms") > F.col("ended")))
+    rest = trip_table(assign_trips(left.select(*rows.columns), limits.resolved(), ["owner"]), ["owner"])
+    return done.unionByName(rest.select(*TRIPS.names))
