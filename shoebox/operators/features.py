@@ -16,43 +16,6 @@ SATURATION_BINS, SATURATION_RANGE = 60, 256
 BINS = HUE_BINS * SATURATION_BINS
 
 
-def _targets(pos: Column, size: Column, cells: int) -> Column:
-    """Target cells a source line overlaps, with the overlap in 1/(size*cells) of the edge."""
-    # Source line p covers [p*cells, (p+1)*cells); target cell t covers [t*size, (t+1)*size).
-    first = F.floor(pos * cells / size).cast("int")
-    last = F.floor(((pos + 1) * cells - 1) / size).cast("int")
-    return F.transform(
-        F.sequence(first, last),
-        lambda t: F.struct(
-            t.alias("cell"),
-            (F.least((pos + 1) * cells, (t + 1) * size) - F.greatest(pos * cells, t * size)).cast("long").alias("part"),
-        ),
-    )
-
-
-def shrink(images: DataFrame) -> DataFrame:
-    """Area-averaged 9x8 gray image: ``image_id, ty, tx, level`` (rounded half up)."""
-    h, w = F.col("height"), F.col("width")
-    px = images.select("image_id", "height", "width", F.posexplode("gray").alias("i", "v"))
-    px = px.select(
-        "image_id",
-        "height",
-        "width",
-        "v",
-        F.floor(F.col("i") / w).cast("int").alias("row"),
-        (F.col("i") % w).cast("int").alias("col"),
-    )
-    parts = px.withColumn("ty", F.explode(_targets(F.col("row"), h, HASH_ROWS))).withColumn(
-        "tx", F.explode(_targets(F.col("col"), w, HASH_COLS))
-    )
-    area = F.first("height").cast("long") * F.first("width")
-    total = F.sum(F.col("v") * F.col("ty.part") * F.col("tx.part"))
-    level = F.floor((2 * total + area) / (2 * area))
-    return parts.groupBy("image_id", F.col("ty.cell").alias("ty"), F.col("tx.cell").alias("tx")).agg(
-        level.cast("int").alias("level")
-    )
-
-
 def dhash_bits(levels: Column) -> Column:
     """64-bit hash of 9x8 levels; bit ``row*8 + col`` is set where a cell is brighter than its right neighbour."""
     steps = HASH_COLS - 1
@@ -65,14 +28,6 @@ def dhash_bits(levels: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(HASH_ROWS * steps - 1)), F.lit(0).cast("long"), add)
 
 
-def dhash(images: DataFrame) -> DataFrame:
-    """``image_id, dhash`` of gray images."""
-    # 72 entries per image.
-    cells = F.array_sort(F.collect_list(F.struct("ty", "tx", "level")))
-    small = shrink(images).groupBy("image_id").agg(cells["level"].alias("levels"))
-    return small.select("image_id", dhash_bits(F.col("levels")).alias("dhash"))
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -91,18 +46,6 @@ def hue_saturation(r: Column, g: Column, b: Column) -> tuple[Column, Column]:
     return hue.cast("int"), saturation.cast("int")
 
 
-def colour_counts(colour: DataFrame) -> DataFrame:
-    """Non-empty histogram bins: ``image_id, h_bin, s_bin, n``."""
-    hue, saturation = hue_saturation(F.col("r"), F.col("g"), F.col("b"))
-    px = colour.select("image_id", F.inline(F.arrays_zip("r", "g", "b")))
-    binned = px.select(
-        "image_id",
-        F.floor(hue * HUE_BINS / HUE_RANGE).cast("int").alias("h_bin"),
-        F.floor(saturation * SATURATION_BINS / SATURATION_RANGE).cast("int").alias("s_bin"),
-    )
-    return binned.groupBy("image_id", "h_bin", "s_bin").agg(F.count(F.lit(1)).alias("n"))
-
-
 def scaled_histogram(bins: Column, counts: Column, least: Column, most: Column) -> Column:
     """All bins scaled to [0, 1] by the smallest and largest count; missing bins count 0.
 
@@ -124,24 +67,6 @@ def scaled_histogram(bins: Column, counts: Column, least: Column, most: Column)
     return F.concat(F.flatten(F.transform(counts, with_gap)), empty(tail))
 
 
-def colour_histogram(colour: DataFrame) -> DataFrame:
-    """``image_id, histogram``: all bins scaled by the smallest and largest count."""
-    bin_no = F.col("h_bin") * SATURATION_BINS + F.col("s_bin")
-    # At most BINS entries per image.
-    entries = F.array_sort(F.collect_list(F.struct(bin_no.alias("bin"), "n")))
-    rows = colour_counts(colour).groupBy("image_id").agg(
-        entries["bin"].alias("bins"), entries["n"].alias("counts"), F.min("n").alias("least"), F.max("n").alias("most")
-    )
-    histogram = scaled_histogram(F.col("bins"), F.col("counts"), F.col("least"), F.col("most"))
-    return rows.select("image_id", histogram.alias("histogram"))
-
-
-def features(colour: DataFrame, gray: DataFrame) -> DataFrame:
-    """Feature rows ``image_id, dhash, histogram, valid``."""
-    out = colour_histogram(colour).join(dhash(gray), "image_id")
-    return out.select("image_id", "dhash", "histogram", F.lit(True).alias("valid"))
-
-
 def moments(histogram: Column) -> Column:
     """``n, s, ss`` (size, sum, sum of squares) of a histogram."""
     add = lambda acc, x: acc + x

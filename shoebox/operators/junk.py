@@ -25,49 +25,6 @@ class JunkRules:
     min_straight: float = 0.2
 
 
-def features(images: DataFrame, rules: JunkRules = JunkRules()) -> DataFrame:
-    """``image_id, flat_ratio, unique_ratio, straight_ratio`` of readable images.
-
-    - flat_ratio: blocks of one single level among all blocks
-    - unique_ratio: distinct levels per pixel
-    - straight_ratio: rows and columns that are one long edge, among all borders
-    """
-    readable = images.filter(F.col("gray").isNotNull() & (F.size("gray") > 0))
-    w, h, side = F.col("width"), F.col("height"), rules.block
-
-    def edge(i: Column, offset: Column, inside: Column) -> Column:
-        jump = F.abs(F.get("gray", i) - F.get("gray", (i + offset).cast("int"))) >= rules.edge_step
-        return F.when(inside, jump.cast("int"))
-
-    def parts(v: Column, i: Column) -> Column:
-        """A pixel as part of its block, of the border below its row and of the border right of its column."""
-        row, col = F.floor(i / w).cast("int"), (i % w).cast("int")
-        block = F.floor(row / side) * w + F.floor(col / side)
-
-        def part(kind: str, line: Column, level: Column, hit: Column) -> Column:
-            return F.struct(
-                F.lit(kind).alias("kind"), line.cast("long").alias("line"), level.alias("v"), hit.alias("edge")
-            )
-
-        none = F.lit(None).cast("int")
-        return F.array(
-            part("block", block, v, none),
-            part("row", row, none, edge(i, w, row < h - 1)),
-            part("column", col, none, edge(i, F.lit(1), col < w - 1)),
-        )
-
-    unique = F.size(F.array_distinct("gray")).cast("double") / F.size("gray")
-    spread = readable.select("image_id", unique.alias("unique_ratio"), F.inline(F.flatten(F.transform("gray", parts))))
-    # One row per block and line, summed before the shuffle; then one row per image.
-    lines = spread.groupBy("image_id", "unique_ratio", "kind", "line").agg(
-        (F.min("v") == F.max("v")).cast("double").alias("flat"),
-        (F.avg("edge") >= rules.straight_share).cast("double").alias("straight"),
-    )
-    return lines.groupBy("image_id", "unique_ratio").agg(
-        F.avg("flat").alias("flat_ratio"), F.coalesce(F.avg("straight"), F.lit(0.0)).alias("straight_ratio")
-    )
-
-
 def classify(measured: DataFrame, rules: JunkRules = JunkRules()) -> DataFrame:
     """``image_id, is_junk, reason, confidence`` for every measured image."""
     flat = F.col("flat_ratio") >= rules.min_flat

@@ -54,83 +54,6 @@ def highlight_weight(level: Column, limits: QualityThresholds) -> Column:
     return F.when(level >= limits.high_bin_index, F.pow(over, F.lit(2.0))).otherwise(0.0)
 
 
-def _mirrored(index: Column, size: Column) -> Column:
-    """Index reflected at the border without repeating the edge pixel."""
-    inside = F.when(index < 0, -index).when(index >= size, 2 * size - 2 - index).otherwise(index)
-    return F.when(size == 1, 0).otherwise(inside)
-
-
-def pixels(images: DataFrame) -> DataFrame:
-    """One row per pixel: ``image_id, height, width, row, col, v, laplacian, cell``.
-
-    ``laplacian`` compares a pixel with its four neighbours; ``cell`` numbers the
-    3x3 grid, null for the right and bottom remainder.
-    """
-    h, w = F.col("height"), F.col("width")
-
-    def at(row: Column, col: Column) -> Column:
-        return F.get("gray", (_mirrored(row, h) * w + _mirrored(col, w)).cast("int"))
-
-    def pixel(v: Column, i: Column) -> Column:
-        row, col = F.floor(i / w).cast("int"), (i % w).cast("int")
-        around = at(row - 1, col) + at(row + 1, col) + at(row, col - 1) + at(row, col + 1)
-        return F.struct(
-            row.alias("row"), col.alias("col"), v.alias("v"), (around - 4 * v).cast("long").alias("laplacian")
-        )
-
-    spread = images.select("image_id", "height", "width", F.inline_outer(F.transform("gray", pixel)))
-    ch, cw = F.floor(h / GRID).cast("int"), F.floor(w / GRID).cast("int")
-    inside = (F.col("row") < GRID * ch) & (F.col("col") < GRID * cw)
-    cell = F.floor(F.col("row") / ch).cast("int") * GRID + F.floor(F.col("col") / cw).cast("int")
-    return spread.withColumn("cell", F.when(inside, cell))
-
-
-def levels(images: DataFrame) -> DataFrame:
-    """Intensity histogram rows: ``image_id, v, n``."""
-    flat = images.select("image_id", F.explode("gray").alias("v"))
-    return flat.groupBy("image_id", "v").agg(F.count(F.lit(1)).alias("n"))
-
-
-def cell_clipping(images: DataFrame, limits: QualityThresholds = QualityThresholds()) -> DataFrame:
-    """Clipping per image and grid cell: ``image_id, cell, under, over``."""
-    return (
-        pixels(images)
-        .filter(F.col("cell").isNotNull())
-        .groupBy("image_id", "cell")
-        .agg(
-            F.avg(shadow_weight(F.col("v"), limits)).alias("under"),
-            F.avg(highlight_weight(F.col("v"), limits)).alias("over"),
-        )
-    )
-
-
-def metrics(images: DataFrame, limits: QualityThresholds = QualityThresholds()) -> DataFrame:
-    """``image_id, valid, sharpness, raw_under, under, over, good_cells`` for every image.
-
-    One aggregation: whole-image and per-cell sums are taken together. With
-    enough well exposed cells ``under`` is set to zero.
-    """
-    v, cell = F.col("v"), F.col("cell")
-    px = pixels(images).withColumns({"_s": shadow_weight(v, limits), "_h": highlight_weight(v, limits)})
-    sums = []
-    for k in range(GRID * GRID):
-        here = F.when(cell == k, F.lit(1))
-        sums += [
-            F.sum(F.when(cell == k, F.col("_s"))).alias(f"_s{k}"),
-            F.sum(F.when(cell == k, F.col("_h"))).alias(f"_h{k}"),
-            F.count(here).alias(f"_n{k}"),
-        ]
-    per_image = px.groupBy("image_id").agg(
-        F.count("v").alias("_n"),
-        F.sum("laplacian").alias("_l"),
-        F.sum(F.col("laplacian") * F.col("laplacian")).alias("_ll"),
-        F.avg(F.when(v.isNotNull(), F.col("_s"))).alias("raw_under"),
-        F.avg(F.when(v.isNotNull(), F.col("_h"))).alias("over"),
-        *sums,
-    )
-    return per_image.select("image_id", *verdict_inputs(limits))
-
-
 def verdict_inputs(limits: QualityThresholds) -> list[Column]:
     # Population variance from whole-number sums.
     variance = (F.col("_ll") - F.col("_l") * F.col("_l") / F.col("_n")) / F.col("_n")
@@ -194,14 +117,3 @@ def reason_labels(reasons: Column) -> Column:
         return F.when(known.isNull(), F.raise_error(F.concat(F.lit("no label for this reason: "), reason))).otherwise(known)
 
     return F.transform(reasons, label)
-
-
-def contrast(images: DataFrame) -> DataFrame:
-    """``image_id, contrast``: entropy of the gray histogram, 1 for an even spread over 256 levels."""
-    per_level = levels(images)
-    sums = per_level.groupBy("image_id").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.ln(F.col("n"))).alias("n_ln_n")
-    )
-    # -sum(p ln p) with p = n_i / n, from two sums.
-    entropy = F.ln(F.col("n")) - F.col("n_ln_n") / F.col("n")
-    return sums.select("image_id", (entropy / F.ln(F.lit(256.0))).alias("contrast"))

@@ -163,3 +163,8 @@ def junk_pass(images: DataFrame, model, table_path: str, load: bool = False) ->
     fresh = cut(junk.classify_with(junk.unjudged(images, before), model, load), "verdicts")
     junk.store(fresh, table_path)
     return tables.read_table(spark, table_path, schemas.JUNK_FLAGS)
+
+
+def screenshot_pass(sums: DataFrame, rules: junk.JunkRules = junk.JunkRules()) -> DataFrame:
+    """Judge measured pictures by simple rules, without a model: ``image_id, is_junk, reason, confidence``."""
+    return junk.classify(pictures.junk_features(sums), rules)

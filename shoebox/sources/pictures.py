@@ -15,26 +15,28 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import kernels, paths
 from shoebox.operators import features, quality
+from shoebox.operators.junk import JunkRules
 
 SUMS = (
     "image_id string, height int, width int, laplacian array<bigint>, levels array<bigint>, "
-    "shrunk array<int>, bins array<int>, counts array<bigint>, least bigint, most bigint"
+    "shrunk array<int>, bins array<int>, counts array<bigint>, least bigint, most bigint, "
+    "flat_blocks bigint, blocks bigint, straight bigint, lines bigint"
 )
 
 
 def _pixels(row) -> np.ndarray | None:
-    if row.height <= 0 or row.width <= 0 or not row.data:
+    if row.height is None or row.height <= 0 or row.width <= 0 or not row.data:
         return None
     return np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.channels)
 
 
-def picture_sums(pictures: DataFrame, root: str) -> DataFrame:
+def picture_sums(pictures: DataFrame, root: str = "", rules: JunkRules = JunkRules()) -> DataFrame:
     """``read_pixels`` rows to ``SUMS`` rows keyed by image id."""
 
     def one(row) -> tuple:
         bgr = _pixels(row)
         if bgr is None:
-            return (row.image_id, row.height, row.width, *[None] * 7)
+            return (row.image_id, row.height, row.width, *[None] * 11)
         gray = kernels.gray_of(bgr)
         bins, counts = kernels.colour_bins(bgr)
         return (
@@ -48,6 +50,8 @@ def picture_sums(pictures: DataFrame, root: str) -> DataFrame:
             counts,
             int(counts.min()),
             int(counts.max()),
+            *kernels.flat_blocks(gray, rules.block),
+            *kernels.straight_lines(gray, rules.edge_step, rules.straight_share),
         )
 
     names = [part.split()[0] for part in SUMS.split(", ")]
@@ -76,8 +80,67 @@ def _size(number: int) -> Column:
     return F.aggregate(_part(number), F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
+def from_planes(images: DataFrame) -> DataFrame:
+    """Picture rows of images given as arrays: ``image_id, height, width`` and ``gray``, or ``r, g, b``."""
+    colour = "gray" not in images.columns
+    values = F.flatten(F.transform(F.arrays_zip("b", "g", "r"), lambda p: F.array(p["b"], p["g"], p["r"]))) if colour else F.col("gray")
+    data = F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+    return images.select(F.col("image_id").cast("string").alias("path"), "height", "width", F.lit(3 if colour else 1).alias("channels"), data.alias("data"))
+
+
+def levels(sums: DataFrame) -> DataFrame:
+    """Intensity histogram rows: ``image_id, v, n``."""
+    rows = sums.select("image_id", F.posexplode(_part(0)).alias("v", "n"))
+    return rows.filter(F.col("n") > 0)
+
+
+def cell_clipping(sums: DataFrame, limits: quality.QualityThresholds = quality.QualityThresholds()) -> DataFrame:
+    """Clipping per image and grid cell: ``image_id, cell, under, over``."""
+    cells = [
+        F.struct(
+            F.lit(k).alias("cell"),
+            _size(k + 1).alias("n"),
+            _weighted(k + 1, lambda v: quality.shadow_weight(v, limits)).alias("under"),
+            _weighted(k + 1, lambda v: quality.highlight_weight(v, limits)).alias("over"),
+        )
+        for k in range(quality.GRID**2)
+    ]
+    rows = sums.select("image_id", F.inline(F.array(*cells))).filter(F.col("n") > 0)
+    return rows.select("image_id", "cell", (F.col("under") / F.col("n")).alias("under"), (F.col("over") / F.col("n")).alias("over"))
+
+
+def shrunken_levels(sums: DataFrame) -> DataFrame:
+    """Area-averaged 9x8 gray image: ``image_id, ty, tx, level``."""
+    rows = sums.select("image_id", F.posexplode("shrunk").alias("i", "level"))
+    return rows.select("image_id", F.floor(F.col("i") / features.HASH_COLS).cast("int").alias("ty"), (F.col("i") % features.HASH_COLS).alias("tx"), "level")
+
+
+def colour_counts(sums: DataFrame) -> DataFrame:
+    """Non-empty histogram bins: ``image_id, h_bin, s_bin, n``."""
+    rows = sums.select("image_id", F.inline(F.arrays_zip("bins", "counts")))
+    h_bin = F.floor(F.col("bins") / features.SATURATION_BINS).cast("int")
+    return rows.select("image_id", h_bin.alias("h_bin"), (F.col("bins") % features.SATURATION_BINS).alias("s_bin"), F.col("counts").alias("n"))
+
+
+def junk_features(sums: DataFrame) -> DataFrame:
+    """``image_id, flat_ratio, unique_ratio, straight_ratio`` of readable pictures.
+
+    - flat_ratio: blocks of one single level among all blocks
+    - unique_ratio: distinct levels per pixel
+    - straight_ratio: rows and columns that are one long edge, among all borders
+    """
+    unique = F.size(F.filter(_part(0), lambda n: n > 0)).cast("double") / (F.col("height").cast("long") * F.col("width"))
+    straight = F.when(F.col("lines") > 0, F.col("straight") / F.col("lines")).otherwise(0.0)
+    return sums.filter(F.col("levels").isNotNull()).select(
+        "image_id", (F.col("flat_blocks") / F.col("blocks")).alias("flat_ratio"), unique.alias("unique_ratio"), straight.alias("straight_ratio")
+    )
+
+
 def metrics(sums: DataFrame, limits: quality.QualityThresholds = quality.QualityThresholds()) -> DataFrame:
-    """Same columns as ``quality.metrics``."""
+    """``image_id, valid, sharpness, raw_under, under, over, good_cells`` for every picture.
+
+    With enough well exposed cells ``under`` is set to zero.
+    """
 
     def shade(level: Column) -> Column:
         return quality.shadow_weight(level, limits)
@@ -102,7 +165,7 @@ def metrics(sums: DataFrame, limits: quality.QualityThresholds = quality.Quality
 
 
 def contrast(sums: DataFrame) -> DataFrame:
-    """Same columns as ``quality.contrast``."""
+    """``image_id, contrast``: entropy of the gray histogram, 1 for an even spread over 256 levels."""
     n = _size(0)
     n_ln_n = F.aggregate(
         _part(0), F.lit(0.0), lambda acc, x: acc + F.when(x > 0, x * F.ln(x.cast("double"))).otherwise(0.0)

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoebox import schemas
-from shoebox.operators import commit, features, quality, similar
+from shoebox.operators import commit, quality, similar
 from shoebox.plans import passes
 from shoebox.sources import files, pictures, tables
+from tests import pixel_rows
 
 SIZES = {"a/one": (17, 12), "a/two": (17, 12), "b/flat": (9, 8), "b/dark": (30, 20), "c/thin": (2, 14), "c/dot": (1, 1), "c/big": (40, 31)}
 
@@ -82,20 +83,27 @@ def _by_id(df):
 def test_both_pixel_paths_agree(spark, sums):
     colour = _row_wise(spark)
     gray = quality.gray_images(colour)
-    slow, fast = _by_id(quality.metrics(gray)), _by_id(pictures.metrics(sums).filter("valid"))
+    slow, fast = _by_id(pixel_rows.metrics(gray)), _by_id(pictures.metrics(sums).filter("valid"))
     assert set(slow) == set(fast)
     for key, row in slow.items():
         for name, value in row.items():
             assert fast[key][name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), (key, name)
-    slow, fast = _by_id(quality.contrast(gray)), _by_id(pictures.contrast(sums))
+    slow, fast = _by_id(pixel_rows.contrast(gray)), _by_id(pictures.contrast(sums))
     assert {k: pytest.approx(v["contrast"], abs=1e-9) for k, v in slow.items()} == {k: v["contrast"] for k, v in fast.items()}
-    slow, fast = _by_id(features.features(colour, gray)), _by_id(pictures.feature_rows(sums).filter("valid"))
+    slow, fast = _by_id(pixel_rows.junk_features(gray)), _by_id(pictures.junk_features(sums))
+    assert slow == {k: pytest.approx(v) for k, v in fast.items()}
+    slow, fast = _by_id(pixel_rows.features(colour, gray)), _by_id(pictures.feature_rows(sums).filter("valid"))
     assert set(slow) == set(fast)
     for key in slow:
         assert slow[key]["dhash"] == fast[key]["dhash"]
         assert slow[key]["histogram"] == pytest.approx(fast[key]["histogram"])
 
 
+def test_screenshot_rules_judge_decoded_pictures(spark, sums):
+    judged = {r.image_id: r.is_junk for r in passes.screenshot_pass(sums).collect()}
+    assert judged["b/flat.png"] == 1 and judged["a/one.png"] == 0 and "a/broken.jpg" not in judged
+
+
 def test_unreadable_picture_is_low_quality_and_not_grouped(spark, sums):
     out = passes.analyze(sums)
     judged = _by_id(out["judged"])
@@ -204,3 +212,41 @@ def test_member_arrays_are_whole(spark):
     packed = similar.member_arrays(rows, chunk=10).orderBy("chunk_no").collect()
     assert [len(r.image_ids) for r in packed] == [10, 10, 5]
     assert [x for r in packed for x in r.image_ids] == list(range(25))
+
+
+def test_bands_do_not_change_sums(monkeypatch):
+    import numpy as np
+
+    from shoebox.functions import kernels
+
+    rng = np.random.default_rng(3)
+    whole, parts = [], []
+    for size in ((37, 23, 3), (5, 1, 3), (1, 9, 1), (64, 64, 4)):
+        pixels = rng.integers(0, 256, size).astype(np.uint8) // 64 * 64
+        for band, out in ((1 << 18, whole), (50, parts)):
+            monkeypatch.setattr(kernels, "BAND", band)
+            gray = kernels.gray_of(pixels)
+            out.append(
+                [gray, kernels.laplacian_sums(gray), kernels.level_counts(gray), kernels.shrunken(gray), *kernels.colour_bins(pixels),
+                 kernels.flat_blocks(gray, 2), kernels.straight_lines(gray, 32, 0.5), kernels.bilinear(pixels, 7, 5)]
+            )
+    for a, b in zip(whole, parts):
+        for x, y in zip(a, b):
+            np.testing.assert_array_equal(x, y)
+
+
+def test_twelve_megapixels_stay_small():
+    import tracemalloc
+
+    import numpy as np
+
+    from shoebox.functions import kernels
+
+    pixels = np.random.default_rng(0).integers(0, 256, (3000, 4000, 3)).astype(np.uint8)
+    tracemalloc.start()
+    gray = kernels.gray_of(pixels)
+    for kernel in (kernels.laplacian_sums, kernels.level_counts, kernels.shrunken, lambda g: kernels.flat_blocks(g, 2), lambda g: kernels.straight_lines(g, 32, 0.75)):
+        kernel(gray)
+    kernels.colour_bins(pixels)
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()

@@ -1,4 +1,4 @@
-"""Edge cases of the row-wise pixel path, path rules and stored tables."""
+"""Edge cases of the pixel sums, path rules and stored tables."""
 
 import pytest
 from pyspark.errors import PySparkException
@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from shoebox.functions import paths
 from shoebox.functions.geo import haversine_km
 from shoebox.operators import features, junk, quality
-from shoebox.sources import files, tables
+from shoebox.sources import files, pictures, tables
 
 IMAGE = "image_id string, height int, width int, gray array<int>"
 
 
 def _judge(spark, rows, limits=quality.QualityThresholds()):
-    out = quality.verdicts(quality.metrics(spark.createDataFrame(rows, IMAGE), limits), limits)
+    sums = pictures.picture_sums(pictures.from_planes(spark.createDataFrame(rows, IMAGE)))
+    out = quality.verdicts(pictures.metrics(sums, limits), limits)
     return {r.image_id: r for r in out.collect()}
 
 
@@ -56,7 +57,7 @@ def test_flat_image_is_junk_and_noise_is_not(spark):
     noise = [(i * 97 + (i * i) % 31) % 251 for i in range(64)]
     bars = ([0] * 8 + [255] * 8) * 4
     rows = [("bars", 8, 8, bars), ("noise", 8, 8, noise), ("dot", 1, 1, [5]), ("none", -1, -1, None)]
-    measured = junk.features(spark.createDataFrame(rows, IMAGE))
+    measured = pictures.junk_features(pictures.picture_sums(pictures.from_planes(spark.createDataFrame(rows, IMAGE))))
     got = {r.image_id: r for r in junk.classify(measured).collect()}
     assert set(got) == {"bars", "noise", "dot"}
     assert (got["bars"].is_junk, got["bars"].reason) == (1, "screenshot")
