@@ -167,10 +167,12 @@ def _colour_bound(a: Column, b: Column, size: int) -> Column:
 
 
 def hash_candidates(
-    earlier: DataFrame, later: DataFrame, bands: Bands, radius: float
+    earlier: DataFrame, later: DataFrame, bands: Bands, radius: float, ordered: bool = True
 ) -> DataFrame:
     """Pairs ``a < b`` (ranks) that may lie within ``radius``; each once. Inputs carry ``rank, dhash, sketch``.
 
+    Without ``ordered`` every ``a`` of ``earlier`` meets all others in ``later``.
+
     One image makes many probe rows, which size estimates do not see: the sort-merge
     hint keeps them from being broadcast, and the rows are spread before they are multiplied.
     """
@@ -193,7 +195,7 @@ def hash_candidates(
     colour = _colour_bound(F.col("sa"), F.col("sb"), size)
     least = ft.COLOUR_WEIGHT * colour + ft.HASH_WEIGHT * (F.bit_count(diff) / ft.HASH_BITS)
     return pairs.filter(
-        (F.col("a") < F.col("b"))
+        (F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b"))
         & (F.bit_count(diff) <= bands.max_bits)
         & (least <= radius + SLACK)
         & (F.col("band") == first)
@@ -388,6 +390,23 @@ def assign_leaders(
     return cut(by_rep.select("image_id", "leader_id"), "assigned")
 
 
+def search(targets: DataFrame, features: DataFrame, radius: float = DEFAULT_RADIUS) -> DataFrame:
+    """All images within ``radius`` of the given ones: ``target_id, image_id, hamming, hist_distance, distance``.
+
+    ``targets`` names images of ``features`` by ``image_id``. Only targets are probed, the library is indexed once.
+    """
+    valid = features.filter("valid").select("image_id", "dhash", "histogram", ft.moments(F.col("histogram")).alias("moments"))
+    valid = cut(valid, "valid")
+    images = valid.count()
+    bins = sketch_bins(valid, images)
+    table = valid.withColumn("sketch", sketch(F.col("histogram"), F.col("moments"), bins)).withColumnRenamed("image_id", "rank")
+    asked = targets.select(F.col("image_id").alias("rank")).distinct()
+    narrow = table.select("rank", "dhash", "sketch")
+    pairs = hash_candidates(narrow.join(asked, "rank", "left_semi"), narrow, plan_bands(radius, images), radius, ordered=False)
+    near = with_distance(cut(pairs, "candidates"), table).filter(F.col("distance") <= radius)
+    return near.withColumnsRenamed({"a": "target_id", "b": "image_id"})
+
+
 def leader_distances(assigned: DataFrame, features: DataFrame) -> DataFrame:
     """Hash, colour and joint distance of every image to its leader."""
     ranked = features.select(

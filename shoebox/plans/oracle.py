@@ -435,6 +435,9 @@ scores AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY round(score, 12) DESC, image_id) AS rank FROM scores)"""
 _GREEDY = f"WITH RECURSIVE {BURSTS}"
+ORACLES["similar_search"] = f"""{_GREEDY}
+SELECT a AS target_id, b AS image_id, CAST(hamming AS INTEGER) AS hamming, round(distance, 6) AS distance FROM near WHERE a % 100 = 0
+UNION ALL SELECT b, a, CAST(hamming AS INTEGER), round(distance, 6) FROM near WHERE b % 100 = 0"""
 ORACLES["similar_leaders"] = f"{_GREEDY} SELECT image_id, leader_id FROM assigned"
 ORACLES["leader_distances"] = f"""{_GREEDY}
 SELECT g.image_id, leader_id, CAST(coalesce(hamming, 0) AS INTEGER) AS hamming, round(coalesce(hist, 0), 6) AS hist_distance,

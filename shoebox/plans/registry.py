@@ -494,6 +494,14 @@ def _assigned(spark: SparkSession, sf_dir: str, radius: float = similar.DEFAULT_
     return similar.assign_leaders(fixtures.bursts(spark, sf_dir), radius)
 
 
+@query
+def similar_search(spark, sf_dir):
+    """Neighbours of every hundredth image."""
+    library = fixtures.bursts(spark, sf_dir)
+    found = similar.search(library.filter(F.col("image_id") % 100 == 0), library)
+    return _rounded(found.select("target_id", "image_id", "hamming", "distance"), "distance")
+
+
 @query
 def similar_leaders(spark, sf_dir):
     return _assigned(spark, sf_dir)
