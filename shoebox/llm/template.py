@@ -42,6 +42,9 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 NAMES = set(
     "nav navbar navigation menu submenu sidebar aside ad ads advert adverts advertisement adsense banner sponsor sponsored promo cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup comment comments disqus breadcrumb breadcrumbs share sharing social related recommended widget toolbar pagination pager masthead skip login footer header".split()
 )
+STEMS = ("comment", "advert", "sidebar", "cookie", "breadcrumb", "newsletter", "sponsor")
+COMMENTS = {"comment", "comments"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 HELD = {"article", "main"}
 OPEN = {"", "html", "body"} | HELD
 RUNNING = set("p h1 h2 h3 h4 h5 h6 li td th dd dt pre blockquote figcaption caption".split())
@@ -66,10 +69,12 @@ def read(page: str) -> Page:
     for i, e in enumerate(elements[1:], 1):
         inside[i] = inside[e.parent] or e.tag in HELD or e.role in HELD
         own = e.tag in LEFT_OUT or e.hidden or e.role in ROLES
-        if e.tag == "header" and inside[e.parent]:
-            own = not any(isinstance(p, int) and elements[p].tag in ("h1", "h2") for p in e.parts)
-        if not own and e.names and (e.tag not in OPEN or "comment" in e.names or "comments" in e.names):
-            own = bool(e.names & NAMES)
+        # The head of an article names it; it is no site header.
+        names_it = inside[e.parent] and (e.tag in HEADINGS or any(isinstance(p, int) and elements[p].tag in HEADINGS for p in e.parts))
+        own = own and not (e.tag == "header" and names_it)
+        if not own and e.names and (e.tag not in OPEN or e.names & COMMENTS):
+            said = e.names & NAMES or any(n.startswith(STEMS) for n in e.names)
+            own = bool(said) and not (e.names & NAMES == {"header"} and names_it)
         out[i] = out[e.parent] or own and not (holds[i] and e.tag not in LEFT_OUT)
     for kind in ("article", "main"):
         found = [i for i, e in enumerate(elements) if (e.tag == kind or e.role == kind) and not out[i]]
