@@ -60,17 +60,21 @@ def summarise(rows: DataFrame, span: Column) -> DataFrame:
     )
 
 
-def combine(spans: DataFrame) -> DataFrame:
-    """Per image: compose its span summaries in log order into the standing decision."""
+def merged(spans: DataFrame) -> DataFrame:
+    """Per image: its span summaries, composed in log order into one, ``image_id, base, toggles, updated_at``."""
     per_image = Window.partitionBy("image_id")
     set_at = F.when(F.col("base").isNotNull(), F.col("updated_at"))
     dated = spans.withColumn("_from", F.max(set_at).over(per_image))
-    live = dated.groupBy("image_id").agg(
+    return dated.groupBy("image_id").agg(
         F.max_by("base", set_at).alias("base"),
         F.sum(F.when(F.col("_from").isNull() | (F.col("updated_at") >= F.col("_from")), F.col("toggles"))).alias("toggles"),
         F.max("updated_at").alias("updated_at"),
     )
-    return live.select("image_id", decision(F.col("base"), F.col("toggles")).alias("decision"), "updated_at")
+
+
+def combine(spans: DataFrame) -> DataFrame:
+    """Per image: the standing decision that its span summaries make."""
+    return merged(spans).select("image_id", decision(F.col("base"), F.col("toggles")).alias("decision"), "updated_at")
 
 
 def decision(base: Column, toggles: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shoebox.operators import decisions
-from shoebox.streaming.sinks import for_each, stored, write_batch
+from shoebox.streaming.sinks import compact, for_each, stored, write_batch
 
 
 def _summaries(image_id: T.DataType) -> T.StructType:
@@ -75,3 +75,21 @@ def keepers(spark: SparkSession, path: str, keeper_id: T.DataType = T.StringType
     rows = stored(spark, f"{path}/keepers", _keepers(keeper_id))
     live = rows.filter(F.col("seq") > _last_reset(spark, path).scalar())
     return live.groupBy("group_id").agg(F.max_by("keeper_id", "seq").alias("keeper_id"))
+
+
+def compact_all(spark: SparkSession, path: str, image_id: T.DataType = T.StringType(), keeper_id: T.DataType = T.StringType()) -> None:
+    """Fold the summaries, keeper choices and resets of all batches so far into one row per image, group and log."""
+    reset = _last_reset(spark, path).first()[0]
+
+    def spans(rows: DataFrame) -> DataFrame:
+        live = rows.filter(F.col("updated_at") > reset)
+        return decisions.merged(live).withColumn("span", F.lit(0).cast("long"))
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        live = rows.filter(F.col("seq") > reset)
+        return live.groupBy("group_id").agg(F.max_by("keeper_id", "seq").alias("keeper_id"), F.max("seq").alias("seq"))
+
+    # The reset goes last: until then it still holds for what was not folded.
+    compact(spark, f"{path}/spans", _summaries(image_id), spans)
+    compact(spark, f"{path}/keepers", _keepers(keeper_id), chosen)
+    compact(spark, f"{path}/resets", RESETS, lambda rows: rows.agg(F.max("reset_seq").alias("reset_seq")))

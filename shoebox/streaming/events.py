@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shoebox.sources.tables import image_index
-from shoebox.streaming.sinks import for_each, stored, write_batch
+from shoebox.streaming.sinks import compact, for_each, stored, write_batch
 
 KINDS = ["progress", "row", "complete"]
 
@@ -40,10 +40,20 @@ def index(rows: DataFrame, path: str, checkpoint: str, key: str = "id", seq: str
     return for_each(rows, checkpoint, handle)
 
 
+def _latest(rows: DataFrame, key: str) -> DataFrame:
+    """One row per id of stored index rows."""
+    rest = [c for c in rows.columns if c not in (key, "first_seen", "last_seen", "batch_id")]
+    folded = rows.groupBy(key).agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max_by(F.struct(*rest), "last_seen").alias("_row")
+    )
+    return folded.select(key, "first_seen", "last_seen", "_row.*")
+
+
 def current_index(spark: SparkSession, path: str, schema: T.StructType, key: str = "id") -> DataFrame:
     """The index over all batches. ``schema`` describes the stored rows."""
-    rows = stored(spark, path, schema)
-    rest = [c for c in rows.columns if c not in (key, "first_seen", "last_seen", "batch_id")]
-    return rows.groupBy(key).agg(
-        F.min("first_seen").alias("first_seen"), F.max_by(F.struct(*rest), "last_seen").alias("_row")
-    ).select(key, "first_seen", "_row.*")
+    return _latest(stored(spark, path, schema), key).drop("last_seen")
+
+
+def compact_index(spark: SparkSession, path: str, schema: T.StructType, key: str = "id") -> None:
+    """Fold the index rows of all batches so far into one row per id."""
+    compact(spark, path, schema, lambda rows: _latest(rows, key))

@@ -31,10 +31,32 @@ def test_decision_fold_over_batches(spark, tmp_path):
     stream = _parts(spark, rows, LOG, tmp_path / "log", 4)
     sinks.finish(stream_fold.follow(stream, str(tmp_path / "out"), str(tmp_path / "progress"), span=16))
     want, keepers = _apply(rows)
-    got = stream_fold.standing(spark, str(tmp_path / "out"), T.LongType())
-    assert {r.image_id: (r.decision, r.updated_at) for r in got.collect()} == want
-    got = stream_fold.keepers(spark, str(tmp_path / "out"), T.LongType())
-    assert {r.group_id: r.keeper_id for r in got.collect()} == keepers
+    for _ in range(2):
+        got = stream_fold.standing(spark, str(tmp_path / "out"), T.LongType())
+        assert {r.image_id: (r.decision, r.updated_at) for r in got.collect()} == want
+        got = stream_fold.keepers(spark, str(tmp_path / "out"), T.LongType())
+        assert {r.group_id: r.keeper_id for r in got.collect()} == keepers
+        stream_fold.compact_all(spark, str(tmp_path / "out"), T.LongType(), T.LongType())
+
+
+def test_decision_fold_goes_on_after_compaction(spark, tmp_path):
+    rows = _log(12, n=160)
+    out = str(tmp_path / "out")
+    for part, number in ((rows[:90], 1), (rows[90:], 2)):
+        stream = _parts(spark, part, LOG, tmp_path / f"log{number}", 2)
+        first = number == 1
+        # Two streams here; the second writes batches after those of the first.
+        live = stream_fold.follow(stream, out if first else f"{out}-later", str(tmp_path / f"p{number}"), span=16)
+        sinks.finish(live)
+        if first:
+            stream_fold.compact_all(spark, out, T.LongType(), T.LongType())
+    for kind in ("spans", "keepers", "resets"):
+        for batch in (0, 1):
+            rows_of = spark.read.parquet(f"{out}-later/{kind}/batch_id={batch}")
+            sinks.write_batch(rows_of, f"{out}/{kind}", batch + 2)
+    want, keepers = _apply(rows)
+    assert {r.image_id: (r.decision, r.updated_at) for r in stream_fold.standing(spark, out, T.LongType()).collect()} == want
+    assert {r.group_id: r.keeper_id for r in stream_fold.keepers(spark, out, T.LongType()).collect()} == keepers
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path):
@@ -56,6 +78,15 @@ def test_index_over_batches(spark, tmp_path):
     for key, seq, v in rows:
         want[key] = (want.get(key, (seq, 0))[0], v)
     assert got == want
+    path = str(tmp_path / "out")
+    events.compact_index(spark, path, kept)
+    assert sinks.stored(spark, path, kept).count() == len(want)
+    more = spark.createDataFrame([("id1", 100, 5, 100), ("new", 101, 6, 101)], "id string, first_seen long, v long, last_seen long")
+    sinks.write_batch(more, path, 9)
+    want |= {"id1": (want["id1"][0], 5), "new": (101, 6)}
+    for _ in range(2):
+        assert {r.id: (r.first_seen, r.v) for r in events.current_index(spark, path, kept).collect()} == want
+        events.compact_index(spark, path, kept)
 
 
 def test_split_drops_events_without_kind(spark, tmp_path):
@@ -110,3 +141,6 @@ def test_stream_trips_equal_batch(spark, tmp_path):
     batch = trips.trip_table(trips.assign_trips(spark.createDataFrame(rows[:-1], schema), limits, ["owner"]), ["owner"])
     want = batch.select(*stream_trips.TRIPS.names)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    whole = trips.trip_table(trips.assign_trips(spark.createDataFrame(rows, schema), limits, ["owner"]), ["owner"])
+    closed = stream_trips.close(spark, photos, frame, str(tmp_path / "out"), limits)
+    assert sorted(map(tuple, closed.collect()), key=repr) == sorted(map(tuple, whole.select(*stream_trips.TRIPS.names).collect()), key=repr)
