@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dir: str | None = None
+_local_dir: tempfile.TemporaryDirectory | None = None
 
 
 def build_session(app: str = "shoebox", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach; tables that cut lineage are written there.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local-mode session
-    without that setting falls back to a temporary folder.
+    without that setting, as in tests, takes a temporary folder, which goes when Python ends.
     """
     global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,8 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="shoebox-")
-    return _local_dir
+        _local_dir = tempfile.TemporaryDirectory(prefix="shoebox-")
+    return _local_dir.name
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
