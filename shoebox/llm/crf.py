@@ -319,7 +319,7 @@ def label_documents(docs: DataFrame, spec: Training = Training()) -> DataFrame:
     return predict(marked, model, ["doc_id", "held_out"])
 
 
-def known_only(docs: DataFrame, spec: Training = Training(), least: float = 0.4) -> DataFrame:
+def known_only(docs: DataFrame, spec: Training = Training(), least: float = 0.25) -> DataFrame:
     """The rows of ``docs`` with a language that holds ``least`` of the words."""
     model = train(docs, ~held_out(), spec)
     lang, score = free_name(docs, "lang"), free_name(docs, "score")
