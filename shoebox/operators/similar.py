@@ -214,10 +214,9 @@ def _side(features: DataFrame, side: str) -> DataFrame:
 def with_distance(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """``a, b, hamming, hist_distance, distance`` of pairs of images.
 
-    An image that occurs very often on either side is split over tasks.
+    Nothing here needs the pairs of an image together, so Spark splits those of one that occurs very often.
     """
-    second = spread_join(pairs, _side(features, "b"), ["b"], ["a"], "inner")
-    both = spread_join(second, _side(features, "a"), ["a"], ["b"], "inner")
+    both = pairs.join(_side(features, "b"), "b").join(_side(features, "a"), "a")
     corr = ft.correlation(F.col("x_a"), F.col("x_b"), F.col("m_a"), F.col("m_b"))
     scored = both.select("a", "b", ft.hamming(F.col("h_a"), F.col("h_b")).alias("hamming"), corr.alias("corr"))
     return scored.select(
@@ -271,9 +270,9 @@ def _walk_components(edges: DataFrame, component_edges: int) -> tuple[DataFrame,
     """Non-leaders of the small connected components, and the pairs of the large ones."""
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels = components(nodes, edges).withColumnRenamed("node", "a")
-    labelled = cut(spread_join(edges, labels, ["a"], ["b"], "inner"), "labelled")
+    labelled = cut(edges.join(labels, "a"), "labelled")
     sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    sized = spread_join(labelled, sizes, ["label"], ["a", "b"], "inner")
+    sized = labelled.join(sizes, "label")
 
     def walk(pairs: pd.DataFrame) -> pd.DataFrame:
         after = pairs.groupby("a")["b"].agg(list)
@@ -310,7 +309,7 @@ def _ranked(features: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     if distinct == images:
         copies = valid.select("image_id", F.col("image_id").alias("rep_id"))
     else:
-        same = spread_join(keys, ranks, ["dhash", "signature"], ["image_id"], "inner")
+        same = keys.join(ranks, ["dhash", "signature"])
         copies = same.select("image_id", "rep_id")
     table = valid.select(F.col("image_id").alias("rep_id"), "dhash", "histogram", "moments").join(
         ranks.select("rep_id", "rank"), "rep_id"
@@ -381,10 +380,10 @@ def assign_leaders(
     for part in settled[1:]:
         every = every.unionByName(part)
     leader_ids = ids.select(F.col("rank").alias("leader"), F.col("rep_id").alias("leader_id"))
-    named = spread_join(every, leader_ids, ["leader"], ["rank"], "inner")
+    named = every.join(leader_ids, "leader")
     by_rep = named.join(ids, "rank").select("rep_id", "leader_id")
     if images > total:
-        by_rep = spread_join(copies, by_rep, ["rep_id"], ["image_id"], "inner")
+        by_rep = copies.join(by_rep, "rep_id")
     else:
         by_rep = by_rep.withColumnRenamed("rep_id", "image_id")
     return cut(by_rep.select("image_id", "leader_id"), "assigned")
