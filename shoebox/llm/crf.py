@@ -278,7 +278,7 @@ def _has_letters(text: str) -> bool:
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     labels = len(model.labels)
-    for batch in (p for b in batches for p in pieces(b, "_text", 1 << 20)):
+    for batch in (p for b in batches for p in pieces(b, "_text", 1 << 19)):
         raw, bounds = raw_text(batch.column("_text"))
         f = features(raw, bounds)
         counts = np.diff(f.bounds)
