@@ -42,8 +42,14 @@ def lines_of(text: Column) -> Column:
         return F.struct(level.alias("level"), F.substring(raw, F.length(signs) + 1, F.length(raw)).alias("body"))
 
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), line)
-    after = lambda i: F.coalesce(F.get(lines, i + 1)["level"], F.lit(0))
-    return F.transform(lines, lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), ((x["level"] == 0) & (after(i) > 0) & x["body"].rlike(_INTRODUCES)).alias("intro")))
+
+    def marked(every: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(every, i + 1)["level"], F.lit(0))
+        intro = lambda x, i: (x["level"] == 0) & (after(i) > 0) & x["body"].rlike(_INTRODUCES)
+        return F.transform(every, lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), intro(x, i).alias("intro")))
+
+    # Through a lambda, so that a line looks at the next one without making all lines again.
+    return F.transform(F.array(lines), marked)[0]
 
 
 def _runs(lines: Column) -> Column:
