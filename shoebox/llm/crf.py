@@ -12,6 +12,11 @@ the text. Stretches of ``stretch`` words of different texts follow one another,
 see languages change. Each of ``shards`` groups of texts fits its own weights by gradient steps, and the weights
 are averaged.
 
+Whether a text is in a known language at all is judged apart from the labels, whose probabilities always sum to one. A
+word is familiar if its byte trigrams are as frequent, in the training texts of its language, as those of nearly all words of
+texts that were not counted: at most ``spread`` times as far below the median as the lower quartile. Frequencies are shares of all
+trigrams, so that junk among the training texts hardly makes junk familiar.
+
 Defined results: a null text, a text without letters, and any text where nothing could be learned is
 ``und`` with score 0. A tie goes to the first language in sorted order. Repeated rows are labelled each.
 """
@@ -42,6 +47,7 @@ class Training:
     stretch: int = 40
     chain: int = 128
     seen: int = 3
+    spread: float = 4.0
 
 
 UNKNOWN = "und"
@@ -109,6 +115,18 @@ def emissions(weights: np.ndarray, f: Features) -> np.ndarray:
     return score + weights[f.fixed[:, 0]] + weights[f.fixed[:, 1]] + weights[f.lexicon()]
 
 
+def frequencies(counts: np.ndarray) -> np.ndarray:
+    """Logarithm of each trigram's share of all trigrams of each language; a trigram not met counts as half a one."""
+    return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5)).astype(np.float32)
+
+
+def familiarity(shares: np.ndarray, f: Features) -> np.ndarray:
+    """Mean logarithm of the shares of each word's trigrams, for each language."""
+    if not len(f.firsts):
+        return np.zeros((0, shares.shape[1]), np.float32)
+    return np.add.reduceat(shares[f.trigrams], f.firsts, axis=0) / np.diff(np.append(f.firsts, len(f.trigrams)))[:, None]
+
+
 def posteriors(score: np.ndarray, bounds: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """Probability of each label for each word: forward-backward over every text.
 
@@ -226,15 +244,36 @@ def _fit(raw: np.ndarray, bounds: np.ndarray, label: np.ndarray, labels: int, sp
     return weights, transition
 
 
+def _count(raw: np.ndarray, bounds: np.ndarray, label: np.ndarray, labels: int) -> np.ndarray:
+    """How often each trigram stands in the texts of each label."""
+    f = features(raw, bounds)
+    truth = np.repeat(np.repeat(label, np.diff(f.bounds)), np.diff(np.append(f.firsts, len(f.trigrams))))
+    return np.stack([np.bincount(f.trigrams[truth == j], minlength=TRIGRAMS) for j in range(labels)], axis=1)
+
+
+def _floors(raw: np.ndarray, bounds: np.ndarray, label: np.ndarray, labels: int, shares: np.ndarray, spec: Training) -> np.ndarray:
+    """Least familiarity of a word of each label, from texts that ``shares`` does not count; none where there are no words."""
+    f = features(raw, bounds)
+    truth = np.repeat(label, np.diff(f.bounds))
+    near = familiarity(shares, f)
+    floors = np.full(labels, -np.inf)
+    for j in np.unique(truth):
+        quarter, middle = np.percentile(near[truth == j, j], [25, 50])
+        floors[j] = middle - spec.spread * (middle - quarter)
+    return floors
+
+
 @dataclass(frozen=True)
 class Model:
     labels: tuple[str, ...]
     weights: np.ndarray
     transition: np.ndarray
+    shares: np.ndarray | None = None  # trigrams x labels
+    floors: np.ndarray | None = None  # least familiarity of a word of each label
 
 
-def train(docs: DataFrame, use: Column, spec: Training = Training(), text_col: str = "text", label_col: str = "lang") -> Model:
-    """Fit on rows where ``use`` holds and text and label are given."""
+def train(docs: DataFrame, use: Column, spec: Training = Training(), text_col: str = "text", label_col: str = "lang", calibrate: bool = False) -> Model:
+    """Fit on rows where ``use`` holds and text and label are given; ``calibrate`` also finds how familiar words must be."""
     rows = docs.filter(use & F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -247,20 +286,46 @@ def train(docs: DataFrame, use: Column, spec: Training = Training(), text_col: s
     number = {k: i for i, k in enumerate(labels)}
     sample = sample.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(spec.shards)))
 
-    def fit(table):
+    def texts_of(table):
         raw, bounds = raw_text(table.column("text").combine_chunks())
-        label = np.array([number[k] for k in table.column("label").to_pylist()])
+        return raw, bounds, np.array([number[k] for k in table.column("label").to_pylist()])
+
+    def fit(table):
+        raw, bounds, label = texts_of(table)
         weights, transition = _fit(raw, bounds, label, len(labels), spec)
         used = np.flatnonzero(np.abs(weights).sum(axis=1)).astype(np.int32)
-        return pa.table({"used": [used.tobytes()], "weights": [weights[used].tobytes()], "transition": [transition.tobytes()]})
-
-    fitted = sample.groupBy("shard").applyInArrow(fit, "used binary, weights binary, transition binary").collect()
+        counts = _count(raw, bounds, label, len(labels))
+        met = np.flatnonzero(counts.sum(axis=1)).astype(np.int32)
+        return pa.table(
+            {
+                "shard": table.column("shard")[:1], "used": [used.tobytes()], "weights": [weights[used].tobytes()],
+                "transition": [transition.tobytes()], "met": [met.tobytes()], "counts": [counts[met].tobytes()],
+            }
+        )
+
+    fitted = sample.groupBy("shard").applyInArrow(fit, "shard long, used binary, weights binary, transition binary, met binary, counts binary").collect()
     weights = np.zeros((_SIZE, len(labels)), np.float32)
     transition = np.zeros((len(labels), len(labels)))
+    counts = np.zeros((TRIGRAMS, len(labels)), np.int64)
+    own = {}
     for part in fitted:
         weights[np.frombuffer(part["used"], np.int32)] += np.frombuffer(part["weights"], np.float32).reshape(-1, len(labels)) / len(fitted)
         transition += np.frombuffer(part["transition"]).reshape(transition.shape) / len(fitted)
-    return Model(labels, weights, transition)
+        own[part["shard"]] = np.frombuffer(part["met"], np.int32), np.frombuffer(part["counts"], np.int64).reshape(-1, len(labels))
+        counts[own[part["shard"]][0]] += own[part["shard"]][1]
+
+    # Each shard's words are measured by the counts of the others, as new texts will be by all.
+    def measure(table):
+        met, mine = own[table.column("shard")[0].as_py()]
+        others = counts.copy()
+        others[met] -= mine
+        floors = _floors(*texts_of(table), len(labels), frequencies(others), spec)
+        floors[others.sum(axis=0) == 0] = -np.inf
+        return pa.table({"floors": [floors.tobytes()]})
+
+    found = [np.frombuffer(r["floors"]) for r in sample.groupBy("shard").applyInArrow(measure, "floors binary").collect()] if calibrate else []
+    floors = np.min(found, axis=0) if found else np.full(len(labels), -np.inf)
+    return Model(labels, weights, transition, frequencies(counts), floors)
 
 
 def word_labels(texts: list[str], model: Model) -> list[list[tuple[str, float]]]:
@@ -276,17 +341,25 @@ def _has_letters(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Model, evidence: bool = False) -> Iterator[pa.RecordBatch]:
     labels = len(model.labels)
     for batch in (p for b in batches for p in pieces(b, "_text", 1 << 19)):
         raw, bounds = raw_text(batch.column("_text"))
         f = features(raw, bounds)
         counts = np.diff(f.bounds)
         share = np.zeros((len(counts), labels + 1))
+        familiar = np.zeros(len(counts))
         if labels and len(f.firsts):
             chance = posteriors(emissions(model.weights, f), f.bounds, model.transition)
             total = np.concatenate([np.zeros((1, labels)), np.cumsum(chance, axis=0)])
             share[:, :labels] = (total[f.bounds[1:]] - total[f.bounds[:-1]]) / np.maximum(counts, 1)[:, None]
+            if evidence:
+                of, word = chance.argmax(axis=1), np.arange(len(f.firsts))
+                # Letters count, not words, as digits cut ids and keys into many runs of a letter or two.
+                size = np.diff(np.append(f.firsts, len(f.trigrams)))
+                at_home = familiarity(model.shares, f)[word, of] >= model.floors[of]
+                passed, whole = (np.concatenate([[0], np.cumsum(x)])[f.bounds] for x in (size * at_home, size))
+                familiar = np.diff(passed) / np.maximum(np.diff(whole), 1)
         ascii_letter = np.concatenate([[0], np.cumsum(((raw | 32) >= 97) & ((raw | 32) <= 122))])
         unclear = np.flatnonzero(ascii_letter[bounds[1:]] == ascii_letter[bounds[:-1]])
         known = (counts > 0) & (labels > 0)
@@ -296,14 +369,16 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
         names = [model.labels[b] if k else UNKNOWN for b, k in zip(best, known)]
         score = np.where(known, np.clip(share[np.arange(len(counts)), best], 0, 1), 0.0)
         rest = [batch.column(c) for c in batch.schema.names if c != "_text"]
+        if evidence:
+            score = familiar
         yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(score)], names=[*(c for c in batch.schema.names if c != "_text"), "_lang", "_score"])
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Columns ``keep`` with the predicted language and its score."""
+def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score"), evidence: bool = False) -> DataFrame:
+    """Columns ``keep`` with the predicted language and its score, or with ``evidence`` the share of letters in familiar words in place of the score."""
     rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
-    found = rows.mapInArrow(lambda b: _predict(b, model), schema)
+    found = rows.mapInArrow(lambda b: _predict(b, model, evidence), schema)
     return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), F.col("_lang").alias(names[0]), F.col("_score").alias(names[1]))
 
 
@@ -319,9 +394,9 @@ def label_documents(docs: DataFrame, spec: Training = Training()) -> DataFrame:
     return predict(marked, model, ["doc_id", "held_out"])
 
 
-def known_only(docs: DataFrame, spec: Training = Training(), least: float = 0.25) -> DataFrame:
-    """The rows of ``docs`` with a language that holds ``least`` of the words."""
-    model = train(docs, ~held_out(), spec)
-    lang, score = free_name(docs, "lang"), free_name(docs, "score")
-    found = predict(docs, model, docs.columns, names=(lang, score))
-    return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)
+def known_only(docs: DataFrame, spec: Training = Training(), least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with letters, of which ``least`` are in words familiar in their own language."""
+    model = train(docs, ~held_out(), spec, calibrate=True)
+    lang, familiar = free_name(docs, "lang"), free_name(docs, "familiar")
+    found = predict(docs, model, docs.columns, names=(lang, familiar), evidence=True)
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(familiar) >= least)).drop(lang, familiar)

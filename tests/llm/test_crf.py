@@ -1,3 +1,4 @@
+import base64
 import itertools
 
 import numpy as np
@@ -59,6 +60,23 @@ def test_defined_cases(spark):
     assert kept.filter("doc_id >= 100 or doc_id is null").count() == 62
 
 
+def test_junk_and_foreign_texts_go(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    rng = np.random.default_rng(4)
+    by = {k: docs.filter(f"lang = '{k}' and length(text) > 1500 and instr(text, '|') = 0").orderBy("doc_id").first()["text"].split()[:50] for k in ("de", "en", "es", "fr")}
+    good = [" ".join(sum(by.values(), [])), " ".join(by["de"] + by["es"]), " ".join(by["fr"][:12])]
+    junk = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(200)) for _ in range(20)]
+    junk += [base64.b64encode(rng.bytes(900)).decode() for _ in range(20)]
+    junk += ["".join(chr(c) for c in rng.integers(33, 127, 900)) for _ in range(20)]
+    junk += ["Mieleni minun tekevi aivoni ajattelevi lähteäni laulamahan saa'ani sanelemahan sukuvirttä suoltamahan lajivirttä laulamahan"]
+    junk += ["Litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił", "Мой дядя самых честных правил когда не в шутку занемог"]
+    # The junk is labelled, so some of it is trained on.
+    planted = spark.createDataFrame([(10**9 + i, t, "en", "s", len(t)) for i, t in enumerate(good + junk)], docs.schema)
+    kept = crf.known_only(docs.union(planted)).select("doc_id").collect()
+    assert sorted(r["doc_id"] - 10**9 for r in kept if r["doc_id"] >= 10**9) == list(range(len(good)))
+    assert len(kept) - len(good) > 0.99 * docs.count()
+
+
 def test_nothing_to_learn(spark):
     docs = documents(spark, [(1, "words here", None), (2, None, "en")])
     assert [(r["lang_pred"], r["score"]) for r in crf.label_documents(docs).collect()] == [("und", 0.0)] * 2
