@@ -1,9 +1,10 @@
 """URL filters: rules for hosts and paths, then association rules mined from labelled urls.
 
 A url's tokens are the labels of its host and the words of its path. Labelled urls become baskets of their tokens
-and, where the label is bad, a class item; FP-growth mines token sets that go with the class item, and the rules are pruned by
-support and confidence. A rule whose tokens include those of a kept rule of at least its confidence is dropped, as it
-blocks nothing more. Rules are matched through an inverted index: each rule is listed under its rarest token, so a url
+and rules are token sets that enough bad urls hold, at every size of the table the same number, and that few other urls hold. Sets
+are mined one token longer at a time. A set is only made longer while it is no rule, as a longer one would block nothing
+more, and while each of its tokens narrows it, as without that token it would stand for the same urls. Both leave out no rule
+that is kept. Rules are matched through an inverted index: each rule is listed under its rarest token, so a url
 looks up its tokens and checks only the rules found there.
 
 Fixed rules go first: a rule fits its host and the host's subdomains where the path starts with the rule's path; the
@@ -17,14 +18,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.session import cut
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-BAD = "\x00bad"
 
 # Fixed rules: host and path, verdict.
 RULES = {
@@ -38,9 +37,9 @@ RULES = {
 
 @dataclass(frozen=True)
 class Mining:
-    """Least share and number of labelled urls with a rule's tokens and the class item, and least share of bad ones among those with its tokens."""
+    """Least number of bad urls with a rule's tokens (and their share of labelled urls, if any is asked for), and least share of bad ones among those with its tokens."""
 
-    support: float = 0.001
+    support: float = 0.0
     urls: int = 10
     confidence: float = 0.8
 
@@ -78,21 +77,39 @@ def tokens(host: Column, path: Column) -> Column:
 
 def mine(baskets: DataFrame, spec: Mining) -> DataFrame:
     """``tokens, confidence, support`` of the rules found in rows ``tokens, bad``."""
-    items = baskets.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")).filter(F.size("items") > 0)
-    none = baskets.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
-    if items.filter(F.array_contains("items", BAD)).isEmpty():
+    spark = baskets.sparkSession
+    none = spark.createDataFrame([], "tokens array<string>, confidence double, support double")
+    sets = baskets.filter(F.size("tokens") > 0).select(F.array_sort("tokens").alias("held"), F.col("bad").cast("long").alias("bad"))
+    sets = sets.groupBy("held").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    sets = cut(sets.withColumn("basket", F.monotonically_increasing_id()), "baskets")
+    total = sets.agg(F.sum("n")).first()[0]
+    if not total:
         return none
-    support = max(spec.support, spec.urls / items.count())
-    if support > 1:
-        return none
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=spec.confidence).fit(items)
-    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
-    rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
-    # A longer rule goes where a part of it, one token less, is a rule too; mining finds all of these parts.
-    less = rules.filter(F.size("tokens") > 1).select(F.col("tokens").alias("whole"), F.explode("tokens").alias("t"))
-    less = less.select("whole", F.array_except("whole", F.array("t")).alias("tokens"))
-    needless = less.join(rules.select("tokens"), "tokens", "left_semi").select(F.col("whole").alias("tokens")).distinct()
-    return rules.join(needless, "tokens", "left_anti")
+    least = max(spec.urls, spec.support * total)
+    confidence = F.col("bad") / F.col("n")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("tokens").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter((F.col("bad") > 0) & (F.col("bad") >= least))
+
+    placed = sets.select("basket", "n", "bad", F.explode(F.transform("held", lambda t: F.array(t))).alias("tokens"))
+    often = cut(counted(placed), "often")
+    rules = none
+    while True:
+        rules = rules.unionByName(often.filter(confidence >= spec.confidence).select("tokens", confidence.alias("confidence"), (F.col("n") / total).alias("support")))
+        wide = often.filter(confidence < spec.confidence)
+        if wide.isEmpty():
+            return rules
+        # Sets of a basket that differ in the last token make one set of a token more.
+        placed = cut(placed.join(wide.select("tokens"), "tokens", "left_semi").select("basket", "n", "bad", "tokens"), "placed")
+        head, last = F.expr("slice(tokens, 1, size(tokens) - 1)"), F.element_at("tokens", -1)
+        other = placed.select("basket", head.alias("head"), last.alias("more"))
+        pairs = placed.withColumns({"head": head, "last": last}).join(other, ["basket", "head"]).filter(F.col("last") < F.col("more"))
+        placed = cut(pairs.select("basket", "n", "bad", F.concat("tokens", F.array("more")).alias("tokens")), "longer")
+        longer = counted(placed)
+        parts = longer.withColumn("t", F.explode("tokens")).select(F.col("tokens").alias("whole"), "n", "bad", F.array_except("tokens", F.array("t")).alias("tokens"))
+        parts = parts.join(wide.select("tokens", F.col("n").alias("around")), "tokens").filter(F.col("around") > F.col("n"))
+        full = parts.groupBy(F.col("whole").alias("tokens"), "n", "bad").agg(F.count(F.lit(1)).alias("parts"))
+        often = cut(full.filter(F.col("parts") == F.size("tokens")).drop("parts"), "often")
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -64,3 +64,19 @@ def test_verdict_of_mined_rules(spark):
     assert found[1] == ("block", None, True) and found[2] == ("allow", None, False)
     assert found[60] == ("allow", "org/", True) and found[61] == ("block", None, True) and found[62] == ("allow", None, False)
     assert urlrules.judge(pages.limit(0), labels).count() == 0
+
+
+def test_least_count_does_not_grow_with_the_table(spark):
+    # Twelve bad urls of one host and of one pair of tokens among 20 000 good ones.
+    rows = [(["h:net", f"p:{k % 400}", f"p:x{k % 7}"], False) for k in range(20_000)] + [(["h:net", "h:spam", f"p:{k}"], True) for k in range(12)]
+    rows += [(["h:net", "p:a", "p:b"], True)] * 12 + [(["h:net", "p:a"], False)] * 50 + [(["h:net", "p:b"], False)] * 50 + [(["h:net", "h:few"], True)] * 9
+    table = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    found = {tuple(r["tokens"]): r["confidence"] for r in urlrules.mine(table, urlrules.Mining()).collect()}
+    assert found == {("h:spam",): 1.0, ("p:a", "p:b"): 1.0}
+
+
+def test_long_urls_repeated_make_no_sets_of_all_their_tokens(spark):
+    # 2 ** 40 sets stand for the same urls; no token of them is a rule.
+    long = [f"p:{k:02}" for k in range(40)]
+    table = spark.createDataFrame([(long, k % 2 == 0) for k in range(60)] + [(long[:20] + ["h:bad"], True)] * 10, "tokens array<string>, bad boolean")
+    assert {tuple(r["tokens"]) for r in urlrules.mine(table, urlrules.Mining()).collect()} == {("h:bad",)}
