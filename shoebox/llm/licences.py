@@ -1,6 +1,9 @@
 """Licence scans: spans of a text against licence templates, by the Dice coefficient of their word bigrams.
 
-Spans are lines, paragraphs (between blank lines) and the whole text. A span of a distinct bigrams and a template of b
+Spans are lines, paragraphs (between blank lines), the whole text, and windows of words: where a text has enough of a template's
+bigrams, the windows from one shared bigram to another are compared at every place (up to twice as many words as the upper size
+bound, as words may repeat), and of those that overlap the best counts, if it fits better than the lines, paragraphs and whole
+texts that it overlaps. A window within one line counts only if it has all bigrams of the template and no others. So a licence is found across paragraphs, between prose and within a line. A span of a distinct bigrams and a template of b
 can reach the coefficient t only if a lies between b t / (2 - t) and b (2 - t) / t, and only if it has that
 lower bound of the template's bigrams; spans that fail either for every template are never compared.
 Words are lower-cased runs of letters and digits, told apart by 64-bit hashes, as are bigrams.
@@ -12,6 +15,7 @@ the best goes to the name that sorts first. Repeated rows give a row each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from shoebox.llm.words import _IN_WORD, _LOWER, _SYMBOL, mixed, pieces, raw_text
 
 LEAST = 0.8
 
-# Notices and short licence texts, by SPDX name.
+# Notices and short licence texts, by SPDX name; ``licence_texts`` holds long ones.
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
@@ -72,6 +76,65 @@ TEMPLATES = {
 }
 
 
+TEMPLATES["BSD-2-Clause"] = [
+    """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+        met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2.
+        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+        EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+        CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+        OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+]
+TEMPLATES["BSD-3-Clause"] = [
+    """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+        met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2.
+        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+        this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+        EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+        CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+        OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+]
+TEMPLATES["LGPL-2.1"] = [
+    """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by
+        the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This program is distributed in the hope
+        that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the GNU Lesser General Public License for more details."""
+]
+TEMPLATES["LGPL-3.0"] = [
+    """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope
+        that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the GNU Lesser General Public License for more details."""
+]
+TEMPLATES["AGPL-3.0"] = [
+    """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope
+        that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the GNU Affero General Public License for more details."""
+]
+TEMPLATES["Unlicense"] = [
+    """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+        distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+        In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software
+        to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend
+        this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE
+        SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+        FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+        IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+]
+TEMPLATES["EPL-2.0"] = [
+    """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at
+        https://www.eclipse.org/legal/epl-2.0/"""
+]
+for _file in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+    TEMPLATES.setdefault(_file.stem, []).append(_file.read_text(encoding="utf-8"))
+
+
 def _bigrams(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of words, hash of each word with the next, and whether both are in one text."""
     low = _LOWER[raw]
@@ -110,15 +173,66 @@ def _spans(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return pairs[:, 0], pairs[:, 1], np.searchsorted(bounds, pairs[:, 0], side="right") - 1
 
 
+def _windows(pair: np.ndarray, hit: np.ndarray, size: int, least: float, taken: list[tuple[int, int, float]], edge: np.ndarray) -> list[tuple[float, int, int]]:
+    """Dice coefficient, start and end of the windows of a text's bigrams that fit a template of ``size`` of them, that do not
+    lie in a span of ``taken`` (start, end, coefficient) and fit better than each of them that they overlap. ``edge`` is the last end
+    of a window within the line of its start.
+
+    ``hit`` marks the template's bigrams. Trimming others from its ends only betters a window, so it starts and ends at a hit.
+    """
+    order = np.argsort(pair, kind="stable")
+    before = np.full(len(pair), -1)
+    again = pair[order[1:]] == pair[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    longest = 2 * int(size * (2 - least) / least + 1e-9)
+    low = int(np.ceil(size * least / (2 - least) - 1e-9))
+    limit = np.minimum(np.arange(len(pair)) + longest, len(pair))
+    # Where a window must end at least, to reach beyond every fitting span that it starts in.
+    beyond = np.zeros(len(pair), np.int64)
+    for s, e, _ in taken:
+        beyond[s:e] = np.maximum(beyond[s:e], e + 1)
+    total = np.concatenate([[0], np.cumsum(hit)])
+    # Only starts with enough hits ahead.
+    starts = np.flatnonzero(hit & (total[limit] - total[:-1] >= low) & (limit >= beyond))
+
+    def best_from(i: int) -> tuple[float, int, int]:
+        fresh = before[i : limit[i]] < i
+        values = 2 * np.cumsum(fresh & hit[i : limit[i]]) / (np.cumsum(fresh) + size)
+        inside = values[: max(0, int(edge[i]) - i)]
+        inside[inside < 1] = 0
+        skip = max(0, int(beyond[i]) - i - 1)
+        k = skip + int(values[skip:].argmax())
+        return float(values[k]), i, i + k + 1
+
+    def better(w: tuple[float, int, int]) -> bool:
+        return w[0] >= least and all(w[0] > v for s, e, v in taken if s < w[2] and w[1] < e)
+
+    found, at = [], 0
+    for k, i in enumerate(starts):
+        if i < at:
+            continue
+        best = best_from(int(i))
+        if better(best):
+            # A later start within the window may fit better.
+            reach = best[2]
+            for j in starts[k + 1 : np.searchsorted(starts, reach)]:
+                best = max(best, best_from(int(j)), key=lambda w: w[0])
+            found.append(best)
+            at = best[2]
+    return found
+
+
 def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, list[str]], least: float) -> Iterator[pa.RecordBatch]:
     known = [(name, _distinct(text)) for name in sorted(templates) for text in templates[name]]
     sizes = np.array([len(b) for _, b in known])
     low, high = np.ceil(sizes * least / (2 - least) - 1e-9), np.floor(sizes * (2 - least) / least + 1e-9)
     every = np.unique(np.concatenate([b for _, b in known]))
+    member = np.stack([np.isin(every, b, assume_unique=True) for _, b in known])
     for batch in (p for b in batches for p in pieces(b, "text")):
         raw, bounds = raw_text(batch.column("text"))
         starts, pair, joined = _bigrams(raw, bounds)
-        met = joined & (every[np.minimum(np.searchsorted(every, pair), len(every) - 1)] == pair)
+        code = np.minimum(np.searchsorted(every, pair), len(every) - 1)
+        met = joined & (every[code] == pair)
         hits = np.concatenate([[0], np.cumsum(met)])
         begin, end, text = _spans(raw, bounds) if len(raw) else (np.zeros(0, np.int64),) * 3
         # Bigrams of a span: from its first word to its last but one.
@@ -127,6 +241,8 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, list[str]], le
         shared = hits[np.minimum(last, len(pair))] - hits[np.minimum(first, len(pair))]
         found: list[dict[str, float]] = [{} for _ in range(batch.num_rows)]
         spans = np.zeros(batch.num_rows, np.int64)
+        covers: list[list[tuple[int, int, int]]] = [[] for _ in range(batch.num_rows)]
+        fits: list[dict[str, list[tuple[int, int, float]]]] = [{} for _ in range(batch.num_rows)]
         for k in np.flatnonzero(shared >= low.min()):
             own = np.unique(pair[first[k] : last[k]])
             best = 0.0
@@ -135,8 +251,37 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, list[str]], le
                 value = dice(own, template)
                 if value >= least:
                     found[text[k]][name] = max(value, found[text[k]].get(name, 0.0))
+                    fits[text[k]].setdefault(name, []).append((first[k], last[k], value))
+                    covers[text[k]].append((first[k], last[k], t))
                     best = max(best, value)
             spans[text[k]] += best > 0
+        line = np.searchsorted(np.flatnonzero(raw == 10), starts)
+        edge = np.searchsorted(line, line, side="right") - 1
+        begins = np.searchsorted(starts, bounds)
+        stops = np.maximum(begins[1:] - 1, begins[:-1])
+        for r in np.flatnonzero(hits[np.minimum(stops, len(pair))] - hits[np.minimum(begins[:-1], len(pair))] >= low.min()):
+            b, e = begins[r], stops[r]
+            has = member[:, np.unique(code[b:e][met[b:e]])].sum(axis=1)
+            places = []
+            for t in np.flatnonzero(has >= low):
+                name = known[t][0]
+                hit = met[b:e] & member[t][code[b:e]]
+                taken = [(s - b, z - b, v) for s, z, v in fits[r].get(name, [])]
+                places += [(s + b, z + b, t, value) for value, s, z in _windows(pair[b:e], hit, int(sizes[t]), least, taken, edge[b:e] - b)]
+            # Longest first; a window counts within a span of another licence only if most of what it shares is not that licence's own.
+            reach, kept = -1, []
+            for s, z, t, value in sorted(places, key=lambda w: (w[0] - w[1], w)):
+                own = code[s:z][met[s:z]]
+                own = own[member[t][own]]
+                if any(x <= s and z <= y and z - s < y - x and known[u][0] != known[t][0] and 2 * member[u][own].sum() > len(own) for x, y, u in covers[r]):
+                    continue
+                covers[r].append((s, z, t))
+                found[r][known[t][0]] = max(value, found[r].get(known[t][0], 0.0))
+                kept.append((s, z))
+            # Windows of several templates at one place count once.
+            for s, z in sorted(kept):
+                spans[r] += s >= reach
+                reach = max(reach, z)
         names = [",".join(sorted(f)) for f in found]
         best_names = [min(f, key=lambda n: (-f[n], n)) if f else None for f in found]
         values = [max(f.values(), default=0.0) for f in found]

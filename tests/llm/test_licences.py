@@ -54,5 +54,22 @@ def test_equals_plain_version(spark):
         assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-12 and a[4] == b[4], (a, b)
 
 
+def test_licences_across_paragraphs_and_within_lines(spark):
+    rng = np.random.default_rng(2)
+    mit = licences.TEMPLATES["MIT"][3]
+    mit = mit.replace(": The above", ":\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    gpl = licences.TEMPLATES["GPL-3.0"][1].replace(" This program is dist", "\n\nThis program is dist")
+    texts = [f"{prose(rng, 300)}\n\n{t}\n\n{prose(rng, 300)}" for t in (mit, gpl)]
+    texts += ["\n".join(f" * {line.strip()}" if line.strip() else " *" for line in texts[0].split("\n"))]
+    texts += [f"{prose(rng, 40)} Licensed under the Apache License, Version 2.0. {prose(rng, 40)}", f"{texts[0]}\n\n{texts[1]}"]
+    texts += [f"{prose(rng, 300)}\n\n{licences.TEMPLATES['BSD-3-Clause'][0].replace(' 3. ', chr(10) * 2 + '3. ')}\n\n{prose(rng, 300)}", prose(rng, 400)]
+    found = {r["doc_id"]: r for r in licences.scan(documents(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect()}
+    want = ["MIT", "GPL-3.0", "MIT", "Apache-2.0", None, "BSD-3-Clause", None]
+    for i, name in enumerate(want):
+        if i != 4:
+            assert found[i]["best"] == name and (name is None or found[i]["dice"] > 0.95 and name in found[i]["licences"].split(",")), found[i]
+    assert {"MIT", "GPL-3.0"} <= set(found[4]["licences"].split(",")) and found[4]["n_spans"] >= 2
+
+
 def test_empty_table(spark):
     assert licences.scan(documents(spark, [])).count() == 0
