@@ -6,9 +6,8 @@ itself marks as menu, header, footer, sidebar, notice, advert, form, script or c
 few pages. Inside an article (or main part) running text is never template, however often a site repeats it, so there only
 subtrees of mostly links can be. The text of the article, or of the whole page if it has none, is what remains.
 
-``least_pages`` and ``least_share`` say what many pages are. As a template needs that share of its host's pages, a
-host has at most (subtrees a page / ``least_share``) of them; they are handed to the tasks, in several
-passes by host if all of them take more than ``pass_rows`` rows.
+``least_pages`` and ``least_share`` say what many pages are. Templates are joined to the subtrees of the pages, and a page
+is handed only those that it has itself; nothing of them goes through the driver. Equal pages of a host are joined as one.
 
 Defined results: null pages are empty; null urls and urls without ``://`` form one site. Repeated rows give a row
 each and count as pages of their own.
@@ -16,17 +15,17 @@ each and count as pages of their own.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoebox.llm.html import INLINE, Element, parse, subtree_hashes
 from shoebox.llm.urlrules import host_of
+from shoebox.session import cut
 
 
 @dataclass(frozen=True)
@@ -142,29 +141,29 @@ def main_text(page: Page, template: frozenset[int] | set[int] = frozenset()) ->
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, hashes = [], []
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+        hosts, keys, hashes = [], [], []
+        for host, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html"))):
             own = set(candidates(read(page)).values())
             hosts += [host] * len(own)
+            keys += [key] * len(own)
             hashes += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "subtree"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "key", "subtree"])
 
 
-def site_templates(pages: DataFrame, spec: Template) -> DataFrame:
-    """``host, subtree`` for every subtree that recurs on many pages of the host; ``pages`` has host and html."""
-    counts = pages.select("host", "html").mapInArrow(_hash_rows, "host string, subtree long").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+def site_templates(subtrees: DataFrame, pages: DataFrame, spec: Template) -> DataFrame:
+    """``host, subtree`` for every subtree that recurs on many pages of the host; ``subtrees`` has a row for each one of each page."""
+    counts = subtrees.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     often = counts.filter(F.col("n") >= spec.least_pages).join(hosts, "host")
     return often.filter(F.col("n") >= F.col("pages") * spec.least_share).select("host", "subtree")
 
 
-def _extract(batches: Iterator[pa.RecordBatch], templates: dict[str, frozenset[int]]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            texts.append(main_text(read(page), templates.get(host, frozenset())) if page else "")
-        rest = [batch.column(c) for c in batch.schema.names if c not in ("host", "html")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string())], names=[*(c for c in batch.schema.names if c not in ("host", "html")), "text"])
+        for page, template in zip(batch.column("html").to_pylist(), batch.column("subtrees").to_pylist()):
+            texts.append(main_text(read(page), frozenset(template or ())) if page else "")
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
 
 def extract(pages: DataFrame, spec: Template = Template(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -173,19 +172,11 @@ def extract(pages: DataFrame, spec: Template = Template(), id_col: str = "page_i
         F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
     )
-    found = site_templates(rows, spec).groupBy("host").agg(F.collect_list("subtree").alias("subtrees")).persist()
-    total = found.agg(F.sum(F.size("subtrees"))).first()[0] or 0
-    passes = max(1, -(-total // spec.pass_rows))
+    # Pages of a host with one key only share their own templates of that host, so a chance match of two hashes does no harm.
+    rows = rows.withColumn("key", F.xxhash64("html"))
+    subtrees = cut(rows.select("host", "key", "html").mapInArrow(_hash_rows, "host string, key long, subtree long"), "subtrees")
+    met = subtrees.join(site_templates(subtrees, rows, spec), ["host", "subtree"], "left_semi")
+    met = met.groupBy("host", "key").agg(F.collect_set("subtree").alias("subtrees"))
     schema = T.StructType([rows.schema["id"], rows.schema["url"], T.StructField("text", T.StringType())])
-
-    def part_of(number: int) -> Column:
-        return F.pmod(F.xxhash64("host"), F.lit(passes)) == number
-
-    texts = []
-    for number in range(passes):
-        known = {r["host"]: frozenset(r["subtrees"]) for r in found.filter(part_of(number)).collect()}
-        mine = rows if passes == 1 else rows.filter(part_of(number))
-        texts.append(mine.select("id", "url", "host", "html").mapInArrow(lambda b, known=known: _extract(b, known), schema))
-    found.unpersist()
-    whole = functools.reduce(DataFrame.unionByName, texts)
+    whole = rows.join(met, ["host", "key"], "left").select("id", "url", "html", "subtrees").mapInArrow(_extract, schema)
     return whole.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

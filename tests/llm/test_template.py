@@ -56,5 +56,19 @@ def test_given_pages_against_plain_reading(spark, sf_dir):
         assert found[r["page_id"]] == " ".join(" ".join(blocks).split())
 
 
+def test_templates_stay_off_the_driver(spark, monkeypatch):
+    rows = [(k, "http://a.example/", f"<div>Same</div><p>Story {k % 7}</p>") for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def refused(*args):
+        raise AssertionError("rows brought to the driver")
+
+    with monkeypatch.context() as m:
+        for name in ("collect", "first", "head", "take", "toLocalIterator", "toPandas", "toArrow"):
+            m.setattr(type(pages), name, refused)
+        found = template.extract(pages, template.Template(least_pages=4))
+    assert {r["page_id"]: r["text"] for r in found.collect()} == {k: f"Story {k % 7}" for k in range(20)}
+
+
 def test_empty_table(spark):
     assert template.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
