@@ -6,7 +6,7 @@ itself marks as menu, header, footer, sidebar, notice, advert, form, script or c
 few pages. Inside an article (or main part) running text is never template, however often a site repeats it, so there only
 subtrees of mostly links can be. The text of the article, or of the whole page if it has none, is what remains.
 
-``least_pages`` and ``least_share`` say what many pages are. Templates are joined to the subtrees of the pages, and a page
+``least_pages`` says what many pages are, on hosts of every size. Templates are joined to the subtrees of the pages, and a page
 is handed only those that it has itself; nothing of them goes through the driver. Equal pages of a host are joined as one.
 
 Defined results: null pages are empty; null urls and urls without ``://`` form one site. Repeated rows give a row
@@ -31,8 +31,7 @@ from shoebox.session import cut
 @dataclass(frozen=True)
 class Template:
     least_pages: int = 5
-    least_share: float = 0.02
-    pass_rows: int = 500_000
+    pass_rows: int = 500_000  # no longer used, as there are no passes
 
 
 # What a page calls its parts.
@@ -150,12 +149,10 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "key", "subtree"])
 
 
-def site_templates(subtrees: DataFrame, pages: DataFrame, spec: Template) -> DataFrame:
+def site_templates(subtrees: DataFrame, spec: Template) -> DataFrame:
     """``host, subtree`` for every subtree that recurs on many pages of the host; ``subtrees`` has a row for each one of each page."""
     counts = subtrees.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    often = counts.filter(F.col("n") >= spec.least_pages).join(hosts, "host")
-    return often.filter(F.col("n") >= F.col("pages") * spec.least_share).select("host", "subtree")
+    return counts.filter(F.col("n") >= spec.least_pages).select("host", "subtree")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +172,7 @@ def extract(pages: DataFrame, spec: Template = Template(), id_col: str = "page_i
     # Pages of a host with one key only share their own templates of that host, so a chance match of two hashes does no harm.
     rows = rows.withColumn("key", F.xxhash64("html"))
     subtrees = cut(rows.select("host", "key", "html").mapInArrow(_hash_rows, "host string, key long, subtree long"), "subtrees")
-    met = subtrees.join(site_templates(subtrees, rows, spec), ["host", "subtree"], "left_semi")
+    met = subtrees.join(site_templates(subtrees, spec), ["host", "subtree"], "left_semi")
     met = met.groupBy("host", "key").agg(F.collect_set("subtree").alias("subtrees"))
     schema = T.StructType([rows.schema["id"], rows.schema["url"], T.StructField("text", T.StringType())])
     whole = rows.join(met, ["host", "key"], "left").select("id", "url", "html", "subtrees").mapInArrow(_extract, schema)

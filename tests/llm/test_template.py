@@ -70,5 +70,11 @@ def test_templates_stay_off_the_driver(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in found.collect()} == {k: f"Story {k % 7}" for k in range(20)}
 
 
+def test_least_pages_do_not_grow_with_the_host(spark):
+    rows = [(k, "http://a.example/", f"<div>{'Six of six hundred' if k < 6 else f'Words {k}'}</div><div>Story {k}</div>") for k in range(600)]
+    found = template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in found} == {k: f"Story {k}" if k < 6 else f"Words {k} Story {k}" for k in range(600)}
+
+
 def test_empty_table(spark):
     assert template.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
