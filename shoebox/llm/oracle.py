@@ -42,3 +42,34 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
 """
+
+# CRC-32 of the decimal id, bit by bit; 3988292384 is its reversed polynomial.
+_CRC = """xor(list_reduce([4294967295::BIGINT] || [ascii(ch)::BIGINT FOR ch IN string_split(conv_id::VARCHAR, '')],
+  LAMBDA acc, x: list_reduce([xor(acc, x), 0, 0, 0, 0, 0, 0, 0, 0], LAMBDA y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295::BIGINT)"""
+
+ORACLES["op12_prefix_tree"] = rf"""
+WITH turns AS (
+  SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), lists AS (SELECT conv_id, list(t ORDER BY pos) AS seq, {_CRC} % 4 AS h FROM turns GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, coalesce(d.seq[1 : c.h], []) || c.seq[c.h + 1 :] AS seq
+  FROM lists c LEFT JOIN lists d ON d.conv_id = c.conv_id - c.conv_id % 20
+), members AS (SELECT conv_id, d, seq[1 : d] AS node, len(seq) = d AS ends FROM rebuilt, unnest(range(len(seq) + 1)) AS u(d)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY 1, 2
+), kids AS (SELECT node[1 : d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+worth AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.node[d].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM nodes n LEFT JOIN kids k ON k.node = n.node
+), below AS (
+  SELECT node[1 : a] AS node, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens
+  FROM worth, unnest(range(d + 1)) AS u(a) GROUP BY 1
+)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM worth w JOIN below b ON b.node = w.node LEFT JOIN nodes p ON w.d > 0 AND p.node = w.node[1 : w.d - 1]
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import bpe, crf, decontam, forest, licences, quotes, sketch, template, trietokens, urlrules
+from shoebox.llm import bpe, crf, decontam, forest, licences, prefixtrie, quotes, sketch, template, trietokens, urlrules
 from shoebox.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op5_licence_scan(spark, sf_dir):
 @query
 def op6_site_templates(spark, sf_dir):
     return template.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_prefix_tree(spark, sf_dir):
+    return prefixtrie.prefix_tree(table(spark, sf_dir, "conversations"))
