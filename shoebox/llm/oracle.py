@@ -73,3 +73,17 @@ worth AS (
 SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
 FROM worth w JOIN below b ON b.node = w.node LEFT JOIN nodes p ON w.d > 0 AND p.node = w.node[1 : w.d - 1]
 """
+
+ORACLES["op13_term_pipeline"] = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+total AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM docs),
+asked AS (SELECT i, item_id, t, count(*) AS times FROM (SELECT row_number() OVER () AS i, item_id, unnest({_WORDS}) AS t FROM benchmark) GROUP BY 1, 2, 3),
+found AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY 1, 2),
+weights AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM found, total GROUP BY 1),
+scores AS (
+  SELECT i, item_id, doc_id, r, sum(times * x.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(d.w) * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN found USING (t) JOIN weights x USING (t) JOIN docs d USING (r), total GROUP BY ALL HAVING score > 0
+)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score
+FROM scores QUALIFY rank <= 10
+"""
