@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import bpe, crf, decontam, forest, licences, prefixtrie, quotes, rankedsearch, sketch, template, trietokens, urlrules
+from shoebox.llm import bpe, crf, decontam, forest, licences, pii, prefixtrie, quotes, rankedsearch, sketch, template, trietokens, urlrules
 from shoebox.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op12_prefix_tree(spark, sf_dir):
 @query
 def op13_term_pipeline(spark, sf_dir):
     return rankedsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_weak_pii(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
