@@ -20,6 +20,7 @@ each. Without candidates nothing is fitted and nothing added. Other columns are
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -50,7 +51,8 @@ LOOSE = {
     r"|\x20(?i:at)\x20[A-Za-z0-9-]{1,63}+(?:\x20(?i:dot)\x20[A-Za-z0-9-]{2,63}+){1,4}+)",
     "ip": r"(?<![0-9A-Za-z:.])(?:[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))\x20?[0-9]{1,3}){3}+|(?:[0-9A-Fa-f]{1,4}:){3,7}+[0-9A-Fa-f]{1,4})",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}[./_ –‑\x20-]{1,3}[0-9]{4,6}[./_ –‑\x20-]{1,3}[0-9]{4,5}(?:[./_ –‑\x20-]{1,3}[0-9]{1,7})?+(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+.])(?:00[1-9][0-9]{0,2}[\x20./-]{1,2}(?:\(0\)\x20?)?|\(0?[0-9]{2,4}\)[\x20./-]{0,2}|0?[0-9]{2,4}[\x20./-]{1,2})[0-9]{3,4}[\x20./-]{1,2}[0-9]{2,5}(?:[\x20./-][0-9]{2,4})?+(?!\.?[0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+.])(?:00[1-9][0-9]{0,2}(?:[\x20./-]{1,2}(?:\(0\)\x20?)?[0-9]{2,5}){2,5}+"
+    r"|(?:\(0?[0-9]{2,4}\)[\x20./-]{0,2}|0?[0-9]{2,4}[\x20./-]{1,2})[0-9]{3,4}[\x20./-]{1,2}[0-9]{2,5}(?:[\x20./-][0-9]{2,4})?+)(?!\.?[0-9A-Za-z])",
 }
 _ANY_LOOSE = "|".join(LOOSE.values())
 
@@ -77,11 +79,10 @@ _BIT = {name: 1 << i for i, name in enumerate(FEATURES)}
 
 @dataclass(frozen=True)
 class Fit:
-    """Rounds of EM, pseudo-counts of a labeler's right, missing and wrong votes, and the least probability that adds a span."""
+    """Rounds of EM, pseudo-counts of a labeler's right and wrong votes, the least probability that adds a span, and the regression's penalty."""
 
     rounds: int = 25
     right: float = 6.0
-    silent: float = 3.0
     wrong: float = 1.0
     least: float = 0.5
     penalty: float = 0.01
@@ -280,7 +281,8 @@ def reliabilities(counts: dict[tuple[str, tuple[int, ...]], int], how: Fit = Fit
     """Probability that a candidate with these votes is personal data, by EM over counted vote patterns.
 
     Labelers are taken as independent given the truth; each kind has its own share of true spans, and each labeler its own
-    chances of the three votes on true and on false spans of that kind. Pseudo-counts keep them the right way round.
+    chances of being right on true and on false spans of that kind; one that says nothing tells nothing. Pseudo-counts keep
+    them the right way round.
     """
     found: dict[tuple[str, tuple[int, ...]], float] = {}
     for kind in sorted({k for k, _ in counts}):
@@ -293,15 +295,17 @@ def reliabilities(counts: dict[tuple[str, tuple[int, ...]], int], how: Fit = Fit
             tables = []
             for labeler in range(len(rows[0][0])):
                 for truth in (1, -1):
-                    table = {truth: how.right, 0: how.silent, -truth: how.wrong}
+                    table = {truth: how.right, -truth: how.wrong}
                     for v, n in rows:
-                        table[v[labeler]] += n * (chance[v] if truth == 1 else 1 - chance[v])
+                        if v[labeler]:
+                            table[v[labeler]] += n * (chance[v] if truth == 1 else 1 - chance[v])
                     scale = sum(table.values())
                     tables.append((labeler, truth, {vote: x / scale for vote, x in table.items()}))
             for v, _ in rows:
                 odds = math.log(share) - math.log(1 - share)
                 for labeler, truth, table in tables:
-                    odds += truth * math.log(table[v[labeler]])
+                    if v[labeler]:
+                        odds += truth * math.log(table[v[labeler]])
                 chance[v] = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
         found |= {(kind, v): chance[v] for v, _ in rows}
     return found
@@ -333,7 +337,9 @@ def fitted(found: DataFrame, how: Fit = Fit()) -> list[float] | None:
         # The logarithm keeps common numbers from outvoting rare forms.
         weight = 1 + math.log(r.n)
         rows += [(r.kind, r.bits, 1.0, weight * p), (r.kind, r.bits, 0.0, weight * (1 - p))]
-    labelled = found.sparkSession.createDataFrame(rows, "kind string, bits int, label double, weight double").coalesce(1)
+    entries = [dict(zip(("kind", "bits", "label", "weight"), r)) for r in rows]
+    table = F.from_json(F.lit(json.dumps(entries)), "array<struct<kind:string,bits:int,label:double,weight:double>>")
+    labelled = found.sparkSession.range(1).coalesce(1).select(F.inline(table))
     inputs = [c.alias(f"f{i}") for i, c in enumerate(_inputs(F.col("kind"), F.col("bits")))]
     wide = VectorAssembler(inputCols=[f"f{i}" for i in range(len(inputs))], outputCol="features").transform(labelled.select("label", "weight", *inputs))
     model = LogisticRegression(weightCol="weight", regParam=how.penalty, maxIter=60, standardization=False).fit(wide.select("label", "weight", "features"))

@@ -94,7 +94,9 @@ def posterior(counts, chance, how):
     share = (sum(n * chance[v] for v, n in counts.items()) + 1) / (sum(counts.values()) + 2)
 
     def table(labeler, truth, vote):
-        prior = {truth: how.right, 0: how.silent, -truth: how.wrong}
+        if not vote:
+            return 1
+        prior = {truth: how.right, -truth: how.wrong}
         mass = {x: prior[x] + sum(n * (chance[v] if truth > 0 else 1 - chance[v]) for v, n in counts.items() if v[labeler] == x) for x in prior}
         return mass[vote] / sum(mass.values())
 
