@@ -1,11 +1,12 @@
 """URL filters: rules for hosts and paths, then association rules mined from labelled urls.
 
-A url's tokens are the labels of its host and the words of its path. Labelled urls become baskets of their tokens
-and rules are token sets that enough bad urls hold, at every size of the table the same number, and that few other urls hold. Sets
-are mined one token longer at a time. A set is only made longer while it is no rule, as a longer one would block nothing
-more, and while each of its tokens narrows it, as without that token it would stand for the same urls. Both leave out no rule
-that is kept. Rules are matched through an inverted index: each rule is listed under its rarest token, so a url
-looks up its tokens and checks only the rules found there.
+A url's tokens are the labels of its host and the words of its path. Labelled urls become baskets of their tokens.
+FP-growth finds the token sets that enough bad urls hold, at every size of the table the same number; how many of all
+labelled urls hold such a set, and so its confidence, comes from a join through an inverted index. A rule needs both, and
+only least rules are kept, as a longer one would block nothing more. Before mining, tokens that stand in the same labelled
+urls become one, and tokens that are rules by themselves are taken out: neither changes the least rules, up to the choice
+between tokens that are never apart. Rules are matched through an inverted index as well: each is listed under its rarest
+token, so a url looks up its tokens and checks only the rules found there.
 
 Fixed rules go first: a rule fits its host and the host's subdomains where the path starts with the rule's path; the
 longest one decides. A url that no rule fits is blocked if a mined rule matches it, else allowed.
@@ -16,8 +17,10 @@ unknown pages are not used, repeated labels of a page make it bad if any does. R
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,41 +78,50 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_sort(F.array_except(F.array_distinct(F.concat(labels, parts)), F.array(F.lit("h:"), F.lit("p:"))))
 
 
+def _least(rules: DataFrame) -> DataFrame:
+    """Rules that hold no other rule."""
+    inner = rules.select(F.col("tokens").alias("inner"), F.array_min("tokens").alias("t"))
+    outer = rules.select("tokens", F.explode("tokens").alias("t"))
+    longer = outer.join(inner, "t").filter((F.size("inner") < F.size("tokens")) & (F.size(F.array_except("inner", "tokens")) == 0))
+    return rules.join(longer.select("tokens").distinct(), "tokens", "left_anti")
+
+
 def mine(baskets: DataFrame, spec: Mining) -> DataFrame:
     """``tokens, confidence, support`` of the rules found in rows ``tokens, bad``."""
-    spark = baskets.sparkSession
-    none = spark.createDataFrame([], "tokens array<string>, confidence double, support double")
     sets = baskets.filter(F.size("tokens") > 0).select(F.array_sort("tokens").alias("held"), F.col("bad").cast("long").alias("bad"))
     sets = sets.groupBy("held").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
     sets = cut(sets.withColumn("basket", F.monotonically_increasing_id()), "baskets")
-    total = sets.agg(F.sum("n")).first()[0]
-    if not total:
-        return none
-    least = max(spec.urls, spec.support * total)
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    least = max(1, spec.urls, math.ceil(spec.support * total))
     confidence = F.col("bad") / F.col("n")
 
-    def counted(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("tokens").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter((F.col("bad") > 0) & (F.col("bad") >= least))
-
-    placed = sets.select("basket", "n", "bad", F.explode(F.transform("held", lambda t: F.array(t))).alias("tokens"))
-    often = cut(counted(placed), "often")
-    rules = none
-    while True:
-        rules = rules.unionByName(often.filter(confidence >= spec.confidence).select("tokens", confidence.alias("confidence"), (F.col("n") / total).alias("support")))
-        wide = often.filter(confidence < spec.confidence)
-        if wide.isEmpty():
-            return rules
-        # Sets of a basket that differ in the last token make one set of a token more.
-        placed = cut(placed.join(wide.select("tokens"), "tokens", "left_semi").select("basket", "n", "bad", "tokens"), "placed")
-        head, last = F.expr("slice(tokens, 1, size(tokens) - 1)"), F.element_at("tokens", -1)
-        other = placed.select("basket", head.alias("head"), last.alias("more"))
-        pairs = placed.withColumns({"head": head, "last": last}).join(other, ["basket", "head"]).filter(F.col("last") < F.col("more"))
-        placed = cut(pairs.select("basket", "n", "bad", F.concat("tokens", F.array("more")).alias("tokens")), "longer")
-        longer = counted(placed)
-        parts = longer.withColumn("t", F.explode("tokens")).select(F.col("tokens").alias("whole"), "n", "bad", F.array_except("tokens", F.array("t")).alias("tokens"))
-        parts = parts.join(wide.select("tokens", F.col("n").alias("around")), "tokens").filter(F.col("around") > F.col("n"))
-        full = parts.groupBy(F.col("whole").alias("tokens"), "n", "bad").agg(F.count(F.lit(1)).alias("parts"))
-        often = cut(full.filter(F.col("parts") == F.size("tokens")).drop("parts"), "often")
+    def rules_of(counted: DataFrame) -> DataFrame:
+        good = counted.filter((F.col("bad") >= least) & (confidence >= spec.confidence))
+        return good.select("tokens", confidence.alias("confidence"), (F.col("n") / F.lit(max(1, total))).alias("support"))
+
+    placed = sets.select("basket", "n", "bad", F.explode("held").alias("token"))
+    # Tokens of the same baskets have the same counts and hash sums.
+    marks = [F.sum(F.xxhash64("basket", F.lit(k)).cast("decimal(38,0)")).alias(f"mark{k}") for k in (1, 2)]
+    counts = placed.groupBy("token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), *marks).filter(F.col("bad") >= least)
+    kept = cut(counts.groupBy("n", "bad", "mark1", "mark2").agg(F.min("token").alias("token")).select("token", "n", "bad"), "tokens")
+    single = rules_of(kept.withColumn("tokens", F.array("token")))
+    open_tokens = kept.filter(confidence < spec.confidence).select("token")
+    placed = cut(placed.join(open_tokens, "token", "left_semi"), "placed")
+    bad_baskets = placed.filter(F.col("bad") > 0).groupBy("basket", "bad").agg(F.collect_set("token").alias("items"))
+    bad_baskets = cut(bad_baskets.filter(F.size("items") > 1).select("items", F.explode(F.sequence(F.lit(1), F.col("bad").cast("int")))).select("items"), "bad")
+    urls = bad_baskets.count()
+    if urls < least:
+        return single
+    # The half keeps the rounding of the product below the count that is asked for.
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / urls, minConfidence=1.0).fit(bad_baskets).freqItemsets
+    found = cut(found.filter(F.size("items") > 1).select(F.array_sort("items").alias("tokens")), "frequent")
+    # Each set is looked up under its token of fewest baskets.
+    often = placed.groupBy("token").agg(F.count(F.lit(1)).alias("baskets"))
+    listed = found.select("tokens", F.explode("tokens").alias("token")).join(often, "token")
+    listed = listed.groupBy("tokens").agg(F.min(F.struct("baskets", "token")).alias("r")).select("tokens", "r.token")
+    around = placed.join(listed, "token").join(sets.select("basket", "held"), "basket").filter(F.size(F.array_except("tokens", "held")) == 0)
+    counted = around.groupBy("tokens").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    return _least(cut(single.unionByName(rules_of(counted)), "rules"))
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
