@@ -127,9 +127,11 @@ def familiarity(shares: np.ndarray, f: Features) -> np.ndarray:
     return np.add.reduceat(shares[f.trigrams], f.firsts, axis=0) / np.diff(np.append(f.firsts, len(f.trigrams)))[:, None]
 
 
-def posteriors(score: np.ndarray, bounds: np.ndarray, transition: np.ndarray) -> np.ndarray:
+def posteriors(score: np.ndarray, bounds: np.ndarray, transition: np.ndarray, moves: np.ndarray | None = None) -> np.ndarray:
     """Probability of each label for each word: forward-backward over every text.
 
+    To ``moves`` (labels x labels), if given, the expected number of moves from label to label is added.
+
     Texts are cut into blocks of words. Products of the transfer matrices of a block carry the forward and
     backward vectors from block to block, then all blocks are walked side by side.
     """
@@ -176,6 +178,12 @@ def posteriors(score: np.ndarray, bounds: np.ndarray, transition: np.ndarray) ->
     v = after
     for t in range(BLOCK - 1, -1, -1):
         result[:, t] = forward[:, t] * v
+        if moves is not None:
+            # The word before stands in this block or ends the block before.
+            on = np.flatnonzero(live[:, t] & ~opening[:, t])
+            earlier = forward[on, t - 1] if t else forward[on - 1, BLOCK - 1]
+            joint = earlier[:, :, None] * step[None] * (v * local[:, t])[on, None, :]
+            moves += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         moved = scaled((v * local[:, t]) @ step.T)
         v = np.where(live[:, t, None], moved, v)
     result /= result.sum(axis=2, keepdims=True)
@@ -219,8 +227,8 @@ def _fit(raw: np.ndarray, bounds: np.ndarray, label: np.ndarray, labels: int, sp
             lexicon_on = known[take]
             score = np.add.reduceat(weights[trigrams], np.cumsum(lengths[take]) - lengths[take], axis=0)
             score = score + weights[f.fixed[take, 0]] + weights[f.fixed[take, 1]] + weights[lexicon] * lexicon_on[:, None]
-            chance = posteriors(score, spans, transition)
-            error = chance.copy()
+            expected = np.zeros((labels, labels))
+            error = posteriors(score, spans, transition, expected)
             error[np.arange(len(take)), truth[take]] -= 1
             error /= len(take)
             index = np.concatenate([trigrams, f.fixed[take, 0], f.fixed[take, 1], lexicon[lexicon_on]])
@@ -231,14 +239,11 @@ def _fit(raw: np.ndarray, bounds: np.ndarray, label: np.ndarray, labels: int, sp
             grad += spec.decay * weights / len(chains)
             square_w += (grad * len(chains)) ** 2
             weights -= spec.rate * grad * len(chains) / np.sqrt(square_w)
-            # Expected less observed moves, from the pairwise probabilities.
+            # Expected less observed moves: the gradient of the negative log likelihood.
             inner_pairs = np.setdiff1d(np.arange(len(take) - 1), spans[1:-1] - 1)
-            left, right = chance[inner_pairs], chance[inner_pairs + 1]
-            joint = left[:, :, None] * right[:, None, :] * np.exp(transition)[None]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
             seen = np.zeros((labels, labels))
             np.add.at(seen, (truth[take][inner_pairs], truth[take][inner_pairs + 1]), 1)
-            move = (joint.sum(axis=0) - seen) / max(1, len(inner_pairs)) + spec.decay * transition
+            move = (expected - seen) / max(1, len(inner_pairs)) + spec.decay * transition
             square_t += move**2
             transition -= spec.rate * move / np.sqrt(square_t)
     return weights, transition

@@ -2,6 +2,7 @@ import base64
 import itertools
 
 import numpy as np
+import pytest
 
 from shoebox.llm import crf
 from tests.llm.helpers import AWKWARD, documents
@@ -21,6 +22,46 @@ def test_posteriors_equal_enumeration():
         np.testing.assert_allclose(found[s:e], total / total.sum(axis=1, keepdims=True), rtol=1e-5)
 
 
+def paths(score, transition):
+    """All label sequences with their unnormalised log weights."""
+    for path in itertools.product(range(score.shape[1]), repeat=len(score)):
+        yield path, sum(score[t, y] for t, y in enumerate(path)) + sum(transition[a, b] for a, b in zip(path, path[1:]))
+
+
+def log_likelihood(score, bounds, transition, truth):
+    total = 0.0
+    for s, e in zip(bounds, bounds[1:]):
+        if e > s:
+            weights = dict(paths(score[s:e], transition))
+            total += weights[tuple(truth[s:e])] - np.log(sum(np.exp(w) for w in weights.values()))
+    return total
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 64])
+def test_expected_moves_equal_enumeration_and_finite_differences(monkeypatch, block):
+    monkeypatch.setattr(crf, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    score, transition = rng.normal(size=(11, 3)), 2 * rng.normal(size=(3, 3))
+    bounds, truth = np.array([0, 5, 5, 6, 11]), rng.integers(0, 3, 11)
+    expected = np.zeros((3, 3))
+    crf.posteriors(score, bounds, transition, expected)
+    plain = np.zeros((3, 3))
+    for s, e in ((0, 5), (6, 11)):
+        weights = {path: np.exp(w) for path, w in paths(score[s:e], transition)}
+        for path, w in weights.items():
+            for a, b in zip(path, path[1:]):
+                plain[a, b] += w / sum(weights.values())
+    np.testing.assert_allclose(expected, plain, rtol=1e-9)
+    seen = np.zeros((3, 3))
+    for s, e in ((0, 5), (6, 11)):
+        np.add.at(seen, (truth[s : e - 1], truth[s + 1 : e]), 1)
+    for a, b in itertools.product(range(3), repeat=2):
+        near = np.zeros((3, 3))
+        near[a, b] = 1e-5
+        slope = (log_likelihood(score, bounds, transition + near, truth) - log_likelihood(score, bounds, transition - near, truth)) / 2e-5
+        assert abs(slope - (seen - expected)[a, b]) < 1e-6
+
+
 def test_blocks_join_exactly(monkeypatch):
     rng = np.random.default_rng(1)
     score, transition = rng.normal(size=(700, 4)).astype(np.float32), rng.normal(size=(4, 4))
