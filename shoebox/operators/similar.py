@@ -37,7 +37,7 @@ from shoebox.operators.skew import spread_join
 from shoebox.session import cut, default_blocks
 
 DEFAULT_RADIUS = 0.15
-# The first prefix is this part of the library, each later one as many times the one before.
+# A prefix that would form too many pairs is cut to this part; each later one is as many times the one before.
 PREFIX_GROWTH = 8
 PAIRS_PER_BLOCK = 1_000_000  # that one task of a join may form
 PROBE_COST = 25  # one probe row costs about as much as this many hash comparisons
@@ -236,55 +236,134 @@ def _edges(
     return cut(near.select("a", "b"), "edges")
 
 
-def non_leaders(edges: DataFrame, rounds: int = 6, component_edges: int = 500_000) -> DataFrame:
-    """Ranks of images that are not leaders, given all pairs within the radius.
+def _settle_round(links: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """One round over links ``a, b, odd``: the links left, the images covered, and those of them whose links are still to be read.
 
-    Each round, an image without an earlier open neighbour leads and its neighbours are covered;
-    their own pairs then no longer count. That settles all but long chains, as in a
-    slow pan, where each image resembles only the next. After ``rounds`` rounds, connected
-    components of at most ``component_edges`` pairs are walked in order, one group each; larger
-    ones go on in rounds.
+    A link says that ``b`` is covered if ``a`` leads (``odd`` 0), or if ``a`` is covered (1). Images without a link to
+    them lead, but for those ``known`` to be covered. ``known`` is only there after a contraction, as are odd links.
     """
-    covered = edges.select(F.col("b").alias("rank")).limit(0)
-    open_edges, passed = edges, 0
-    while not open_edges.isEmpty():
-        if passed == rounds:
-            done, open_edges = _walk_components(open_edges, component_edges)
-            covered, passed = covered.unionByName(done), 0
-            continue
-        leads = open_edges.select("a").distinct().join(open_edges.select(F.col("b").alias("a")), "a", "left_anti")
-        newly = open_edges.join(leads, "a", "left_semi").select("b").distinct()
-        still = (
-            open_edges.join(leads, "a", "left_anti")
-            .join(newly.select(F.col("b").alias("a")), "a", "left_anti")
-            .join(newly, "b", "left_anti")
+    leads = links.select("a").distinct().join(links.select(F.col("b").alias("a")), "a", "left_anti")
+    if known is None:
+        covered = links.join(leads, "a", "left_semi").select("b").distinct()
+        read, later = leads, None
+    else:
+        leads = leads.join(known.select(F.col("b").alias("a")), "a", "left_anti")
+        state = leads.withColumn("lead", F.lit(1)).unionByName(known.select(F.col("b").alias("a"), F.lit(0).alias("lead")))
+        stated = links.join(state, "a")
+        covered = cut(stated.filter(F.col("lead") != F.col("odd")).select("b").distinct(), "covered")
+        later = links.filter("odd = 1").join(covered.select(F.col("b").alias("a")), "a", "left_semi").select("b").distinct()
+        later = later.join(covered, "b", "left_anti")
+        read = state.select("a")
+    done = covered if later is None else covered.unionByName(later)
+    still = (
+        links.join(read, "a", "left_anti")
+        .join(covered.select(F.col("b").alias("a")), "a", "left_anti")
+        .join(done, "b", "left_anti")
+    )
+    # Covered images (without an ``a``) and the links still open, settled in one write.
+    marks = covered.select(F.lit(None).cast("long").alias("a"), "b", F.lit(0).alias("odd"))
+    rows = still.unionByName(marks)
+    if later is not None:
+        rows = rows.unionByName(later.select(F.lit(None).cast("long").alias("a"), "b", F.lit(1).alias("odd")))
+    step = cut(rows, "round")
+    new = step.filter(F.col("a").isNull())
+    return step.filter(F.col("a").isNotNull()), new.select("b"), None if later is None else new.filter("odd = 1").select("b")
+
+
+def _contract(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Skip images whose state follows from one other image; also the images this shows to be covered.
+
+    An image with a single link to it is the opposite of the image there, or the same where the link is odd. Such steps
+    compose: pointers double until each of these images points at one that is not of the kind, in as many rounds
+    as the logarithm of the longest run. All links then start at such ends. One that is linked both ways, evenly and oddly, to the
+    same end is covered either way.
+    """
+    single = links.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.first("a").alias("to"), F.first("odd").alias("odd")).filter("n = 1")
+    points = cut(single.select("b", "to", (1 - F.col("odd")).alias("flip")), "points")
+    while True:
+        onward = points.select(F.col("b").alias("to"), F.col("to").alias("next"), F.col("flip").alias("turn"))
+        moved = spread_join(points, onward, ["to"], ["b"])
+        points = cut(
+            moved.select("b", F.coalesce("next", "to").alias("to"), F.col("flip").bitwiseXOR(F.coalesce("turn", F.lit(0))).alias("flip"), F.col("next").isNotNull().alias("more")),
+            "points",
         )
-        # Covered images (without an ``a``) and the pairs still open, settled in one write.
-        step = cut(still.unionByName(newly.withColumn("a", F.lit(None).cast("long"))), "round")
-        covered = covered.unionByName(step.filter(F.col("a").isNull()).select(F.col("b").alias("rank")))
-        open_edges, passed = step.filter(F.col("a").isNotNull()), passed + 1
-    return covered
+        if points.filter("more").isEmpty():
+            break
+        points = points.drop("more")
+    ends = points.select(F.col("b").alias("a"), "to", "flip")
+    skipped = spread_join(links, ends, ["a"], ["b"])
+    skipped = skipped.select(F.coalesce("to", "a").alias("a"), "b", F.col("odd").bitwiseXOR(F.coalesce("flip", F.lit(0))).alias("odd")).distinct()
+    skipped = cut(skipped, "skipped")
+    both = skipped.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("b").distinct()
+    covered = cut(both, "both")
+    return skipped.join(covered, "b", "left_anti"), covered
+
 
+def non_leaders(edges: DataFrame, rounds: int = 4, walk_edges: int = 500_000) -> DataFrame:
+    """Ranks of images that are not leaders, given all pairs ``a < b`` within the radius.
 
-def _walk_components(edges: DataFrame, component_edges: int) -> tuple[DataFrame, DataFrame]:
-    """Non-leaders of the small connected components, and the pairs of the large ones."""
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    labels = components(nodes, edges).withColumnRenamed("node", "a")
-    labelled = cut(edges.join(labels, "a"), "labelled")
-    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    sized = labelled.join(sizes, "label")
+    Each round, an image without an earlier open neighbour leads and its neighbours are covered;
+    their own pairs then no longer count. That settles all but long chains, as in a slow pan, where each image resembles the
+    next. After every ``rounds`` rounds these are contracted. Where images resemble several earlier ones, a
+    contraction alone may leave chains, so the connected components are then walked in order, each one a task, by
+    ``walk_edges`` links a time. A component of any size moves on by as many.
+    """
+    links = edges.select("a", "b", F.lit(0).alias("odd"))
+    covered, passed, known = links.select(F.col("b").alias("rank")).limit(0), 0, None
+    while not links.isEmpty():
+        links, new, known = _settle_round(links, known)
+        covered, passed = covered.unionByName(new.select(F.col("b").alias("rank"))), passed + 1
+        if known is not None and known.isEmpty():
+            known = None if links.filter("odd = 1").isEmpty() else known
+        if passed % rounds == 0 and not links.isEmpty():
+            # The state of covered images must have been read before their links are skipped.
+            while known is not None and not known.isEmpty():
+                links, new, known = _settle_round(links, known)
+                covered = covered.unionByName(new.select(F.col("b").alias("rank")))
+            if passed % (2 * rounds) == 0:
+                links, known = _walk_components(links, walk_edges)
+            else:
+                links, known = _contract(links)
+            covered = covered.unionByName(known.select(F.col("b").alias("rank")))
+    return covered
 
-    def walk(pairs: pd.DataFrame) -> pd.DataFrame:
-        after = pairs.groupby("a")["b"].agg(list)
-        done: set[int] = set()
-        for rank, neighbours in after.items():
-            if rank not in done:
-                done.update(neighbours)
-        return pd.DataFrame({"rank": sorted(done)}, dtype="int64")
 
-    small = sized.filter(F.col("n") <= component_edges).select("label", "a", "b")
-    done = cut(small.groupBy("label").applyInPandas(walk, "rank long"), "walked")
-    return done, sized.filter(F.col("n") > component_edges).select("a", "b")
+def _walk_components(links: DataFrame, walk_edges: int) -> tuple[DataFrame, DataFrame]:
+    """Walk the earliest ``walk_edges`` links of each connected component: the links left, and the images found covered."""
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    labels = components(nodes, links.select("a", "b")).withColumnRenamed("node", "a")
+    labelled = cut(spread_join(links, labels, ["a"], ["b"], "inner"), "labelled")
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("b", F.lit(0.0)).alias("first"))
+    large = sizes.filter(F.col("n") > walk_edges).select("label", "n", "first")
+    ends = sizes.filter(F.col("n") <= walk_edges).select("label", F.lit(None).cast("long").alias("end"))
+    # Of a large component, the links to its earliest images, of which there are about as many as are asked for.
+    share = F.lit(float(walk_edges)) / F.col("n")
+    quantiles = spread_join(labelled, large, ["label"], ["b"], "inner").groupBy("label").agg(
+        F.percentile_approx("b", F.array(*[F.lit(i / 1000) for i in range(1001)]), 100_000).alias("q"), F.first("n").alias("n")
+    )
+    ends = ends.unionByName(quantiles.select("label", F.get("q", F.floor(share * 1000).cast("int")).alias("end")))
+    dealt = cut(spread_join(labelled, ends, ["label"], ["b"], "inner").withColumn("now", F.coalesce(F.col("b") <= F.col("end"), F.lit(True))), "dealt")
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        state: dict[int, int] = {}
+        order = rows.sort_values("b", kind="stable")
+        # An image leads unless some link covers it; links come by their later end, so all earlier states are known.
+        for b, a, odd in zip(order["b"].tolist(), order["a"].tolist(), order["odd"].tolist()):
+            if state.setdefault(a, 1) != odd:
+                state[b] = 0
+            else:
+                state.setdefault(b, 1)
+        return pd.DataFrame({"node": list(state), "lead": list(state.values())}, dtype="int64")
+
+    walked = cut(dealt.filter("now").select("label", "a", "b", "odd").groupBy("label").applyInPandas(walk, "node long, lead long"), "walked")
+    rest = dealt.filter(~F.col("now")).select("a", "b", "odd")
+    stated = spread_join(rest, walked.withColumnRenamed("node", "a"), ["a"], ["b"])
+    # A link from a walked image is read here; the others stay.
+    met = stated.filter(F.col("lead") != F.col("odd")).select("b").distinct()
+    covered = walked.filter("lead = 0").select(F.col("node").alias("b"))
+    met = cut(met.join(covered, "b", "left_anti"), "met")
+    left = stated.filter(F.col("lead").isNull()).select("a", "b", "odd").join(met, "b", "left_anti")
+    return cut(left, "left"), cut(covered.unionByName(met), "walked")
 
 
 def _ranked(features: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
@@ -320,12 +399,12 @@ def _ranked(features: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
 
 
 def _prefix_end(
-    open_rows: DataFrame, left: int, wanted: int, bands: Bands, radius: float, budget: int
+    open_rows: DataFrame, left: int, last: int, wanted: int, bands: Bands, radius: float, budget: int
 ) -> int:
     """Last rank of the next prefix: about ``wanted`` open images, fewer while they would form too many pairs."""
     size = wanted
     while True:
-        ahead = open_rows.agg(F.percentile_approx("rank", min(1.0, size / left), 100_000)).first()[0]
+        ahead = last if size >= left else open_rows.agg(F.percentile_approx("rank", size / left, 100_000)).first()[0]
         if size <= 1:
             return ahead
         batch = open_rows.filter(F.col("rank") <= ahead)
@@ -345,18 +424,18 @@ def assign_leaders(
 ) -> DataFrame:
     """``image_id, leader_id`` for every valid image; a leader is its own.
 
-    ``features`` has ``image_id, dhash, histogram, valid``; invalid images take no part. Prefixes begin
-    with ``first_prefix`` images; a prefix is made smaller until it forms at most ``pair_budget`` pairs.
+    ``features`` has ``image_id, dhash, histogram, valid``; invalid images take no part. The first prefix is of
+    ``first_prefix`` images, or all; a prefix is made smaller until it forms at most ``pair_budget`` pairs.
     """
     table, copies, total, images = _ranked(features)
     narrow = table.select("rank", "dhash", "sketch")
     bands = plan_bands(radius, total)
     open_rows, left = narrow, total
     settled: list[DataFrame] = []
-    wanted = first_prefix or math.ceil(total / PREFIX_GROWTH)
+    wanted = first_prefix or total
     budget = pair_budget or PAIRS_PER_BLOCK * default_blocks(features.sparkSession)
     while left > 0:
-        end = _prefix_end(open_rows, left, min(wanted, left), bands, radius, budget)
+        end = _prefix_end(open_rows, left, total, min(wanted, left), bands, radius, budget)
         batch = open_rows.filter(F.col("rank") <= end)
         edges = _edges(batch, batch, table, bands, radius)
         covered = non_leaders(edges)

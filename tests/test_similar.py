@@ -89,19 +89,44 @@ def test_chain_of_neighbours(spark):
     assert {r.image_id: r.leader_id for r in got.collect()} == {i: i - i % 2 for i in range(16)}
 
 
-@pytest.mark.parametrize("rounds,component_edges", [(1, 10**6), (1, 30)])
-def test_long_chains_are_walked_by_component(spark, rounds, component_edges):
-    rng = random.Random(7)
-    # One chain of 40, many short ones, and a star.
+def _walked(pairs):
+    """Images covered by some earlier leader, in order."""
+    covered: set[int] = set()
+    for a, b in sorted(pairs):
+        if a not in covered:
+            covered.add(b)
+    return covered
+
+
+def _chains(rng):
     pairs = [(i, i + 1) for i in range(40)] + [(100 + 3 * i + j, 101 + 3 * i + j) for i in range(20) for j in range(2) if rng.random() < 0.8]
     pairs += [(200, 201 + i) for i in range(10)]
-    want: set[int] = set()
-    for a, b in sorted(pairs):
-        if a not in want:
-            want.add(b)
+    # A ladder, where each image resembles the next two, and a thin random tangle.
+    pairs += [(300 + i, 300 + i + k) for i in range(60) for k in (1, 2)]
+    pairs += list({tuple(sorted(rng.sample(range(400, 460), 2))) for _ in range(70)})
+    # Chains that join: both ways round a loop of even and odd length.
+    pairs += [(500, 501), (501, 502), (500, 503), (502, 504), (503, 504), (504, 505), (600, 601), (600, 602), (602, 603), (601, 604), (603, 604)]
+    return pairs
+
+
+@pytest.mark.parametrize("seed,rounds,walk_edges", [(7, 1, 10**6), (8, 1, 60)])
+def test_long_chains_are_contracted_and_walked(spark, seed, rounds, walk_edges):
+    pairs = _chains(random.Random(seed))
     edges = spark.createDataFrame(pairs, "a long, b long")
-    got = [r.rank for r in similar.non_leaders(edges, rounds, component_edges).collect()]
-    assert sorted(got) == sorted(want)
+    got = [r.rank for r in similar.non_leaders(edges, rounds, walk_edges).collect()]
+    assert sorted(got) == sorted(_walked(pairs))
+
+
+def test_chain_of_a_million_settles_in_few_rounds(spark, monkeypatch):
+    n, writes = 1_000_000, []
+    settle, once = similar._settle_round, similar.cut
+    monkeypatch.setattr(similar, "_settle_round", lambda *args: writes.append("round") or settle(*args))
+    monkeypatch.setattr(similar, "cut", lambda df, label="cut": writes.append(label) or once(df, label))
+    monkeypatch.setattr(similar, "_walk_components", None)
+    edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = similar.non_leaders(edges, rounds=3)
+    assert got.count() == n // 2 and got.filter("rank % 2 = 0").isEmpty()
+    assert writes.count("round") // 2 + writes.count("points") < 30
 
 
 @pytest.mark.parametrize("radius", [0.0, 0.05, 0.15, 0.3])
