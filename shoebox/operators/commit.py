@@ -111,14 +111,17 @@ def _copy_one(source: str, target: str, attempt: str) -> tuple[str, str | None]:
 BYTES_PER_TASK = 1 << 30
 
 
-def copy_files(planned: DataFrame, tasks: int | None = None) -> DataFrame:
+def copy_files(planned: DataFrame, bytes_per_task: int = BYTES_PER_TASK) -> DataFrame:
     """Copy every ``status = 'copy'`` row (``id, source, target, size_bytes``); one result row per planned file.
 
-    A manifest row is small but its file is not, so the number of tasks follows from the bytes to copy.
+    A manifest row is small but its file is not: files are packed into bins of about ``bytes_per_task`` by their running
+    total, and each bin is a task. A lost task finds the files it has moved into place.
     """
-    if tasks is None:
-        total = planned.filter(F.col("status") == "copy").agg(F.sum("size_bytes")).first()[0] or 0
-        tasks = max(default_blocks(planned.sparkSession), -(-total // BYTES_PER_TASK))
+    copied = F.when(F.col("status") == "copy", F.coalesce("size_bytes", F.lit(0))).otherwise(0).cast("long")
+    before = running_sum(planned.withColumn("_bytes", copied), ["id"], {"upto": "_bytes"})
+    total = before.agg(F.max("upto")).first()[0] or 0
+    bins = max(default_blocks(planned.sparkSession), -(-total // bytes_per_task))
+    packed = before.withColumn("bin", F.floor(F.col("upto") * F.lit(bins) / F.lit(total + 1)).cast("int"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -140,5 +143,5 @@ def copy_files(planned: DataFrame, tasks: int | None = None) -> DataFrame:
                 }
             )
 
-    rows = planned.select("id", "source", "target", "status", "error").repartition(tasks, "id")
+    rows = packed.select("id", "source", "target", "status", "error", "bin").repartitionByRange(bins, "bin").drop("bin")
     return rows.mapInPandas(run, "id string, status string, error string")

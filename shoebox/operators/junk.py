@@ -74,11 +74,12 @@ def unjudged(images: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def store(verdicts: DataFrame, table_path: str) -> None:
-    """Append verdicts with the time they were made, in seconds."""
-    rows = verdicts.withColumn("image_id", F.col("image_id").cast("string")).withColumn(
-        "processed_at", F.unix_timestamp()
-    )
-    tables.append(rows, table_path, schemas.JUNK_FLAGS)
+    """Add verdicts with the time they were made, in seconds; an image that has one keeps it."""
+    spark = verdicts.sparkSession
+    rows = verdicts.withColumn("image_id", F.col("image_id").cast("string"))
+    known = tables.read_table(spark, table_path, schemas.JUNK_FLAGS)
+    fresh = tables.new_rows(known, rows, order="is_junk", key="image_id")
+    tables.append(fresh.withColumn("processed_at", F.unix_timestamp()), table_path, schemas.JUNK_FLAGS)
 
 
 def flags(verdicts: DataFrame) -> DataFrame:

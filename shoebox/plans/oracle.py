@@ -473,3 +473,22 @@ SELECT owner, min(taken_unix_ms) AS start_unix_ms, max(taken_unix_ms) AS end_uni
        round(avg(latitude), 6) AS centroid_lat, round(avg(longitude), 6) AS centroid_lon
 FROM sessions JOIN closed USING (owner, session_no) GROUP BY owner, trip_id"""
 ORACLES["stream_trips_closed"] = f"WITH {_assigned('owner', 12, 300)} SELECT owner, {_TRIP_COLUMNS} FROM assigned GROUP BY owner, trip_id"
+
+# Pictures are 8 x 8 points of three bytes, uncompressed: 268 bytes a file. A file that is no picture has 6.
+_FILES = """
+named AS (
+  SELECT vec_id, (vec_id % 10) || '/' || CASE vec_id % 7 WHEN 0 THEN '_DSC' WHEN 1 THEN '.h' ELSE 'img' END || vec_id AS stem FROM embeddings),
+files AS (
+  SELECT vec_id, stem || CASE WHEN vec_id % 11 = 0 THEN '.JPG' ELSE '.png' END AS id, CAST(CASE WHEN vec_id % 11 = 0 THEN 6 ELSE 268 END AS BIGINT) AS length, TRUE AS picture FROM named
+  UNION ALL SELECT vec_id, stem || '.xmp', 4, FALSE FROM named WHERE vec_id % 5 = 0)"""
+ORACLES["folder_listing"] = f"WITH {_FILES} SELECT id, length, picture FROM files"
+ORACLES["folder_stream"] = f"WITH {_FILES} SELECT id, length FROM files WHERE picture"
+ORACLES["folder_pictures"] = f"""WITH {_FILES}, {PIXELS},
+light AS (SELECT image_id, 3 * sum(v)::BIGINT AS light FROM pixels GROUP BY image_id)
+SELECT id, CASE WHEN length > 6 THEN 8 END AS width, CASE WHEN length > 6 THEN 8 END AS height, CASE WHEN length > 6 THEN light END AS light
+FROM files JOIN light ON image_id = vec_id WHERE picture"""
+ORACLES["library_resumed"] = """
+SELECT step, step = 1 AS resumed_session, n AS images, n AS stamped
+FROM (SELECT unnest([0, 1, 2]) AS step), (SELECT count(*) AS n FROM embeddings)"""
+ORACLES["junk_stored"] = ORACLES["junk_flags"]
+ORACLES["copied_files"] = f"WITH {_FILES} SELECT id, 'copied' AS first_run, 'present' AS second_run, length FROM files"

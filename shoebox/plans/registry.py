@@ -671,3 +671,99 @@ def stream_trips(spark, sf_dir):
 def stream_trips_closed(spark, sf_dir):
     photos, schema, path, limits = _followed_trips(spark, sf_dir)
     return _rounded(stream_trip.close(spark, photos, schema, path, limits), "centroid_lat", "centroid_lon")
+
+
+# --- files made from the tables --------------------------------------------------------
+
+import time  # noqa: E402
+
+from shoebox import schemas  # noqa: E402
+from shoebox.session import cut  # noqa: E402
+from shoebox.sources.listing import FolderSource  # noqa: E402
+
+
+def _picture_folder(spark: SparkSession, sf_dir: str) -> str:
+    folder = scratch_path(spark, "pictures")
+    fixtures.picture_files(fixtures.colour_tiles(spark, sf_dir), folder)
+    return folder
+
+
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, path, length`` of all files below a folder."""
+    spark.dataSource.register(FolderSource)
+    found = spark.read.format("folder").option("path", folder).load().filter("problem IS NULL")
+    return found.select(paths.relative_id(F.col("path"), folder.removeprefix("file:")).alias("id"), "path", "length")
+
+
+@query
+def folder_listing(spark, sf_dir):
+    """Every file of a folder, hidden names included, and which are pictures by name."""
+    found = _listed(spark, _picture_folder(spark, sf_dir))
+    return found.select("id", "length", paths.is_image(F.col("path")).alias("picture"))
+
+
+@query
+def folder_stream(spark, sf_dir):
+    """Pictures that arrive in two lots, followed by a stream that is started twice."""
+    folder, work = scratch_path(spark, "arriving"), scratch_path(spark, "seen")
+    tiles = fixtures.colour_tiles(spark, sf_dir)
+    for lot in (0, 1):
+        fixtures.picture_files(tiles.filter(F.col("image_id") % 2 == lot), folder)
+        time.sleep(0.5)
+        sinks.finish(sinks.append(ingest.watch_folder(spark, folder, settle_ms=250), f"{work}/out", f"{work}/progress"))
+    seen = spark.read.schema("path string, length long, modified timestamp").parquet(f"{work}/out")
+    return seen.select(paths.relative_id(F.col("path"), folder.removeprefix("file:")).alias("id"), "length")
+
+
+@query
+def folder_pictures(spark, sf_dir):
+    """Decoded pictures: size and sum of all points; unreadable files stay as rows."""
+    folder = _picture_folder(spark, sf_dir)
+    byte = lambda i: F.conv(F.hex(F.substring("data", i, 1)), 16, 10).cast("long")
+    total = F.aggregate(F.transform(F.sequence(F.lit(1), F.octet_length("data")), byte), F.lit(0).cast("long"), lambda a, b: a + b)
+    readable = F.col("height") > 0
+    return files.read_pixels(spark, folder).select(
+        paths.relative_id(F.col("path"), folder.removeprefix("file:")).alias("id"),
+        F.when(readable, F.col("width")).alias("width"),
+        F.when(readable, F.col("height")).alias("height"),
+        F.when(readable, total).alias("light"),
+    )
+
+
+@query
+def library_resumed(spark, sf_dir):
+    """A library that is opened, opened again, and started afresh: what each reports, and how many rows are stamped."""
+    folder, table_path = _picture_folder(spark, sf_dir), scratch_path(spark, "library")
+    found = _listed(spark, folder).filter(paths.is_image(F.col("path"))).withColumns({"width": F.lit(fixtures.TILE), "height": F.lit(fixtures.TILE)})
+    rows = files.image_rows(found, folder.removeprefix("file:")).withColumn("seq", F.col("id"))
+    states = None
+    for step, fresh in enumerate((False, False, True)):
+        state = tables.open_library(spark, table_path, rows, schemas.IMAGES, fresh)
+        stamped = tables.read_table(spark, table_path, schemas.IMAGES).agg(F.count_if(F.col("scanned_at") > 0).alias("stamped"))
+        row = state.select(F.lit(step).alias("step"), "resumed_session", "images", stamped.select("stamped").scalar().alias("stamped"))
+        states = row if states is None else states.unionByName(row)
+    return states
+
+
+@query
+def junk_stored(spark, sf_dir):
+    """Verdicts that are stored twice stand once in the table."""
+    path = scratch_path(spark, "verdicts")
+    for _ in range(2):
+        junk.store(_junk(spark, sf_dir), path)
+    stored = tables.read_table(spark, path, schemas.JUNK_FLAGS)
+    return _rounded(junk.flags(stored).withColumn("image_id", F.col("image_id").cast("long")), "confidence")
+
+
+@query
+def copied_files(spark, sf_dir):
+    """All pictures and sidecars copied, and copied again: the second run finds them."""
+    folder, target = _picture_folder(spark, sf_dir), scratch_path(spark, "copies")
+    found = cut(_listed(spark, folder).select("id", F.col("path").alias("source"), F.col("length").alias("size_bytes")), "found")
+    runs = []
+    for _ in range(2):
+        there = spark.createDataFrame([], "id string, size_bytes long") if not runs else _listed(spark, target).withColumnRenamed("length", "size_bytes")
+        planned = commit.manifest(found, found, there, target).join(found.select("id", "source"), "id")
+        runs.append(cut(commit.copy_files(planned, 10_000), "copied"))
+    first, second = (r.select("id", F.col("status").alias(name)) for r, name in zip(runs, ("first_run", "second_run")))
+    return first.join(second, "id").join(_listed(spark, target).select("id", "length"), "id", "left")

@@ -6,9 +6,14 @@ same definition as SQL.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoebox.sources import storage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -70,6 +75,47 @@ def colour_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def picture_name() -> Column:
+    """Path of each tile's picture within its folder: some names are hidden, every eleventh file is no picture."""
+    vec = F.col("image_id")
+    head = F.when(vec % 7 == 0, "_DSC").when(vec % 7 == 1, ".h").otherwise("img")
+    return F.concat((vec % 10).cast("string"), F.lit("/"), head, vec.cast("string"), F.when(vec % 11 == 0, ".JPG").otherwise(".png"))
+
+
+def _png(red: list[int], green: list[int], blue: list[int]) -> bytes:
+    """An uncompressed picture of TILE x TILE points."""
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    points = [bytes(v for k in range(row * TILE, row * TILE + TILE) for v in (red[k], green[k], blue[k])) for row in range(TILE)]
+    head = struct.pack(">IIBBBBB", TILE, TILE, 8, 2, 0, 0, 0)
+    body = zlib.compress(b"".join(b"\0" + line for line in points), 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+
+
+def picture_files(rows: DataFrame, folder: str) -> None:
+    """Write the pictures of ``colour_tiles`` rows below ``folder``, and a sidecar beside every fifth; tasks write them."""
+
+    def put(path: str, content: bytes) -> None:
+        system, place = storage.open_place(path)
+        system.create_dir(place.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(place) as out:
+            out.write(content)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                path = f"{folder}/{row.name}"
+                put(path, b"broken" if row.image_id % 11 == 0 else _png(list(row.r), list(row.g), list(row.b)))
+                if row.image_id % 5 == 0:
+                    put(f"{path.rpartition('.')[0]}.xmp", b"<x/>")
+            yield batch[["image_id"]]
+
+    named = rows.select("image_id", picture_name().alias("name"), "r", "g", "b")
+    named.mapInPandas(run, "image_id long").agg(F.count("image_id")).collect()
+
+
 def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three near copies of each vector, as feature rows: id, 63-bit hash, histogram, valid."""
     vec = F.col("vec_id")

@@ -6,24 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.functions import paths
-
-BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
-
+from shoebox.session import default_blocks
+from shoebox.sources.listing import FolderSource
 
 def watch_folder(
     spark: SparkSession,
     folder: str,
     extensions: list[str] | None = None,
     cache_marker: str = ".cache",
-    files_per_batch: int | None = None,
+    settle_ms: int = 1000,
 ) -> DataFrame:
-    """Image files as they appear below ``folder``: path, length, modified. Contents are not read."""
-    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true")
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    found = reader.load(folder).select(
-        F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", F.col("modificationTime").alias("modified")
-    )
+    """Image files as they appear below ``folder``, whatever their names: path, length, modified. Contents are not read.
+
+    A file that is changed later comes again; files of the last ``settle_ms`` wait for the next batch.
+    """
+    spark.dataSource.register(FolderSource)
+    reader = spark.readStream.format("folder").option("tasks", default_blocks(spark)).option("settle_ms", settle_ms)
+    found = reader.option("path", folder).load().filter("problem IS NULL").select("path", "length", "modified")
     return found.filter(paths.is_image(F.col("path"), extensions, cache_marker))
 
 

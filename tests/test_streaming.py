@@ -1,12 +1,15 @@
 """Streams over several files must equal the batch operators on all data."""
 
+import os
 import random
 import time
+import types
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoebox.operators import decisions, trips
+from shoebox.sources import listing
 from shoebox.streaming import decisions as stream_fold
 from shoebox.streaming import events, ingest, sinks
 from shoebox.streaming import trips as stream_trips
@@ -101,15 +104,71 @@ def test_split_drops_events_without_kind(spark, tmp_path):
 def test_new_files_only(spark, tmp_path):
     folder = tmp_path / "photos"
     (folder / ".cache").mkdir(parents=True)
-    for name in ["a.jpg", "b.txt", ".cache/c.jpg"]:
+    (folder / "_card" / "100").mkdir(parents=True)
+    for name in ["a.jpg", "b.txt", ".cache/c.jpg", "_DSC1.jpg", "_card/100/.h.png"]:
         (folder / name).write_bytes(b"123")
     out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
-    for extra in [None, "d.PNG"]:
+    for extra in [None, "d.PNG", "_card/_e.jpg"]:
         if extra:
             (folder / extra).write_bytes(b"12345")
-        sinks.finish(sinks.append(ingest.watch_folder(spark, str(folder)), out, progress))
+            # As a copy that keeps the camera's time does.
+            os.utime(folder / extra, (10**9, 10**9))
+        time.sleep(0.2)
+        sinks.finish(sinks.append(ingest.watch_folder(spark, str(folder), settle_ms=50), out, progress))
     got = spark.read.parquet(out).collect()
-    assert sorted((r.path.rsplit("/", 1)[1], r.length) for r in got) == [("a.jpg", 3), ("d.PNG", 5)]
+    names = sorted((r.path.rsplit("/", 1)[1], r.length) for r in got)
+    assert names == [(".h.png", 3), ("_DSC1.jpg", 3), ("_e.jpg", 5), ("a.jpg", 3), ("d.PNG", 5)]
+    assert sum(r.modified.year == 2001 for r in got) == 2
+
+
+def test_folder_source_equals_a_plain_walk(spark, tmp_path):
+    rng = random.Random(3)
+    folders = [tmp_path / "tree" / f for f in ("", "one", "one/two", "one/two/three/four", ".five", "six/_seven")]
+    for k, folder in enumerate(folders):
+        folder.mkdir(parents=True, exist_ok=True)
+        for i in range(rng.randint(0, 400)):
+            (folder / f"{'._x'[i % 3]}{k}-{i}").write_bytes(b"x" * (i % 9))
+    (tmp_path / "tree" / "loop").symlink_to(tmp_path / "tree")
+    spark.dataSource.register(listing.FolderSource)
+    want = sorted((os.path.join(at, n), os.path.getsize(os.path.join(at, n))) for at, _, names in os.walk(tmp_path / "tree") for n in names if n != "loop")
+    for tasks, page in ((1, 7), (5, 10_000)):
+        found = spark.read.format("folder").option("path", str(tmp_path / "tree")).option("tasks", tasks).option("page", page).load().collect()
+        assert sorted((r.path, r.length) for r in found) == want and all(r.problem is None for r in found)
+    flat = spark.read.format("folder").option("path", str(tmp_path / "tree")).option("recursive", "false").load()
+    assert sorted(r.path for r in flat.collect()) == sorted(p for p, _ in want if os.path.dirname(p) == str(tmp_path / "tree"))
+    gone = spark.read.format("folder").option("path", str(tmp_path / "none")).load().collect()
+    assert [(r.path, r.length, r.problem) for r in gone] == [(str(tmp_path / "none"), None, "No such file or directory")]
+
+
+def test_folder_of_many_names_comes_in_pages(tmp_path, monkeypatch):
+    read, names = [], 25_000
+
+    class Entry:
+        def __init__(self, k):
+            self.path = f"{tmp_path}/{k}.jpg"
+            read.append(k)
+
+        def is_dir(self, follow_symlinks=True):
+            return False
+
+        def is_file(self):
+            return True
+
+        def stat(self):
+            return types.SimpleNamespace(st_ctime_ns=0, st_size=1, st_mtime_ns=0)
+
+    class Folder:
+        def __enter__(self):
+            return map(Entry, range(names))
+
+        def __exit__(self, *args):
+            return False
+
+    monkeypatch.setattr(listing.os, "scandir", lambda folder: Folder())
+    pages = listing._pages(str(tmp_path), listing.Share(0, 1), True, 100)
+    # The first page is out after its own names have been read, and no page is larger.
+    assert next(pages).num_rows == 100 and len(read) == 100
+    assert sum(p.num_rows for p in pages) == names - 100
 
 
 def test_repeats_within_delay(spark, tmp_path):
