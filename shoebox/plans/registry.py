@@ -673,6 +673,23 @@ def stream_trips_closed(spark, sf_dir):
     return _rounded(stream_trip.close(spark, photos, schema, path, limits), "centroid_lat", "centroid_lon")
 
 
+@query
+def stream_trips_late(spark, sf_dir):
+    """Every fiftieth event comes a run later, far behind the watermark: trips after a repair and the stream's end."""
+    work = scratch_path(spark, "late")
+    events = fixtures.table(spark, sf_dir, "events")
+    limits = trips.TripThresholds(max_gap_hours=12, max_distance_km=300)
+    schema = fixtures.photos(spark, sf_dir).schema
+    where = (f"{work}/photos", schema, f"{work}/trips", limits)
+    for late in (False, True):
+        events.filter((F.col("event_id") % 50 == 0) == late).write.mode("append").parquet(f"{work}/events")
+        photos = fixtures.photos_from(spark.readStream.schema(events.schema).parquet(f"{work}/events"))
+        sinks.finish(stream_trip.store_photos(photos, where[0], f"{work}/stored"))
+        sinks.finish(stream_trip.follow(photos, where[0], schema, where[2], f"{work}/progress", limits, "1 hour"))
+        stream_trip.repair(spark, *where)
+    return _rounded(stream_trip.close(spark, *where), "centroid_lat", "centroid_lon")
+
+
 # --- files made from the tables --------------------------------------------------------
 
 import time  # noqa: E402

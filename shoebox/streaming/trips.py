@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from shoebox.operators.ordering import previous
 from shoebox.operators.skew import spread_join
 from shoebox.operators.trips import TripThresholds, assign_trips, trip_table, usable
-from shoebox.streaming.sinks import append, for_each, stored, write_batch
+from shoebox.session import cut
+from shoebox.streaming.sinks import append, compact, for_each, stored, write_batch
 
 TRIPS = T.StructType(
     [
@@ -75,14 +77,51 @@ def follow(
     return for_each(closed_sessions(photos, limits, delay), checkpoint, handle)
 
 
+def _held(spark: SparkSession, photo_table: str, photo_schema: T.StructType, path: str, limits: TripThresholds) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored trips, all photos with the end of their owner's last stored trip (``ended``), and owners with late photos.
+
+    Photos are stored whenever they come. One behind the watermark is in no session: its owner has more photos up to the last
+    stored trip's end than the stored trips count. One that just follows a closed session starts another: then trips of
+    two batches, or the last trip and the next photo, are no farther apart than the gap.
+    """
+    gap = int(limits.resolved().max_gap_hours * 3_600_000)
+    done = cut(stored(spark, path, TRIPS), "stored")
+    ended = done.groupBy("owner").agg(F.max("end_unix_ms").alias("ended"), F.sum("photos").alias("counted"))
+    rows = spark.read.schema(photo_schema).parquet(photo_table)
+    rows = spread_join(rows, ended.select("owner", "ended"), ["owner"], ["image_id"])
+    taken, last = F.col("taken_unix_ms"), F.col("ended")
+    seen = rows.groupBy("owner").agg(F.count_if(taken <= last).alias("now"), F.min(F.when(taken > last, taken)).alias("next"))
+    apart = F.col("next") - last
+    behind = seen.join(ended, "owner").filter((F.col("now") != F.col("counted")) | (apart <= gap)).select("owner")
+    order = previous(done, ["owner", "start_unix_ms"], ["owner"], ["end_unix_ms", "batch_id"])
+    parted = (F.col("_prev.batch_id") != F.col("batch_id")) & (F.col("start_unix_ms") - F.col("_prev.end_unix_ms") <= gap)
+    late = behind.unionByName(order.filter(parted).select("owner")).distinct().withColumn("late", F.lit(True))
+    return done.drop("batch_id"), rows, cut(late, "late")
+
+
+def _split(rows: DataFrame, columns: list[str], limits: TripThresholds) -> DataFrame:
+    return trip_table(assign_trips(rows.select(*columns), limits.resolved(), ["owner"]), ["owner"]).select(*TRIPS.names)
+
+
+def repair(spark: SparkSession, photo_table: str, photo_schema: T.StructType, path: str, limits: TripThresholds = TripThresholds()) -> None:
+    """Split the closed stretches of owners with late photos anew, and store their trips in place of the old ones.
+
+    Run it between two runs of ``follow``. Trips of other owners are kept as they are.
+    """
+    _, rows, late = _held(spark, photo_table, photo_schema, path, limits)
+    again = spread_join(rows, late, ["owner"], ["image_id"], "inner").filter(F.col("taken_unix_ms") <= F.col("ended"))
+    fixed = cut(_split(again, photo_schema.names, limits), "repaired")
+    compact(spark, path, TRIPS, lambda old: spread_join(old, late, ["owner"], ["start_unix_ms"]).filter(F.col("late").isNull()).select(*TRIPS.names).unionByName(fixed))
+
+
 def close(spark: SparkSession, photo_table: str, photo_schema: T.StructType, path: str, limits: TripThresholds = TripThresholds()) -> DataFrame:
     """All trips once the stream has ended: the stored ones, and those of the photos after an owner's last stored trip.
 
-    A stored trip ends a time session, so none of the later photos belongs to it.
+    A stored trip ends a time session, so without late photos none of the later ones belongs to it. Owners with late photos are
+    split anew as a whole.
     """
-    done = stored(spark, path, TRIPS).drop("batch_id")
-    ended = done.groupBy("owner").agg(F.max("end_unix_ms").alias("ended"))
-    rows = spark.read.schema(photo_schema).parquet(photo_table)
-    left = spread_join(rows, ended, ["owner"], ["image_id"]).filter(F.col("ended").isNull() | (F.col("taken_unix_ms") > F.col("ended")))
-    rest = trip_table(assign_trips(left.select(*rows.columns), limits.resolved(), ["owner"]), ["owner"])
-    return done.unionByName(rest.select(*TRIPS.names))
+    done, rows, late = _held(spark, photo_table, photo_schema, path, limits)
+    kept = spread_join(done, late, ["owner"], ["start_unix_ms"]).filter(F.col("late").isNull()).select(*TRIPS.names)
+    left = spread_join(rows, late, ["owner"], ["image_id"])
+    left = left.filter(F.col("late").isNotNull() | F.col("ended").isNull() | (F.col("taken_unix_ms") > F.col("ended")))
+    return kept.unionByName(_split(left, photo_schema.names, limits))

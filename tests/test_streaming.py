@@ -203,3 +203,35 @@ def test_stream_trips_equal_batch(spark, tmp_path):
     whole = trips.trip_table(trips.assign_trips(spark.createDataFrame(rows, schema), limits, ["owner"]), ["owner"])
     closed = stream_trips.close(spark, photos, frame, str(tmp_path / "out"), limits)
     assert sorted(map(tuple, closed.collect()), key=repr) == sorted(map(tuple, whole.select(*stream_trips.TRIPS.names).collect()), key=repr)
+
+
+def test_late_photos_are_repaired(spark, tmp_path):
+    rng = random.Random(11)
+    rows, clock = [], 0
+    for i in range(200):
+        clock += rng.choice([0, 1, 5, 30]) * HOUR
+        rows.append((i, 1 if rng.random() < 0.6 else rng.choice([2, 3]), clock, rng.choice([0.0, 20.0]) if rng.random() < 0.7 else None, 0.0))
+    rows.append((1000, 4, clock + 900 * HOUR, None, None))
+    # All late photos are of two owners; the third one's trips stay as they were stored.
+    late = [r for r in rows if r[0] % 9 == 4 and r[1] != 3 and r[0] < 180]
+    schema = "image_id long, owner long, taken_unix_ms long, latitude double, longitude double"
+    limits = trips.TripThresholds(24, 300)
+    photos, out = str(tmp_path / "photos"), str(tmp_path / "out")
+    whole = trips.trip_table(trips.assign_trips(spark.createDataFrame(rows, schema), limits, ["owner"]), ["owner"]).select(*stream_trips.TRIPS.names)
+    want = sorted(map(tuple, whole.collect()), key=repr)
+    for part in ([r for r in rows if r not in late], late):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        sinks.finish(stream_trips.store_photos(stream, photos, str(tmp_path / "p1")))
+        frame = spark.read.parquet(photos).schema
+        sinks.finish(stream_trips.follow(stream, photos, frame, out, str(tmp_path / "p2"), limits))
+    assert len(late) > 10
+    stale = sinks.stored(spark, out, stream_trips.TRIPS).drop("batch_id").collect()
+    closed = stream_trips.close(spark, photos, frame, out, limits)
+    assert sorted(map(tuple, closed.collect()), key=repr) == want != sorted(map(tuple, stale), key=repr)
+    stream_trips.repair(spark, photos, frame, out, limits)
+    fixed = sinks.stored(spark, out, stream_trips.TRIPS).drop("batch_id").collect()
+    # The last photo's trip is still open.
+    assert sorted(map(tuple, fixed), key=repr) == [w for w in want if w[0] != 4]
+    closed = stream_trips.close(spark, photos, frame, out, limits)
+    assert sorted(map(tuple, closed.collect()), key=repr) == want
