@@ -19,19 +19,19 @@ from pyspark.sql import functions as F
 from shoebox.llm.decontam import words
 
 WIDTH = 5
-FRACTION = 1 / 8
+FRACTION = 1 / 2
 BLOCK_ROWS = 50_000
 
 
 def sketch(text: Column, width: int = WIDTH, fraction: float = FRACTION) -> Column:
     """Sorted hashes of the text's shingles below ``fraction`` (at most a half) of the range."""
-    limit = F.lit(int(fraction * 2**64))
+    most = F.lit(int(fraction * 2**64) - 1)
 
     def of(w: Column) -> Column:
         many = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(width))))
         few = F.array(F.xxhash64(F.array_join(w, " ")))
         grams = F.when(F.size(w) >= width, many).when(F.size(w) > 0, few).otherwise(F.array().cast("array<bigint>"))
-        return F.sort_array(F.array_distinct(F.filter(grams, lambda h: (h >= 0) & (h < limit))))
+        return F.sort_array(F.array_distinct(F.filter(grams, lambda h: (h >= 0) & (h <= most))))
 
     # One pass of a lambda, so that the words are made once.
     return F.transform(F.array(words(text)), of)[0]

@@ -3,7 +3,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from shoebox.llm import sketch
-from tests.llm.helpers import AWKWARD, documents, prose, words
+from tests.llm.helpers import AWKWARD, documents, prose, shingles, words
 
 
 def hashed(parts):
@@ -16,7 +16,7 @@ def hashed(parts):
 def plain(text):
     w = words(text)
     grams = [hashed(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [hashed([" ".join(w)])] if w else []
-    return sorted({h for h in grams if h < 2**64 // 8})
+    return sorted({h for h in grams if h < int(sketch.FRACTION * 2**64)})
 
 
 def near(a, b, equal):
@@ -66,3 +66,19 @@ def test_merge_and_containment(spark):
         (sketch.merge(F.col("a"), F.col("b")) == F.col("a")).alias("merged"),
     ).first()
     assert r["inside"] == 1.0 and abs(r["around"] - 1 / 6) < 0.06 and r["merged"]
+
+
+def test_error_against_exact_likeness(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    rows = {r["doc_id"]: r for r in sketch.fingerprints(docs).collect()}
+    texts = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    errors, empty = [], 0
+    for k, (i, text) in enumerate(texts):
+        after = texts[(k + 1) % len(texts)][1]
+        half = len(text) // 2
+        a, b = shingles(text), shingles(text[: len(text) - half] + after[:half])
+        empty += bool(a) and not rows[i]["fingerprint"]
+        if len(a) >= 20:
+            errors.append(abs(rows[i]["near_edited"] - len(a & b) / len(a | b)))
+    print("mean and largest error", np.mean(errors), max(errors), "empty", empty, "of", len(texts))
+    assert np.mean(errors) < 0.03 and max(errors) < 0.25 and empty < 0.02 * len(texts)
