@@ -3,8 +3,8 @@
 Spans are lines, paragraphs (between blank lines), the whole text, and windows of words: where a text has enough of a template's
 bigrams, the windows from one shared bigram to another are compared at every place (up to twice as many words as the upper size
 bound, as words may repeat), and of those that overlap the best counts, if it fits better than the lines, paragraphs and whole
-texts that it overlaps. A window within one line counts only if it has all bigrams of the template and no others. So a licence is found across paragraphs, between prose and within a line. A span of a distinct bigrams and a template of b
-can reach the coefficient t only if a lies between b t / (2 - t) and b (2 - t) / t, and only if it has that
+texts that it overlaps. So a licence, altered or not, is found across paragraphs, between prose and within a line. A span of a
+distinct bigrams and a template of b can reach the coefficient t only if a lies between b t / (2 - t) and b (2 - t) / t, and only if it has that
 lower bound of the template's bigrams; spans that fail either for every template are never compared.
 Words are lower-cased runs of letters and digits, told apart by 64-bit hashes, as are bigrams.
 
@@ -173,10 +173,9 @@ def _spans(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return pairs[:, 0], pairs[:, 1], np.searchsorted(bounds, pairs[:, 0], side="right") - 1
 
 
-def _windows(pair: np.ndarray, hit: np.ndarray, size: int, least: float, taken: list[tuple[int, int, float]], edge: np.ndarray) -> list[tuple[float, int, int]]:
+def _windows(pair: np.ndarray, hit: np.ndarray, size: int, least: float, taken: list[tuple[int, int, float]]) -> list[tuple[float, int, int]]:
     """Dice coefficient, start and end of the windows of a text's bigrams that fit a template of ``size`` of them, that do not
-    lie in a span of ``taken`` (start, end, coefficient) and fit better than each of them that they overlap. ``edge`` is the last end
-    of a window within the line of its start.
+    lie in a span of ``taken`` (start, end, coefficient) and fit better than each of them that they overlap.
 
     ``hit`` marks the template's bigrams. Trimming others from its ends only betters a window, so it starts and ends at a hit.
     """
@@ -198,8 +197,6 @@ def _windows(pair: np.ndarray, hit: np.ndarray, size: int, least: float, taken:
     def best_from(i: int) -> tuple[float, int, int]:
         fresh = before[i : limit[i]] < i
         values = 2 * np.cumsum(fresh & hit[i : limit[i]]) / (np.cumsum(fresh) + size)
-        inside = values[: max(0, int(edge[i]) - i)]
-        inside[inside < 1] = 0
         skip = max(0, int(beyond[i]) - i - 1)
         k = skip + int(values[skip:].argmax())
         return float(values[k]), i, i + k + 1
@@ -213,10 +210,13 @@ def _windows(pair: np.ndarray, hit: np.ndarray, size: int, least: float, taken:
             continue
         best = best_from(int(i))
         if better(best):
-            # A later start within the window may fit better.
-            reach = best[2]
-            for j in starts[k + 1 : np.searchsorted(starts, reach)]:
-                best = max(best, best_from(int(j)), key=lambda w: w[0])
+            # A later start within the window, or within a better one found so, may fit better.
+            j = k + 1
+            while j < len(starts) and starts[j] < best[2]:
+                later = best_from(int(starts[j]))
+                if later[0] > best[0] and better(later):
+                    best = later
+                j += 1
             found.append(best)
             at = best[2]
     return found
@@ -255,8 +255,6 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, list[str]], le
                     covers[text[k]].append((first[k], last[k], t))
                     best = max(best, value)
             spans[text[k]] += best > 0
-        line = np.searchsorted(np.flatnonzero(raw == 10), starts)
-        edge = np.searchsorted(line, line, side="right") - 1
         begins = np.searchsorted(starts, bounds)
         stops = np.maximum(begins[1:] - 1, begins[:-1])
         for r in np.flatnonzero(hits[np.minimum(stops, len(pair))] - hits[np.minimum(begins[:-1], len(pair))] >= low.min()):
@@ -267,7 +265,7 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, list[str]], le
                 name = known[t][0]
                 hit = met[b:e] & member[t][code[b:e]]
                 taken = [(s - b, z - b, v) for s, z, v in fits[r].get(name, [])]
-                places += [(s + b, z + b, t, value) for value, s, z in _windows(pair[b:e], hit, int(sizes[t]), least, taken, edge[b:e] - b)]
+                places += [(s + b, z + b, t, value) for value, s, z in _windows(pair[b:e], hit, int(sizes[t]), least, taken)]
             # Longest first; a window counts within a span of another licence only if most of what it shares is not that licence's own.
             reach, kept = -1, []
             for s, z, t, value in sorted(places, key=lambda w: (w[0] - w[1], w)):
