@@ -46,6 +46,11 @@ def hue_saturation(r: Column, g: Column, b: Column) -> tuple[Column, Column]:
     return hue.cast("int"), saturation.cast("int")
 
 
+def scaled(n: Column, floor: Column, most: Column) -> Column:
+    """A count between the smallest and the largest, in [0, 1]; 0 where all are equal."""
+    return F.coalesce(F.try_divide(n - floor, most - floor), F.lit(0.0))
+
+
 def scaled_histogram(bins: Column, counts: Column, least: Column, most: Column) -> Column:
     """All bins scaled to [0, 1] by the smallest and largest count; missing bins count 0.
 
@@ -60,7 +65,7 @@ def scaled_histogram(bins: Column, counts: Column, least: Column, most: Column)
     def with_gap(n: Column, i: Column) -> Column:
         before = F.coalesce(F.get(bins, i - 1), F.lit(-1))
         return F.concat(
-            empty(F.get(bins, i) - before - 1), F.array(F.coalesce(F.try_divide(n - floor, most - floor), F.lit(0.0)))
+            empty(F.get(bins, i) - before - 1), F.array(scaled(n, floor, most))
         )
 
     tail = F.lit(BINS - 1) - F.element_at(bins, -1)

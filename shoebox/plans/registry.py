@@ -344,9 +344,9 @@ from shoebox.operators import junk, quality, similar  # noqa: E402
 from shoebox.sources import pictures  # noqa: E402
 
 
-def _sums(tiles: DataFrame) -> DataFrame:
+def _sums(tiles: DataFrame, wanted=None) -> DataFrame:
     """Tiles through the path that every decoded picture takes."""
-    sums = pictures.picture_sums(pictures.from_planes(tiles))
+    sums = pictures.picture_sums(pictures.from_planes(tiles), wanted=wanted)
     return sums.withColumn("image_id", F.col("image_id").cast("long"))
 
 
@@ -354,7 +354,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles judged; every 31st is unreadable."""
     tiles = fixtures.tiles(spark, sf_dir)
     tiles = tiles.withColumn("gray", F.when(F.col("image_id") % 31 != 30, F.col("gray")))
-    return quality.verdicts(pictures.metrics(_sums(tiles)))
+    return quality.verdicts(pictures.metrics(_sums(tiles, pictures.QUALITY_SUMS)))
 
 
 def _labels(reasons):
@@ -369,12 +369,12 @@ def luminance(spark, sf_dir):
 
 @query
 def level_histogram(spark, sf_dir):
-    return pictures.levels(_sums(fixtures.tiles(spark, sf_dir)))
+    return pictures.levels(_sums(fixtures.tiles(spark, sf_dir), pictures.CONTRAST_SUMS))
 
 
 @query
 def cell_clipping(spark, sf_dir):
-    return _rounded(pictures.cell_clipping(_sums(fixtures.tiles(spark, sf_dir))), "under", "over")
+    return _rounded(pictures.cell_clipping(_sums(fixtures.tiles(spark, sf_dir), pictures.CONTRAST_SUMS)), "under", "over")
 
 
 @query
@@ -409,13 +409,13 @@ STRICT = quality.QualityThresholds(blur_threshold=5000.0, low_bin_index=40, high
 
 @query
 def quality_strict_limits(spark, sf_dir):
-    judged = quality.verdicts(pictures.metrics(_sums(fixtures.tiles(spark, sf_dir)), STRICT), STRICT)
+    judged = quality.verdicts(pictures.metrics(_sums(fixtures.tiles(spark, sf_dir), pictures.QUALITY_SUMS), STRICT), STRICT)
     return judged.select("image_id", "good_cells", _labels(F.col("reasons")).alias("reasons"))
 
 
 @query
 def luma_contrast(spark, sf_dir):
-    return _rounded(pictures.contrast(_sums(fixtures.tiles(spark, sf_dir))), "contrast", digits=9)
+    return _rounded(pictures.contrast(_sums(fixtures.tiles(spark, sf_dir), pictures.CONTRAST_SUMS)), "contrast", digits=9)
 
 
 # --- junk ----------------------------------------------------------------------
@@ -423,12 +423,12 @@ def luma_contrast(spark, sf_dir):
 
 @query
 def junk_features(spark, sf_dir):
-    out = pictures.junk_features(_sums(fixtures.tiles(spark, sf_dir)))
+    out = pictures.junk_features(_sums(fixtures.tiles(spark, sf_dir), pictures.JUNK_SUMS))
     return _rounded(out, "flat_ratio", "unique_ratio", "straight_ratio")
 
 
 def _junk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return junk.classify(pictures.junk_features(_sums(fixtures.tiles(spark, sf_dir))))
+    return junk.classify(pictures.junk_features(_sums(fixtures.tiles(spark, sf_dir), pictures.JUNK_SUMS)))
 
 
 @query
@@ -445,7 +445,7 @@ def junk_summary(spark, sf_dir):
 def junk_unjudged(spark, sf_dir):
     """The label table stands for verdicts stored before."""
     stored = fixtures.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("image_id"))
-    return _rounded(junk.classify(pictures.junk_features(_sums(junk.unjudged(fixtures.tiles(spark, sf_dir), stored)))), "confidence")
+    return _rounded(junk.classify(pictures.junk_features(_sums(junk.unjudged(fixtures.tiles(spark, sf_dir), stored), pictures.JUNK_SUMS))), "confidence")
 
 
 def _dark_model(batch):
@@ -468,26 +468,25 @@ def junk_by_model(spark, sf_dir):
 
 @query
 def shrunken_levels(spark, sf_dir):
-    return pictures.shrunken_levels(_sums(fixtures.tiles(spark, sf_dir)))
+    return pictures.shrunken_levels(_sums(fixtures.tiles(spark, sf_dir), ["shrunk"]))
 
 
 @query
 def dhash(spark, sf_dir):
     low = F.col("dhash").bitwiseAND(F.lit(0xFFFFFFFF))
-    out = pictures.feature_rows(_sums(fixtures.tiles(spark, sf_dir)))
+    out = pictures.feature_rows(_sums(fixtures.tiles(spark, sf_dir), pictures.FEATURE_SUMS))
     return out.select("image_id", low.alias("low_bits"), F.shiftrightunsigned("dhash", 32).alias("high_bits"))
 
 
 @query
 def colour_bins(spark, sf_dir):
-    return pictures.colour_counts(_sums(fixtures.colour_tiles(spark, sf_dir)))
+    return pictures.colour_counts(_sums(fixtures.colour_tiles(spark, sf_dir), pictures.COLOUR_SUMS))
 
 
 @query
 def colour_histogram(spark, sf_dir):
-    hist = pictures.feature_rows(_sums(fixtures.colour_tiles(spark, sf_dir)))
-    bins = hist.select("image_id", F.posexplode("histogram").alias("bin", "level")).filter(F.col("level") != 0)
-    return _rounded(bins, "level")
+    bins = pictures.scaled_bins(_sums(fixtures.colour_tiles(spark, sf_dir), pictures.COLOUR_SUMS))
+    return _rounded(bins.filter(F.col("level") != 0), "level")
 
 
 def _assigned(spark: SparkSession, sf_dir: str, radius: float = similar.DEFAULT_RADIUS) -> DataFrame:

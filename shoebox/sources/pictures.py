@@ -6,10 +6,12 @@ Unreadable pictures stay as rows with null sums.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,48 +24,94 @@ SUMS = (
     "shrunk array<int>, bins array<int>, counts array<bigint>, least bigint, most bigint, "
     "flat_blocks bigint, blocks bigint, straight bigint, lines bigint"
 )
+_SUM_NAMES = [part.split()[0] for part in SUMS.split(", ")][3:]
+# What each judgement needs of them.
+QUALITY_SUMS, CONTRAST_SUMS, FEATURE_SUMS = ("laplacian", "levels"), ("levels",), ("shrunk", "bins", "counts", "least", "most")
+COLOUR_SUMS, JUNK_SUMS = FEATURE_SUMS[1:], ("levels", "flat_blocks", "blocks", "straight", "lines")
 
 
 def _pixels(row) -> np.ndarray | None:
-    if row.height is None or row.height <= 0 or row.width <= 0 or not row.data:
+    """Pixels by row, column and channel. ``data`` holds a decoder's bytes, or an array of one whole plane after another."""
+    if row.height is None or row.height <= 0 or row.width <= 0 or row.data is None or not len(row.data):
         return None
+    if isinstance(row.data, np.ndarray):
+        return row.data.astype(np.uint8).reshape(row.channels, row.height, row.width).transpose(1, 2, 0)
     return np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.channels)
 
 
-def picture_sums(pictures: DataFrame, root: str = "", rules: JunkRules = JunkRules()) -> DataFrame:
-    """``read_pixels`` rows to ``SUMS`` rows keyed by image id."""
-
-    def one(row) -> tuple:
-        bgr = _pixels(row)
-        if bgr is None:
-            return (row.image_id, row.height, row.width, *[None] * 11)
-        gray = kernels.gray_of(bgr)
+class _Picture(NamedTuple):
+    image_id: str | None
+    height: int | None
+    width: int | None
+    channels: int | None
+    data: np.ndarray | pa.Buffer | None
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[_Picture]:
+    for image_id, height, width, channels, data in zip(*batch.columns):
+        if not data.is_valid:
+            content = None
+        elif isinstance(data, pa.ListScalar):
+            content = data.values.to_numpy(zero_copy_only=False)
+        else:
+            content = data.as_buffer()
+        yield _Picture(image_id.as_py(), height.as_py(), width.as_py(), channels.as_py(), content)
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """One column of a batch; whole arrays are laid one after another, not copied number by number."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    there = [np.asarray(v) for v in values if v is not None]
+    ends = np.cumsum([0, *(0 if v is None else len(v) for v in values)], dtype=np.int32)
+    flat = pa.array(np.concatenate(there) if there else np.zeros(0, np.int64), kind.value_type)
+    return pa.ListArray.from_arrays(pa.array(ends), flat, type=kind, mask=pa.array([v is None for v in values], pa.bool_()))
+
+
+def _measured(bgr: np.ndarray, rules: JunkRules, wanted: set[str]) -> dict:
+    """The ``SUMS`` columns among ``wanted``, and those that come with them."""
+    out = {}
+    gray = kernels.gray_of(bgr)
+    if "laplacian" in wanted:
+        out["laplacian"] = kernels.laplacian_sums(gray)
+    if "levels" in wanted:
+        out["levels"] = kernels.level_counts(gray)
+    if "shrunk" in wanted:
+        out["shrunk"] = kernels.shrunken(gray).astype(np.int32)
+    if wanted & {"bins", "counts", "least", "most"}:
         bins, counts = kernels.colour_bins(bgr)
-        return (
-            row.image_id,
-            row.height,
-            row.width,
-            list(kernels.laplacian_sums(gray)),
-            kernels.level_counts(gray),
-            kernels.shrunken(gray).astype(np.int32),
-            bins.astype(np.int32),
-            counts,
-            int(counts.min()),
-            int(counts.max()),
-            *kernels.flat_blocks(gray, rules.block),
-            *kernels.straight_lines(gray, rules.edge_step, rules.straight_share),
-        )
-
-    names = [part.split()[0] for part in SUMS.split(", ")]
+        out |= {"bins": bins.astype(np.int32), "counts": counts, "least": int(counts.min()), "most": int(counts.max())}
+    if wanted & {"flat_blocks", "blocks"}:
+        out["flat_blocks"], out["blocks"] = kernels.flat_blocks(gray, rules.block)
+    if wanted & {"straight", "lines"}:
+        out["straight"], out["lines"] = kernels.straight_lines(gray, rules.edge_step, rules.straight_share)
+    return out
+
+
+def picture_sums(pictures: DataFrame, root: str = "", rules: JunkRules = JunkRules(), wanted: Iterable[str] | None = None) -> DataFrame:
+    """``read_pixels`` rows to ``SUMS`` rows keyed by image id; of the sums only those ``wanted`` (default: all) are made."""
+    asked = set(_SUM_NAMES if wanted is None else wanted)
+    if asked - set(_SUM_NAMES):
+        raise ValueError(f"no such sums: {sorted(asked - set(_SUM_NAMES))}")
+    schema = ", ".join(part for part in SUMS.split(", ") if part.split()[0] in {"image_id", "height", "width", *asked})
+    kinds = {part.split()[0]: _ARROW[part.split()[1]] for part in schema.split(", ")}
+
+    def one(row: _Picture) -> dict:
+        bgr = _pixels(row)
+        return {"image_id": row.image_id, "height": row.height, "width": row.width} | ({} if bgr is None else _measured(bgr, rules, asked))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([one(row) for row in batch.itertuples()], columns=names)
+            rows = [one(row) for row in _rows(batch)]
+            yield pa.RecordBatch.from_arrays([_column([row.get(name) for row in rows], kind) for name, kind in kinds.items()], names=list(kinds))
 
     keyed = pictures.select(
         paths.relative_id(F.col("path"), root).alias("image_id"), "height", "width", "channels", "data"
     )
-    return keyed.mapInPandas(run, SUMS)
+    return keyed.mapInArrow(run, schema)
 
 
 def _part(number: int) -> Column:
@@ -71,20 +119,35 @@ def _part(number: int) -> Column:
     return F.slice("levels", number * 256 + 1, 256)
 
 
-def _weighted(number: int, weight) -> Column:
-    terms = F.transform(_part(number), lambda n, v: n * weight(v))
-    return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+def _weighted(first: int, last: int, weight: Callable[[Column], Column]) -> Callable[[int], Column]:
+    """For the number of a histogram, the weighted sum of its levels ``first`` to ``last``; the others weigh nothing."""
+    first, last = max(0, min(255, first)), max(0, min(255, last))
+    weights = F.array(*[weight(F.lit(v)) for v in range(first, last + 1)])
+
+    def total(number: int) -> Column:
+        terms = F.zip_with(F.slice("levels", number * 256 + first + 1, last - first + 1), weights, lambda n, w: n * w)
+        return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+
+    return total
+
+
+def _exposure(limits: quality.QualityThresholds) -> tuple[Callable[[int], Column], Callable[[int], Column]]:
+    """Weighted sums of dark and of bright levels, by the number of the histogram."""
+    dark = _weighted(0, limits.low_bin_index, lambda v: quality.shadow_weight(v, limits))
+    bright = _weighted(limits.high_bin_index, 255, lambda v: quality.highlight_weight(v, limits))
+    return dark, bright
 
 
 def _size(number: int) -> Column:
-    return F.aggregate(_part(number), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    """Pixels in histogram ``number``; null where there is none. Cells leave out what does not divide."""
+    sides = [F.col(side) if number == 0 else F.floor(F.col(side) / quality.GRID) for side in ("height", "width")]
+    return F.when(F.col("levels").isNotNull(), sides[0].cast("long") * sides[1].cast("long"))
 
 
 def from_planes(images: DataFrame) -> DataFrame:
     """Picture rows of images given as arrays: ``image_id, height, width`` and ``gray``, or ``r, g, b``."""
     colour = "gray" not in images.columns
-    values = F.flatten(F.transform(F.arrays_zip("b", "g", "r"), lambda p: F.array(p["b"], p["g"], p["r"]))) if colour else F.col("gray")
-    data = F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+    data = F.concat("b", "g", "r") if colour else F.col("gray")
     return images.select(F.col("image_id").cast("string").alias("path"), "height", "width", F.lit(3 if colour else 1).alias("channels"), data.alias("data"))
 
 
@@ -96,12 +159,13 @@ def levels(sums: DataFrame) -> DataFrame:
 
 def cell_clipping(sums: DataFrame, limits: quality.QualityThresholds = quality.QualityThresholds()) -> DataFrame:
     """Clipping per image and grid cell: ``image_id, cell, under, over``."""
+    dark, bright = _exposure(limits)
     cells = [
         F.struct(
             F.lit(k).alias("cell"),
             _size(k + 1).alias("n"),
-            _weighted(k + 1, lambda v: quality.shadow_weight(v, limits)).alias("under"),
-            _weighted(k + 1, lambda v: quality.highlight_weight(v, limits)).alias("over"),
+            dark(k + 1).alias("under"),
+            bright(k + 1).alias("over"),
         )
         for k in range(quality.GRID**2)
     ]
@@ -122,6 +186,13 @@ def colour_counts(sums: DataFrame) -> DataFrame:
     return rows.select("image_id", h_bin.alias("h_bin"), (F.col("bins") % features.SATURATION_BINS).alias("s_bin"), F.col("counts").alias("n"))
 
 
+def scaled_bins(sums: DataFrame) -> DataFrame:
+    """Non-empty bins of the scaled colour histogram: ``image_id, bin, level``; empty bins have level 0 and no row."""
+    floor = F.when(F.size("bins") < features.BINS, F.lit(0)).otherwise(F.col("least"))
+    rows = sums.select("image_id", "most", floor.alias("floor"), F.inline(F.arrays_zip("bins", "counts")))
+    return rows.select("image_id", F.col("bins").alias("bin"), features.scaled(F.col("counts"), F.col("floor"), F.col("most")).alias("level"))
+
+
 def junk_features(sums: DataFrame) -> DataFrame:
     """``image_id, flat_ratio, unique_ratio, straight_ratio`` of readable pictures.
 
@@ -141,23 +212,17 @@ def metrics(sums: DataFrame, limits: quality.QualityThresholds = quality.Quality
 
     With enough well exposed cells ``under`` is set to zero.
     """
-
-    def shade(level: Column) -> Column:
-        return quality.shadow_weight(level, limits)
-
-    def light(level: Column) -> Column:
-        return quality.highlight_weight(level, limits)
-
+    dark, bright = _exposure(limits)
     cells = {}
     for k in range(quality.GRID**2):
-        cells |= {f"_s{k}": _weighted(k + 1, shade), f"_h{k}": _weighted(k + 1, light), f"_n{k}": _size(k + 1)}
+        cells |= {f"_s{k}": dark(k + 1), f"_h{k}": bright(k + 1), f"_n{k}": _size(k + 1)}
     wide = sums.withColumns(
         {
             "_n": F.coalesce(_size(0), F.lit(0)),
             "_l": F.col("laplacian")[0],
             "_ll": F.col("laplacian")[1],
-            "raw_under": _weighted(0, shade) / _size(0),
-            "over": _weighted(0, light) / _size(0),
+            "raw_under": dark(0) / _size(0),
+            "over": bright(0) / _size(0),
             **cells,
         }
     )

@@ -134,3 +134,17 @@ def test_insert_keeps_first_row_and_known_ids(spark):
     known = spark.createDataFrame([("a", "old")], "id string, v string")
     batch = spark.createDataFrame([("a", "x", 1), ("b", "second", 3), ("b", "first", 2)], "id string, v string, seq long")
     assert [(r.id, r.v) for r in tables.new_rows(known, batch).collect()] == [("b", "first")]
+
+
+def test_only_the_sums_asked_for(spark):
+    rows = [("a", 7, 5, [(i * 37) % 256 for i in range(35)]), ("none", -1, -1, None), ("empty", 2, 2, [])]
+    planes = pictures.from_planes(spark.createDataFrame(rows, IMAGE))
+    every = {r.image_id: r.asDict() for r in pictures.picture_sums(planes).collect()}
+    for wanted in (pictures.QUALITY_SUMS, pictures.CONTRAST_SUMS, pictures.FEATURE_SUMS, pictures.COLOUR_SUMS, pictures.JUNK_SUMS):
+        some = pictures.picture_sums(planes, wanted=wanted)
+        assert set(some.columns) == {"image_id", "height", "width", *wanted}
+        for r in some.collect():
+            assert all(every[r.image_id][name] == value for name, value in r.asDict().items())
+    assert every["none"]["levels"] is None and every["empty"]["counts"] is None and sum(every["a"]["levels"][:256]) == 35
+    with pytest.raises(ValueError, match="no such sums"):
+        pictures.picture_sums(planes, wanted=["colour"])
