@@ -2,7 +2,9 @@ import base64
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from shoebox.llm import crf
 from tests.llm.helpers import AWKWARD, documents
@@ -118,6 +120,35 @@ def test_junk_and_foreign_texts_go(spark, sf_dir):
     assert len(kept) - len(good) > 0.99 * docs.count()
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_all_texts_are_learned_from(spark, small):
+    # More texts than a bounded sample holds, each with a word of its own, and many copies of one.
+    own = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) * 2 for i in range(1500)]
+    rows = [(i, f"the of and to {own[i]}" if i % 2 else f"der und die das {own[i]}", "en" if i % 2 else "de") for i in range(1500)]
+    rows += [(2000 + i, "one text that comes very often", "en") for i in range(700)]
+    docs = documents(spark, rows)
+    spec = crf.Training(shard_bytes=1 << 13, chunk_bytes=1 << 11) if small else crf.Training()
+    model = crf.train(docs, F.lit(True), spec, calibrate=True)
+    texts = crf.raw_text(pa.array([t for _, t, _ in rows], pa.string()))
+    counts = crf._count(*texts, np.array([model.labels.index(k) for *_, k in rows]), 2)
+    np.testing.assert_allclose(model.shares, crf.frequencies(counts))
+    assert np.isfinite(model.floors).all()
+    assert (model.weights[crf.features(*crf.raw_text(pa.array(own, pa.string()))).fixed] != 0).any(axis=2).all()
+    if small:
+        again = crf.train(docs.repartition(5), F.lit(True), spec, calibrate=True)
+        assert (again.weights == model.weights).all() and (again.transition == model.transition).all() and (again.floors == model.floors).all()
+
+
+def test_chunks_hold_every_copy_whatever_the_batches():
+    rows = [{"text": "x" * (i % 37), "label": str(i), "copies": 1 + (i % 50 == 0) * 30} for i in range(400)]
+    want = [r["label"] for r in rows for _ in range(r["copies"])]
+    found = []
+    for step in (7, 400):
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + step]) for i in range(0, 400, step)]
+        found.append([c.column("label").to_pylist() for c in crf._chunks(iter(batches), 500)])
+    assert found[0] == found[1] and sum(found[0], []) == want and len(found[0]) > 20
+
+
 def test_nothing_to_learn(spark):
     docs = documents(spark, [(1, "words here", None), (2, None, "en")])
     assert [(r["lang_pred"], r["score"]) for r in crf.label_documents(docs).collect()] == [("und", 0.0)] * 2
