@@ -7,13 +7,15 @@ How this stays whole and bounded on a cluster:
 
 - Exact copies (equal hash and histogram) collapse first; a copy always lands
   where its first occurrence lands.
-- Candidates come from equi-joins on hash bands. A joint distance within the radius
-  allows at most H differing hash bits; splitting the bits into bands, at least one band
-  differs in no more bits than its share of H, so probing the band values within that
-  share finds every candidate.
+- A joint distance within the radius allows at most H differing hash bits. The images are dealt to blocks, and each
+  task compares the hashes of two blocks, a small tile at a time. That is about a nanosecond a pair, where
+  probing hash bands would meet thousands of joined rows an image.
 - Many unrelated images differ in few hash bits. Each row therefore carries a short sketch of its
   histogram that bounds the colour distance from below, so most candidates fall
-  inside the join and whole histograms only travel for the rest.
+  inside the task and whole histograms only travel for the rest.
+- A search for a few images takes its candidates from equi-joins on hash bands: at least one band
+  differs in no more bits than its share of H, so probing the band values within that
+  share finds every candidate.
 - The images are worked off in growing prefixes of the order. Pairs are only formed inside a
   prefix; its leaders then absorb everything later that lies within the radius.
   A huge group of near copies is thus reduced by its first member and never paired up. The
@@ -23,10 +25,13 @@ How this stays whole and bounded on a cluster:
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +50,10 @@ PROBE_COST = 25  # one probe row costs about as much as this many hash compariso
 
 SCORE_DIGITS = 12
 SKETCH_BINS = 6
+BLOCK_SKETCH_BINS = 16  # rows of blocks are copied less often than probes
+BLOCK_ROWS, LEAST_ROWS, FEW_BLOCKS = 1 << 17, 1 << 12, 8  # images of a block at most; where few, blocks enough for all cores
+TILE = 32, 4096  # hashes of two blocks compared at a time
+PAIRS_HELD = 1 << 18
 SKETCH_SAMPLE = 5_000  # images that decide which bins make the sketch; any choice is correct
 # Two histograms above this spread never count as constant in the correlation.
 FLAT = 1.5e-8
@@ -137,14 +146,14 @@ def _varied(moments: Column) -> Column:
     return moments["n"] * moments["ss"] - moments["s"] * moments["s"] >= FLAT
 
 
-def sketch_bins(features: DataFrame, images: int) -> list[int]:
+def sketch_bins(features: DataFrame, images: int, most: int = SKETCH_BINS) -> list[int]:
     """The bins that vary most, from a sample."""
     some = features.filter(_varied(F.col("moments"))).filter(
         F.pmod(F.xxhash64("image_id"), F.lit(max(1, images // SKETCH_SAMPLE))) == 0
     )
     bins = some.select(F.posexplode(_unit(F.col("histogram"), F.col("moments"))).alias("bin", "x"))
     spread = bins.groupBy("bin").agg(F.var_pop("x").alias("v"))
-    return sorted(r.bin for r in spread.orderBy(F.desc("v"), "bin").limit(SKETCH_BINS).collect())
+    return sorted(r.bin for r in spread.orderBy(F.desc("v"), "bin").limit(most).collect())
 
 
 def sketch(histogram: Column, moments: Column, bins: list[int]) -> Column:
@@ -202,6 +211,95 @@ def hash_candidates(
     ).select("a", "b")
 
 
+def _block_count(rows: int) -> int:
+    return max(1, -(-rows // BLOCK_ROWS), min(FEW_BLOCKS, -(-rows // LEAST_ROWS)))
+
+
+def _near(a: tuple, b: tuple, max_bits: int, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of two blocks (hashes, sketches) that may lie within ``radius``, about PAIRS_HELD at most at a time."""
+    (ha, sa), (hb, sb) = a, b
+    diff, bits, low = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8), np.empty(TILE, bool)
+
+    def bounded(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        i, j, n = (np.concatenate(x) for x in zip(*found))
+        # An image without a sketch is as near as its hash.
+        colour = np.nan_to_num(((sa[i] - sb[j]).astype(np.float64) ** 2).sum(axis=1) / 2)
+        near = ft.COLOUR_WEIGHT * colour + ft.HASH_WEIGHT * (n / ft.HASH_BITS) <= radius + SLACK
+        return i[near], j[near]
+
+    for top in range(0, len(ha), TILE[0]):
+        found, held = [], 0
+        rows = ha[top : top + TILE[0], None]
+        for left in range(0, len(hb), TILE[1]):
+            columns = hb[None, left : left + TILE[1]]
+            d, n, m = (x[: len(rows), : columns.shape[1]] for x in (diff, bits, low))
+            np.bitwise_xor(rows, columns, out=d)
+            np.bitwise_count(d, out=n)
+            np.less_equal(n, max_bits, out=m)
+            i, j = np.nonzero(m)
+            if len(i):
+                found.append((i + top, j + left, n[i, j]))
+                held += len(i)
+                if held >= PAIRS_HELD:
+                    yield bounded(found)
+                    found, held = [], 0
+        if found:
+            yield bounded(found)
+
+
+def block_candidates(earlier: DataFrame, later: DataFrame | None, radius: float) -> DataFrame:
+    """Pairs ``a < b`` (ranks) of ``earlier`` with ``later``, or within ``earlier`` if that is None, that may lie within ``radius``; each once.
+
+    Inputs carry ``rank, dhash, sketch`` and are read for their counts too. Each task holds two blocks of rows.
+    """
+    max_bits = min(ft.HASH_BITS, math.floor(ft.HASH_BITS * radius / ft.HASH_WEIGHT + 1e-6))
+    fields = earlier.schema["sketch"].dataType.names
+    within = later is None
+    high = _block_count(earlier.count())
+    wide = high if within else _block_count(later.count())
+
+    def dealt(df: DataFrame, own: int, others: int) -> DataFrame:
+        flat = df.select("rank", "dhash", *(F.col("sketch")[f].alias(f) for f in fields))
+        block = F.pmod(F.xxhash64("rank"), F.lit(own)).cast("int")
+        return flat.select("*", block.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other"))
+
+    if within:
+        side = F.sign(F.col("own") - F.col("other")).cast("int")
+        rows = dealt(earlier, high, high).withColumns({"cell": F.least("own", "other") * high + F.greatest("own", "other"), "side": side})
+    else:
+        first = dealt(earlier, high, wide).withColumns({"cell": F.col("own") * wide + F.col("other"), "side": F.lit(-1)})
+        second = dealt(later, wide, high).withColumns({"cell": F.col("other") * wide + F.col("own"), "side": F.lit(1)})
+        rows = first.unionByName(second)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        side, rank, dhash = (table.column(c).to_numpy() for c in ("side", "rank", "dhash"))
+        sketches = np.stack([table.column(f).to_numpy() for f in fields], axis=1)
+        del held, table
+        # Both sides of a cell on the diagonal are the same rows.
+        (ra, *a), (rb, *b) = ((rank[on], dhash[on].view(np.uint64), sketches[on]) for on in (side <= 0, side >= 0))
+        whole, kept, size = within and (side != 0).all(), [], 0
+        for i, j in _near(a, b, max_bits, radius):
+            x, y = ra[i], rb[j]
+            if whole:
+                x, y = np.minimum(x, y), np.maximum(x, y)
+            else:
+                x, y = x[x < y], y[x < y]
+            kept, size = [*kept, (x, y)], size + len(x)
+            if size >= PAIRS_HELD:
+                yield pa.RecordBatch.from_arrays([np.concatenate(c) for c in zip(*kept)], names=["a", "b"])
+                kept, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([np.concatenate(c) for c in zip(*kept)], names=["a", "b"])
+
+    # A cell is a partition of its own: its work follows from the pairs, not from the bytes.
+    cells = rows.repartitionById(high * wide, F.col("cell")).select("rank", "dhash", *fields, "side")
+    return cells.mapInArrow(compare, "a long, b long")
+
+
 def _side(features: DataFrame, side: str) -> DataFrame:
     return features.select(
         F.col("rank").alias(side),
@@ -228,10 +326,8 @@ def with_distance(pairs: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
-def _edges(
-    earlier: DataFrame, later: DataFrame, features: DataFrame, bands: Bands, radius: float
-) -> DataFrame:
-    pairs = cut(hash_candidates(earlier, later, bands, radius), "candidates")
+def _edges(earlier: DataFrame, later: DataFrame | None, features: DataFrame, radius: float) -> DataFrame:
+    pairs = cut(block_candidates(earlier, later, radius), "candidates")
     near = with_distance(pairs, features).filter(F.col("distance") <= radius)
     return cut(near.select("a", "b"), "edges")
 
@@ -393,14 +489,12 @@ def _ranked(features: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     table = valid.select(F.col("image_id").alias("rep_id"), "dhash", "histogram", "moments").join(
         ranks.select("rep_id", "rank"), "rep_id"
     )
-    bins = sketch_bins(valid, images)
+    bins = sketch_bins(valid, images, BLOCK_SKETCH_BINS)
     table = table.withColumn("sketch", sketch(F.col("histogram"), F.col("moments"), bins))
     return cut(table, "features"), copies, distinct, images
 
 
-def _prefix_end(
-    open_rows: DataFrame, left: int, last: int, wanted: int, bands: Bands, radius: float, budget: int
-) -> int:
+def _prefix_end(open_rows: DataFrame, left: int, last: int, wanted: int, radius: float, budget: int) -> int:
     """Last rank of the next prefix: about ``wanted`` open images, fewer while they would form too many pairs."""
     size = wanted
     while True:
@@ -410,7 +504,7 @@ def _prefix_end(
         batch = open_rows.filter(F.col("rank") <= ahead)
         every = max(1, size // 256)
         probes = batch.filter(F.pmod(F.xxhash64("rank"), F.lit(every)) == 0)
-        found = hash_candidates(probes, batch, bands, radius).count()
+        found = block_candidates(probes, batch, radius).count()
         if found * every <= budget:
             return ahead
         size = max(1, size // PREFIX_GROWTH)
@@ -429,15 +523,14 @@ def assign_leaders(
     """
     table, copies, total, images = _ranked(features)
     narrow = table.select("rank", "dhash", "sketch")
-    bands = plan_bands(radius, total)
     open_rows, left = narrow, total
     settled: list[DataFrame] = []
     wanted = first_prefix or total
     budget = pair_budget or PAIRS_PER_BLOCK * default_blocks(features.sparkSession)
     while left > 0:
-        end = _prefix_end(open_rows, left, total, min(wanted, left), bands, radius, budget)
+        end = _prefix_end(open_rows, left, total, min(wanted, left), radius, budget)
         batch = open_rows.filter(F.col("rank") <= end)
-        edges = _edges(batch, batch, table, bands, radius)
+        edges = _edges(batch, None, table, radius)
         covered = non_leaders(edges)
         leaders = cut(batch.join(covered, "rank", "left_anti"), "leaders")
         settled.append(leaders.select("rank", F.col("rank").alias("leader")))
@@ -446,7 +539,7 @@ def assign_leaders(
         if end >= total:
             break
         rest = open_rows.filter(F.col("rank") > end)
-        near = _edges(leaders, rest, table, bands, radius)
+        near = _edges(leaders, rest, table, radius)
         absorbed = near.groupBy(F.col("b").alias("rank")).agg(F.min("a").alias("leader"))
         settled.append(absorbed)
         open_rows = cut(rest.join(absorbed, "rank", "left_anti"), "open")

@@ -60,6 +60,23 @@ def test_leaders_equal_sequential(spark, seed, radius, hot, prefix, budget):
     assert {r.image_id: r.leader_id for r in got.collect()} == _sequential(rows, radius)
 
 
+@pytest.mark.parametrize("rows", [10**6, 40])
+def test_blocks_meet_every_pair_once(spark, monkeypatch, rows):
+    monkeypatch.setattr(similar, "BLOCK_ROWS", rows)
+    made = [r for r in _features(6, n=200, hot=0.3) if r[3]] + [(10**6, 7, [0.5] * 6, True), (10**6 + 1, 6, [0.5] * 6, True)]
+    df = spark.createDataFrame(made, SCHEMA).withColumnRenamed("image_id", "rank")
+    df = df.withColumn("sketch", similar.sketch(F.col("histogram"), ft.moments(F.col("histogram")), [0, 2, 4]))
+    near = {(a[0], b[0]) for a in made for b in made if a[0] < b[0] and _distance(a, b) <= 0.15}
+    close = {(a[0], b[0]) for a in made for b in made if a[0] < b[0] and bin((a[1] ^ b[1]) & (2**64 - 1)).count("1") <= 16}
+    found = [tuple(r) for r in similar.block_candidates(df, None, 0.15).collect()]
+    assert len(found) == len(set(found)) and near <= set(found) <= close and len(found) < len(close)
+    some, rest = df.filter("rank % 2 = 0"), df.filter("rank % 4 <> 0")
+    found = [tuple(r) for r in similar.block_candidates(some, rest, 0.15).collect()]
+    want = {(a, b) for a, b in near if a % 2 == 0 and b % 4}
+    assert len(found) == len(set(found)) and want <= set(found) <= {(a, b) for a, b in close if a % 2 == 0 and b % 4}
+    assert similar.block_candidates(df.limit(0), None, 0.15).count() == 0
+
+
 def test_constant_histograms_and_empty_input(spark):
     rows = [(1, 0, [0.5] * 6, True), (2, 1, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6], True), (3, -1, [0.5] * 6, True), (4, 0, [0.5] * 6, True)]
     got = similar.assign_leaders(spark.createDataFrame(rows, SCHEMA))
