@@ -29,6 +29,9 @@ _SUM_NAMES = [part.split()[0] for part in SUMS.split(", ")][3:]
 QUALITY_SUMS, CONTRAST_SUMS, FEATURE_SUMS = ("laplacian", "levels"), ("levels",), ("shrunk", "bins", "counts", "least", "most")
 COLOUR_SUMS, JUNK_SUMS = FEATURE_SUMS[1:], ("levels", "flat_blocks", "blocks", "straight", "lines")
 
+# Rows of sums made at a time; with all sums a row takes about 70 KB at most.
+SUMS_HELD = 256
+
 
 def _pixels(row) -> np.ndarray | None:
     """Pixels by row, column and channel. ``data`` holds a decoder's bytes, or an array of one whole plane after another."""
@@ -61,6 +64,13 @@ def _rows(batch: pa.RecordBatch) -> Iterator[_Picture]:
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
 
 
+def _few(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most ``SUMS_HELD``: the sums of a small picture are far larger than its pixels."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SUMS_HELD):
+            yield batch.slice(start, SUMS_HELD)
+
+
 def _column(values: list, kind: pa.DataType) -> pa.Array:
     """One column of a batch; whole arrays are laid one after another, not copied number by number."""
     if not pa.types.is_list(kind):
@@ -104,7 +114,7 @@ def picture_sums(pictures: DataFrame, root: str = "", rules: JunkRules = JunkRul
         return {"image_id": row.image_id, "height": row.height, "width": row.width} | ({} if bgr is None else _measured(bgr, rules, asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             rows = [one(row) for row in _rows(batch)]
             yield pa.RecordBatch.from_arrays([_column([row.get(name) for row in rows], kind) for name, kind in kinds.items()], names=list(kinds))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +251,13 @@ def test_twelve_megapixels_stay_small():
     kernels.colour_bins(pixels)
     assert tracemalloc.get_traced_memory()[1] < 100_000_000
     tracemalloc.stop()
+
+
+def test_sums_are_made_of_few_rows_at_a_time(spark):
+    batches = [pa.RecordBatch.from_pydict({"i": list(range(s, e))}) for s, e in ((0, 1000), (1000, 1000), (1000, 1003))]
+    parts = [b.column("i").to_pylist() for b in pictures._few(batches)]
+    assert sum(parts, []) == list(range(1003)) and max(map(len, parts)) <= pictures.SUMS_HELD < 1000
+    rows = spark.range(600, numPartitions=1).selectExpr("id AS image_id", "2 AS height", "2 AS width", "array(int(id % 256), 0, 0, 0) AS gray")
+    sums = pictures.picture_sums(pictures.from_planes(rows), wanted=["levels"])
+    found = {int(r.image_id): r.n for r in sums.selectExpr("image_id", "levels[int(image_id) % 256] AS n").collect()}
+    assert found == {i: 4 if i % 256 == 0 else 1 for i in range(600)}
