@@ -8,7 +8,8 @@ language inside a text are labelled on their own; the text's language is the one
 largest expected number of words, its score that share.
 
 Training takes every text that it may learn from. The texts are dealt by a hash to groups of about ``shard_bytes``, at least
-``shards`` of them; copies of a text are dealt round, so that no group is larger for them. Each group fits its
+``shards`` of them; copies of a text are dealt round, so that no group is larger for them. Texts without copies, told by
+counts of hashes, cross the network once. Each group fits its
 own weights by gradient steps over chunks of ``chunk_bytes``, and the weights are averaged. Stretches of ``stretch`` words of different
 texts follow one another, so that transitions see languages change. A group's first chunk is gone through ``epochs`` times in
 ``batches`` steps, the later ones once, in a step each.
@@ -60,6 +61,7 @@ _SIZE = TRIGRAMS + 2 * AFFIXES + LEXICON
 BLOCK = 64
 FIXED = float(1 << 32)  # weights are summed in whole parts of this
 FINE = 1024  # steps to a unit of familiarity
+CELLS = 1 << 26  # for hashes of texts with copies
 
 # Letters a-z are symbols 1 to 26, bytes of other letters share 27 to 63, everything else is 0.
 _SYMBOL = np.zeros(256, np.int64)
@@ -334,6 +336,43 @@ def _emit(keys: dict[str, int], feature: np.ndarray, matrix: np.ndarray) -> pa.R
     return pa.RecordBatch.from_pydict(columns)
 
 
+def _home(shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(shards))
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """The rows ``text, label`` with ``repeated``, which is false only where no other row is the same.
+
+    Rows are counted by a hash. The hashes met more than once fall into ``CELLS`` cells, a bit each, of which a row holds 64; so
+    what is handed to all tasks is bounded, and where it is full, more single rows are marked too.
+    """
+    hashed = rows.withColumn("hash", F.xxhash64("text", "label"))
+    word, bit = F.expr(f"pmod(hash, {CELLS}L) div 64"), F.expr(f"shiftleft(1L, cast(pmod(hash, {CELLS}L) % 64 as int))")
+    often = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    cells = often.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    found = hashed.withColumn("word", word).join(F.broadcast(cells), "word", "left")
+    return found.select("text", "label", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False)).alias("repeated"))
+
+
+def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """``shard, text, label, copies``: copies of a text are dealt to as many shards as there are, each getting an equal part of them.
+
+    Only rows that may have copies are brought together for it; all others go to their shard from where they are read.
+    """
+    marked = _marked(rows)
+    single = marked.filter(~F.col("repeated")).select(_home(shards).cast("int").alias("shard"), "text", "label", F.lit(1).cast("long").alias("copies"))
+    copies = marked.filter("repeated").groupBy("text", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.least("n", F.lit(shards)))
+    parts = copies.select("text", "label", "n", "parts", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
+    return single.unionByName(
+        parts.select(
+            F.pmod(_home(shards) + F.col("part"), F.lit(shards)).cast("int").alias("shard"),
+            "text",
+            "label",
+            (F.floor(F.col("n") / F.col("parts")) + F.when(F.col("part") < F.col("n") % F.col("parts"), 1).otherwise(0)).alias("copies"),
+        )
+    )
+
+
 def train(docs: DataFrame, use: Column, spec: Training = Training(), text_col: str = "text", label_col: str = "lang", calibrate: bool = False) -> Model:
     """Fit on all rows where ``use`` holds and text and label are given; ``calibrate`` also finds how familiar words must be."""
     rows = docs.filter(use & F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
@@ -345,7 +384,6 @@ def train(docs: DataFrame, use: Column, spec: Training = Training(), text_col: s
     labels, number = len(names), {k: i for i, k in enumerate(names)}
     shards = max(spec.shards, -(-sum(sizes.values()) // spec.shard_bytes))
     values = ", ".join(f"v{j} long" for j in range(labels))
-    home = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(shards))
 
     def texts_of(table):
         text = table.column("text")
@@ -363,16 +401,7 @@ def train(docs: DataFrame, use: Column, spec: Training = Training(), text_col: s
             yield _emit({"kind": 1}, np.arange(labels), np.rint(shard.transition * FIXED))
             yield _emit({"kind": 2}, np.zeros(1), np.ones((1, labels)))
 
-    # Copies are dealt to as many shards as there are, each getting an equal part of them.
-    copies = rows.groupBy("text", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.least("n", F.lit(shards)))
-    dealt = copies.select("text", "label", "n", "parts", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
-    dealt = dealt.select(
-        F.pmod(home + F.col("part"), F.lit(shards)).cast("int").alias("shard"),
-        "text",
-        "label",
-        (F.floor(F.col("n") / F.col("parts")) + F.when(F.col("part") < F.col("n") % F.col("parts"), 1).otherwise(0)).alias("copies"),
-    )
-    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions(F.xxhash64("text"), "text", "label")
+    dealt = _dealt(rows, shards).repartitionById(shards, "shard").sortWithinPartitions(F.xxhash64("text"), "text", "label")
     fitted = _summed(dealt.mapInArrow(fit, f"kind int, feature int, {values}"), ["kind"], labels)
     weights, transition = np.zeros((_SIZE, labels), np.float32), np.zeros((labels, labels))
     if fitted:
@@ -383,7 +412,7 @@ def train(docs: DataFrame, use: Column, spec: Training = Training(), text_col: s
     if not calibrate:
         return Model(names, weights, transition)
 
-    folded = rows.withColumn("fold", (home % spec.shards).cast("int"))
+    folded = rows.withColumn("fold", (_home(shards) % spec.shards).cast("int"))
 
     def by_fold(batches):
         for batch in (p for b in batches for p in pieces(b, "text", 1 << 19)):

@@ -139,6 +139,55 @@ def test_all_texts_are_learned_from(spark, small):
         assert (again.weights == model.weights).all() and (again.transition == model.transition).all() and (again.floors == model.floors).all()
 
 
+def dealing(spark):
+    counts = [1] * 300 + [2, 3, 4, 7, 50]
+    rows = [(1000 * i + k, f"text number {i}", "en" if i % 2 else "de") for i, n in enumerate(counts) for k in range(n)]
+    # The same text under two labels is not a copy.
+    rows += [(-1, "text number 0", "es")]
+    return rows, documents(spark, rows).select("text", F.col("lang").alias("label")).repartition(7)
+
+
+def test_only_texts_with_copies_are_brought_together(spark):
+    rows, table = dealing(spark)
+    copied = {(t, k) for _, t, k in rows if [r[1:] for r in rows].count((t, k)) > 1}
+    found = crf._marked(table).collect()
+    assert sorted(tuple(r)[:2] for r in found) == sorted(r[1:] for r in rows)
+    assert copied == {tuple(r)[:2] for r in found if r["repeated"]} and len(copied) == 5
+
+
+@pytest.mark.parametrize("cells", [64, 1 << 26])
+def test_copies_are_dealt_round(spark, monkeypatch, cells):
+    monkeypatch.setattr(crf, "CELLS", cells)
+    rows, table = dealing(spark)
+    found = {}
+    for r in crf._dealt(table, 4).collect():
+        assert r["shard"] not in found.setdefault((r["text"], r["label"]), {})
+        found[r["text"], r["label"]][r["shard"]] = r["copies"]
+    home = {tuple(r)[:2]: r["home"] for r in table.distinct().withColumn("home", crf._home(4)).collect()}
+    assert found.keys() == home.keys()
+    for key, shards in found.items():
+        n = [r[1:] for r in rows].count(key)
+        assert shards == {(home[key] + p) % 4: n // min(n, 4) + (p < n % min(n, 4)) for p in range(min(n, 4))}
+
+
+def test_single_texts_pass_no_exchange_before_that_to_their_shards(spark):
+    docs = documents(spark, [(i, f"{'words of some length ' * 20}{i}", "en") for i in range(200) for _ in range(3 if i % 20 == 0 else 1)])
+    dealt = crf._dealt(docs.select("text", F.col("lang").alias("label")), 4)
+    dealt.collect()
+
+    def exchanges(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return exchanges(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return exchanges(plan.plan())
+        here = [plan.metrics().apply("dataSize").value()] if name == "ShuffleExchangeExec" else []
+        return here + [size for i in range(plan.children().size()) for size in exchanges(plan.children().apply(i))]
+
+    moved, total = sum(exchanges(dealt._jdf.queryExecution().executedPlan())), sum(len(r["text"]) for r in docs.collect())
+    assert 0 < moved < 0.5 * total, (moved, total)
+
+
 def test_chunks_hold_every_copy_whatever_the_batches():
     rows = [{"text": "x" * (i % 37), "label": str(i), "copies": 1 + (i % 50 == 0) * 30} for i in range(400)]
     want = [r["label"] for r in rows for _ in range(r["copies"])]
