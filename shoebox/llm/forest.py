@@ -54,8 +54,6 @@ class Forest:
 # share at which it is tied to one: at a similarity of 0.8 to a member that leans on a leader, a
 # text is far above the second.
 LEAN, TIE, COMPARED = 0.85, 0.35, 64
-# Only buckets with one hash in so many are counted when depths are chosen.
-COUNTED = 16
 
 
 def signatures(docs: DataFrame, spec: Forest, id_col: str, text_col: str) -> DataFrame:
@@ -117,7 +115,7 @@ def shorten(pairs: dict[tuple[int, int], float], spec: Forest) -> list[int]:
 
 
 def choose_depths(classes: DataFrame, spec: Forest) -> list[int]:
-    """Count the pairs that prefixes of each length would form, and shorten by them."""
+    """Count the pairs that prefixes of each length would form, in every bucket, and shorten by them."""
     schema = "tree int, depth int, bucket long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +123,7 @@ def choose_depths(classes: DataFrame, spec: Forest) -> list[int]:
             sig = _signature_rows(batch, spec)
             for tree in range(spec.trees):
                 for depth in range(spec.shortest, spec.depth + 1):
-                    h = _prefix(sig, tree, depth)
-                    h = h[h % np.uint64(COUNTED) == 0].view(np.int64)
+                    h = _prefix(sig, tree, depth).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), tree, np.int32)), pa.array(np.full(len(h), depth, np.int32)), pa.array(h)], names=["tree", "depth", "bucket"])
 
     sizes = classes.select("sig").mapInArrow(run, schema).groupBy("tree", "depth", "bucket").count()

@@ -84,6 +84,20 @@ def test_depths_keep_the_recall():
         forest.shorten({}, forest.Forest(trees=2))
 
 
+def test_depths_are_chosen_by_all_buckets(spark, monkeypatch):
+    docs = documents(spark, [(i, t, "en") for i, t in sample()])
+    spec = forest.Forest()
+    classes = forest.signatures(docs, spec, "doc_id", "text").filter("sig IS NOT NULL").dropDuplicates(["node"]).cache()
+    seen = {}
+    monkeypatch.setattr(forest, "shorten", lambda pairs, spec: seen.update(pairs) or [spec.depth] * spec.trees)
+    forest.choose_depths(classes, spec)
+    sig = np.stack([np.frombuffer(r["sig"], np.uint32) for r in classes.collect()]).reshape(-1, spec.trees, spec.depth)
+    for tree in range(spec.trees):
+        for depth in range(spec.shortest, spec.depth + 1):
+            sizes = Counter(map(bytes, sig[:, tree, :depth]))
+            assert seen[tree, depth] == sum(n * (n - 1) / 2 for n in sizes.values())
+
+
 def test_components_of_a_chain(spark):
     n = 300
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(900, 901), (950, 950)], "a long, b long")
