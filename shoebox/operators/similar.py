@@ -11,8 +11,8 @@ How this stays whole and bounded on a cluster:
   task compares the hashes of two blocks, a small tile at a time. That is about a nanosecond a pair, where
   probing hash bands would meet thousands of joined rows an image.
 - Many unrelated images differ in few hash bits. Each row therefore carries a short sketch of its
-  histogram that bounds the colour distance from below, so most candidates fall
-  inside the task and whole histograms only travel for the rest.
+  histogram that bounds the colour distance from both sides. Most candidates are decided by it
+  inside the task, and whole histograms only travel for those between the bounds.
 - A search for a few images takes its candidates from equi-joins on hash bands: at least one band
   differs in no more bits than its share of H, so probing the band values within that
   share finds every candidate.
@@ -34,6 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoebox.operators import features as ft
 from shoebox.operators.graph import components
@@ -50,13 +51,15 @@ PROBE_COST = 25  # one probe row costs about as much as this many hash compariso
 
 SCORE_DIGITS = 12
 SKETCH_BINS = 6
-BLOCK_SKETCH_BINS = 16  # rows of blocks are copied less often than probes
+BLOCK_SKETCH_BINS = 64  # rows of blocks are copied less often than probes
+FIRST_BINS = 16  # of these, compared before the others
 BLOCK_ROWS, LEAST_ROWS, FEW_BLOCKS = 1 << 17, 1 << 12, 8  # images of a block at most; where few, blocks enough for all cores
 TILE = 32, 4096  # hashes of two blocks compared at a time
 PAIRS_HELD = 1 << 18
 SKETCH_SAMPLE = 5_000  # images that decide which bins make the sketch; any choice is correct
 # Two histograms above this spread never count as constant in the correlation.
 FLAT = 1.5e-8
+FIRM = 1e-6  # share of a histogram's squares that must be its spread, or rounding blurs the correlation
 SLACK = 1e-5  # sketches are single precision
 
 
@@ -143,7 +146,9 @@ def _unit(histogram: Column, moments: Column) -> Column:
 
 
 def _varied(moments: Column) -> Column:
-    return moments["n"] * moments["ss"] - moments["s"] * moments["s"] >= FLAT
+    squares = moments["n"] * moments["ss"]
+    spread = squares - moments["s"] * moments["s"]
+    return (spread >= FLAT) & (spread >= FIRM * squares)
 
 
 def sketch_bins(features: DataFrame, images: int, most: int = SKETCH_BINS) -> list[int]:
@@ -170,6 +175,17 @@ def sketch(histogram: Column, moments: Column, bins: list[int]) -> Column:
     return F.when(_varied(moments), F.struct(*columns))
 
 
+def sketch_array(histogram: Column, moments: Column, bins: list[int]) -> Column:
+    """The values of ``sketch`` as an array, of NaN for a constant histogram; many bins would be too many columns."""
+    mean = moments["s"] / moments["n"]
+    length = F.sqrt(moments["ss"] - moments["s"] * mean)
+    parts = F.transform(F.lit(bins).cast("array<int>"), lambda b: F.get(histogram, b) - mean)
+    square = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x * x)
+    rest = F.sqrt(F.greatest(F.lit(0.0), 1 - square / (length * length)))
+    whole = F.concat(F.transform(parts, lambda x: x / length), F.array(rest)).cast("array<float>")
+    return F.when(_varied(moments), whole).otherwise(F.array_repeat(F.lit(float("nan")).cast("float"), len(bins) + 1))
+
+
 def _colour_bound(a: Column, b: Column, size: int) -> Column:
     square = sum(((a[f"f{i}"] - b[f"f{i}"]) * (a[f"f{i}"] - b[f"f{i}"]) for i in range(size)), F.lit(0.0))
     return F.coalesce(square / 2, F.lit(0.0))
@@ -215,30 +231,50 @@ def _block_count(rows: int) -> int:
     return max(1, -(-rows // BLOCK_ROWS), min(FEW_BLOCKS, -(-rows // LEAST_ROWS)))
 
 
-def _near(a: tuple, b: tuple, max_bits: int, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the pairs of two blocks (hashes, sketches) that may lie within ``radius``, about PAIRS_HELD at most at a time."""
+def _near(a: tuple, b: tuple, max_bits: int, radius: float, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions of the pairs of two blocks (hashes, sketches) that may lie within ``radius``, and whether they surely do, about PAIRS_HELD at most at a time.
+
+    If both are the ``same`` block, some of the pairs of a later row with an earlier one are left out.
+    """
     (ha, sa), (hb, sb) = a, b
-    diff, bits, low = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8), np.empty(TILE, bool)
+    fa, fb = (np.ascontiguousarray(s[:, : min(FIRST_BINS, s.shape[1] - 1)]) for s in (sa, sb))
+    most = TILE[0] * TILE[1]
+    diff, bits, low = np.empty(most, np.uint64), np.empty(most, np.uint8), np.zeros(-(-most // 8) * 8, bool)
 
-    def bounded(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def bounded(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i, j, n = (np.concatenate(x) for x in zip(*found))
-        # An image without a sketch is as near as its hash.
-        colour = np.nan_to_num(((sa[i] - sb[j]).astype(np.float64) ** 2).sum(axis=1) / 2)
-        near = ft.COLOUR_WEIGHT * colour + ft.HASH_WEIGHT * (n / ft.HASH_BITS) <= radius + SLACK
-        return i[near], j[near]
+        # Twice the colour distance that is left; an image without a sketch (NaN) is as near as its hash.
+        room = 2 * (radius - ft.HASH_WEIGHT * (n / ft.HASH_BITS)) / ft.COLOUR_WEIGHT
+        slack = 2 * SLACK / ft.COLOUR_WEIGHT
+        part = fa[i] - fb[j]
+        on = ~(np.einsum("ij,ij->i", part, part) > room + slack)
+        i, j, room = i[on], j[on], room[on]
+        part = sa[i] - sb[j]
+        rest, part = part[:, -1], part[:, :-1]
+        square = np.einsum("ij,ij->i", part, part)
+        on = ~(square + rest * rest > room + slack)
+        i, j = i[on], j[on]
+        # The remainders are at most as far apart as their lengths add up to.
+        return i, j, square[on] + (sa[i, -1] + sb[j, -1]) ** 2 <= room[on] - slack
 
     for top in range(0, len(ha), TILE[0]):
         found, held = [], 0
         rows = ha[top : top + TILE[0], None]
-        for left in range(0, len(hb), TILE[1]):
+        for left in range(top // TILE[1] * TILE[1] if same else 0, len(hb), TILE[1]):
             columns = hb[None, left : left + TILE[1]]
-            d, n, m = (x[: len(rows), : columns.shape[1]] for x in (diff, bits, low))
-            np.bitwise_xor(rows, columns, out=d)
+            size = len(rows) * columns.shape[1]
+            d, n, m = diff[:size], bits[:size], low[: -(-size // 8) * 8]
+            np.bitwise_xor(rows, columns, out=d.reshape(len(rows), -1))
             np.bitwise_count(d, out=n)
-            np.less_equal(n, max_bits, out=m)
-            i, j = np.nonzero(m)
-            if len(i):
-                found.append((i + top, j + left, n[i, j]))
+            np.less_equal(n, max_bits, out=m[:size])
+            m[size:] = False
+            # Few are near: eight at a time are looked at.
+            words = np.flatnonzero(m.view(np.uint64))
+            if len(words):
+                at, inner = np.nonzero(m.reshape(-1, 8)[words])
+                at = words[at] * 8 + inner
+                i, j = np.divmod(at, columns.shape[1])
+                found.append((i + top, j + left, n[at]))
                 held += len(i)
                 if held >= PAIRS_HELD:
                     yield bounded(found)
@@ -247,19 +283,27 @@ def _near(a: tuple, b: tuple, max_bits: int, radius: float) -> Iterator[tuple[np
             yield bounded(found)
 
 
-def block_candidates(earlier: DataFrame, later: DataFrame | None, radius: float) -> DataFrame:
+def block_pairs(earlier: DataFrame, later: DataFrame | None, radius: float, first: bool = False) -> DataFrame:
     """Pairs ``a < b`` (ranks) of ``earlier`` with ``later``, or within ``earlier`` if that is None, that may lie within ``radius``; each once.
 
-    Inputs carry ``rank, dhash, sketch`` and are read for their counts too. Each task holds two blocks of rows.
+    ``sure`` says that they do; the others are still to be compared. With ``first``, pairs of a ``b`` behind one that is sure
+    may be left out: the least ``a`` within the radius is among those that stay.
+    Inputs carry ``rank, dhash, sketch`` (columns or arrays) and are read for their counts too. Each task holds two blocks of rows.
     """
     max_bits = min(ft.HASH_BITS, math.floor(ft.HASH_BITS * radius / ft.HASH_WEIGHT + 1e-6))
-    fields = earlier.schema["sketch"].dataType.names
     within = later is None
-    high = _block_count(earlier.count())
+    rows_high = earlier.count()
+    high = _block_count(rows_high)
     wide = high if within else _block_count(later.count())
+    if not within:
+        # Where one side has blocks enough for all cores, the other is not cut further.
+        high = min(high, max(-(-rows_high // BLOCK_ROWS), FEW_BLOCKS * FEW_BLOCKS // wide, 1))
 
     def dealt(df: DataFrame, own: int, others: int) -> DataFrame:
-        flat = df.select("rank", "dhash", *(F.col("sketch")[f].alias(f) for f in fields))
+        sketch = F.col("sketch")
+        if isinstance(kind := df.schema["sketch"].dataType, T.StructType):
+            sketch = F.array(*[F.coalesce(sketch[f], F.lit(float("nan")).cast("float")) for f in kind.names])
+        flat = df.select("rank", "dhash", sketch.alias("sketch"))
         block = F.pmod(F.xxhash64("rank"), F.lit(own)).cast("int")
         return flat.select("*", block.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other"))
 
@@ -267,9 +311,9 @@ def block_candidates(earlier: DataFrame, later: DataFrame | None, radius: float)
         side = F.sign(F.col("own") - F.col("other")).cast("int")
         rows = dealt(earlier, high, high).withColumns({"cell": F.least("own", "other") * high + F.greatest("own", "other"), "side": side})
     else:
-        first = dealt(earlier, high, wide).withColumns({"cell": F.col("own") * wide + F.col("other"), "side": F.lit(-1)})
-        second = dealt(later, wide, high).withColumns({"cell": F.col("other") * wide + F.col("own"), "side": F.lit(1)})
-        rows = first.unionByName(second)
+        above = dealt(earlier, high, wide).withColumns({"cell": F.col("own") * wide + F.col("other"), "side": F.lit(-1)})
+        below = dealt(later, wide, high).withColumns({"cell": F.col("other") * wide + F.col("own"), "side": F.lit(1)})
+        rows = above.unionByName(below)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -277,27 +321,46 @@ def block_candidates(earlier: DataFrame, later: DataFrame | None, radius: float)
             return
         table = pa.Table.from_batches(held)
         side, rank, dhash = (table.column(c).to_numpy() for c in ("side", "rank", "dhash"))
-        sketches = np.stack([table.column(f).to_numpy() for f in fields], axis=1)
+        sketches = np.concatenate([c.flatten().to_numpy() for c in table.column("sketch").chunks]).reshape(len(rank), -1)
         del held, table
         # Both sides of a cell on the diagonal are the same rows.
         (ra, *a), (rb, *b) = ((rank[on], dhash[on].view(np.uint64), sketches[on]) for on in (side <= 0, side >= 0))
-        whole, kept, size = within and (side != 0).all(), [], 0
-        for i, j in _near(a, b, max_bits, radius):
+        del sketches
+        same, kept, size = within and (side == 0).all(), [], 0
+        least = np.full(len(rb), np.iinfo(np.int64).max)
+
+        def made(kept: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([np.concatenate(c) for c in zip(*kept)], names=["a", "b", "sure"])
+
+        for i, j, sure in _near(a, b, max_bits, radius, same):
             x, y = ra[i], rb[j]
-            if whole:
+            if within:
                 x, y = np.minimum(x, y), np.maximum(x, y)
-            else:
-                x, y = x[x < y], y[x < y]
-            kept, size = [*kept, (x, y)], size + len(x)
+            # An image may come in several rows.
+            on = (x < y) & (i < j) if same else x < y
+            x, y, j, sure = x[on], y[on], j[on], sure[on]
+            if first:
+                np.minimum.at(least, j[sure], x[sure])
+                on = ~sure & (x < least[j])
+                x, y, sure = x[on], y[on], sure[on]
+            kept, size = [*kept, (x, y, sure)], size + len(x)
             if size >= PAIRS_HELD:
-                yield pa.RecordBatch.from_arrays([np.concatenate(c) for c in zip(*kept)], names=["a", "b"])
+                yield made(kept)
                 kept, size = [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([np.concatenate(c) for c in zip(*kept)], names=["a", "b"])
+        if first:
+            on = least < np.iinfo(np.int64).max
+            kept.append((least[on], rb[on], np.ones(on.sum(), bool)))
+        if kept:
+            yield made(kept)
 
     # A cell is a partition of its own: its work follows from the pairs, not from the bytes.
-    cells = rows.repartitionById(high * wide, F.col("cell")).select("rank", "dhash", *fields, "side")
-    return cells.mapInArrow(compare, "a long, b long")
+    cells = rows.repartitionById(high * wide, F.col("cell")).select("rank", "dhash", "sketch", "side")
+    return cells.mapInArrow(compare, "a long, b long, sure boolean")
+
+
+def block_candidates(earlier: DataFrame, later: DataFrame | None, radius: float) -> DataFrame:
+    """All pairs of ``block_pairs``, without what is known of them."""
+    return block_pairs(earlier, later, radius).select("a", "b")
 
 
 def _side(features: DataFrame, side: str) -> DataFrame:
@@ -327,9 +390,10 @@ def with_distance(pairs: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def _edges(earlier: DataFrame, later: DataFrame | None, features: DataFrame, radius: float) -> DataFrame:
-    pairs = cut(block_candidates(earlier, later, radius), "candidates")
-    near = with_distance(pairs, features).filter(F.col("distance") <= radius)
-    return cut(near.select("a", "b"), "edges")
+    """All pairs within the radius; with ``later``, the least ``a`` of each ``b`` at least."""
+    pairs = cut(block_pairs(earlier, later, radius, first=later is not None), "candidates")
+    near = with_distance(pairs.filter("NOT sure").select("a", "b"), features).filter(F.col("distance") <= radius)
+    return pairs.filter("sure").select("a", "b").unionByName(cut(near.select("a", "b"), "edges"))
 
 
 def _settle_round(links: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -490,7 +554,7 @@ def _ranked(features: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
         ranks.select("rep_id", "rank"), "rep_id"
     )
     bins = sketch_bins(valid, images, BLOCK_SKETCH_BINS)
-    table = table.withColumn("sketch", sketch(F.col("histogram"), F.col("moments"), bins))
+    table = table.withColumn("sketch", sketch_array(F.col("histogram"), F.col("moments"), bins))
     return cut(table, "features"), copies, distinct, images
 
 

@@ -77,6 +77,46 @@ def test_blocks_meet_every_pair_once(spark, monkeypatch, rows):
     assert similar.block_candidates(df.limit(0), None, 0.15).count() == 0
 
 
+@pytest.mark.parametrize("bins,rows", [([0, 2, 4], 10**6), ([0, 1, 2, 3, 4, 5], 40)])
+def test_sure_pairs_are_near_and_the_first_leader_stays(spark, monkeypatch, bins, rows):
+    monkeypatch.setattr(similar, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(similar, "TILE", (8, 64))
+    made = [r for r in _features(9, n=200, hot=0.3) if r[3]] + [(10**6, 7, [0.5] * 6, True), (10**6 + 1, 6, [0.5] * 6, True)]
+    # Rounding blurs what little these histograms vary.
+    made += [(10**7 + k, 7 ^ k, [1e6 + x * 1e-3 for x in (k, 2, 5, 1, 7, 3)], True) for k in range(3)]
+    df = spark.createDataFrame(made, SCHEMA).withColumnRenamed("image_id", "rank")
+    df = df.withColumn("sketch", similar.sketch_array(F.col("histogram"), ft.moments(F.col("histogram")), bins))
+    near = {(a[0], b[0]) for a in made for b in made if a[0] < b[0] and _distance(a, b) <= 0.15}
+    found = similar.block_pairs(df, None, 0.15).collect()
+    sure, open_pairs = ({(r.a, r.b) for r in found if r.sure == kind} for kind in (True, False))
+    assert len(found) == len(sure | open_pairs) and sure <= near and near <= sure | open_pairs
+    assert sure and all(b < 10**6 for _, b in sure) and any(b >= 10**7 for _, b in open_pairs)
+    some, rest = df.filter("rank % 2 = 0"), df.filter("rank % 4 <> 0")
+    want = {}
+    for a, b in sorted(near, reverse=True):
+        if a % 2 == 0 and b % 4:
+            want[b] = a
+    found = similar.block_pairs(some, rest, 0.15, first=True).collect()
+    got = {}
+    for r in sorted(found, reverse=True):
+        if r.sure or (r.a, r.b) in near:
+            got[r.b] = r.a
+    assert got == want
+    if len(bins) == 6:
+        assert len(found) < sum(a % 2 == 0 and b % 4 != 0 for a, b in near)
+
+
+def test_few_pairs_are_compared_whole(spark, monkeypatch):
+    rows = _features(6, hot=0.3)
+    seen, whole = [], similar.with_distance
+    monkeypatch.setattr(similar, "with_distance", lambda pairs, features: seen.append(pairs.count()) or whole(pairs, features))
+    got = similar.assign_leaders(spark.createDataFrame(rows, SCHEMA))
+    assert {r.image_id: r.leader_id for r in got.collect()} == _sequential(rows, 0.15)
+    made = [r for r in rows if r[3]]
+    near = sum(_distance(a, b) <= 0.15 for a in made for b in made if a[0] < b[0])
+    assert sum(seen) < near / 10
+
+
 def test_constant_histograms_and_empty_input(spark):
     rows = [(1, 0, [0.5] * 6, True), (2, 1, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6], True), (3, -1, [0.5] * 6, True), (4, 0, [0.5] * 6, True)]
     got = similar.assign_leaders(spark.createDataFrame(rows, SCHEMA))
